@@ -74,7 +74,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     lg = legs(spark, sf_dir).filter(F.col("arrival_station").isNotNull())
     agg = lg.groupBy(F.col("departure_station").alias("Departure_station_id"),
                      F.col("arrival_station").alias("Arrival_station_id")) \
-        .agg(F.round(F.avg("PRICE") / F.lit(1000.0), 3).alias("Distance"))
+        .agg((F.max("PRICE") / F.lit(1000.0)).alias("Distance"))
     st = stations(spark, sf_dir).select("ID", "Geo_x", "Geo_y")
     d = st.select(F.col("ID").alias("Departure_station_id"), F.col("Geo_x").alias("dx"), F.col("Geo_y").alias("dy"))
     a = st.select(F.col("ID").alias("Arrival_station_id"), F.col("Geo_x").alias("ax"), F.col("Geo_y").alias("ay"))

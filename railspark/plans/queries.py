@@ -377,3 +377,662 @@ def q_parse_polyline(spark, sf):
     p = FX.parse_polyline(txt)
     return e.select("event_id", F.when(p.isNotNull(), F.size(p)).alias("n_points"),
                     G.lat_of(p[0]).alias("lat0"))
+
+
+# ------------------------------------------------------------------ §2.3 joins
+
+@q("join_both_endpoints", S.with_(S.LINKS, S.STATIONS) + """
+SELECT l.Departure_station_id, l.Arrival_station_id, d.Geo_x AS dep_Geo_x, d.Geo_y AS dep_Geo_y,
+       a.Geo_x AS arr_Geo_x, a.Geo_y AS arr_Geo_y
+FROM links l LEFT JOIN stations d ON l.Departure_station_id = d.ID LEFT JOIN stations a ON l.Arrival_station_id = a.ID""")
+def q_join_both(spark, sf):
+    j = R.join_both_endpoints(A.links(spark, sf).drop("Coordinates"), A.stations(spark, sf))
+    return j.select("Departure_station_id", "Arrival_station_id", "dep_Geo_x", "dep_Geo_y", "arr_Geo_x", "arr_Geo_y")
+
+
+@q("join_next_dim", S.with_(S.STOP_NEXT, S.STATIONS) + """
+SELECT n.TRAIN_NO, n.SEQ, n.PART, n.NEXT_STOP, s.Name AS next_Name
+FROM stop_next n LEFT JOIN stations s ON n.NEXT_STOP = s.ID""")
+def q_join_next(spark, sf):
+    j = R.join_next_dim(A.stop_log_next(spark, sf), A.stations(spark, sf), "NEXT_STOP", "ID", ["Name"])
+    return j.select("TRAIN_NO", "SEQ", "PART", "NEXT_STOP", "next_Name")
+
+
+@q("join_lookup_last_wins", """
+WITH last AS (SELECT l_orderkey, l_suppkey, l_linenumber FROM lineitem
+              QUALIFY row_number() OVER (PARTITION BY l_orderkey
+                                         ORDER BY l_linenumber DESC, l_suppkey DESC, l_partkey DESC, l_shipdate DESC) = 1)
+SELECT o.o_orderkey, last.l_suppkey AS last_supplier, last.l_linenumber AS last_line
+FROM orders o LEFT JOIN last ON o.o_orderkey = last.l_orderkey""")
+def q_lookup_last(spark, sf):
+    li = A.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_shipdate")
+    lk = R.last_wins(li, "l_orderkey", ["l_linenumber", "l_suppkey", "l_partkey", "l_shipdate"])
+    o = A.table(spark, sf, "orders").select("o_orderkey")
+    return o.join(lk, o.o_orderkey == lk.l_orderkey, "left").select(
+        "o_orderkey", F.col("l_suppkey").alias("last_supplier"), F.col("l_linenumber").alias("last_line"))
+
+
+@q("semi_membership", """
+SELECT o_orderkey, o_custkey FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def q_semi(spark, sf):
+    c = A.table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING")
+    return R.semi_membership(A.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey", "c_custkey")
+
+
+@q("anti_missing", """
+SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+def q_anti(spark, sf):
+    return R.anti_missing(A.table(spark, sf, "customer").select("c_custkey"), A.table(spark, sf, "orders"),
+                          "c_custkey", "o_custkey")
+
+
+def _edge_table(lk):
+    return lk.select(F.concat_ws("_", "Departure_station_id", "Arrival_station_id").alias("id"),
+                     F.col("Departure_station_id").alias("from"), F.col("Arrival_station_id").alias("to"),
+                     F.col("Distance").alias("ord"))
+
+
+def _track_table(lk):
+    t = lk.select(F.col("Departure_station_id").alias("a"), F.col("Arrival_station_id").alias("b"),
+                  "Distance")
+    return t.select(F.concat_ws("-", "a", "b").alias("track_id"), "a", "b",
+                    F.struct(F.col("Distance"), F.col("a"), F.col("b")).alias("ord"))
+
+
+UNDIRECTED_SQL = S.with_(S.LINKS) + """,
+edges AS (SELECT Departure_station_id || '_' || Arrival_station_id AS id, Departure_station_id AS f,
+                 Arrival_station_id AS t FROM links),
+tracks AS (SELECT Departure_station_id || '-' || Arrival_station_id AS track_id, Departure_station_id AS a,
+                  Arrival_station_id AS b, Distance FROM links)
+SELECT e.id, tr.track_id, tr.a AS "from", tr.b AS "to"
+FROM edges e JOIN tracks tr ON least(e.f, e.t) = least(tr.a, tr.b) AND greatest(e.f, e.t) = greatest(tr.a, tr.b)
+QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY tr.Distance, tr.a, tr.b) = 1"""
+
+
+@q("undirected_pair_join", UNDIRECTED_SQL)
+def q_undirected(spark, sf):
+    lk = A.links(spark, sf)
+    return R.undirected_pair_join(_edge_table(lk), _track_table(lk))
+
+
+@q("array_membership_join", S.with_(S.LINKS) + """,
+st AS (SELECT s_nationkey AS Station_ID, list(s_suppkey) AS tracks FROM supplier GROUP BY 1
+       UNION ALL SELECT 99 AS Station_ID, [CAST(-1 AS BIGINT)] AS tracks),
+ex AS (SELECT Station_ID, unnest(tracks) AS t FROM st),
+j AS (SELECT ex.Station_ID, l.Departure_station_id || '_' || l.Arrival_station_id AS e
+      FROM ex LEFT JOIN links l ON ex.t = l.Departure_station_id)
+SELECT Station_ID, coalesce(string_agg(DISTINCT e, ',' ORDER BY e), '') AS edges FROM j GROUP BY 1""")
+def q_array_membership(spark, sf):
+    sup = A.table(spark, sf, "supplier")
+    st = sup.groupBy(F.col("s_nationkey").alias("Station_ID")).agg(F.collect_list("s_suppkey").alias("tracks"))
+    st = st.unionByName(spark.createDataFrame([(99, [-1])], "Station_ID int, tracks array<bigint>"))
+    lk = A.links(spark, sf)
+    edges = lk.select(F.concat_ws("_", "Departure_station_id", "Arrival_station_id").alias("edge_id"),
+                      F.col("Departure_station_id").alias("track"))
+    r = R.array_membership_join(st, edges, "Station_ID", "tracks", "edge_id", "track")
+    return r.select("Station_ID", F.array_join("edges", ",").alias("edges"))
+
+
+@q("self_join_shared_node", S.with_(S.LINKS) + """,
+u AS (SELECT DISTINCT least(Departure_station_id, Arrival_station_id) AS a,
+                      greatest(Departure_station_id, Arrival_station_id) AS b FROM links
+      WHERE Departure_station_id <> Arrival_station_id),
+e AS (SELECT a || '-' || b AS id, a, b FROM u),
+inc AS (SELECT DISTINCT id AS edge, a AS node FROM e UNION SELECT DISTINCT id, b FROM e),
+deg AS (SELECT node, count(*) AS d FROM inc GROUP BY 1)
+SELECT inc.edge, CAST(sum(deg.d - 1) AS BIGINT) AS adjacent_edges FROM inc JOIN deg USING (node) GROUP BY 1""")
+def q_shared_node(spark, sf):
+    lk = A.links(spark, sf).filter(F.col("Departure_station_id") != F.col("Arrival_station_id"))
+    u = lk.select(F.least("Departure_station_id", "Arrival_station_id").alias("a"),
+                  F.greatest("Departure_station_id", "Arrival_station_id").alias("b")).distinct()
+    e = u.select(F.concat_ws("-", "a", "b").alias("id"), "a", "b")
+    return R.shared_node_degree(e).select("edge", F.col("adjacent_edges").cast("long").alias("adjacent_edges"))
+
+
+@q("reverse_edge_join", S.with_(S.LINKS) + """
+SELECT l.Departure_station_id AS src, l.Arrival_station_id AS dst, l.Distance,
+       r.Distance AS rev_Distance, r.Distance IS NOT NULL AS has_reverse
+FROM links l LEFT JOIN links r ON l.Departure_station_id = r.Arrival_station_id
+                              AND l.Arrival_station_id = r.Departure_station_id""")
+def q_reverse(spark, sf):
+    e = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"),
+                                  F.col("Arrival_station_id").alias("dst"), "Distance")
+    return R.reverse_edge_join(e, cols=("Distance",))
+
+
+@q("neighbour_expand", S.with_(S.LINKS, SEEDS_SQL) + """
+SELECT DISTINCT Arrival_station_id AS station FROM links
+WHERE Departure_station_id IN (SELECT station FROM seeds) AND Arrival_station_id NOT IN (SELECT station FROM seeds)""")
+def q_neighbour_expand(spark, sf):
+    e = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"))
+    return R.neighbour_expand(e, seeds(spark, sf))
+
+
+ALIAS_SQL = S.with_(S.LINKS, S.STATIONS) + """,
+aliases AS (SELECT 1000 + s_nationkey AS alias, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rank,
+                   s_suppkey AS station FROM supplier),
+ll AS (SELECT l.TRAIN_NO, l.SEQ, l.PART,
+              CASE WHEN d.Nation < 12 THEN 1000 + d.Nation ELSE l.departure_station END AS departure_station,
+              CASE WHEN a.Nation >= 12 OR a.Nation % 5 = 0 THEN 1000 + a.Nation ELSE l.arrival_station END AS arrival_station
+       FROM legs l LEFT JOIN stations d ON l.departure_station = d.ID LEFT JOIN stations a ON l.arrival_station = a.ID),
+pairs AS (SELECT DISTINCT departure_station AS d, arrival_station AS a FROM ll),
+cand AS (SELECT p.d, p.a, coalesce(x.rank, 0) AS r1, coalesce(x.station, p.d) AS s1,
+                coalesce(y.rank, 0) AS r2, coalesce(y.station, p.a) AS s2
+         FROM pairs p LEFT JOIN aliases x ON p.d = x.alias LEFT JOIN aliases y ON p.a = y.alias),
+hit AS (SELECT c.* FROM cand c WHERE EXISTS (SELECT 1 FROM links e WHERE e.Departure_station_id = c.s1
+                                                                   AND e.Arrival_station_id = c.s2)),
+best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY d, a ORDER BY r1, r2, s1, s2) = 1)
+SELECT ll.TRAIN_NO, ll.SEQ, ll.PART, coalesce(b.s1, ll.departure_station) AS departure_station,
+       coalesce(b.s2, ll.arrival_station) AS arrival_station
+FROM ll LEFT JOIN best b ON ll.departure_station IS NOT DISTINCT FROM b.d AND ll.arrival_station IS NOT DISTINCT FROM b.a"""
+
+
+def logical_legs(spark, sf):
+    """Legs whose stations are partly replaced by logical ids (1000 + nation) with an alias table."""
+    st = A.stations(spark, sf).select("ID", "Nation")
+    lg = A.legs(spark, sf)
+    d = st.select(F.col("ID").alias("_did"), F.col("Nation").alias("_dn"))
+    a = st.select(F.col("ID").alias("_aid"), F.col("Nation").alias("_an"))
+    j = lg.join(F.broadcast(d), F.col("departure_station") == F.col("_did"), "left") \
+        .join(F.broadcast(a), F.col("arrival_station") == F.col("_aid"), "left")
+    return j.select("TRAIN_NO", "SEQ", "PART",
+                    F.when(F.col("_dn") < 12, F.col("_dn") + 1000).otherwise(F.col("departure_station"))
+                    .cast("long").alias("departure_station"),
+                    F.when((F.col("_an") >= 12) | (F.col("_an") % 5 == 0), F.col("_an") + 1000)
+                    .otherwise(F.col("arrival_station")).cast("long").alias("arrival_station"))
+
+
+def alias_table(spark, sf):
+    sup = A.table(spark, sf, "supplier")
+    from pyspark.sql import Window
+    return sup.select((F.col("s_nationkey") + 1000).cast("long").alias("alias"),
+                      F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("rank"),
+                      F.col("s_suppkey").alias("station"))
+
+
+@q("alias_resolve", ALIAS_SQL)
+def q_alias_resolve(spark, sf):
+    e = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"))
+    return T.alias_resolve(logical_legs(spark, sf), alias_table(spark, sf), e)
+
+
+# ------------------------------------------------------------------ §2.4 aggregations
+
+@q("group_nunique_having", """
+SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1""")
+def q_nunique_having(spark, sf):
+    return R.group_nunique_having(A.table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", 1)
+
+
+@q("global_nunique", """
+SELECT count(DISTINCT l_orderkey) AS n_l_orderkey, count(DISTINCT l_suppkey) AS n_l_suppkey, count(*) AS n_rows
+FROM lineitem""")
+def q_global_nunique(spark, sf):
+    return R.global_nunique(A.table(spark, sf, "lineitem"), ["l_orderkey", "l_suppkey"])
+
+
+def _profile_sql(metric: str) -> str:
+    cols = [("doc_id", False), ("text", True), ("lang", True), ("source", True), ("n_chars", False)]
+    parts = []
+    for c, is_str in cols:
+        expr = {"distinct_count": f"count(DISTINCT {c})", "null_count": f"count(*) FILTER (WHERE {c} IS NULL)",
+                "blank_count": (f"count(*) FILTER (WHERE {c} = '')" if is_str else "CAST(NULL AS BIGINT)")}[metric]
+        src = "" if (metric == "blank_count" and not is_str) else " FROM documents"
+        parts.append(f"SELECT '{c}' AS column_name, {expr} AS {metric}{src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _profile(metric):
+    def run(spark, sf):
+        return Q.profile(A.table(spark, sf, "documents")).select("column_name", metric)
+    return run
+
+
+for _m, _k in (("distinct_count", "profile_distinct"), ("null_count", "profile_nulls"),
+               ("blank_count", "profile_blanks")):
+    q(_k, _profile_sql(_m))(_profile(_m))
+
+
+@q("duplicate_rows", """
+SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+def q_duplicate_rows(spark, sf):
+    return Q.duplicate_rows(A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
+
+
+@q("adjacency_sets", S.with_(S.LINKS) + """
+SELECT Departure_station_id AS node, string_agg(DISTINCT CAST(Arrival_station_id AS VARCHAR), ','
+                                                ORDER BY CAST(Arrival_station_id AS VARCHAR)) AS neighbours
+FROM links GROUP BY 1""")
+def q_adjacency(spark, sf):
+    e = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"))
+    a = R.adjacency_sets(e)
+    return a.select("node", F.array_join(F.array_sort(F.transform("neighbours", lambda x: x.cast("string"))), ",")
+                    .alias("neighbours"))
+
+
+@q("group_collect", S.with_(S.STATIONS) + """
+SELECT Nation, arg_min(Name, ID) AS Name, string_agg(CAST(ID AS VARCHAR), ',' ORDER BY ID) AS IDs
+FROM stations GROUP BY 1""")
+def q_group_collect(spark, sf):
+    g = R.group_collect(A.stations(spark, sf), "Nation", "Name", "ID", "ID")
+    return g.select("Nation", "Name", F.array_join("IDs", ",").alias("IDs"))
+
+
+@q("found_ratio", """
+WITH k AS (SELECT DISTINCT c_custkey AS k FROM customer),
+     r AS (SELECT DISTINCT o_custkey AS k FROM orders)
+SELECT count(r.k) AS found, count(*) AS total, round(100.0 * count(r.k) / count(*), 4) AS ratio_pct
+FROM k LEFT JOIN r USING (k)""")
+def q_found_ratio(spark, sf):
+    return R.found_ratio(A.table(spark, sf, "customer"), A.table(spark, sf, "orders"), "c_custkey", "o_custkey")
+
+
+@q("trips_through_station", S.with_(S.LEGS) + """,
+ends AS (SELECT TRAIN_NO, REAL_DATE_DEP, departure_station AS station FROM legs
+         UNION ALL SELECT TRAIN_NO, REAL_DATE_DEP, arrival_station FROM legs)
+SELECT station, count(DISTINCT (TRAIN_NO, REAL_DATE_DEP)) AS trips FROM ends WHERE station IS NOT NULL GROUP BY 1""")
+def q_trips_through(spark, sf):
+    return R.trips_through_station(A.legs(spark, sf), A.STOP_KEY)
+
+
+@q("centroid", S.with_(S.POLYLINES) + """,
+pts AS (SELECT unnest(Path) AS p FROM polylines)
+SELECT round(avg(p[1]), 6) AS mean_lat, round(avg(p[2]), 6) AS mean_lon FROM pts""")
+def q_centroid(spark, sf):
+    c = R.centroid(A.polylines(spark, sf))
+    return c.select(F.round("mean_lat", 6).alias("mean_lat"), F.round("mean_lon", 6).alias("mean_lon"))
+
+
+@q("neighbour_count_check", S.with_(S.LINKS) + """,
+sd AS (SELECT s_suppkey AS station FROM supplier WHERE s_nationkey = 3 UNION SELECT -1),
+deg AS (SELECT Departure_station_id AS station, count(DISTINCT Arrival_station_id) AS neighbours FROM links GROUP BY 1)
+SELECT sd.station, deg.neighbours,
+       CASE WHEN deg.neighbours IS NULL THEN 'unknown' WHEN deg.neighbours <= 2 THEN '<=2' ELSE '>2' END AS status
+FROM sd LEFT JOIN deg USING (station)""")
+def q_neighbour_count(spark, sf):
+    e = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"))
+    sd = seeds(spark, sf).unionByName(spark.createDataFrame([(-1,)], "station long"))
+    return R.neighbour_count_check(e, sd)
+
+
+# ------------------------------------------------------------------ §2.5 windows
+
+@q("head_per_group", S.with_(S.STOP_LOG) + """
+SELECT TRAIN_NO, REAL_DATE_DEP, STOPPING_PLACE_ID, SEQ, PART FROM stop_log
+QUALIFY row_number() OVER (PARTITION BY TRAIN_NO, REAL_DATE_DEP
+                           ORDER BY PLANNED_DATETIME_DEP, SEQ, STOPPING_PLACE_ID, PART) <= 3""")
+def q_head(spark, sf):
+    return W.head_per_group(A.stop_log(spark, sf), A.STOP_KEY, A.STOP_ORDER, 3) \
+        .select("TRAIN_NO", "REAL_DATE_DEP", "STOPPING_PLACE_ID", "SEQ", "PART")
+
+
+@q("dense_id_first_seen", S.with_(S.STOP_LOG) + """,
+f AS (SELECT STOPPING_PLACE_ID, min((PLANNED_DATETIME_DEP, TRAIN_NO, SEQ, PART)) AS fs FROM stop_log GROUP BY 1)
+SELECT STOPPING_PLACE_ID, row_number() OVER (ORDER BY fs, STOPPING_PLACE_ID) - 1 AS id FROM f""")
+def q_dense_id(spark, sf):
+    return W.dense_id_first_seen(A.stop_log(spark, sf), "STOPPING_PLACE_ID",
+                                 ["PLANNED_DATETIME_DEP", "TRAIN_NO", "SEQ", "PART"], "id")
+
+
+@q("rank_neighbours", S.with_(S.LINKS) + """
+SELECT Departure_station_id AS src, Arrival_station_id AS dst,
+       CAST(row_number() OVER (PARTITION BY Departure_station_id ORDER BY CAST(Arrival_station_id AS VARCHAR),
+                                                                        Arrival_station_id) AS INTEGER) AS rank
+FROM links""")
+def q_rank_neighbours(spark, sf):
+    e = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"))
+    return W.rank_neighbours(e, as_text=True)
+
+
+@q("running_schedule", S.with_(S.STOP_LOG) + """
+SELECT TRAIN_NO, SEQ, PART, STOPPING_PLACE_ID,
+       CAST(sum(DELAY_ARR) OVER (PARTITION BY TRAIN_NO, REAL_DATE_DEP ORDER BY PLANNED_DATETIME_DEP, SEQ,
+                                 STOPPING_PLACE_ID, PART ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_delay
+FROM stop_log""")
+def q_running(spark, sf):
+    return W.running_sum(A.stop_log(spark, sf), A.STOP_KEY, A.STOP_ORDER, "DELAY_ARR", "cum_delay") \
+        .select("TRAIN_NO", "SEQ", "PART", "STOPPING_PLACE_ID", "cum_delay")
+
+
+# ------------------------------------------------------------------ §2.6 sorts, limits, sampling
+
+@q("sort_multi", S.with_(S.STATIONS) + "SELECT ID, Nation, Name FROM stations ORDER BY Nation DESC, ID")
+def q_sort_multi(spark, sf):
+    return R.sort_multi(A.stations(spark, sf).select("ID", "Nation", "Name"), F.desc("Nation"), F.asc("ID"))
+
+
+@q("top_n_preview", S.with_(S.STOP_LOG) + """
+SELECT TRAIN_NO, SEQ, PART, STOPPING_PLACE_ID, PRICE FROM stop_log
+ORDER BY PRICE DESC, TRAIN_NO, SEQ, PART, STOPPING_PLACE_ID LIMIT 10""")
+def q_top_n(spark, sf):
+    return R.top_n(A.stop_log(spark, sf).select("TRAIN_NO", "SEQ", "PART", "STOPPING_PLACE_ID", "PRICE"), 10,
+                   F.desc("PRICE"), "TRAIN_NO", "SEQ", "PART", "STOPPING_PLACE_ID")
+
+
+@q("random_sample")
+def q_random_sample(spark, sf):
+    return R.random_sample(A.table(spark, sf, "lineitem"), "l_orderkey", 5, seed=7)
+
+
+# ------------------------------------------------------------------ §2.7 set operations
+
+@q("union_distinct_endpoints", S.with_(S.LINKS) + """
+SELECT Departure_station_id AS station FROM links UNION SELECT Arrival_station_id FROM links""")
+def q_union_endpoints(spark, sf):
+    return R.union_distinct_endpoints(A.links(spark, sf))
+
+
+@q("append_rows", S.with_(S.STATIONS) + """
+SELECT ID, Name, Geo_x, Geo_y FROM stations
+UNION ALL SELECT -1, 'Depot', CAST(50.5 AS DOUBLE), CAST(NULL AS DOUBLE)""")
+def q_append(spark, sf):
+    extra = spark.createDataFrame([(-1, "Depot", 50.5)], "ID long, Name string, Geo_x double")
+    return R.append_rows(A.stations(spark, sf).select("ID", "Name", "Geo_x", "Geo_y"), extra)
+
+
+@q("union_tagged", S.with_(S.STOP_NEXT) + """
+SELECT TRAIN_NO, SEQ, PART, DELAY_ARR, 'nation3' AS source FROM stop_next
+WHERE STOPPING_PLACE_ID IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)
+UNION ALL
+SELECT TRAIN_NO, SEQ, PART, DELAY_ARR, 'nation7' AS source FROM stop_next
+WHERE STOPPING_PLACE_ID IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)""")
+def q_union_tagged(spark, sf):
+    sn = A.stop_log_next(spark, sf).select("TRAIN_NO", "SEQ", "PART", "DELAY_ARR", "STOPPING_PLACE_ID")
+    frames = {f"nation{n}": R.semi_membership(sn, seeds(spark, sf, (n,)), "STOPPING_PLACE_ID", "station")
+              .drop("STOPPING_PLACE_ID") for n in (3, 7)}
+    return R.union_tagged(frames)
+
+
+@q("distinct_rows", S.with_(S.STOP_NEXT) + """,
+p AS (SELECT *, lag(STOPPING_PLACE_ID) OVER (PARTITION BY TRAIN_NO, REAL_DATE_DEP
+               ORDER BY PLANNED_DATETIME_DEP, SEQ, STOPPING_PLACE_ID, PART) AS PREV_STOP FROM stop_next)
+SELECT DISTINCT PREV_STOP, STOPPING_PLACE_ID, NEXT_STOP FROM p""")
+def q_distinct_rows(spark, sf):
+    sn = W.prev_stop(A.stop_log_next(spark, sf), A.STOP_KEY, A.STOP_ORDER, "STOPPING_PLACE_ID", "PREV_STOP")
+    return R.distinct_rows(sn, "PREV_STOP", "STOPPING_PLACE_ID", "NEXT_STOP")
+
+
+@q("intersect_keys", S.with_(S.LINKS) + """
+SELECT Departure_station_id AS station FROM links INTERSECT SELECT Arrival_station_id FROM links""")
+def q_intersect(spark, sf):
+    lk = A.links(spark, sf)
+    return R.intersect_keys(lk.select(F.col("Departure_station_id").alias("station")),
+                            lk.select(F.col("Arrival_station_id").alias("station")))
+
+
+# ------------------------------------------------------------------ §2.9 polylines
+
+from railspark.operators import polyline as P  # noqa: E402
+
+R_M = 6371008.8
+
+
+def hav_sql(p: str, q: str) -> str:
+    """DuckDB haversine between two [lat, lon] list expressions (same formula as the Spark side)."""
+    la1, lo1, la2, lo2 = f"radians({p}[1])", f"radians({p}[2])", f"radians({q}[1])", f"radians({q}[2])"
+    h = f"(pow(sin(({la2} - {la1}) / 2), 2) + cos({la1}) * cos({la2}) * pow(sin(({lo2} - {lo1}) / 2), 2))"
+    return f"({2 * R_M!r} * asin(sqrt(least(CAST(1.0 AS DOUBLE), {h}))))"
+
+
+SPLIT_SQL = "WITH RECURSIVE " + S.POLYLINES + f""",
+steps AS (SELECT ID, i, {hav_sql('Path[i - 1]', 'Path[i]')} AS s FROM polylines, range(2, 33) t(i)),
+rec AS (
+  SELECT ID, 2 AS i, 1 AS start, CAST(0.0 AS DOUBLE) AS len, CAST(NULL AS INTEGER) AS cs, CAST(NULL AS INTEGER) AS ce
+  FROM polylines
+  UNION ALL
+  SELECT r.ID, r.i + 1,
+         CASE WHEN r.len + s.s <= 800.0 THEN r.start ELSE r.i - 1 END,
+         CASE WHEN r.len + s.s <= 800.0 THEN r.len + s.s ELSE s.s END,
+         CASE WHEN r.len + s.s > 800.0 AND r.i - 1 - r.start >= 1 THEN r.start END,
+         CASE WHEN r.len + s.s > 800.0 AND r.i - 1 - r.start >= 1 THEN r.i - 1 END
+  FROM rec r JOIN steps s ON s.ID = r.ID AND s.i = r.i),
+pieces AS (SELECT ID, cs AS s, ce AS e FROM rec WHERE cs IS NOT NULL
+           UNION ALL SELECT ID, start, 32 FROM rec WHERE i = 33 AND 32 - start >= 1)
+SELECT ID, CAST(row_number() OVER (PARTITION BY ID ORDER BY s) - 1 AS INTEGER) AS piece,
+       CAST(s AS INTEGER) AS start_idx, CAST(e AS INTEGER) AS end_idx FROM pieces"""
+
+
+@q("polyline_split", SPLIT_SQL)
+def q_polyline_split(spark, sf):
+    return P.polyline_split(A.polylines(spark, sf), "Path", 800.0).select("ID", "piece", "start_idx", "end_idx")
+
+
+@q("segment_length", S.with_(S.POLYLINES) + f"""
+SELECT ID, round(sum({hav_sql('Path[i - 1]', 'Path[i]')}), 3) AS length_m FROM polylines, range(2, 33) t(i) GROUP BY ID""")
+def q_segment_length(spark, sf):
+    return A.polylines(spark, sf).select("ID", F.round(P.segment_length("Path"), 3).alias("length_m"))
+
+
+def _angle_sql():
+    k = f"({3.141592653589793 / 180.0!r} * {R_M!r})"
+
+    def xy(p, ref):
+        return (f"({p}[2] * cos(radians({ref})) * {k})", f"({p}[1] * {k})")
+    ref = "Path[i][1]"
+    x0, y0 = xy("Path[i - 1]", ref)
+    x1, y1 = xy("Path[i]", ref)
+    x2, y2 = xy("Path[i + 1]", ref)
+    ax, ay, bx, by = f"({x1} - {x0})", f"({y1} - {y0})", f"({x2} - {x1})", f"({y2} - {y1})"
+    na, nb = f"sqrt({ax} * {ax} + {ay} * {ay})", f"sqrt({bx} * {bx} + {by} * {by})"
+    return (f"CASE WHEN {na} > 0 AND {nb} > 0 THEN round(degrees(acos(greatest(-1.0, least(1.0, "
+            f"({ax} * {bx} + {ay} * {by}) / ({na} * {nb}))))), 4) END")
+
+
+@q("turning_angle", S.with_(S.POLYLINES) + f"""
+SELECT ID, CAST(i AS INTEGER) AS pos, {_angle_sql()} AS angle FROM polylines, range(2, 32) t(i)""")
+def q_turning_angle(spark, sf):
+    a = P.vertex_angles(A.polylines(spark, sf))
+    return a.select("ID", "pos", F.round("angle", 4).alias("angle"))
+
+
+@q("polyline_flip", S.with_(S.POLYLINES) + """
+SELECT ID, Path[1][2] AS first_a, Path[1][1] AS first_b, len(Path) AS n FROM polylines""")
+def q_polyline_flip(spark, sf):
+    f = A.polylines(spark, sf).select("ID", P.polyline_flip("Path").alias("F"))
+    return f.select("ID", F.col("F")[0][0].alias("first_a"), F.col("F")[0][1].alias("first_b"),
+                    F.size("F").cast("bigint").alias("n"))
+
+
+@q("polyline_endpoints", S.with_(S.POLYLINES) + """
+SELECT ID, Path[1][1] AS first_lat, Path[32][2] AS last_lon FROM polylines""")
+def q_polyline_endpoints(spark, sf):
+    e = P.polyline_endpoints(A.polylines(spark, sf), "Path")
+    return e.select("ID", F.col("first_point")[0].alias("first_lat"), F.col("last_point")[1].alias("last_lon"))
+
+
+def _quantised(spark, sf):
+    """Polylines snapped to a 0.01-degree grid, so that points repeat within and across lines."""
+    pl = A.polylines(spark, sf)
+    return pl.select("ID", F.transform("Path", lambda p: F.array(F.round(p[0], 2), F.round(p[1], 2))).alias("Path"))
+
+
+QUANT_SQL = S.POLYLINES + """,
+quant AS (SELECT ID, list_transform(Path, lambda p: [round(p[1], 2), round(p[2], 2)]) AS Path FROM polylines)"""
+
+
+@q("polyline_dedupe", S.with_(QUANT_SQL) + "SELECT ID, len(list_distinct(Path)) AS n_distinct FROM quant")
+def q_polyline_dedupe(spark, sf):
+    return _quantised(spark, sf).select("ID", F.size(P.polyline_dedupe("Path")).cast("bigint").alias("n_distinct"))
+
+
+@q("point_normalise", S.with_(S.POLYLINES) + """
+SELECT ID, round(Path[1][1] * 7, 6) AS lat, round(Path[1][2] * 7, 6) AS lon, CAST(0.0 AS DOUBLE) AS z FROM polylines""")
+def q_point_normalise(spark, sf):
+    p = A.polylines(spark, sf).select("ID", P.point_normalise(F.array(F.col("Path")[0][0] * 7,
+                                                                      F.col("Path")[0][1] * 7)).alias("p"))
+    return p.select("ID", F.col("p")[0].alias("lat"), F.col("p")[1].alias("lon"), F.col("p")[2].alias("z"))
+
+
+def _raw_links(spark, sf):
+    lk = A.links(spark, sf)
+    d, a = F.col("Coordinates")[0], F.col("Coordinates")[1]
+    raw = F.when(F.col("Departure_station_id") % 2 == 0, F.array(F.array(a[1], a[0]), F.array(d[1], d[0]))) \
+        .otherwise(F.array(F.array(d[1], d[0]), F.array(a[1], a[0])))
+    return lk.select("Departure_station_id", "Arrival_station_id", raw.alias("Shape"),
+                     (F.col("Departure_station_id") * 1000 + F.col("Arrival_station_id")).alias("ord"))
+
+
+ORIENT_SQL = S.with_(S.LINKS, S.STATIONS) + """,
+raw AS (SELECT l.Departure_station_id AS dep, l.Arrival_station_id AS arr,
+               CASE WHEN l.Departure_station_id % 2 = 0 THEN [[a.Geo_x, a.Geo_y], [d.Geo_x, d.Geo_y]]
+                    ELSE [[d.Geo_x, d.Geo_y], [a.Geo_x, a.Geo_y]] END AS sh, d.Geo_x AS sx, d.Geo_y AS sy
+        FROM links l LEFT JOIN stations d ON l.Departure_station_id = d.ID
+                     LEFT JOIN stations a ON l.Arrival_station_id = a.ID),
+dd AS (SELECT *, CASE WHEN sh[1] = sh[2] THEN [sh[1]] ELSE sh END AS s2 FROM raw),
+o AS (SELECT dep, arr, CASE WHEN pow(s2[len(s2)][1] - sx, 2) + pow(s2[len(s2)][2] - sy, 2)
+                               < pow(s2[1][1] - sx, 2) + pow(s2[1][2] - sy, 2)
+                            THEN list_reverse(s2) ELSE s2 END AS c FROM dd)
+SELECT dep AS Departure_station_id, arr AS Arrival_station_id, c[1][1] AS first_lat, c[1][2] AS first_lon,
+       c[len(c)][1] AS last_lat, len(c) AS n FROM o"""
+
+
+@q("polyline_orient", ORIENT_SQL)
+def q_polyline_orient(spark, sf):
+    o = P.polyline_orient(_raw_links(spark, sf), A.stations(spark, sf))
+    c = F.col("Coordinates")
+    return o.select("Departure_station_id", "Arrival_station_id", c[0][0].alias("first_lat"),
+                    c[0][1].alias("first_lon"), F.element_at(c, -1)[0].alias("last_lat"),
+                    F.size(c).cast("bigint").alias("n"))
+
+
+@q("polyline_replace_end", S.with_(S.LINKS, S.STATIONS) + """,
+c AS (SELECT l.Departure_station_id AS dep, l.Arrival_station_id AS arr, d.Nation AS dn,
+             [[d.Geo_x, d.Geo_y], [a.Geo_x, a.Geo_y]] AS sh
+      FROM links l LEFT JOIN stations d ON l.Departure_station_id = d.ID LEFT JOIN stations a ON l.Arrival_station_id = a.ID)
+SELECT dep AS Departure_station_id, arr AS Arrival_station_id,
+       CASE WHEN dn = 3 THEN CAST(51.0 AS DOUBLE) ELSE sh[1][1] END AS first_lat,
+       CASE WHEN dn = 4 THEN CAST(5.0 AS DOUBLE) ELSE sh[2][2] END AS last_lon FROM c""")
+def q_replace_end(spark, sf):
+    lk = A.links(spark, sf)
+    st = A.stations(spark, sf)
+    n = st.select(F.col("ID").alias("Departure_station_id"), "Nation")
+    corr = lk.join(n, "Departure_station_id").filter(F.col("Nation").isin(3, 4)).select(
+        "Departure_station_id", "Arrival_station_id", (F.col("Nation") == 3).alias("first"),
+        F.when(F.col("Nation") == 3, F.lit(51.0)).otherwise(F.col("Coordinates")[1][0]).alias("lat"),
+        F.when(F.col("Nation") == 3, F.col("Coordinates")[0][1]).otherwise(F.lit(5.0)).alias("lon"))
+    r = P.polyline_replace_end(lk, corr)
+    c = F.col("Coordinates")
+    return r.select("Departure_station_id", "Arrival_station_id", c[0][0].alias("first_lat"),
+                    F.element_at(c, -1)[1].alias("last_lon"))
+
+
+def _assigned(spark, sf):
+    li = A.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
+    return li.select(F.col("l_suppkey").alias("Station_ID"), F.col("l_partkey").alias("track_id"))
+
+
+ASSIGNED_SQL = "assigned AS (SELECT l_suppkey AS Station_ID, l_partkey AS track_id FROM lineitem WHERE l_returnflag = 'R')"
+
+
+@q("group_nunique_tracks", S.with_(ASSIGNED_SQL) + """
+SELECT track_id, count(DISTINCT Station_ID) AS n FROM assigned GROUP BY 1 HAVING count(DISTINCT Station_ID) > 1""")
+def q_group_nunique_tracks(spark, sf):
+    return R.group_nunique_having(_assigned(spark, sf), "track_id", "Station_ID", 1)
+
+
+@q("split_multi_station_tracks")
+def q_split_multi(spark, sf):
+    sw, tr = P.split_multi_station_tracks(A.polylines(spark, sf), _assigned(spark, sf), 800.0)
+    return tr.select("ID", "Departure_switch", "Arrival_switch", F.size("Path").alias("n_points"),
+                     F.round("Length_m", 3).alias("Length_m"))
+
+
+# ------------------------------------------------------------------ §2.10 data quality
+
+def _perturbed_links(spark, sf):
+    lk = A.links(spark, sf)
+    c = F.col("Coordinates")
+    first = F.array(c[0][0] + (F.col("Departure_station_id") % 3) * F.lit(0.001), c[0][1])
+    return lk.withColumn("Coordinates", F.array(first, c[1]))
+
+
+PERTURBED_SQL = S.LINKS + ",\n" + S.STATIONS + """,
+pl AS (SELECT l.Departure_station_id, l.Arrival_station_id,
+              d.Geo_x AS dx, d.Geo_y AS dy, a.Geo_x AS ax, a.Geo_y AS ay,
+              d.Geo_x + (l.Departure_station_id % 3) * CAST(0.001 AS DOUBLE) AS p1x, d.Geo_y AS p1y,
+              a.Geo_x AS p2x, a.Geo_y AS p2y
+       FROM links l LEFT JOIN stations d ON l.Departure_station_id = d.ID
+                    LEFT JOIN stations a ON l.Arrival_station_id = a.ID)"""
+
+
+def _close(a, b, exact):
+    return f"coalesce({a} = {b}, false)" if exact else f"coalesce(abs({a} - {b}) <= 1e-6 + 1e-5 * abs({b}), false)"
+
+
+def _flags_sql(exact):
+    def at(x, y, px, py):
+        return f"({_close(x, px, exact)} AND {_close(y, py, exact)})"
+    dep = f"({at('dx', 'dy', 'p1x', 'p1y')} OR {at('dx', 'dy', 'p2x', 'p2y')})"
+    arr = f"({at('ax', 'ay', 'p1x', 'p1y')} OR {at('ax', 'ay', 'p2x', 'p2y')})"
+    return f"flags AS (SELECT Departure_station_id, Arrival_station_id, {dep} AS dep_ok, {arr} AS arr_ok FROM pl)"
+
+
+def _check_sql(exact):
+    return (S.with_(PERTURBED_SQL, _flags_sql(exact)) +
+            "SELECT count(*) AS links, count(*) FILTER (WHERE dep_ok) AS dep_ok, count(*) FILTER (WHERE arr_ok) AS arr_ok, "
+            "count(*) FILTER (WHERE dep_ok AND arr_ok) AS both_ok FROM flags")
+
+
+@q("check_endpoints_exact", _check_sql(True))
+def q_check_exact(spark, sf):
+    return Q.check_endpoints(_perturbed_links(spark, sf), A.stations(spark, sf))
+
+
+@q("check_endpoints_close", _check_sql(False))
+def q_check_close(spark, sf):
+    return Q.check_endpoints(_perturbed_links(spark, sf), A.stations(spark, sf), atol=1e-6, rtol=1e-5)
+
+
+@q("failing_endpoints", S.with_(PERTURBED_SQL, _flags_sql(False)) + """
+SELECT Departure_station_id, Arrival_station_id FROM flags WHERE NOT (dep_ok AND arr_ok)""")
+def q_failing(spark, sf):
+    return Q.failing_endpoints(_perturbed_links(spark, sf), A.stations(spark, sf), atol=1e-6, rtol=1e-5) \
+        .select("Departure_station_id", "Arrival_station_id")
+
+
+def _known_stations(spark, sf):
+    return A.stations(spark, sf).filter(F.col("Nation") < 20)
+
+
+@q("check_station_ids", S.with_(S.LINKS, S.STATIONS) + """,
+ends AS (SELECT Departure_station_id AS station FROM links UNION SELECT Arrival_station_id FROM links)
+SELECT count(*) FILTER (WHERE station IN (SELECT ID FROM stations WHERE Nation < 20)) AS found, count(*) AS total,
+       round(100.0 * count(*) FILTER (WHERE station IN (SELECT ID FROM stations WHERE Nation < 20)) / count(*), 4) AS ratio_pct
+FROM ends""")
+def q_check_ids(spark, sf):
+    ratio, _ = Q.check_station_ids(A.links(spark, sf), _known_stations(spark, sf))
+    return ratio
+
+
+@q("missing_station_ids", S.with_(S.LINKS, S.STATIONS) + """
+SELECT station FROM (SELECT Departure_station_id AS station FROM links UNION SELECT Arrival_station_id FROM links)
+WHERE station NOT IN (SELECT ID FROM stations WHERE Nation < 20)""")
+def q_missing_ids(spark, sf):
+    _, missing = Q.check_station_ids(A.links(spark, sf), _known_stations(spark, sf))
+    return missing
+
+
+@q("correct_stations", S.with_(S.STATIONS) + """
+SELECT CAST(ID AS INTEGER) AS ID, Name, CASE WHEN Name = 'Supplier#000000001' THEN 'FIXED' ELSE 'C' || ID END AS Code
+FROM stations""")
+def q_correct_stations(spark, sf):
+    st = A.stations(spark, sf).select("ID", "Name", F.concat(F.lit("C"), F.col("ID").cast("string")).alias("Code"))
+    new = spark.createDataFrame([(-1, "Depot", None)], "ID long, Name string, Code string")
+    fixes = spark.createDataFrame([("Supplier#000000001", "FIXED")], "Name string, Code string")
+    return Q.correct_stations(st, new, fixes, "Name", "Code", "ID")
+
+
+@q("station_directory", S.with_(S.LINKS, S.STATIONS) + """
+SELECT DISTINCT e.ID, s.Name FROM (SELECT Departure_station_id AS ID FROM links UNION SELECT Arrival_station_id FROM links) e
+LEFT JOIN (SELECT ID, Name FROM stations WHERE Nation < 20) s USING (ID)""")
+def q_station_directory(spark, sf):
+    return Q.station_directory(A.links(spark, sf), _known_stations(spark, sf))
+
+
+@q("duplicate_keys", S.with_(S.STATIONS) + """
+SELECT ID, count(*) AS count FROM (SELECT ID FROM stations UNION ALL SELECT ID FROM stations WHERE Nation = 3)
+GROUP BY 1 HAVING count(*) > 1""")
+def q_duplicate_keys(spark, sf):
+    st = A.stations(spark, sf)
+    return Q.duplicate_keys(st.select("ID").unionByName(st.filter(F.col("Nation") == 3).select("ID")))

@@ -29,12 +29,12 @@ STATIONS = """stations AS (
 LINKS = LEGS + """,
 links AS (
   SELECT departure_station AS Departure_station_id, arrival_station AS Arrival_station_id,
-         round(avg(PRICE) / CAST(1000.0 AS DOUBLE), 3) AS Distance
+         max(PRICE) / CAST(1000.0 AS DOUBLE) AS Distance
   FROM legs WHERE arrival_station IS NOT NULL GROUP BY 1, 2)"""
 
 POLYLINES = """polylines AS (
   SELECT vec_id AS ID, label AS Label,
-         list_transform(range(0, 32), i -> [round(50.0 + CAST(embedding[2 * i + 1] AS DOUBLE) / 50, 6),
+         list_transform(range(0, 32), lambda i: [round(50.0 + CAST(embedding[2 * i + 1] AS DOUBLE) / 50, 6),
                                             round(4.0 + CAST(embedding[2 * i + 2] AS DOUBLE) / 50, 6)]) AS Path
   FROM embeddings)"""
 
