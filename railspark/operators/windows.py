@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railspark.functions.scalar import col_of
+from railspark.session import ensure_checkpoint_dir
 
 
 def _cols(cs) -> list[Column]:
@@ -95,6 +96,11 @@ def number_rows(df: DataFrame, order, out: str, start: int = 0, partitions: int
     tagged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    # Range bounds come from sampling, whose input order follows shuffle fetch order; the
+    # per-partition counts and the rows must see the same partitioning, so the tagged rows are
+    # written once to the (shared) checkpoint directory and both uses read that copy.
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),

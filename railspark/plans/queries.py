@@ -1036,3 +1036,228 @@ GROUP BY 1 HAVING count(*) > 1""")
 def q_duplicate_keys(spark, sf):
     st = A.stations(spark, sf)
     return Q.duplicate_keys(st.select("ID").unionByName(st.filter(F.col("Nation") == 3).select("ID")))
+
+
+# ------------------------------------------------------------------ §2.12 trips, timetables, delays
+
+TRIPS_SQL = S.LEGS + """,
+tl AS (SELECT TRAIN_NO, REAL_DATE_DEP, sumo_time AS t, SEQ, departure_station AS dep, arrival_station AS arr FROM legs),
+tk AS (SELECT TRAIN_NO, REAL_DATE_DEP, min(t) AS t0 FROM tl GROUP BY 1, 2 HAVING count(*) >= 2),
+trips AS (SELECT TRAIN_NO, REAL_DATE_DEP, t0, row_number() OVER (ORDER BY t0, TRAIN_NO, REAL_DATE_DEP) - 1 AS trip_id
+          FROM tk),
+tlegs AS (SELECT tr.trip_id, tl.*, row_number() OVER (PARTITION BY tr.trip_id ORDER BY tl.t, tl.SEQ, tl.dep, tl.arr) AS p
+          FROM tl JOIN trips tr USING (TRAIN_NO, REAL_DATE_DEP))"""
+
+
+def leg_str_sql(alias=""):
+    a = f"{alias}." if alias else ""
+    return f"coalesce(CAST({a}dep AS VARCHAR), 'null') || '-' || coalesce(CAST({a}arr AS VARCHAR), 'null') || '@' || {a}t"
+
+
+def legs_str(col="legs"):
+    return F.array_join(F.transform(col, lambda x: F.concat(
+        F.coalesce(x["dep"].cast("string"), F.lit("null")), F.lit("-"),
+        F.coalesce(x["arr"].cast("string"), F.lit("null")), F.lit("@"), x["t"].cast("string"))), " ")
+
+
+def trips_df(spark, sf):
+    return T.build_trips(A.legs(spark, sf), A.STOP_KEY, tie=("SEQ",))
+
+
+@q("build_trips", S.with_(TRIPS_SQL) + f"""
+SELECT TRAIN_NO, REAL_DATE_DEP, trip_id, string_agg({leg_str_sql()}, ' ' ORDER BY p) AS legs
+FROM tlegs GROUP BY 1, 2, 3""")
+def q_build_trips(spark, sf):
+    return trips_df(spark, sf).select("TRAIN_NO", "REAL_DATE_DEP", "trip_id", legs_str().alias("legs"))
+
+
+@q("group_change_trips", S.with_(S.LEGS) + """
+SELECT TRAIN_NO, REAL_DATE_DEP, count(*) AS n_legs FROM legs GROUP BY 1, 2 HAVING count(*) >= 2""")
+def q_group_change(spark, sf):
+    t = trips_df(spark, sf)
+    return t.select("TRAIN_NO", "REAL_DATE_DEP", F.size("legs").cast("long").alias("n_legs"))
+
+
+@q("sort_legs", S.with_(TRIPS_SQL) + "SELECT trip_id, t0 FROM trips ORDER BY t0")
+def q_sort_legs(spark, sf):
+    return trips_df(spark, sf).select("trip_id", F.col("legs")[0]["t"].alias("t0")).orderBy("t0", "trip_id")
+
+
+ALLOWED_SQL = "allowed AS (SELECT s_suppkey AS station FROM supplier WHERE s_nationkey < 12)"
+
+CLEAN_SQL = "WITH RECURSIVE " + TRIPS_SQL + ",\n" + ALLOWED_SQL + """,
+fl AS (SELECT trip_id, t, SEQ, dep, arr, row_number() OVER (PARTITION BY trip_id ORDER BY p) AS p FROM tlegs
+       WHERE dep IN (SELECT station FROM allowed) AND arr IN (SELECT station FROM allowed)),
+rec AS (SELECT trip_id, p, dep AS ld, arr AS la, true AS kept, dep, arr, t FROM fl WHERE p = 1
+        UNION ALL
+        SELECT r.trip_id, f.p,
+               CASE WHEN r.ld <> f.dep AND r.la <> f.arr AND r.la = f.dep THEN f.dep ELSE r.ld END,
+               CASE WHEN r.ld <> f.dep AND r.la <> f.arr AND r.la = f.dep THEN f.arr ELSE r.la END,
+               r.ld <> f.dep AND r.la <> f.arr AND r.la = f.dep, f.dep, f.arr, f.t
+        FROM rec r JOIN fl f ON f.trip_id = r.trip_id AND f.p = r.p + 1),
+cleaned AS (SELECT trip_id, p, dep, arr, t FROM rec WHERE kept)"""
+
+
+def cleaned_trips(spark, sf):
+    allowed = A.table(spark, sf, "supplier").filter(F.col("s_nationkey") < 12).select(F.col("s_suppkey").alias("ID"))
+    return T.clean_legs(trips_df(spark, sf), allowed, "ID")
+
+
+@q("clean_legs", CLEAN_SQL + f"""
+SELECT trip_id, string_agg({leg_str_sql()}, ' ' ORDER BY p) AS legs FROM cleaned GROUP BY 1""")
+def q_clean_legs(spark, sf):
+    return cleaned_trips(spark, sf).select("trip_id", legs_str().alias("legs"))
+
+
+@q("clean_legs_mean")
+def q_clean_legs_mean(spark, sf):
+    c = T.clean_legs(trips_df(spark, sf), None, merge="mean")
+    return c.select("trip_id", F.size("legs").alias("n_legs"), F.col("legs")[0]["t"].alias("t0"))
+
+
+@q("od_per_trip", CLEAN_SQL + """,
+ends AS (SELECT trip_id, arg_min(t, p) AS depart, arg_min(dep || '_' || arr, p) AS from_edge,
+                arg_max(dep || '_' || arr, p) AS to_edge FROM cleaned GROUP BY 1)
+SELECT 'trip_' || (row_number() OVER (ORDER BY depart, trip_id) - 1) AS id, depart, from_edge, to_edge, trip_id
+FROM ends""")
+def q_od(spark, sf):
+    return T.od_per_trip(cleaned_trips(spark, sf))
+
+
+@q("route_edges", CLEAN_SQL + """
+SELECT trip_id, CAST(arg_min(t, p) AS DOUBLE) AS depart, string_agg(dep || '_' || arr, ' ' ORDER BY p) AS edges,
+       coalesce(string_agg(CASE WHEN p > 1 THEN dep || '->' || arr END, ' ' ORDER BY p), '') AS stops
+FROM (SELECT trip_id, dep, arr, t, row_number() OVER (PARTITION BY trip_id ORDER BY p) AS p FROM cleaned) GROUP BY 1""")
+def q_route_edges(spark, sf):
+    r = T.route_edges(cleaned_trips(spark, sf))
+    return r.select("trip_id", "depart", "edges",
+                    F.array_join(F.transform("stops", lambda s: s["trainStop"]), " ").alias("stops"))
+
+
+def _subnetwork(spark, sf):
+    sn = A.stop_log_next(spark, sf).withColumnRenamed("NEXT_STOP", "NEXT_STOPPING_PLACE_ID")
+    return T.select_subnetwork(A.stations(spark, sf), A.links(spark, sf), sn, seeds(spark, sf),
+                               "1996-01-01 00:00:00", "1996-01-06 00:00:00")
+
+
+@q("select_subnetwork", S.with_(S.STOP_NEXT, SEEDS_SQL) + """
+SELECT TRAIN_NO, SEQ, PART, STOPPING_PLACE_ID FROM stop_next
+WHERE PLANNED_DATETIME_DEP BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1996-01-06 00:00:00'
+  AND (STOPPING_PLACE_ID IN (SELECT station FROM seeds) OR NEXT_STOP IN (SELECT station FROM seeds))""")
+def q_subnetwork(spark, sf):
+    return _subnetwork(spark, sf)[2].select("TRAIN_NO", "SEQ", "PART", "STOPPING_PLACE_ID")
+
+
+@q("subnetwork_stations", S.with_(S.LINKS, S.STATIONS, SEEDS_SQL) + """
+SELECT ID FROM stations WHERE ID IN (SELECT station FROM seeds)
+   OR ID IN (SELECT Arrival_station_id FROM links WHERE Departure_station_id IN (SELECT station FROM seeds))""")
+def q_subnetwork_stations(spark, sf):
+    return _subnetwork(spark, sf)[0].select("ID")
+
+
+@q("subnetwork_links", S.with_(S.LINKS, SEEDS_SQL) + """
+SELECT Departure_station_id, Arrival_station_id FROM links
+WHERE Departure_station_id IN (SELECT station FROM seeds) OR Arrival_station_id IN (SELECT station FROM seeds)""")
+def q_subnetwork_links(spark, sf):
+    return _subnetwork(spark, sf)[1].select("Departure_station_id", "Arrival_station_id")
+
+
+RELSEQ_SQL = S.STOP_LOG + """,
+s AS (SELECT o_custkey AS relation, STOPPING_PLACE_ID AS stop, TRAIN_NO, REAL_DATE_DEP, PLANNED_DATETIME_DEP, SEQ, PART
+      FROM stop_log JOIN orders ON TRAIN_NO = o_orderkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY TRAIN_NO, REAL_DATE_DEP, PLANNED_DATETIME_DEP, SEQ,
+                                                                   stop, PART) AS rn FROM s),
+f AS (SELECT relation, stop, min(rn) AS frn FROM r GROUP BY 1, 2),
+cut AS (SELECT r.relation, min(r.rn) AS c FROM r JOIN f USING (relation, stop) WHERE r.rn > f.frn GROUP BY 1),
+seq AS (SELECT f.relation, CAST(row_number() OVER (PARTITION BY f.relation ORDER BY f.frn) AS INTEGER) AS pos, f.stop
+        FROM f LEFT JOIN cut USING (relation) WHERE cut.c IS NULL OR f.frn < cut.c)"""
+
+
+def relation_stops(spark, sf):
+    sl = A.stop_log(spark, sf)
+    o = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("TRAIN_NO"), F.col("o_custkey").alias("RELATION"))
+    return sl.join(o, "TRAIN_NO")
+
+
+def relation_seq(spark, sf):
+    return T.relation_stop_sequence(relation_stops(spark, sf), "RELATION", "STOPPING_PLACE_ID",
+                                    ("TRAIN_NO", "REAL_DATE_DEP", "PLANNED_DATETIME_DEP", "SEQ", "STOPPING_PLACE_ID",
+                                     "PART"))
+
+
+@q("relation_stop_sequence", S.with_(RELSEQ_SQL) + "SELECT relation, pos, stop FROM seq")
+def q_relation_seq(spark, sf):
+    return relation_seq(spark, sf)
+
+
+@q("restrict_stop_sequence", S.with_(RELSEQ_SQL, ALLOWED_SQL) + """,
+k AS (SELECT relation, stop, CAST(row_number() OVER (PARTITION BY relation ORDER BY pos) AS INTEGER) AS pos FROM seq
+      WHERE stop IN (SELECT station FROM allowed))
+SELECT relation, pos, stop FROM k WHERE relation IN (SELECT relation FROM k GROUP BY 1 HAVING count(*) >= 2)""")
+def q_restrict_seq(spark, sf):
+    keep = A.table(spark, sf, "supplier").filter(F.col("s_nationkey") < 12).select(F.col("s_suppkey").alias("Station_ID"))
+    return T.restrict_stop_sequence(relation_seq(spark, sf), keep)
+
+
+@q("station_pair_requests", S.with_(RELSEQ_SQL) + """,
+lk AS (SELECT s.stop AS a, n.stop AS b FROM seq s JOIN seq n ON s.relation = n.relation AND n.pos = s.pos + 1),
+p AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk)
+SELECT DISTINCT a, b FROM p""")
+def q_pair_requests(spark, sf):
+    empty = spark.createDataFrame([], "Departure_station_id long, Arrival_station_id long")
+    return T.station_pair_requests(empty, relation_seq(spark, sf))
+
+
+@q("periodic_trips", """
+WITH pairs AS (SELECT n_nationkey AS src, n_regionkey AS dst, n_nationkey * 250 AS "offset" FROM nation),
+g AS (SELECT src, dst, "offset", unnest(generate_series(CAST("offset" AS BIGINT), CAST(5000 AS BIGINT), CAST(1000 AS BIGINT))) AS depart
+      FROM pairs WHERE "offset" <= 5000)
+SELECT src AS from_station, dst AS to_station, depart, row_number() OVER (ORDER BY src, dst, "offset", depart) - 1 AS trip_id
+FROM g""")
+def q_periodic(spark, sf):
+    n = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"),
+                                            (F.col("n_nationkey") * 250).alias("offset"))
+    return T.periodic_trips(n, end=10000, headway=1000, tail=5000)
+
+
+SCHED_SQL = CLEAN_SQL + """,
+routes AS (SELECT trip_id AS vehicle, arg_min(t, p) AS depart, list(dep || '_' || arr ORDER BY p) AS edges
+           FROM cleaned GROUP BY 1),
+ex AS (SELECT vehicle, depart, unnest(edges) AS edge, unnest(range(0, len(edges))) AS pos FROM routes),
+e AS (SELECT Departure_station_id || '_' || Arrival_station_id AS edge, Distance * 1000 AS len,
+             CAST(10 + Departure_station_id % 20 AS DOUBLE) AS spd FROM links),
+j AS (SELECT ex.*, CASE WHEN pos > 0 AND e.len IS NOT NULL THEN floor(e.len / least(e.spd, 25.0)) ELSE 0 END AS tr
+      FROM ex LEFT JOIN e USING (edge))
+SELECT vehicle, CAST(pos AS INTEGER) AS pos, edge,
+       depart + 60 * (pos + 1) + sum(tr) OVER (PARTITION BY vehicle ORDER BY pos
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS departure FROM j"""
+
+
+@q("schedule_propagate", SCHED_SQL.replace("WITH RECURSIVE " + S.LEGS, "WITH RECURSIVE " + S.LINKS, 1))
+def q_schedule(spark, sf):
+    c = cleaned_trips(spark, sf)
+    routes = c.select(F.col("trip_id").alias("vehicle"), F.col("legs")[0]["t"].alias("depart"),
+                      F.array_join(F.transform("legs", lambda x: F.concat_ws("_", x["dep"], x["arr"])), " ").alias("edges"))
+    lk = A.links(spark, sf)
+    edges = lk.select(F.concat_ws("_", "Departure_station_id", "Arrival_station_id").alias("id"),
+                      (F.col("Distance") * 1000).alias("length"),
+                      (F.lit(10) + F.col("Departure_station_id") % 20).cast("double").alias("speed"))
+    return T.schedule_propagate(routes, edges, vmax=25.0)
+
+
+@q("chain_delay_series", S.with_(S.STOP_NEXT, S.STATIONS) + """,
+chain AS (SELECT CAST(row_number() OVER (ORDER BY ID) AS INTEGER) AS pos, ID AS station, Name FROM stations WHERE Nation = 3),
+cl AS (SELECT c.pos, c.station AS a, n.station AS b, c.Name || ' - ' || n.Name AS link FROM chain c JOIN chain n ON n.pos = c.pos + 1)
+SELECT cl.pos AS link_pos, cl.link, strftime(s.PLANNED_DATETIME_DEP, '%Y-%m-%d') AS scheduled_arrival_time,
+       s.DELAY_ARR AS delay_arrival
+FROM stop_next s JOIN cl ON s.STOPPING_PLACE_ID = cl.a AND s.NEXT_STOP = cl.b""")
+def q_chain_delay(spark, sf):
+    from pyspark.sql import Window
+    st = A.stations(spark, sf)
+    chain = st.filter(F.col("Nation") == 3).select(F.row_number().over(Window.orderBy("ID")).alias("pos"),
+                                                   F.col("ID").alias("station"))
+    sn = A.stop_log_next(spark, sf).select(
+        F.col("STOPPING_PLACE_ID").alias("station"), F.col("NEXT_STOP").alias("next_station"),
+        F.date_format("PLANNED_DATETIME_DEP", "yyyy-MM-dd").alias("scheduled_arrival_time"),
+        F.col("DELAY_ARR").alias("delay_arrival"))
+    return T.chain_delay_series(sn, st, chain)
