@@ -842,13 +842,13 @@ def q_polyline_endpoints(spark, sf):
 
 
 def _quantised(spark, sf):
-    """Polylines snapped to a 0.01-degree grid, so that points repeat within and across lines."""
+    """Polylines snapped to a 0.0001-degree grid, so that points repeat within and across lines."""
     pl = A.polylines(spark, sf)
-    return pl.select("ID", F.transform("Path", lambda p: F.array(F.round(p[0], 2), F.round(p[1], 2))).alias("Path"))
+    return pl.select("ID", F.transform("Path", lambda p: F.array(F.round(p[0], 4), F.round(p[1], 4))).alias("Path"))
 
 
 QUANT_SQL = S.POLYLINES + """,
-quant AS (SELECT ID, list_transform(Path, lambda p: [round(p[1], 2), round(p[2], 2)]) AS Path FROM polylines)"""
+quant AS (SELECT ID, list_transform(Path, lambda p: [round(p[1], 4), round(p[2], 4)]) AS Path FROM polylines)"""
 
 
 @q("polyline_dedupe", S.with_(QUANT_SQL) + "SELECT ID, len(list_distinct(Path)) AS n_distinct FROM quant")
@@ -1261,3 +1261,192 @@ def q_chain_delay(spark, sf):
         F.date_format("PLANNED_DATETIME_DEP", "yyyy-MM-dd").alias("scheduled_arrival_time"),
         F.col("DELAY_ARR").alias("delay_arrival"))
     return T.chain_delay_series(sn, st, chain)
+
+
+# ------------------------------------------------------------------ §2.11 graphs
+
+from railspark.operators import graph as GR  # noqa: E402
+
+
+def _qgraph(spark, sf):
+    return GR.polyline_graph(_quantised(spark, sf), "Path")
+
+
+QEDGES_SQL = QUANT_SQL + """,
+qp AS (SELECT ID, i, Path[i] AS a, Path[i + 1] AS b FROM quant, range(1, 32) t(i)),
+qe AS (SELECT DISTINCT CAST(round(a[1] * 1000000) AS BIGINT) AS ulat, CAST(round(a[2] * 1000000) AS BIGINT) AS ulon,
+                       CAST(round(b[1] * 1000000) AS BIGINT) AS vlat, CAST(round(b[2] * 1000000) AS BIGINT) AS vlon
+       FROM qp WHERE a <> b),
+gedges AS (SELECT ulat, ulon, vlat, vlon FROM qe UNION SELECT vlat, vlon, ulat, ulon FROM qe)"""
+
+
+def _edge_cols(e):
+    return e.select(F.col("u.klat").alias("ulat"), F.col("u.klon").alias("ulon"), F.col("v.klat").alias("vlat"),
+                    F.col("v.klon").alias("vlon"))
+
+
+@q("polyline_graph", S.with_(QEDGES_SQL) + "SELECT * FROM gedges")
+def q_polyline_graph(spark, sf):
+    return _edge_cols(_qgraph(spark, sf)[0])
+
+
+@q("endpoint_graph", S.with_(S.POLYLINES) + """,
+ee AS (SELECT CAST(round(round(Path[1][1], 6) * 1000000) AS BIGINT) AS ulat,
+              CAST(round(round(Path[1][2], 6) * 1000000) AS BIGINT) AS ulon,
+              CAST(round(round(Path[32][1], 6) * 1000000) AS BIGINT) AS vlat,
+              CAST(round(round(Path[32][2], 6) * 1000000) AS BIGINT) AS vlon FROM polylines)
+SELECT DISTINCT * FROM (SELECT * FROM ee UNION ALL SELECT vlat, vlon, ulat, ulon FROM ee)
+WHERE (ulat, ulon) <> (vlat, vlon)""")
+def q_endpoint_graph(spark, sf):
+    return _edge_cols(GR.endpoint_graph(A.polylines(spark, sf), "Path"))
+
+
+@q("node_degree", S.with_(QEDGES_SQL) + """
+SELECT ulat, ulon, count(DISTINCT (vlat, vlon)) AS degree FROM gedges GROUP BY 1, 2""")
+def q_node_degree(spark, sf):
+    d = GR.node_degree(_qgraph(spark, sf)[0])
+    return d.select(F.col("node.klat").alias("ulat"), F.col("node.klon").alias("ulon"), "degree")
+
+
+@q("degree_histogram", S.with_(QEDGES_SQL) + """,
+deg AS (SELECT ulat, ulon, count(DISTINCT (vlat, vlon)) AS degree FROM gedges GROUP BY 1, 2),
+b AS (SELECT CASE WHEN degree > 4 THEN '>4' ELSE CAST(degree AS VARCHAR) END AS bucket, count(*) AS nodes FROM deg GROUP BY 1),
+labels AS (SELECT * FROM (VALUES ('0', 0), ('1', 1), ('2', 2), ('3', 3), ('4', 4), ('>4', 5)) t(bucket, bucket_order))
+SELECT labels.bucket, CAST(labels.bucket_order AS INTEGER) AS bucket_order, CAST(coalesce(b.nodes, 0) AS BIGINT) AS nodes,
+       round(100.0 * coalesce(b.nodes, 0) / sum(coalesce(b.nodes, 0)) OVER (), 4) AS pct
+FROM labels LEFT JOIN b USING (bucket)""")
+def q_degree_histogram(spark, sf):
+    return R.degree_histogram(GR.node_degree(_qgraph(spark, sf)[0]))
+
+
+def _node_txt(c):
+    return F.concat_ws(":", F.col(c)["klat"].cast("string"), F.col(c)["klon"].cast("string"))
+
+
+@q("contract_chains")
+def q_contract_chains(spark, sf):
+    e, n = _qgraph(spark, sf)
+    c = GR.contract_chains(e, n, 45.0)
+    return c.select(_node_txt("start").alias("start"), _node_txt("end").alias("end"), "n_edges")
+
+
+@q("pure_cycles")
+def q_pure_cycles(spark, sf):
+    e, _ = _qgraph(spark, sf)
+    return GR.pure_cycles(e).select(_node_txt("cycle").alias("cycle"), "pos", _node_txt("node").alias("node"))
+
+
+@q("simplified_graph")
+def q_simplified_graph(spark, sf):
+    e, n = _qgraph(spark, sf)
+    sw, tr = GR.simplified_graph(GR.contract_chains(e, n, 45.0), n)
+    return tr.select("ID", "Departure_switch", "Arrival_switch", "n_edges")
+
+
+@q("line_graph", S.with_(S.LINKS) + """,
+u AS (SELECT least(Departure_station_id, Arrival_station_id) AS a, greatest(Departure_station_id, Arrival_station_id) AS b,
+             min(Distance) AS length FROM links GROUP BY 1, 2)
+SELECT DISTINCT edge, node, weight FROM (
+  SELECT a || '-' || b AS edge, a AS node, length AS weight FROM u
+  UNION ALL SELECT a || '-' || b, b, length FROM u)""")
+def q_line_graph(spark, sf):
+    lk = A.links(spark, sf)
+    u = lk.groupBy(F.least("Departure_station_id", "Arrival_station_id").alias("a"),
+                   F.greatest("Departure_station_id", "Arrival_station_id").alias("b")) \
+        .agg(F.min("Distance").alias("length")).withColumn("id", F.concat_ws("-", "a", "b"))
+    return GR.line_graph(u)
+
+
+SP_SQL = S.LINKS + """,
+e AS (SELECT Departure_station_id AS src, Arrival_station_id AS dst, Distance AS w FROM links),
+srcs AS (SELECT s_suppkey AS station FROM supplier WHERE s_nationkey = 3)"""
+
+
+@q("shortest_paths", "WITH RECURSIVE " + SP_SQL + """,
+sp(source, node, cost, hops, pred) USING KEY (source, node) AS (
+  SELECT station, station, CAST(0.0 AS DOUBLE), 0, CAST(NULL AS BIGINT) FROM srcs
+  UNION
+  (SELECT c.source, c.node, c.cost, c.hops, c.pred FROM (
+     SELECT sp.source, e.dst AS node, arg_min(sp.cost + e.w, (sp.cost + e.w, sp.hops + 1, sp.node)) AS cost,
+            arg_min(sp.hops + 1, (sp.cost + e.w, sp.hops + 1, sp.node)) AS hops,
+            arg_min(sp.node, (sp.cost + e.w, sp.hops + 1, sp.node)) AS pred
+     FROM sp JOIN e ON e.src = sp.node GROUP BY 1, 2) c
+   LEFT JOIN recurring.sp cur ON cur.source = c.source AND cur.node = c.node
+   WHERE cur.node IS NULL OR (c.cost, c.hops, c.pred) < (cur.cost, cur.hops, cur.pred)))
+SELECT source, node, round(cost, 6) AS cost, CAST(hops AS INTEGER) AS hops, pred FROM sp""")
+def q_shortest_paths(spark, sf):
+    lk = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"),
+                                   F.col("Distance").alias("w"))
+    b = GR.shortest_paths(lk, seeds(spark, sf))
+    return b.select("source", "node", F.round("cost", 6).alias("cost"), "hops", "pred")
+
+
+MISSING_SQL = S.STOP_NEXT + ",\n" + S.LINKS.split(",\nlinks AS", 1)[0].split(S.STOP_NEXT, 1)[1].lstrip(",\n") + """,
+links AS (SELECT departure_station AS Departure_station_id, arrival_station AS Arrival_station_id
+          FROM legs WHERE arrival_station IS NOT NULL GROUP BY 1, 2),
+base AS (SELECT l.* FROM links l JOIN supplier d ON d.s_suppkey = l.Departure_station_id
+                                 JOIN supplier a ON a.s_suppkey = l.Arrival_station_id
+         WHERE d.s_nationkey < 20 AND a.s_nationkey < 20),
+known AS (SELECT DISTINCT Departure_station_id AS k FROM base),
+tr AS (SELECT DISTINCT lag(STOPPING_PLACE_ID) OVER (PARTITION BY TRAIN_NO, REAL_DATE_DEP
+                         ORDER BY PLANNED_DATETIME_DEP, SEQ, STOPPING_PLACE_ID, PART) AS p,
+              STOPPING_PLACE_ID AS s, NEXT_STOP AS n FROM stop_next),
+t AS (SELECT * FROM tr WHERE p IS NOT NULL AND s IS NOT NULL AND n IS NOT NULL AND p <> s AND s <> n
+        AND (p NOT IN (SELECT k FROM known) OR s NOT IN (SELECT k FROM known) OR n NOT IN (SELECT k FROM known))),
+medges AS (SELECT p AS src, s AS dst FROM t UNION SELECT s, n FROM t),
+unknown AS (SELECT p AS node FROM t WHERE p NOT IN (SELECT k FROM known)
+            UNION SELECT s FROM t WHERE s NOT IN (SELECT k FROM known)
+            UNION SELECT n FROM t WHERE n NOT IN (SELECT k FROM known))"""
+
+
+def _missing(spark, sf):
+    sn = W.prev_stop(A.stop_log_next(spark, sf), A.STOP_KEY, A.STOP_ORDER, "STOPPING_PLACE_ID", "PREV_STOP")
+    tri = sn.select(F.col("PREV_STOP").alias("prev"), F.col("STOPPING_PLACE_ID").alias("stop"),
+                    F.col("NEXT_STOP").alias("next"))
+    st = A.stations(spark, sf)
+    lk = A.links(spark, sf)
+    ok = st.filter(F.col("Nation") < 20).select("ID")
+    base = lk.join(ok.withColumnRenamed("ID", "Departure_station_id"), "Departure_station_id", "left_semi") \
+        .join(ok.withColumnRenamed("ID", "Arrival_station_id"), "Arrival_station_id", "left_semi") \
+        .select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"))
+    edges, unknown = GR.missing_graph(tri, base)
+    return base, edges, unknown
+
+
+@q("missing_graph", S.with_(MISSING_SQL) + "SELECT src, dst FROM medges")
+def q_missing_graph(spark, sf):
+    return _missing(spark, sf)[1]
+
+
+@q("missing_nodes", S.with_(MISSING_SQL) + "SELECT node FROM unknown")
+def q_missing_nodes(spark, sf):
+    return _missing(spark, sf)[2]
+
+
+ANCHOR_SQL = "WITH RECURSIVE " + MISSING_SQL + """,
+anchors AS (SELECT DISTINCT Departure_station_id AS node FROM base INTERSECT SELECT DISTINCT src FROM medges),
+bfs(node, dist, anchors) USING KEY (node) AS (
+  SELECT node, 0, [node] FROM anchors
+  UNION
+  (SELECT c.node, c.dist, c.anchors FROM (
+     SELECT e.dst AS node, min(b.dist) + 1 AS dist, list_sort(list_distinct(flatten(list(b.anchors)))) AS anchors
+     FROM bfs b JOIN medges e ON e.src = b.node GROUP BY e.dst) c
+   LEFT JOIN recurring.bfs r ON r.node = c.node WHERE r.node IS NULL))"""
+
+
+@q("closest_anchors", ANCHOR_SQL + """
+SELECT u.node, CAST(b.dist AS INTEGER) AS distance, coalesce(array_to_string(b.anchors, ','), '') AS anchors
+FROM unknown u LEFT JOIN bfs b USING (node)""")
+def q_closest_anchors(spark, sf):
+    base, edges, unknown = _missing(spark, sf)
+    r = GR.closest_anchors(base, edges, unknown)
+    return r.select("node", "distance", F.array_join("anchors", ",").alias("anchors"))
+
+
+@q("anchors_valid", ANCHOR_SQL + """
+SELECT DISTINCT a AS anchor FROM (SELECT unnest(anchors) AS a FROM bfs)
+WHERE a NOT IN (SELECT Departure_station_id FROM base)""")
+def q_anchors_valid(spark, sf):
+    base, edges, unknown = _missing(spark, sf)
+    r = GR.closest_anchors(base, edges, unknown)
+    return Q.anchors_valid(r, base.select(F.col("src").alias("node")))
