@@ -844,11 +844,11 @@ def q_polyline_endpoints(spark, sf):
 def _quantised(spark, sf):
     """Polylines snapped to a 0.0001-degree grid, so that points repeat within and across lines."""
     pl = A.polylines(spark, sf)
-    return pl.select("ID", F.transform("Path", lambda p: F.array(F.round(p[0], 4), F.round(p[1], 4))).alias("Path"))
+    return pl.select("ID", F.transform("Path", lambda p: F.array(F.floor(p[0] * 10000) / 10000, F.floor(p[1] * 10000) / 10000)).alias("Path"))
 
 
 QUANT_SQL = S.POLYLINES + """,
-quant AS (SELECT ID, list_transform(Path, lambda p: [round(p[1], 4), round(p[2], 4)]) AS Path FROM polylines)"""
+quant AS (SELECT ID, list_transform(Path, lambda p: [floor(p[1] * 10000) / 10000, floor(p[2] * 10000) / 10000]) AS Path FROM polylines)"""
 
 
 @q("polyline_dedupe", S.with_(QUANT_SQL) + "SELECT ID, len(list_distinct(Path)) AS n_distinct FROM quant")
