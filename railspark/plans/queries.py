@@ -1450,3 +1450,130 @@ def q_anchors_valid(spark, sf):
     base, edges, unknown = _missing(spark, sf)
     r = GR.closest_anchors(base, edges, unknown)
     return Q.anchors_valid(r, base.select(F.col("src").alias("node")))
+
+
+# ------------------------------------------------------------------ §2.1 sources and sinks (write -> read back)
+
+from railspark.sources import files as IO  # noqa: E402
+
+LINKS_RT_SQL = S.with_(S.LINKS, S.STATIONS) + """
+SELECT l.Departure_station_id, l.Arrival_station_id, l.Distance, d.Geo_x AS first_lat, a.Geo_y AS last_lon
+FROM links l LEFT JOIN stations d ON l.Departure_station_id = d.ID LEFT JOIN stations a ON l.Arrival_station_id = a.ID"""
+
+LINK_CSV_SCHEMA = "Departure_station_id long, Arrival_station_id long, Distance double, Coordinates string"
+
+
+def _links_roundtrip(spark, sf):
+    out = IO.scratch_path(spark, "links-csv")
+    IO.sink_csv(A.links(spark, sf), out, sep=";")
+    back = IO.scan_csv(spark, out, LINK_CSV_SCHEMA, sep=";")
+    c = F.from_json("Coordinates", "array<array<double>>")
+    return back.select("Departure_station_id", "Arrival_station_id", "Distance", c[0][0].alias("first_lat"),
+                       F.element_at(c, -1)[1].alias("last_lon"))
+
+
+q("sink_csv", LINKS_RT_SQL)(_links_roundtrip)
+q("scan_csv", LINKS_RT_SQL)(_links_roundtrip)
+
+
+@q("f_unquote_json_csv", S.with_(S.STATIONS) + "SELECT ID, Name, Geo_x FROM stations")
+def q_csv_quoted(spark, sf):
+    """CSV cells holding quoted JSON survive the write/scan round trip."""
+    st = A.stations(spark, sf).select("ID", "Name", F.to_json(F.struct("Geo_x")).alias("js"))
+    out = IO.scratch_path(spark, "stations-csv")
+    IO.sink_csv(st, out, sep=";")
+    back = IO.scan_csv(spark, out, "ID long, Name string, js string", sep=";")
+    return back.select("ID", "Name", F.from_json("js", "Geo_x double")["Geo_x"].alias("Geo_x"))
+
+
+@q("sink_xml_nodes", S.with_(S.STATIONS) + """
+SELECT CAST(ID AS VARCHAR) AS id, Geo_y AS x, Geo_x AS y, 'priority' AS type FROM stations""")
+def q_xml_nodes(spark, sf):
+    out = IO.scratch_path(spark, "nodes-xml")
+    IO.sink_xml(IO.xml_nodes(A.stations(spark, sf)), out, "nodes", "node")
+    back = IO.scan_xml(spark, out, "node", ["id", "x", "y", "type"])
+    return back.select(F.col("_id").alias("id"), F.col("_x").try_cast("double").alias("x"),
+                       F.col("_y").try_cast("double").alias("y"), F.col("_type").alias("type"))
+
+
+q("scan_xml", S.with_(S.STATIONS) + """
+SELECT CAST(ID AS VARCHAR) AS id, Geo_y AS x, Geo_x AS y, 'priority' AS type FROM stations""")(q_xml_nodes)
+
+
+@q("sink_xml_edges", S.with_(S.LINKS) + """
+SELECT Departure_station_id || '_' || Arrival_station_id AS id, CAST(Departure_station_id AS VARCHAR) AS "from",
+       CAST(Arrival_station_id AS VARCHAR) AS "to", Distance * 1000 AS length, 2 AS n_shape_points FROM links""")
+def q_xml_edges(spark, sf):
+    out = IO.scratch_path(spark, "edges-xml")
+    IO.sink_xml(IO.xml_edges(A.links(spark, sf)), out, "edges", "edge")
+    back = IO.scan_xml(spark, out, "edge", ["id", "from", "to", "length", "shape"])
+    return back.select(F.col("_id").alias("id"), F.col("_from").alias("from"), F.col("_to").alias("to"),
+                       F.col("_length").try_cast("double").alias("length"),
+                       F.size(F.split("_shape", " ")).alias("n_shape_points"))
+
+
+@q("sink_xml_platforms", S.with_(S.LINKS, S.STATIONS) + """
+SELECT l.Departure_station_id || '->' || l.Arrival_station_id AS id,
+       l.Departure_station_id || '_' || l.Arrival_station_id || '_0' AS lane, s.Name AS name,
+       '80' AS startPos, '300' AS endPos
+FROM links l LEFT JOIN stations s ON l.Arrival_station_id = s.ID""")
+def q_xml_platforms(spark, sf):
+    out = IO.scratch_path(spark, "platforms-xml")
+    IO.sink_xml(IO.xml_platforms(A.links(spark, sf), A.stations(spark, sf)), out, "additional", "trainStop")
+    back = IO.scan_xml(spark, out, "trainStop", ["id", "lane", "name", "startPos", "endPos"])
+    return back.select(*[F.col("_" + c).alias(c) for c in ("id", "lane", "name", "startPos", "endPos")])
+
+
+@q("sink_xml_trips", CLEAN_SQL + """,
+ends AS (SELECT trip_id, arg_min(t, p) AS depart, arg_min(dep || '_' || arr, p) AS from_edge,
+                arg_max(dep || '_' || arr, p) AS to_edge FROM cleaned GROUP BY 1)
+SELECT 'trip_' || (row_number() OVER (ORDER BY depart, trip_id) - 1) AS id, CAST(depart AS VARCHAR) AS depart,
+       from_edge AS "from", to_edge AS "to" FROM ends""")
+def q_xml_trips(spark, sf):
+    out = IO.scratch_path(spark, "trips-xml")
+    IO.sink_xml(IO.xml_trips(T.od_per_trip(cleaned_trips(spark, sf))), out, "routes", "trip")
+    back = IO.scan_xml(spark, out, "trip", ["id", "depart", "from", "to", "type"])
+    return back.select(F.col("_id").alias("id"), F.col("_depart").alias("depart"), F.col("_from").alias("from"),
+                       F.col("_to").alias("to"))
+
+
+@q("sink_xml_routes", CLEAN_SQL + """
+SELECT 'train_' || trip_id AS id, string_agg(dep || '_' || arr, ' ' ORDER BY p) AS edges, CAST(count(*) - 1 AS INTEGER) AS n_stops
+FROM (SELECT trip_id, dep, arr, row_number() OVER (PARTITION BY trip_id ORDER BY p) AS p FROM cleaned) GROUP BY trip_id""")
+def q_xml_routes(spark, sf):
+    out = IO.scratch_path(spark, "routes-xml")
+    IO.sink_xml(IO.xml_routes(T.route_edges(cleaned_trips(spark, sf))), out, "routes", "vehicle")
+    schema = ("_id string, _depart string, route struct<_edges:string>, "
+              "stop array<struct<_trainStop:string,_until:string,_duration:string>>")
+    back = IO.scan_xml(spark, out, "vehicle", schema=schema)
+    return back.select(F.col("_id").alias("id"), F.col("route._edges").alias("edges"),
+                       F.coalesce(F.size("stop"), F.lit(0)).alias("n_stops"))
+
+
+@q("sink_geojson", S.with_(S.POLYLINES) + """
+SELECT ID AS id, Path[1][1] AS start_lat, Path[32][2] AS end_lon, Path[1][2] AS first_x, len(Path) AS n FROM polylines""")
+def q_geojson(spark, sf):
+    out = IO.scratch_path(spark, "tracks-geojson")
+    IO.sink_geojson(A.polylines(spark, sf), out, "Path", "ID")
+    back = IO.scan_geojson(spark, out)
+    return back.select(F.col("properties.id").alias("id"), F.col("properties.start_lat").alias("start_lat"),
+                       F.col("properties.end_lon").alias("end_lon"),
+                       F.col("geometry.coordinates")[0][0].alias("first_x"),
+                       F.size("geometry.coordinates").cast("bigint").alias("n"))
+
+
+@q("base_date_from_xml", "SELECT CAST(min(ts) AS DATE) AS base_date FROM events")
+def q_base_date(spark, sf):
+    ev = A.table(spark, sf, "events")
+    days = ev.select(F.to_date("ts").alias("d")).distinct()
+    root = ev.agg(F.min(F.to_date("ts")).alias("d")).select(
+        F.lit(1).alias("k"), F.concat(F.lit('<summary begin="'), F.col("d").cast("string"), F.lit('" version="1">')).alias("value"))
+    steps = days.select(F.lit(2).alias("k"), F.concat(F.lit('  <step time="0" date="'), F.col("d").cast("string"),
+                                                      F.lit('"/>')).alias("value"))
+    head = ev.sparkSession.createDataFrame([(0, '<?xml version="1.0" encoding="UTF-8"?>'), (3, "</summary>")],
+                                           "k int, value string")
+    out = IO.scratch_path(spark, "summary-xml")
+    # the summary document is one small file (one line per simulated day)
+    head.unionByName(root).unionByName(steps).orderBy("k", "value").coalesce(1).select("value") \
+        .write.mode("overwrite").text(out)
+    return IO.base_date_from_xml(spark, out)
