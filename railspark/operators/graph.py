@@ -18,7 +18,7 @@ from railspark.operators.polyline import point_normalise
 from railspark.operators.windows import number_rows
 from railspark.session import ensure_checkpoint_dir
 
-CHECKPOINT_EVERY = 4
+CHECKPOINT_EVERY = 1
 
 
 def _cut_lineage(df: DataFrame, round_no: int) -> DataFrame:
@@ -69,6 +69,8 @@ def _rank_to_head(half: DataFrame, max_rounds: int) -> DataFrame:
     """List ranking.  ``half(h, pred, is_head)``: every half-edge points to its predecessor (NULL
     for heads).  Returns ``(h, head, dist)`` for half-edges whose pointer chain reaches a head;
     the others (cycles without a head) are dropped after ``max_rounds`` doubling rounds."""
+    ensure_checkpoint_dir(half.sparkSession)
+    half = half.checkpoint(eager=True)
     cur = half.select("h", F.when(F.col("is_head"), F.col("h")).otherwise(F.col("pred")).alias("anc"),
                       F.when(F.col("is_head"), F.lit(0)).otherwise(F.lit(1)).alias("dist"),
                       F.col("is_head").alias("done"))
@@ -161,7 +163,7 @@ def pure_cycles(edges: DataFrame) -> DataFrame:
         cur = cur.join(look, "pred", "left").select("h", F.col("_p2").alias("pred"), F.least("m", "_m2").alias("m"))
         cur = _cut_lineage(cur, r)
     mins = cur.groupBy("h").agg(F.min("m").alias("m"))
-    c = cyc.join(mins, "h")
+    c = cyc.join(mins, "h").checkpoint(eager=True)
     # break every cycle at its start half-edge (m -> smaller neighbour of m) and rank from there
     start = info.filter(~F.col("cut")).select(F.struct(F.col("node").alias("u"), F.col("n1").alias("v")).alias("h"),
                                               F.lit(True).alias("_st"))
