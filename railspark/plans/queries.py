@@ -1577,3 +1577,100 @@ def q_base_date(spark, sf):
     head.unionByName(root).unionByName(steps).orderBy("k", "value").coalesce(1).select("value") \
         .write.mode("overwrite").text(out)
     return IO.base_date_from_xml(spark, out)
+
+
+# ------------------------------------------------------------------ ETL pipelines on raw-shaped analogues
+
+from railspark.plans import etl as ETL  # noqa: E402
+
+
+def raw_operational_points(spark, sf):
+    st = A.stations(spark, sf)
+    return st.select(F.col("ID").cast("string").alias("PTCAR ID"),
+                     F.concat_ws(",", F.col("Geo_x").cast("string"), F.col("Geo_y").cast("string")).alias("Geo Point"),
+                     F.concat(F.lit("TAF"), F.col("Nation").cast("string")).alias("Code TAF/TAP"),
+                     F.lit("station").alias("Classification EN"), F.col("Name").alias("Nom symbolique"),
+                     F.col("Name").alias("Nom FR court"), F.col("Name").alias("Nom FR complet"),
+                     F.col("Name").alias("Nom NL court"), F.lit("shape").alias("Geo shape"))
+
+
+@q("etl_stations", S.with_(S.STATIONS) + """
+SELECT CAST(ID AS INTEGER) AS ID, Geo_x, Geo_y, 'TAF' || Nation AS Code_TAF_TAP, 'station' AS Classification,
+       Name AS Symbolic_name, Name AS Name_FR_short, Name AS Name_FR_full FROM stations""")
+def q_etl_stations(spark, sf):
+    return ETL.etl_stations(raw_operational_points(spark, sf))
+
+
+def raw_punctuality(spark, sf):
+    li = A.table(spark, sf, "lineitem")
+    d = F.upper(F.date_format("l_shipdate", "ddMMMyyyy"))
+    return li.select(
+        F.col("l_orderkey").cast("string").alias("TRAIN_NO"), F.col("l_suppkey").cast("string").alias("PTCAR_NO"),
+        F.col("l_quantity").cast("int").cast("string").alias("DELAY_ARR"),
+        F.when(F.col("l_returnflag") == "N", F.lit("")).otherwise(F.col("l_linenumber").cast("string")).alias("DELAY_DEP"),
+        F.concat("l_returnflag", "l_linestatus").alias("RELATION"), F.lit("").alias("TRAIN_SERV"),
+        F.col("l_linestatus").alias("RELATION_DIRECTION"), F.lit("L1").alias("LINE_NO_DEP"), F.lit("").alias("LINE_NO_ARR"),
+        F.when(F.col("l_linenumber") > 1, d).alias("PLANNED_DATE_ARR"), d.alias("PLANNED_DATE_DEP"),
+        F.when(F.col("l_linenumber") > 1, d).alias("REAL_DATE_ARR"), d.alias("REAL_DATE_DEP"),
+        F.concat(F.col("l_linenumber").cast("string"), F.lit(":05:00")).alias("PLANNED_TIME_ARR"),
+        F.concat(F.col("l_linenumber").cast("string"), F.lit(":10:00")).alias("PLANNED_TIME_DEP"),
+        F.lit("x").alias("THOP1_COD"))
+
+
+@q("etl_punctuality", """
+SELECT CAST(l_orderkey AS INTEGER) AS TRAIN_NO, l_returnflag || l_linestatus AS RELATION, CAST(NULL AS VARCHAR) AS TRAIN_SERV,
+       CAST(l_suppkey AS INTEGER) AS STOPPING_PLACE_ID, 'L1' AS LINE_NO_DEP, CAST(l_quantity AS INTEGER) AS DELAY_ARR,
+       CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_linenumber END AS DELAY_DEP, l_linestatus AS RELATION_DIRECTION,
+       CAST(NULL AS VARCHAR) AS LINE_NO_ARR,
+       CASE WHEN l_linenumber > 1 THEN CAST(l_shipdate AS DATE) END AS REAL_DATE_ARR, CAST(l_shipdate AS DATE) AS REAL_DATE_DEP,
+       CASE WHEN l_linenumber > 1 THEN strftime(l_shipdate + to_minutes(l_linenumber * 60 + 5), '%Y-%m-%d %H:%M:%S') END
+         AS PLANNED_DATETIME_ARR,
+       strftime(l_shipdate + to_minutes(l_linenumber * 60 + 10), '%Y-%m-%d %H:%M:%S') AS PLANNED_DATETIME_DEP
+FROM lineitem""")
+def q_etl_punctuality(spark, sf):
+    p = ETL.etl_punctuality(raw_punctuality(spark, sf))
+    return p.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("PLANNED_DATETIME_ARR", "PLANNED_DATETIME_DEP")})
+
+
+@q("etl_tracks", S.with_(S.LINKS, S.STATIONS) + """
+SELECT CAST(l.Departure_station_id AS INTEGER) AS Departure_station_id, CAST(l.Arrival_station_id AS INTEGER) AS Arrival_station_id,
+       d.Geo_x, d.Geo_y, round(l.Distance, 6) AS Distance, a.Geo_x AS last_lat, 2 AS n
+FROM links l LEFT JOIN stations d ON l.Departure_station_id = d.ID LEFT JOIN stations a ON l.Arrival_station_id = a.ID""")
+def q_etl_tracks(spark, sf):
+    lk = A.links(spark, sf)
+    c = F.col("Coordinates")
+    shape = F.to_json(F.struct(F.transform(c, lambda p: F.array(p[1], p[0])).alias("coordinates"),
+                               F.lit("LineString").alias("type")))
+    raw = lk.select(F.col("Departure_station_id").cast("string").alias("Gare de départ (id)"),
+                    F.col("Arrival_station_id").cast("string").alias("Gare d'arrivée (id)"),
+                    F.lit("A").alias("Gare de départ"), F.lit("B").alias("Gare d'arrivée"),
+                    F.concat_ws(",", c[0][0].cast("string"), c[0][1].cast("string")).alias("geo_point_2d"),
+                    "Distance", F.concat(F.lit('"'), F.replace(shape, F.lit('"'), F.lit('""')), F.lit('"')).alias("Geo Shape"))
+    t = ETL.etl_tracks(raw)
+    return t.select("Departure_station_id", "Arrival_station_id", "Geo_x", "Geo_y", "Distance",
+                    F.element_at("Coordinates", -1)[0].alias("last_lat"), F.size("Coordinates").alias("n"))
+
+
+@q("etl_platforms", S.with_(S.STATIONS) + """
+SELECT CAST(ID AS INTEGER) AS ID, CAST(ID AS INTEGER) AS Station_ID, Name AS Station_name,
+       CASE WHEN Nation < 5 THEN NULL ELSE 'main' END AS Platform_type, Geo_x AS X, Geo_y AS Y FROM stations""")
+def q_etl_platforms(spark, sf):
+    st = A.stations(spark, sf)
+    raw = st.select(F.col("ID").cast("string").alias("ID quai"), F.col("ID").cast("string").alias("PTCAR ID"),
+                    F.col("Name").alias("Nom du point d'arrêt"),
+                    F.when(F.col("Nation") >= 5, F.lit("main")).alias("Platform type"),
+                    F.concat_ws(",", F.col("Geo_x").cast("string"), F.col("Geo_y").cast("string")).alias("Geo Point"),
+                    F.lit("1").alias("Numéro du quai"))
+    return ETL.etl_platforms(raw)
+
+
+@q("etl_line_segments", S.with_(S.POLYLINES) + """
+SELECT CAST(ID AS VARCHAR) AS ID, Path[1][1] AS first_lat, Path[1][2] AS first_lon, len(Path) AS n FROM polylines""")
+def q_etl_segments(spark, sf):
+    pl = A.polylines(spark, sf)
+    shape = F.to_json(F.struct(F.transform("Path", lambda p: F.array(p[1], p[0], F.lit(0.0))).alias("coordinates"),
+                               F.lit("LineString").alias("type")))
+    raw = pl.select(F.col("ID").cast("string").alias("ID du segment"), shape.alias("Geo Shape"))
+    s = ETL.etl_line_segments(raw)
+    return s.select("ID", F.col("Coordinates")[0][0].alias("first_lat"), F.col("Coordinates")[0][1].alias("first_lon"),
+                    F.size("Coordinates").cast("bigint").alias("n"))
