@@ -1674,3 +1674,31 @@ def q_etl_segments(spark, sf):
     s = ETL.etl_line_segments(raw)
     return s.select("ID", F.col("Coordinates")[0][0].alias("first_lat"), F.col("Coordinates")[0][1].alias("first_lon"),
                     F.size("Coordinates").cast("bigint").alias("n"))
+
+
+@q("run_job", S.with_(S.STATIONS) + """
+SELECT CAST(ID AS INTEGER) AS ID, Geo_x, Geo_y, 'TAF' || Nation AS Code_TAF_TAP, 'station' AS Classification,
+       Name AS Symbolic_name, Name AS Name_FR_short, Name AS Name_FR_full FROM stations""")
+def q_run_job(spark, sf):
+    """The command-line job end to end: raw CSV in, cleaned Parquet out, read back."""
+    from railspark.plans.jobs import run_job
+    src, out = IO.scratch_path(spark, "raw-points"), IO.scratch_path(spark, "clean-points")
+    IO.sink_csv(raw_operational_points(spark, sf), src, sep=";")
+    run_job(spark, "stations", src, out, sep=";")
+    return spark.read.parquet(out)
+
+
+@q("stream_punctuality", """
+SELECT CAST(l_orderkey AS INTEGER) AS TRAIN_NO, CAST(l_suppkey AS INTEGER) AS STOPPING_PLACE_ID,
+       CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_linenumber END AS DELAY_DEP,
+       strftime(l_shipdate + to_minutes(l_linenumber * 60 + 10), '%Y-%m-%d %H:%M:%S') AS PLANNED_DATETIME_DEP
+FROM lineitem""")
+def q_stream_punctuality(spark, sf):
+    """Raw punctuality files consumed by the Structured Streaming job (available-now trigger)."""
+    from railspark.streaming.punctuality import stream_punctuality
+    src, out, ck = (IO.scratch_path(spark, n) for n in ("raw-punct", "clean-punct", "stream-ckpt"))
+    IO.sink_csv(raw_punctuality(spark, sf), src, sep=",")
+    stream_punctuality(spark, src, out, ck).awaitTermination()
+    p = spark.read.parquet(out)
+    return p.select("TRAIN_NO", "STOPPING_PLACE_ID", "DELAY_DEP",
+                    F.date_format("PLANNED_DATETIME_DEP", "yyyy-MM-dd HH:mm:ss").alias("PLANNED_DATETIME_DEP"))
