@@ -1702,3 +1702,92 @@ def q_stream_punctuality(spark, sf):
     p = spark.read.parquet(out)
     return p.select("TRAIN_NO", "STOPPING_PLACE_ID", "DELAY_DEP",
                     F.date_format("PLANNED_DATETIME_DEP", "yyyy-MM-dd HH:mm:ss").alias("PLANNED_DATETIME_DEP"))
+
+
+# ------------------------------------------------------------------ simulator output (card T8)
+
+from railspark.operators import simout as SO  # noqa: E402
+
+TRIPINFO_ATTRS = ["id", "tripId", "name", "depart", "arrival", "departDelay", "line", "trainNumber", "number", "from",
+                  "fromEdge", "fromTaz", "to", "toEdge", "toTaz", "departLane", "arrivalLane"]
+STOPINFO_ATTRS = ["id", "tripId", "name", "stopID", "busStop", "trainStop", "station", "stop", "started", "ended"]
+
+
+def _tripinfo(spark, sf):
+    o = A.table(spark, sf, "orders")
+    x = o.select(F.concat(F.lit("trip_"), F.col("o_orderkey").cast("string")).alias("_id"),
+                 (F.col("o_custkey") * 10).cast("string").alias("_depart"),
+                 (F.col("o_custkey") * 10 + 3600).cast("string").alias("_arrival"),
+                 F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise((F.col("o_orderkey") % 120).cast("string"))
+                 .alias("_departDelay"),
+                 F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("_line"),
+                 F.col("o_orderkey").cast("string").alias("_trainNumber"),
+                 F.concat(F.lit("E"), F.col("o_custkey").cast("string"), F.lit("_1")).alias("_departLane"),
+                 F.concat(F.lit("E"), F.col("o_orderkey").cast("string"), F.lit("_0")).alias("_arrivalLane"),
+                 F.col("o_orderkey").alias("_pos"))
+    out = IO.scratch_path(spark, "tripinfo-xml")
+    IO.sink_xml(x, out, "tripinfos", "tripinfo")
+    back = IO.scan_xml(spark, out, "tripinfo", TRIPINFO_ATTRS + ["pos"])
+    return back.withColumn("_pos", F.col("_pos").try_cast("long"))
+
+
+def _stopinfo(spark, sf):
+    li = A.table(spark, sf, "lineitem")
+    x = li.select(F.concat(F.lit("trip_"), F.col("l_orderkey").cast("string")).alias("_id"),
+                  F.concat(F.col("l_suppkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("_stopID"),
+                  (F.col("l_partkey") * 7).cast("string").alias("_started"),
+                  (F.col("l_partkey") * 7 + 60 + F.col("l_linenumber")).cast("string").alias("_ended"))
+    out = IO.scratch_path(spark, "stopinfo-xml")
+    IO.sink_xml(x, out, "stops", "stopinfo")
+    return IO.scan_xml(spark, out, "stopinfo", STOPINFO_ATTRS)
+
+
+TRIPS_T8_SQL = """trips AS (
+  SELECT 'trip_' || o_orderkey AS trip_id, CAST(o_custkey * 10 AS DOUBLE) AS real_depart,
+         CAST(o_custkey * 10 + 3600 AS DOUBLE) AS real_arrive,
+         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderkey % 120 AS DOUBLE) END AS depart_delay,
+         CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE CAST(o_orderkey AS VARCHAR) END AS train_number,
+         'E' || o_custkey || '->' || 'E' || o_orderkey AS relation, 'E' || o_orderkey AS relation_direction
+  FROM orders)"""
+
+EVENTS_T8_SQL = TRIPS_T8_SQL + """,
+ev AS (SELECT 'trip_' || l_orderkey AS trip_id, CAST(l_suppkey AS VARCHAR) AS station,
+              CAST(l_partkey * 7 AS DOUBLE) AS started, CAST(l_partkey * 7 + 60 + l_linenumber AS DOUBLE) AS ended FROM lineitem),
+events AS (SELECT ev.trip_id, ev.station, started AS realtime_arrival, ended AS realtime_departure,
+                  coalesce(t.depart_delay, 0.0) AS delay_arrival,
+                  abs(started + 30 - ended + coalesce(t.depart_delay, 0.0)) AS delay_departure,
+                  started - coalesce(t.depart_delay, 0.0) AS scheduled_arrival,
+                  ended - abs(started + 30 - ended + coalesce(t.depart_delay, 0.0)) AS scheduled_departure
+           FROM ev LEFT JOIN trips t USING (trip_id))"""
+
+
+@q("trip_times", S.with_(TRIPS_T8_SQL) + """
+SELECT trip_id, real_depart, real_arrive, depart_delay, train_number, relation,
+       real_depart - depart_delay AS scheduled_depart, real_arrive - depart_delay AS scheduled_arrive, relation_direction
+FROM trips""")
+def q_trip_times(spark, sf):
+    return SO.trip_times(_tripinfo(spark, sf))
+
+
+@q("stop_events", S.with_(EVENTS_T8_SQL) + "SELECT * FROM events")
+def q_stop_events(spark, sf):
+    return SO.stop_events(_stopinfo(spark, sf), SO.trip_times(_tripinfo(spark, sf)))
+
+
+def _t8_sql_cols():
+    b = "TIMESTAMP '2025-01-01 00:00:00'"
+    cols = ["strftime(coalesce(" + ", ".join(f"{b} + to_microseconds(CAST(round({k} * 1000000) AS BIGINT))" for k in (
+        "realtime_arrival", "realtime_departure", "scheduled_arrival", "scheduled_departure")) + "), '%Y-%m-%d') AS date",
+        "t.train_number", "e.trip_id AS train_id", "t.relation"]
+    for k in ("realtime_arrival", "realtime_departure", "scheduled_arrival", "scheduled_departure"):
+        ts = f"{b} + to_microseconds(CAST(round({k} * 1000000) AS BIGINT))"
+        cols += [f"strftime({ts}, '%H:%M:%S') AS {k}_time", f"strftime({ts}, '%Y-%m-%d') AS {k}_date"]
+    cols += ["t.relation_direction", "e.delay_departure", "e.delay_arrival", "e.station"]
+    return ", ".join(cols)
+
+
+@q("punctuality_table", S.with_(EVENTS_T8_SQL) + f"SELECT {_t8_sql_cols()} FROM events e LEFT JOIN trips t USING (trip_id)")
+def q_punctuality_table(spark, sf):
+    tt = SO.trip_times(_tripinfo(spark, sf))
+    ev = SO.stop_events(_stopinfo(spark, sf), tt)
+    return SO.punctuality_table(ev, tt, F.lit("2025-01-01 00:00:00").cast("timestamp"))
