@@ -21,6 +21,12 @@ from railspark.session import ensure_checkpoint_dir
 CHECKPOINT_EVERY = 1
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Write an input of an iterative loop once, so rounds do not recompute its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _cut_lineage(df: DataFrame, round_no: int) -> DataFrame:
     if round_no % CHECKPOINT_EVERY == 0:
         ensure_checkpoint_dir(df.sparkSession)
@@ -125,7 +131,7 @@ def contract_chains(edges: DataFrame, nodes: DataFrame, max_angle: float = 45.0,
     """
     info = _with_angles(edges, nodes)
     info = info.withColumn("cut", (F.col("degree") != 2) | F.col("angle").isNull() | (F.col("angle") > max_angle))
-    half = _half_edges(edges, info, "cut")
+    half = _materialise(_half_edges(edges, info, "cut"))
     n = half.count()
     ranked = _rank_to_head(half, _rounds(n))
     g = ranked.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("dist", F.col("h.v").alias("v")))).alias("_s"))
@@ -151,7 +157,7 @@ def pure_cycles(edges: DataFrame) -> DataFrame:
     info = edges.groupBy(F.col("u").alias("node")).agg(F.count_distinct("v").alias("degree"),
                                                        F.min("v").alias("n1"), F.max("v").alias("n2")) \
         .withColumn("cut", F.col("degree") != 2)
-    half = _half_edges(edges, info, "cut")
+    half = _materialise(_half_edges(edges, info, "cut"))
     n = half.count()
     # half-edges that reach a node of degree != 2 belong to chains, not to cycles
     on_chain = _rank_to_head(half, _rounds(n)).select("h")
@@ -216,8 +222,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
     Output ``source, node, cost, hops, pred``; ties -> fewer hops, then smaller predecessor.
     Only rows improved in a round are expanded; stops when nothing improves (or at ``max_hops``).
     """
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("_to"), F.col(weight).cast("double").alias("_w"))
-    s = sources.select(F.col(sources.columns[0]).alias("source")).distinct()
+    e = _materialise(edges.select(F.col(src).alias("node"), F.col(dst).alias("_to"),
+                                  F.col(weight).cast("double").alias("_w")))
+    s = _materialise(sources.select(F.col(sources.columns[0]).alias("source")).distinct())
     best = s.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"),
                     F.lit(None).cast(e.schema["node"].dataType).alias("pred"))
     frontier = best
@@ -239,7 +246,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
         if imp.limit(1).count() == 0:
             break
         best = best.join(imp.select("source", "node"), ["source", "node"], "left_anti").unionByName(imp)
-        best = _cut_lineage(best, r)
+        if r % 3 == 0:  # rows of `imp` are already materialised; cut the growing anti-join chain
+            best = _materialise(best)
         frontier = imp
     return best
 
@@ -282,8 +290,8 @@ def closest_anchors(base: DataFrame, graph: DataFrame, nodes: DataFrame, max_hop
     """Card G18: anchors = nodes with outgoing edges in both ``base`` and ``graph``; a multi-source
     BFS over ``graph``'s outgoing edges gives each node of ``nodes`` the sorted set of all anchors
     at minimal hop distance (empty when unreachable).  Output ``node, distance, anchors``."""
-    anchors = base.select(F.col("src").alias("node")).distinct().intersect(graph.select(F.col("src").alias("node")))
-    e = graph.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct()
+    e = _materialise(graph.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
+    anchors = base.select(F.col("src").alias("node")).distinct().intersect(e.select("node"))
     reached = anchors.select("node", F.col("node").alias("anchor"), F.lit(0).alias("dist"))
     frontier = reached
     level = 0
@@ -294,7 +302,9 @@ def closest_anchors(base: DataFrame, graph: DataFrame, nodes: DataFrame, max_hop
         nxt = nxt.checkpoint(eager=True)
         if nxt.limit(1).count() == 0:
             break
-        reached = _cut_lineage(reached.unionByName(nxt), level)
+        reached = reached.unionByName(nxt)
+        if level % 3 == 0:
+            reached = _materialise(reached)
         frontier = nxt
     per = reached.groupBy("node").agg(F.min("dist").alias("distance"),
                                       F.array_sort(F.collect_set("anchor")).alias("anchors"))
