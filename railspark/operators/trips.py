@@ -8,12 +8,15 @@ long format and use partial aggregation instead of per-group arrays.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railspark.functions.scalar import col_of, seconds_since
 from railspark.operators.relational import neighbour_expand, small_or_none
 from railspark.operators.windows import number_rows, _cols
+from railspark.session import ensure_checkpoint_dir
 
 LEG = "struct<t:bigint,dep:bigint,arr:bigint>"
 
@@ -265,3 +268,72 @@ def chain_delay_series(df: DataFrame, stations: DataFrame, chain: DataFrame, sta
     lab = F.broadcast(small) if small is not None else lab
     j = df.join(lab, (F.col(station) == F.col("_a")) & (F.col(next_col) == F.col("_b")))
     return j.select(F.col("pos").alias("link_pos"), "link", F.col(time), F.col(value)).drop("_a", "_b")
+
+
+# ------------------------------------------------------------------ long-format trips (no per-trip arrays)
+
+
+def trip_legs(legs_df: DataFrame, key=("TRAIN_NO", "REAL_DATE_DEP"), tie=(), min_legs: int = 2) -> DataFrame:
+    """Long-format ``build_trips``: one row per leg with ``trip_id`` and a total order ``ord``.
+
+    Leg counts and first leg times per trip come from partial aggregations, so a train-day
+    holding a large share of all legs never has to fit one task.  Output:
+    ``key..., trip_id, ord struct<t, tie..., dep, arr>, t, dep, arr``.
+    """
+    ord_ = F.struct(F.col("sumo_time").cast("long").alias("t"), *[F.col(c) for c in tie],
+                    F.col("departure_station").cast("long").alias("dep"),
+                    F.col("arrival_station").cast("long").alias("arr"))
+    lg = legs_df.select(*key, ord_.alias("ord"))
+    per = lg.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("ord.t").alias("_t0")) \
+        .filter(F.col("_n") >= min_legs)
+    ids = number_rows(per, ["_t0", *key], "trip_id").select(*key, "trip_id")
+    j = lg.join(ids, list(key))
+    return j.select(*key, "trip_id", "ord", F.col("ord.t").alias("t"), F.col("ord.dep").alias("dep"),
+                    F.col("ord.arr").alias("arr"))
+
+
+def clean_legs_long(legs: DataFrame, allowed: DataFrame | None = None, station: str = "ID",
+                    trip: str = "trip_id") -> DataFrame:
+    """Card T3 fold, distributed and exact for trips of any length (long format in and out).
+
+    After step 1 (NULL ends / ends outside ``allowed`` dropped), the kept legs are the first leg
+    and its chain of successors, where succ(y) is the first later leg x with ``x.dep = y.arr`` and
+    ``x.dep != x.arr`` (defined only when ``y.dep != y.arr``) - the same legs the left fold keeps.
+    succ comes from an as-of lookup per (trip, station); the chain from the first leg is marked
+    with pointer doubling: jump tables J_k = succ^(2^k), then marked |= J_k(marked) for k = K..0.
+    """
+    lg = legs.filter(F.col("dep").isNotNull() & F.col("arr").isNotNull())
+    if allowed is not None:
+        ids = allowed.select(F.col(station).cast("long").alias("_sid")).distinct()
+        small = small_or_none(ids, 1_000_000)
+        ids = F.broadcast(small) if small is not None else ids
+        lg = (lg.join(ids.withColumnRenamed("_sid", "dep"), "dep", "left_semi")
+              .join(ids.withColumnRenamed("_sid", "arr"), "arr", "left_semi"))
+    lg = _ckpt(lg)
+    # as-of successor: queries at y.arr, candidates at x.dep (non-self-loop x), per (trip, station)
+    qy = lg.filter(F.col("dep") != F.col("arr")).select(trip, F.col("arr").alias("_st"), "ord",
+                                                      F.lit(0).alias("_kind"))
+    cx = lg.filter(F.col("dep") != F.col("arr")).select(trip, F.col("dep").alias("_st"), "ord",
+                                                      F.lit(1).alias("_kind"))
+    w = Window.partitionBy(trip, "_st").orderBy("ord", "_kind").rowsBetween(1, Window.unboundedFollowing)
+    u = qy.unionByName(cx).withColumn("_next", F.first(F.when(F.col("_kind") == 1, F.col("ord")), ignorenulls=True)
+                                      .over(w))
+    jump = _ckpt(u.filter((F.col("_kind") == 0) & F.col("_next").isNotNull()).select(trip, "ord", F.col("_next").alias("nxt")))
+    n_max = lg.groupBy(trip).count().agg(F.max("count")).first()[0] or 1
+    levels = [jump]
+    for _ in range(max(1, math.ceil(math.log2(max(n_max, 2))))):
+        j = levels[-1]
+        j2 = j.join(j.select(trip, F.col("ord").alias("nxt"), F.col("nxt").alias("_n2")), [trip, "nxt"]) \
+            .select(trip, "ord", F.col("_n2").alias("nxt"))
+        levels.append(_ckpt(j2))
+    heads = lg.groupBy(trip).agg(F.min("ord").alias("ord"))
+    marked = heads
+    for j in reversed(levels):
+        marked = _ckpt(marked.unionByName(marked.join(j, [trip, "ord"]).select(trip, F.col("nxt").alias("ord")))
+                       .distinct())
+    return lg.join(marked, [trip, "ord"], "left_semi")
+
+
+def _ckpt(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

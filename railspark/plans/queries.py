@@ -1791,3 +1791,20 @@ def q_punctuality_table(spark, sf):
     tt = SO.trip_times(_tripinfo(spark, sf))
     ev = SO.stop_events(_stopinfo(spark, sf), tt)
     return SO.punctuality_table(ev, tt, F.lit("2025-01-01 00:00:00").cast("timestamp"))
+
+
+# ------------------------------------------------------------------ long-format trips (hot train-days split over tasks)
+
+def trip_legs_df(spark, sf):
+    return T.trip_legs(A.legs(spark, sf), A.STOP_KEY, tie=("SEQ",))
+
+
+@q("trip_legs", S.with_(TRIPS_SQL) + "SELECT trip_id, t, SEQ, dep, arr FROM tlegs")
+def q_trip_legs(spark, sf):
+    return trip_legs_df(spark, sf).select("trip_id", "t", F.col("ord.SEQ").alias("SEQ"), "dep", "arr")
+
+
+@q("clean_legs_long", CLEAN_SQL + "\nSELECT trip_id, t, dep, arr FROM cleaned")
+def q_clean_legs_long(spark, sf):
+    allowed = A.table(spark, sf, "supplier").filter(F.col("s_nationkey") < 12).select(F.col("s_suppkey").alias("ID"))
+    return T.clean_legs_long(trip_legs_df(spark, sf), allowed).select("trip_id", "t", "dep", "arr")

@@ -62,3 +62,21 @@ def test_periodic_trips_and_schedule(spark):
                                   "id string, length double, speed double")
     s = [r.departure for r in T.schedule_propagate(routes, edges, vmax=20.0).orderBy("pos").collect()]
     assert s == [160.0, 320.0, 380.0, 490.0]
+
+
+def test_clean_legs_long_matches_fold(spark):
+    import random
+    rnd = random.Random(9)
+    rows = []
+    for train in range(40):
+        for i in range(rnd.randint(1, 14)):
+            dep = rnd.choice([1, 2, 3, 4, None]) if rnd.random() < 0.95 else None
+            rows.append((train, "d", dep, rnd.choice([1, 2, 3, 4, 5]), i * 10))
+    legs = spark.createDataFrame(rows, LEG_SCHEMA)
+    allowed = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "ID long")
+    arrays = {r.TRAIN_NO: [(x.t, x.dep, x.arr) for x in r.legs]
+              for r in T.clean_legs(T.build_trips(legs, min_legs=2), allowed).collect()}
+    long = {}
+    for r in T.clean_legs_long(T.trip_legs(legs, min_legs=2), allowed).collect():
+        long.setdefault(r.TRAIN_NO, []).append((r.t, r.dep, r.arr))
+    assert {k: sorted(v) for k, v in long.items()} == {k: sorted(v) for k, v in arrays.items()}
