@@ -129,8 +129,24 @@ def rank_neighbours(edges: DataFrame, node: str = "src", neighbour: str = "dst",
     return edges.withColumn(out, F.row_number().over(Window.partitionBy(node).orderBy(o, F.col(neighbour))))
 
 
-def running_sum(df: DataFrame, key, order, value, out: str) -> DataFrame:
-    """Prefix sum of ``value`` along ``order`` inside ``key`` (rows frame, current row included)."""
-    w = (Window.partitionBy(*_cols(key)).orderBy(*_cols(order))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(out, F.sum(col_of(value)).over(w))
+def running_sum(df: DataFrame, key, order, value, out: str, bucket=None) -> DataFrame:
+    """Prefix sum of ``value`` along ``order`` inside ``key`` (rows frame, current row included).
+
+    With ``bucket`` (non-decreasing along ``order``) the prefix runs per (key, bucket) and each
+    bucket adds the total of the earlier buckets of its key from a per-bucket table, so a hot
+    key is spread over as many tasks as it has buckets.
+    """
+    keys, orders = _cols(key), _cols(order)
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum(col_of(value)).over(w))
+    key_names = [f"_k{i}" for i in range(len(keys))]
+    base = df.withColumns({**{n: c for n, c in zip(key_names, keys)}, "_b": col_of(bucket), "_v": col_of(value)})
+    w = Window.partitionBy(*key_names, "_b").orderBy(*orders).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = base.withColumn("_in", F.sum("_v").over(w))
+    tot = base.groupBy(*key_names, "_b").agg(F.sum("_v").alias("_t"))
+    wb = Window.partitionBy(*key_names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_off", F.sum("_t").over(wb)).select(*key_names, "_b", "_off")
+    res = base.join(off, [*key_names, "_b"], "left")
+    return res.withColumn(out, F.coalesce(F.col("_off") + F.col("_in"), F.col("_in"))) \
+        .drop(*key_names, "_b", "_v", "_in", "_off")

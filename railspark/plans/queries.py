@@ -691,7 +691,8 @@ SELECT TRAIN_NO, SEQ, PART, STOPPING_PLACE_ID,
                                  STOPPING_PLACE_ID, PART ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_delay
 FROM stop_log""")
 def q_running(spark, sf):
-    return W.running_sum(A.stop_log(spark, sf), A.STOP_KEY, A.STOP_ORDER, "DELAY_ARR", "cum_delay") \
+    return W.running_sum(A.stop_log(spark, sf), A.STOP_KEY, A.STOP_ORDER, "DELAY_ARR", "cum_delay",
+                         bucket=F.date_trunc("month", "PLANNED_DATETIME_DEP")) \
         .select("TRAIN_NO", "SEQ", "PART", "STOPPING_PLACE_ID", "cum_delay")
 
 

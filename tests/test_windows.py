@@ -33,3 +33,12 @@ def test_head_per_group_and_running_sum(spark):
     assert W.head_per_group(df, "k", "o", 2).count() == 3
     rs = {(r.k, r.o): r.s for r in W.running_sum(df, "k", "o", "v", "s").collect()}
     assert rs[(1, 4)] == 10 and rs[(2, 0)] == 10
+
+
+def test_bucketed_running_sum_equals_plain(spark):
+    import random
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(rnd.randint(1, 4), i, rnd.randint(-5, 9)) for i in range(300)], "k int, o int, v int")
+    plain = {(r.k, r.o): r.s for r in W.running_sum(df, "k", "o", "v", "s").collect()}
+    buck = {(r.k, r.o): r.s for r in W.running_sum(df, "k", "o", "v", "s", bucket=F.floor(F.col("o") / 23)).collect()}
+    assert plain == buck
