@@ -253,7 +253,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
 
 
 def path_of(best: DataFrame, max_len: int) -> DataFrame:
-    """Reconstruct node paths from a predecessor table (``shortest_paths`` output) by doubling."""
+    """Reconstruct node paths from a predecessor table (``shortest_paths`` output), one hop per round."""
     cur = best.select("source", "node", F.array("node").alias("path"), F.col("pred").alias("_at"))
     look = best.select("source", F.col("node").alias("_at"), F.col("pred").alias("_p"))
     for r in range(max_len):
@@ -310,3 +310,17 @@ def closest_anchors(base: DataFrame, graph: DataFrame, nodes: DataFrame, max_hop
                                       F.array_sort(F.collect_set("anchor")).alias("anchors"))
     n = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     return n.join(per, "node", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<bigint>")))
+
+
+def shortest_path_pairs(edges: DataFrame, requests: DataFrame, max_hops: int | None = None,
+                        src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
+    """Card G17 for requested pairs ``requests(a, b)``: cost, hops and node path of the best path.
+
+    Sources are the distinct ``a``; a = b gives ``([a], 0)``; unreachable pairs are absent."""
+    req = requests.select(F.col(requests.columns[0]).alias("source"), F.col(requests.columns[1]).alias("node")).distinct()
+    best = shortest_paths(edges, req.select("source"), max_hops, src, dst, weight)
+    best = _materialise(best)
+    longest = best.agg(F.max("hops")).first()[0] or 0
+    paths = path_of(best, longest + 1)
+    return (req.join(best, ["source", "node"]).join(paths, ["source", "node"])
+            .select(F.col("source").alias("a"), F.col("node").alias("b"), "cost", "hops", "path"))

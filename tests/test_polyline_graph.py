@@ -163,3 +163,11 @@ def test_closest_anchors_cases(spark):
     assert got[11] == (2, [1, 2, 5])
     assert got[12] == (1, [5])
     assert got[31] == (None, [])            # unreachable
+
+
+def test_shortest_path_pairs_cases(spark):
+    # detour cheaper than the direct edge, source = target, unreachable pair
+    edges = spark.createDataFrame([(1, 2, 10.0), (1, 3, 2.0), (3, 2, 3.0), (2, 4, 1.0)], "src long, dst long, w double")
+    req = spark.createDataFrame([(1, 2), (1, 1), (4, 1), (1, 4)], "a long, b long")
+    got = {(r.a, r.b): (r.cost, r.hops, list(r.path)) for r in GR.shortest_path_pairs(edges, req).collect()}
+    assert got == {(1, 2): (5.0, 2, [1, 3, 2]), (1, 1): (0.0, 0, [1]), (1, 4): (6.0, 3, [1, 3, 2, 4])}

@@ -80,3 +80,30 @@ def test_clean_legs_long_matches_fold(spark):
     for r in T.clean_legs_long(T.trip_legs(legs, min_legs=2), allowed).collect():
         long.setdefault(r.TRAIN_NO, []).append((r.t, r.dep, r.arr))
     assert {k: sorted(v) for k, v in long.items()} == {k: sorted(v) for k, v in arrays.items()}
+
+
+def test_simulator_output_cases(spark):
+    from railspark.operators import simout as SO
+    trips = spark.createDataFrame([
+        ("t1", None, None, "100", "400", "20", "IC1", None, None, "a", None, None, "b", None, None, None, None, 0),
+        ("t1", None, None, "110", "410", "30", "IC1", None, None, "a", None, None, "b", None, None, None, None, 1),
+        (None, None, "t2", "", "500", "x", None, None, None, None, None, None, None, None, None, "e1_0", "e2_3", 2)],
+        ", ".join(f"_{c} string" for c in ["id", "tripId", "name", "depart", "arrival", "departDelay", "line",
+                                          "trainNumber", "number", "from", "fromEdge", "fromTaz", "to", "toEdge",
+                                          "toTaz", "departLane", "arrivalLane"]) + ", _pos int")
+    tt = {r.trip_id: r for r in SO.trip_times(trips).collect()}
+    assert tt["t1"].real_depart == 110.0 and tt["t1"].scheduled_depart == 80.0   # duplicate id: last wins
+    assert tt["t1"].relation == "a->b" and tt["t1"].relation_direction == "b"
+    assert tt["t2"].real_depart is None and tt["t2"].depart_delay is None and tt["t2"].relation == "e1->e2"
+    stops = spark.createDataFrame([("t1", "S1_0", "200", "260"), ("t9", "S2", "100", "130"), ("t2", "S3_1", "50", "90")],
+                                  "_id string, _stopID string, _started string, _ended string") \
+        .withColumns({c: __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("string")
+                      for c in ["_tripId", "_name", "_busStop", "_trainStop", "_station", "_stop"]})
+    ev = {r.trip_id: r for r in SO.stop_events(stops, SO.trip_times(trips)).collect()}
+    assert (ev["t1"].station, ev["t1"].delay_arrival, ev["t1"].delay_departure) == ("S1", 30.0, 0.0)
+    assert ev["t9"].delay_arrival == 0.0 and ev["t9"].scheduled_arrival == 100.0     # unknown trip
+    assert ev["t2"].delay_arrival == 0.0                                              # delay missing
+    table = SO.punctuality_table(SO.stop_events(stops, SO.trip_times(trips)), SO.trip_times(trips),
+                                 F.lit("2025-01-01 23:59:00").cast("timestamp")).collect()
+    r = [x for x in table if x.train_id == "t1"][0]
+    assert (r.date, r.realtime_arrival_time, r.realtime_departure_date) == ("2025-01-02", "00:02:20", "2025-01-02")
