@@ -55,11 +55,14 @@ def polyline_graph(df: DataFrame, path: str = "Coordinates") -> tuple[DataFrame,
     return edges, nodes
 
 
-def endpoint_graph(df: DataFrame, path: str = "Path") -> DataFrame:
-    """Undirected edges between the first and last normalised point of every polyline."""
+def endpoint_graph(df: DataFrame, path: str = "Path", drop_loops: bool = False) -> DataFrame:
+    """Undirected edges between the first and last normalised point of every polyline.
+
+    A closed polyline links its end node to itself (counted in its degree), as in the reference."""
     e = df.filter(F.size(path) >= 2).select(point_key(point_normalise(F.col(path)[0])).alias("u"),
-                                            point_key(point_normalise(F.element_at(path, -1))).alias("v")) \
-        .filter(F.col("u") != F.col("v"))
+                                            point_key(point_normalise(F.element_at(path, -1))).alias("v"))
+    if drop_loops:
+        e = e.filter(F.col("u") != F.col("v"))
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 

@@ -81,18 +81,21 @@ def found_ratio(keys: DataFrame, ref: DataFrame, left: str, right: str) -> DataF
 
 def undirected_pair_join(edges: DataFrame, tracks: DataFrame, edge_id: str = "id", e_from: str = "from",
                          e_to: str = "to", e_order: str = "ord", track_id: str = "track_id",
-                         t_a: str = "a", t_b: str = "b", t_order: str = "ord") -> DataFrame:
+                         t_a: str = "a", t_b: str = "b", t_order: str = "ord", t_length: str | None = None) -> DataFrame:
     """Card J4: for each edge the first track (input order) joining the same two nodes in either
-    direction; from/to are the track's own start/end.  Duplicate edge ids: last wins."""
-    e = last_wins(edges.select(edge_id, e_from, e_to, F.col(e_order).alias("_eo")), edge_id, "_eo")
-    e = e.withColumns({"_lo": F.least(e_from, e_to), "_hi": F.greatest(e_from, e_to)})
+    direction; from/to are the track's own start/end, length its length rounded to 6 decimals.
+    Duplicate edge ids: the last edge row (input order) that matched a track wins."""
+    e = edges.select(F.col(edge_id), F.col(e_order).alias("_eo"),
+                     F.least(e_from, e_to).alias("_lo"), F.greatest(e_from, e_to).alias("_hi"))
+    length = F.round(F.col(t_length).cast("double"), 6) if t_length else F.lit(None).cast("double")
     t = tracks.select(F.col(track_id).alias("_tid"), F.col(t_a).alias("_ta"), F.col(t_b).alias("_tb"),
-                      F.col(t_order).alias("_to"),
+                      F.col(t_order).alias("_to"), length.alias("_len"),
                       F.least(t_a, t_b).alias("_lo"), F.greatest(t_a, t_b).alias("_hi"))
     j = e.join(t, ["_lo", "_hi"])
-    best = j.groupBy(edge_id).agg(F.min_by(F.struct("_tid", "_ta", "_tb"), "_to").alias("_m"))
+    per_row = j.groupBy(edge_id, "_eo").agg(F.min_by(F.struct("_tid", "_ta", "_tb", "_len"), "_to").alias("_m"))
+    best = per_row.groupBy(edge_id).agg(F.max_by("_m", "_eo").alias("_m"))
     return best.select(edge_id, F.col("_m._tid").alias("track_id"), F.col("_m._ta").alias("from"),
-                       F.col("_m._tb").alias("to"))
+                       F.col("_m._tb").alias("to"), F.col("_m._len").alias("length"))
 
 
 def array_membership_join(station_tracks: DataFrame, edges: DataFrame, station: str = "Station_ID",

@@ -436,7 +436,7 @@ def _edge_table(lk):
 def _track_table(lk):
     t = lk.select(F.col("Departure_station_id").alias("a"), F.col("Arrival_station_id").alias("b"),
                   "Distance")
-    return t.select(F.concat_ws("-", "a", "b").alias("track_id"), "a", "b",
+    return t.select(F.concat_ws("-", "a", "b").alias("track_id"), "a", "b", "Distance",
                     F.struct(F.col("Distance"), F.col("a"), F.col("b")).alias("ord"))
 
 
@@ -445,7 +445,7 @@ edges AS (SELECT Departure_station_id || '_' || Arrival_station_id AS id, Depart
                  Arrival_station_id AS t FROM links),
 tracks AS (SELECT Departure_station_id || '-' || Arrival_station_id AS track_id, Departure_station_id AS a,
                   Arrival_station_id AS b, Distance FROM links)
-SELECT e.id, tr.track_id, tr.a AS "from", tr.b AS "to"
+SELECT e.id, tr.track_id, tr.a AS "from", tr.b AS "to", round(tr.Distance, 6) AS length
 FROM edges e JOIN tracks tr ON least(e.f, e.t) = least(tr.a, tr.b) AND greatest(e.f, e.t) = greatest(tr.a, tr.b)
 QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY tr.Distance, tr.a, tr.b) = 1"""
 
@@ -453,7 +453,7 @@ QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY tr.Distance, tr.a, tr.b) =
 @q("undirected_pair_join", UNDIRECTED_SQL)
 def q_undirected(spark, sf):
     lk = A.links(spark, sf)
-    return R.undirected_pair_join(_edge_table(lk), _track_table(lk))
+    return R.undirected_pair_join(_edge_table(lk), _track_table(lk), t_length="Distance")
 
 
 @q("array_membership_join", S.with_(S.LINKS) + """,
@@ -1296,8 +1296,7 @@ ee AS (SELECT CAST(round(round(Path[1][1], 6) * 1000000) AS BIGINT) AS ulat,
               CAST(round(round(Path[1][2], 6) * 1000000) AS BIGINT) AS ulon,
               CAST(round(round(Path[32][1], 6) * 1000000) AS BIGINT) AS vlat,
               CAST(round(round(Path[32][2], 6) * 1000000) AS BIGINT) AS vlon FROM polylines)
-SELECT DISTINCT * FROM (SELECT * FROM ee UNION ALL SELECT vlat, vlon, ulat, ulon FROM ee)
-WHERE (ulat, ulon) <> (vlat, vlon)""")
+SELECT DISTINCT * FROM (SELECT * FROM ee UNION ALL SELECT vlat, vlon, ulat, ulon FROM ee)""")
 def q_endpoint_graph(spark, sf):
     return _edge_cols(GR.endpoint_graph(A.polylines(spark, sf), "Path"))
 

@@ -11,13 +11,15 @@ def test_profile_and_duplicates(spark):
 
 
 def test_undirected_pair_join_cases(spark):
-    edges = spark.createDataFrame([("e1", 1, 2, 0), ("e2", 3, 2, 1), ("e3", 5, 6, 2), ("e1", 2, 1, 3)],
-                                  "id string, from long, to long, ord int")
-    tracks = spark.createDataFrame([("t1", 1, 2, 5), ("t0", 2, 1, 1), ("t2", 2, 3, 0)],
-                                   "track_id string, a long, b long, ord int")
-    got = {r.id: (r.track_id, r["from"], r["to"]) for r in R.undirected_pair_join(edges, tracks).collect()}
-    # forward/backward match, first track in input order wins, from/to are the track's own ends
-    assert got == {"e1": ("t0", 2, 1), "e2": ("t2", 2, 3)}
+    edges = spark.createDataFrame([("e1", 1, 2, 0), ("e2", 3, 2, 1), ("e3", 5, 6, 2), ("e1", 2, 1, 3),
+                                   ("e2", 8, 9, 4)], "id string, from long, to long, ord int")
+    tracks = spark.createDataFrame([("t1", 1, 2, 5, 10.1234567), ("t0", 2, 1, 1, 7.0), ("t2", 2, 3, 0, 3.0)],
+                                   "track_id string, a long, b long, ord int, len double")
+    got = {r.id: (r.track_id, r["from"], r["to"], r.length)
+           for r in R.undirected_pair_join(edges, tracks, t_length="len").collect()}
+    # forward/backward match, first track in input order wins, from/to are the track's own ends;
+    # a later duplicate edge id that matches nothing does not replace an earlier match
+    assert got == {"e1": ("t0", 2, 1, 7.0), "e2": ("t2", 2, 3, 3.0)}
 
 
 def test_neighbour_expand_and_degree_histogram(spark):
