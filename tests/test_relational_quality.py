@@ -29,3 +29,33 @@ def test_neighbour_expand_and_degree_histogram(spark):
     deg = R.node_degree(e)
     h = {r.bucket: r.nodes for r in R.degree_histogram(deg).collect()}
     assert h == {"0": 0, "1": 2, "2": 2, "3": 0, "4": 0, ">4": 0}
+
+
+def test_check_endpoints_cases(spark):
+    st = spark.createDataFrame([(1, 50.0, 4.0), (2, 51.0, 5.0), (3, 52.0, 6.0)], "ID long, Geo_x double, Geo_y double")
+    links = spark.createDataFrame([
+        (1, 2, [[50.0, 4.0], [51.0, 5.0]]),            # exact
+        (2, 3, [[51.0000004, 5.0], [52.0, 6.0]]),      # within tolerance only
+        (1, 3, [[50.01, 4.0], [52.0, 6.0]]),           # outside
+        (1, 9, [[50.0, 4.0], [53.0, 7.0]])],           # missing arrival station
+        "Departure_station_id long, Arrival_station_id long, Coordinates array<array<double>>")
+    exact = Q.check_endpoints(links, st).first()
+    close = Q.check_endpoints(links, st, atol=1e-6, rtol=1e-5).first()
+    assert (exact.links, exact.dep_ok, exact.arr_ok, exact.both_ok) == (4, 2, 3, 1)
+    assert (close.dep_ok, close.arr_ok, close.both_ok) == (3, 3, 2)
+    ratio, missing = Q.check_station_ids(links, st)
+    r = ratio.first()
+    assert (r.found, r.total) == (3, 4) and [m.station for m in missing.collect()] == [9]
+
+
+def test_next_stop_edge_cases(spark):
+    from pyspark.sql import functions as F
+    from railspark.operators.windows import next_stop
+    rows = [(1, "d", 10, 1, 100), (1, "d", 10, 2, 101), (1, "d", 20, 1, 102),   # tie in time -> tie-break column
+            (2, "d", 5, 1, 200),                                               # one-stop train
+            (3, None, 7, 1, 300), (3, "d", None, 1, 301), (3, "d", 9, 1, 302)]  # null date, null time
+    df = spark.createDataFrame(rows, "TRAIN_NO int, D string, T int, SEQ int, STOP int")
+    got = {r.STOP: r.NEXT for r in next_stop(df, ["TRAIN_NO", "D"], ["T", "SEQ"], "STOP", "NEXT").collect()}
+    assert got[100] == 101 and got[101] == 102 and got[102] is None
+    assert got[200] is None and got[300] is None
+    assert got[301] == 302 and got[302] is None   # NULL time sorts first (Spark ascending)
