@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from railspark.plans import etl as ETL
 from railspark.session import ensure_checkpoint_dir, tune
@@ -26,7 +27,9 @@ def run_job(spark: SparkSession, job: str, src: str, out: str, sep: str = ";", d
     if csv:
         sink_csv(df, out, sep=sep)
     elif job == "punctuality":
-        df.write.mode("overwrite").partitionBy("REAL_DATE_DEP").parquet(out)
+        # one folder per service month: date filters prune whole folders at scan time
+        df.withColumn("service_month", F.trunc("REAL_DATE_DEP", "month")) \
+            .write.mode("overwrite").partitionBy("service_month").parquet(out)
     else:
         df.write.mode("overwrite").parquet(out)
 

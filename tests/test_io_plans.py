@@ -66,3 +66,12 @@ def test_every_query_has_oracle_or_is_listed():
                          "pure_cycles", "simplified_graph", "trip_times", "stop_events", "punctuality_table",
                          "run_job", "etl_stations", "etl_tracks", "etl_platforms", "etl_punctuality",
                          "etl_line_segments", "stream_punctuality"}
+
+
+def test_profile_is_one_scan_and_filters_reach_the_scan(spark):
+    plan = entry.queries()["profile_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    tr = entry.queries()["time_range_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scan = [l for l in tr.split("\n") if "FileScan" in l][0]
+    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in scan
+    assert "l_tax" not in scan and "l_returnflag" not in scan
