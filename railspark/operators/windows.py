@@ -37,7 +37,9 @@ def lead_lag(df: DataFrame, key, order, value, out: str, offset: int = 1,
 
     ``order`` must be a total order inside a key (pass tie-break columns).
     With ``bucket`` only offsets of +-1 are supported; the result is identical
-    to the plain window.
+    to the plain window.  The per-bucket table is built by a partial (map-side)
+    aggregation over a second, column-pruned scan, so only the window input is
+    shuffled in full.
     """
     keys, orders = _cols(key), _cols(order)
     v = col_of(value)
