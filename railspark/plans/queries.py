@@ -1324,7 +1324,51 @@ def _node_txt(c):
     return F.concat_ws(":", F.col(c)["klat"].cast("string"), F.col(c)["klon"].cast("string"))
 
 
-@q("contract_chains")
+def _turn_sql(p0: str, p1: str, p2: str) -> str:
+    """DuckDB twin of ``turning_angle`` on [lat, lon] list expressions."""
+    k = f"({3.141592653589793 / 180.0!r} * {R_M!r})"
+    ref = f"{p1}[1]"
+
+    def xy(p):
+        return (f"({p}[2] * cos(radians({ref})) * {k})", f"({p}[1] * {k})")
+    (x0, y0), (x1, y1), (x2, y2) = xy(p0), xy(p1), xy(p2)
+    ax, ay, bx, by = f"({x1} - {x0})", f"({y1} - {y0})", f"({x2} - {x1})", f"({y2} - {y1})"
+    na, nb = f"sqrt({ax} * {ax} + {ay} * {ay})", f"sqrt({bx} * {bx} + {by} * {by})"
+    return (f"CASE WHEN {na} > 0 AND {nb} > 0 THEN degrees(acos(greatest(-1.0, least(1.0, "
+            f"({ax} * {bx} + {ay} * {by}) / ({na} * {nb}))))) END")
+
+
+CHAINS_SQL = "WITH RECURSIVE " + QUANT_SQL + """,
+qp AS (SELECT Path[i] AS a, Path[i + 1] AS b FROM quant, range(1, 32) t(i)),
+pts AS (SELECT [round(a[1], 6), round(a[2], 6)] AS pa, [round(b[1], 6), round(b[2], 6)] AS pb FROM qp),
+ke AS (SELECT CAST(round(pa[1] * 1000000) AS BIGINT) AS ulat, CAST(round(pa[2] * 1000000) AS BIGINT) AS ulon, pa,
+              CAST(round(pb[1] * 1000000) AS BIGINT) AS vlat, CAST(round(pb[2] * 1000000) AS BIGINT) AS vlon, pb
+       FROM pts WHERE pa <> pb),
+e1 AS (SELECT ulat, ulon, vlat, vlon FROM ke UNION SELECT vlat, vlon, ulat, ulon FROM ke),
+nodes AS (SELECT klat, klon, min(p) AS p FROM (SELECT ulat AS klat, ulon AS klon, pa AS p FROM ke
+                                               UNION ALL SELECT vlat, vlon, pb FROM ke) GROUP BY 1, 2),
+deg AS (SELECT ulat, ulon, count(*) AS degree, min((vlat, vlon)) AS n1, max((vlat, vlon)) AS n2 FROM e1 GROUP BY 1, 2),
+info AS (SELECT d.ulat, d.ulon, d.degree, d.n1, d.n2,
+                d.degree <> 2 OR coalesce(""" + _turn_sql("a.p", "c.p", "b.p") + """ > 45.0, true) AS cut
+         FROM deg d JOIN nodes c ON c.klat = d.ulat AND c.klon = d.ulon
+                    JOIN nodes a ON a.klat = d.n1[1] AND a.klon = d.n1[2]
+                    JOIN nodes b ON b.klat = d.n2[1] AND b.klon = d.n2[2]),
+walk AS (
+  SELECT e.ulat AS slat, e.ulon AS slon, e.ulat AS plat, e.ulon AS plon, e.vlat AS clat, e.vlon AS clon, 1 AS n,
+         [(e.ulat, e.ulon), (e.vlat, e.vlon)] AS path
+  FROM e1 e JOIN info i ON i.ulat = e.ulat AND i.ulon = e.ulon WHERE i.cut
+  UNION ALL
+  SELECT w.slat, w.slon, w.clat, w.clon,
+         CASE WHEN i.n1 = (w.plat, w.plon) THEN i.n2[1] ELSE i.n1[1] END,
+         CASE WHEN i.n1 = (w.plat, w.plon) THEN i.n2[2] ELSE i.n1[2] END, w.n + 1,
+         list_append(w.path, CASE WHEN i.n1 = (w.plat, w.plon) THEN i.n2 ELSE i.n1 END)
+  FROM walk w JOIN info i ON i.ulat = w.clat AND i.ulon = w.clon WHERE NOT i.cut),
+chains AS (SELECT w.* FROM walk w JOIN info i ON i.ulat = w.clat AND i.ulon = w.clon WHERE i.cut)
+SELECT slat || ':' || slon AS start, clat || ':' || clon AS "end", n AS n_edges FROM chains
+WHERE (slat, slon) < (clat, clon) OR ((slat, slon) = (clat, clon) AND path[2] <= path[len(path) - 1])"""
+
+
+@q("contract_chains", CHAINS_SQL)
 def q_contract_chains(spark, sf):
     e, n = _qgraph(spark, sf)
     c = GR.contract_chains(e, n, 45.0)
@@ -1337,7 +1381,17 @@ def q_pure_cycles(spark, sf):
     return GR.pure_cycles(e).select(_node_txt("cycle").alias("cycle"), "pos", _node_txt("node").alias("node"))
 
 
-@q("simplified_graph")
+SIMPLIFIED_SQL = CHAINS_SQL.rsplit("SELECT slat || ':' || slon AS start", 1)[0] + """,
+canon AS (SELECT (slat, slon) AS s, (clat, clon) AS e, n, path FROM chains
+          WHERE (slat, slon) < (clat, clon) OR ((slat, slon) = (clat, clon) AND path[2] <= path[len(path) - 1])),
+tr AS (SELECT *, row_number() OVER (ORDER BY s, e, path) - 1 AS ID FROM canon WHERE s <> e),
+ends AS (SELECT s AS node, ID, 0 AS side FROM tr UNION ALL SELECT e, ID, 1 FROM tr),
+sw AS (SELECT node, row_number() OVER (ORDER BY min((ID, side))) - 1 AS SID FROM ends GROUP BY node)
+SELECT tr.ID, a.SID AS Departure_switch, b.SID AS Arrival_switch, tr.n AS n_edges
+FROM tr JOIN sw a ON a.node = tr.s JOIN sw b ON b.node = tr.e"""
+
+
+@q("simplified_graph", SIMPLIFIED_SQL)
 def q_simplified_graph(spark, sf):
     e, n = _qgraph(spark, sf)
     sw, tr = GR.simplified_graph(GR.contract_chains(e, n, 45.0), n)
