@@ -165,23 +165,22 @@ def pure_cycles(edges: DataFrame) -> DataFrame:
     # half-edges that reach a node of degree != 2 belong to chains, not to cycles
     on_chain = _rank_to_head(half, _rounds(n)).select("h")
     cyc = half.join(on_chain, "h", "left_anti").filter(~F.col("is_head"))
-    # minimum node of each cycle by doubling a min-label along successor pointers
-    cur = cyc.select("h", "pred", F.least(F.col("h.u"), F.col("h.v")).alias("m"))
+    # smallest half-edge of each directed cycle by doubling a min along predecessor pointers;
+    # the two orientations of a cycle never mix, and the one holding (m -> smaller neighbour of
+    # m), m the smallest node, has the smaller minimum
+    cur = cyc.select("h", "pred", F.col("h").alias("mh"))
     for r in range(1, _rounds(n) + 1):
-        look = cur.select(F.col("h").alias("pred"), F.col("pred").alias("_p2"), F.col("m").alias("_m2"))
-        cur = cur.join(look, "pred", "left").select("h", F.col("_p2").alias("pred"), F.least("m", "_m2").alias("m"))
+        look = cur.select(F.col("h").alias("pred"), F.col("pred").alias("_p2"), F.col("mh").alias("_m2"))
+        cur = cur.join(look, "pred", "left").select("h", F.col("_p2").alias("pred"),
+                                                   F.least("mh", F.coalesce("_m2", "mh")).alias("mh"))
         cur = _cut_lineage(cur, r)
-    mins = cur.groupBy("h").agg(F.min("m").alias("m"))
-    c = cyc.join(mins, "h").checkpoint(eager=True)
-    # break every cycle at its start half-edge (m -> smaller neighbour of m) and rank from there
-    start = info.filter(~F.col("cut")).select(F.struct(F.col("node").alias("u"), F.col("n1").alias("v")).alias("h"),
-                                              F.lit(True).alias("_st"))
-    c = c.join(start, "h", "left").join(
-        c.select(F.col("h.u").alias("_u"), "m").distinct().filter(F.col("_u") == F.col("m")).select(
-            F.col("_u").alias("_mu"), F.lit(True).alias("_ism")), F.col("h.u") == F.col("_mu"), "left")
-    c = c.withColumn("is_head", F.coalesce(F.col("_st") & F.col("_ism"), F.lit(False)))
-    ranked = _rank_to_head(c.select("h", F.when(~F.col("is_head"), F.col("pred")).alias("pred"), "is_head"),
-                           _rounds(n))
+    mins = cur.groupBy("h").agg(F.min("mh").alias("mh"))
+    c = cyc.join(mins, "h")
+    best = c.groupBy(F.col("mh.u").alias("_m")).agg(F.min("mh").alias("_keep"))
+    c = c.join(best, F.col("mh") == F.col("_keep"), "left_semi")
+    c = _materialise(c.select("h", F.when(F.col("h") != F.col("mh"), F.col("pred")).alias("pred"),
+                              (F.col("h") == F.col("mh")).alias("is_head")))
+    ranked = _rank_to_head(c, _rounds(n))
     return ranked.select(F.col("head.u").alias("cycle"), F.col("dist").alias("pos"), F.col("h.u").alias("node"))
 
 
