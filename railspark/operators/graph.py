@@ -21,17 +21,26 @@ from railspark.session import ensure_checkpoint_dir
 CHECKPOINT_EVERY = 1
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """Keep the partition count of loop tables bounded.
+
+    A union of a table with a broadcast-joined copy of itself has twice its partitions; repeated
+    every round this doubles the task count per round.  ``coalesce`` merges partitions without
+    a shuffle and is a no-op when there are few enough already."""
+    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(target)
+
+
 def _materialise(df: DataFrame) -> DataFrame:
     """Write an input of an iterative loop once, so rounds do not recompute its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _bounded(df).checkpoint(eager=True)
 
 
 def _cut_lineage(df: DataFrame, round_no: int) -> DataFrame:
     if round_no % CHECKPOINT_EVERY == 0:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
+        return _materialise(df)
+    return _bounded(df)
 
 
 # ------------------------------------------------------------------ building graphs
@@ -78,8 +87,7 @@ def _rank_to_head(half: DataFrame, max_rounds: int) -> DataFrame:
     """List ranking.  ``half(h, pred, is_head)``: every half-edge points to its predecessor (NULL
     for heads).  Returns ``(h, head, dist)`` for half-edges whose pointer chain reaches a head;
     the others (cycles without a head) are dropped after ``max_rounds`` doubling rounds."""
-    ensure_checkpoint_dir(half.sparkSession)
-    half = half.checkpoint(eager=True)
+    half = _materialise(half)
     cur = half.select("h", F.when(F.col("is_head"), F.col("h")).otherwise(F.col("pred")).alias("anc"),
                       F.when(F.col("is_head"), F.lit(0)).otherwise(F.lit(1)).alias("dist"),
                       F.col("is_head").alias("done"))
@@ -244,12 +252,11 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
                       ["source", "node"], "left")
         imp = j.filter(F.col("b").isNull() | (F.col("c") < F.col("b"))).select(
             "source", "node", F.col("c.cost").alias("cost"), F.col("c.hops").alias("hops"), F.col("c.pred").alias("pred"))
-        imp = imp.checkpoint(eager=True)
+        imp = _materialise(imp)
         if imp.limit(1).count() == 0:
             break
         best = best.join(imp.select("source", "node"), ["source", "node"], "left_anti").unionByName(imp)
-        if r % 3 == 0:  # rows of `imp` are already materialised; cut the growing anti-join chain
-            best = _materialise(best)
+        best = _materialise(best) if r % 3 == 0 else _bounded(best)
         frontier = imp
     return best
 
@@ -301,12 +308,11 @@ def closest_anchors(base: DataFrame, graph: DataFrame, nodes: DataFrame, max_hop
         level += 1
         nxt = frontier.join(e, "node").select(F.col("_to").alias("node"), "anchor").distinct()
         nxt = nxt.join(reached.select("node").distinct(), "node", "left_anti").withColumn("dist", F.lit(level))
-        nxt = nxt.checkpoint(eager=True)
+        nxt = _materialise(nxt)
         if nxt.limit(1).count() == 0:
             break
         reached = reached.unionByName(nxt)
-        if level % 3 == 0:
-            reached = _materialise(reached)
+        reached = _materialise(reached) if level % 3 == 0 else _bounded(reached)
         frontier = nxt
     per = reached.groupBy("node").agg(F.min("dist").alias("distance"),
                                       F.array_sort(F.collect_set("anchor")).alias("anchors"))
