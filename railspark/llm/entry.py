@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, packing, quality, toxicity, warc
+from . import bpe, chat, exact_dedup, near_dedup, packing, quality, toxicity, warc
 from .common import table
 
 try:
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -45,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_host_quality, op4_exact_dedup, op5_toxicity, op8_packing, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_host_quality, op4_exact_dedup, op5_toxicity, op7_near_dedup, op8_packing, op9_chat, op10_warc)}
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE = {
