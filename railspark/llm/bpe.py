@@ -10,6 +10,7 @@ so text without any space stays linear.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import re
@@ -42,7 +43,8 @@ def byte_symbols() -> dict[str, int]:
 class Bpe:
     """Encoder and decoder of one byte-level vocabulary file; built once per Python worker."""
 
-    def __init__(self, path: str, cache_size: int = 500_000):
+    def __init__(self, path: str, ranks: str | None = None, cache_size: int = 500_000):
+        """``ranks``: a rank file of the same vocabulary; new words are then encoded by tiktoken."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbol = byte_symbols()
@@ -75,6 +77,14 @@ class Bpe:
         self.automaton.make_automaton()
         self.split = regex.compile(SPLIT.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.chunks = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
+        self.odd = re.compile(f"[{SPACES}]{{2}}|[{SPACES.replace(' ', '', 1).replace(chr(10), '', 1)}\x00-\x02]").search
+        self.spaces = {chr(c) for c in range(0x3001) if chr(c) in SPACES or 0x2000 <= c <= 0x200A}
+        self.ranks = None
+        if ranks:
+            import tiktoken
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.fits: dict[int, bool] = {}  # by first id * 2**20 + second id
         self.cache_size = cache_size
@@ -209,9 +219,30 @@ class Bpe:
         ids, cut = last[ends].astype("<u4").tobytes(), (4 * ends.searchsorted([*starts, len(joined)])).tolist()
         return [ids[i:j] for i, j in zip(cut, cut[1:])]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts the ids of new chunks (white space plus the run that follows) into the cache."""
-        parts = [[c.encode()] if c.isalpha() or c[0] == " " and c[1:].isalpha() else [p.encode() for p in self.split.findall(c)]
+    def _keys(self, text: str) -> list[str]:
+        """A text as cache keys, one per white space plus the run that follows it.
+
+        A piece never holds white space after other characters, so these encode one by one.
+        Key w stands for space + w, \\x00 + w for line end + w, \\x01 + w for w at the start of
+        the text; any other chunk (runs of white space, other kinds of it) is \\x02 + chunk.
+        """
+        if not self.odd(text):
+            return ("\x01" + text).replace("\n", " \x00").split(" ")
+        return [c[1:] if c[0] == " " and c[1:2] not in self.spaces and c[1:2] > "\x02" else "\x02" + c for c in self.chunks(text)]
+
+    @staticmethod
+    def _chunk(key: str) -> str:
+        return {"\x00": "\n", "\x01": "", "\x02": ""}.get(key[:1], " " + key[:1]) + key[1:]
+
+    def _learn(self, keys: list[str]) -> None:
+        """Puts the ids of new keys into the cache."""
+        chunks = list(map(self._chunk, keys))
+        if self.ranks:
+            for k, c in zip(keys, chunks):
+                ids = self.ranks.encode_ordinary(c)
+                self.cache[k] = pack(f"<{len(ids)}I", *ids)
+            return
+        parts = [[c.encode()] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else [p.encode() for p in self.split.findall(c)]
                  for c in chunks]
         known = dict.fromkeys(p for ps in parts for p in ps)
         short = [p for p in known if len(p) <= 64]
@@ -220,29 +251,26 @@ class Bpe:
             if ids is None:
                 ids = self.encode_piece(p)
                 known[p] = pack(f"<{len(ids)}I", *ids)
-        for c, ps in zip(chunks, parts):
-            self.cache[c] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts; special tokens in them become their own ids.
+        for k, ps in zip(keys, parts):
+            self.cache[k] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
-        A piece never holds white space after other characters, so chunks encode one by one.
-        """
+    def encode_batch(self, texts: list[str], specials: bool = True) -> list[np.ndarray]:
+        """Ids of whole texts; special tokens in them become their own ids (or are plain text)."""
         if len(self.cache) > self.cache_size:  # two generations: what is still in use moves over
             self.cache, self.older = {}, self.cache
-        parts = [self.specials.split(t) if any(s in t for s in self.special) else [t] for t in texts]
-        chunks = [[[p] if p in self.special else self.chunks(p) for p in ps] for ps in parts]
-        seen = set().union(*(c for cs in chunks for c in cs))
-        for s, i in self.special.items():
-            self.cache[s] = pack("<I", i)
-        new = [c for c in seen if c not in self.cache]
-        self.cache |= {c: self.older[c] for c in new if c in self.older}
-        self._learn([c for c in new if c not in self.older])
-        get = self.cache.__getitem__
-        out = [np.frombuffer(b"".join([b"".join(map(get, c)) for c in cs]), "<u4") for cs in chunks]
-        for c in seen:
-            if len(c) > 48:  # bounds the cache's bytes
-                self.cache.pop(c, None)
+        parts = [self.specials.split(t) if specials and any(s in t for s in self.special) else [t] for t in texts]
+        keys = [[None if specials and p in self.special else self._keys(p) for p in ps] for ps in parts]
+        got = [[k and list(map(self.cache.get, k)) for k in ks] for ks in keys]
+        new = {w for ks, gs in zip(keys, got) for k, g in zip(ks, gs) if k and None in g for w, x in zip(k, g) if x is None}
+        self.cache |= {w: self.older[w] for w in new if w in self.older}
+        self._learn([w for w in new if w not in self.cache])
+        get, out = self.cache.__getitem__, []
+        for ps, ks, gs in zip(parts, keys, got):
+            out.append(np.frombuffer(b"".join([pack("<I", self.special[p]) if k is None else
+                                               b"".join(map(get, k) if None in g else g) for p, k, g in zip(ps, ks, gs)]), "<u4"))
+        for w in new:
+            if len(w) > 48:  # bounds the cache's bytes
+                self.cache.pop(w, None)
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -253,14 +281,14 @@ class Bpe:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Bpe] = {}
+_LOADED: dict[tuple[str, str | None], Bpe] = {}
 
 
-def bpe(path: str) -> Bpe:
+def bpe(path: str, ranks: str | None = None) -> Bpe:
     """The worker's encoder for a vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    if (path, ranks) not in _LOADED:
+        _LOADED[path, ranks] = Bpe(path, ranks)
+    return _LOADED[path, ranks]
 
 
 def token_table(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, near_dedup, packing, quality, toxicity, warc
+from . import bpe, chat, exact_dedup, near_dedup, packing, quality, substring_dedup, toxicity, warc
 from .common import table
 
 try:
     import public_tokenizers
-    VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+    VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 except ModuleNotFoundError:  # the vocabulary folder is a parameter of the operators
-    VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+    VOCABULARY, RANKS = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +30,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, ranks=RANKS)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_host_quality, op4_exact_dedup, op5_toxicity, op7_near_dedup, op8_packing, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_host_quality, op4_exact_dedup, op5_toxicity, op6_suffix_dedup, op7_near_dedup, op8_packing, op9_chat, op10_warc)}
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE = {

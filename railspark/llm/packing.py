@@ -29,13 +29,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def piece_table(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id",
-                text: str = "text") -> DataFrame:
+                text: str = "text", ranks: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every row's ids plus ``end_id``, cut into pieces.
 
-    Null text is empty and gives the end id alone; repeated rows each give their pieces.
+    ``ranks``: see ``Bpe``.  Null text is empty and gives the end id alone; repeated rows each give their pieces.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe(vocabulary)
+        model = bpe(vocabulary, ranks)
         end = np.array([end_id], "<u4")
         for b in batches:
             out = []
@@ -133,10 +133,10 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id",
-         text: str = "text") -> DataFrame:
+         text: str = "text", ranks: str | None = None) -> DataFrame:
     """Packs all rows; one output row per piece.  An empty table gives an empty table.
 
     Pieces are written once, so the histogram and the ranks see the same rows.  Rows that tie
     in id, piece and content may swap slots among themselves, which changes no sequence.
     """
-    return place(written(piece_table(docs, vocabulary, capacity, end_id, doc_id, text)), capacity)
+    return place(written(piece_table(docs, vocabulary, capacity, end_id, doc_id, text, ranks)), capacity)
