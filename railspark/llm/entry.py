@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, near_dedup, packing, quality, substring_dedup, toxicity, warc
+from . import bpe, chat, exact_dedup, lm, near_dedup, packing, quality, substring_dedup, toxicity, warc
 from .common import table
 
 try:
@@ -22,6 +22,10 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), VOCABULARY, RANKS)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_host_quality, op4_exact_dedup, op5_toxicity, op6_suffix_dedup, op7_near_dedup, op8_packing, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_host_quality, op3_attention_lm, op4_exact_dedup, op5_toxicity, op6_suffix_dedup, op7_near_dedup, op8_packing, op9_chat, op10_warc)}
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE = {
