@@ -275,7 +275,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def removed_runs(spans: list[dict]) -> list[tuple[int, int]]:
     """Spans merged into maximal runs."""
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or []):
+    for s, e in sorted((x["s"], x["e"]) for x in (spans if spans is not None else ())):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
