@@ -12,6 +12,7 @@ number, checked against the total length, and then decoded from chunked framing.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from railspark.session import ensure_checkpoint_dir
 
+from .common import written
+
 SEGMENT = 16_384  # bytes of a record's block in one segment
 CHUNK = 4_096  # bytes of one chunk of the HTTP body
 RECORDS_PER_FILE = 2_000  # bounds an archive's size: a task reads whole archives
@@ -115,16 +118,17 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                yield pa.RecordBatch.from_arrays([pa.array(page_records(*row, segment), pa.binary())], ["record"])
+            for at in range(0, len(b), 64):  # a few pages at a time bound the memory
+                rows = zip(*(c.to_pylist() for c in b.slice(at, 64).columns))
+                yield pa.RecordBatch.from_arrays([pa.array([x for row in rows for x in page_records(*row, segment)], pa.binary())], ["record"])
 
     # bytes pass through the text sink untouched; its line end closes each record
     rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")) \
-        .write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        .write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of every record of an uncompressed archive."""
+    """(headers by lower-case name, block) of every record of an archive, out of gzip."""
     at = 0
     while at < len(archive):
         end = archive.index(b"\r\n\r\n", at)
@@ -166,7 +170,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for b in batches:
             for archive in b.column(0):
                 out, held = [], 0
-                for h, block in parse(archive.as_buffer().to_pybytes()):
+                for h, block in parse(gzip.decompress(archive.as_buffer())):
                     kind, part = h["warc-type"], "warc-segment-number" in h
                     got = (None, None, None, True) if part or kind == "revisit" else decoded(block)
                     out.append((h["warc-record-id"], h.get("warc-segment-origin-id", h["warc-record-id"]),
@@ -190,7 +194,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         return first
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    records = files.mapInArrow(run, ROW)
+    records = written(files.mapInArrow(run, ROW))  # archives are parsed once; both kinds of record come from it
     whole = records.filter("segment is null")
     parts = records.filter("segment is not null").groupBy("origin_id").applyInPandas(join_segments, ROW)
     return whole.unionByName(parts).drop("origin_id", "segment", "total", "block")
@@ -208,7 +212,7 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     write_archives(pages, path, page_id, url, html, least_bytes, segment)
     if pages.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    rows = read_archives(spark, path)
+    rows = written(read_archives(spark, path))
     responses = rows.filter("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
                                                         F.lit(None).cast("long").alias("refers_to"))
     found = rows.filter("kind = 'response'").groupBy(F.col("page_id").alias("_page")) \
