@@ -42,26 +42,33 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_p"))
     nodes = nodes.join(known, nodes["tree"].eqNullSafe(F.col("_t")) & (nodes["parent"] == F.col("_p")), "left") \
         .select("tree", "node", F.col("_p").alias("up"), "score")
-    # up: the ancestor `hop` above; depth and total: of the path from the message up to, without, it
-    jumps = [written(nodes.withColumn("depth", F.lit(1)).withColumnRenamed("score", "total"))]
-    while not jumps[-1].filter("up is not null").isEmpty():
-        cur = jumps[-1]
+    # up: the ancestor 2**k above; depth and total: of the path from the message up to, without, it
+    cur = written(nodes.withColumn("depth", F.lit(1)).withColumnRenamed("score", "total"))
+    jumps, known_roots = [], -1
+    while not (open_ := cur.filter("up is not null")).isEmpty():
+        if len(jumps) > 1 and (roots := cur.filter("up is null").count()) == known_roots:
+            break  # what is left points around a cycle
+        elif len(jumps) > 1:
+            known_roots = roots
+        jumps.append(open_)
         above = cur.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
                            F.col("depth").alias("_d"), F.col("total").alias("_s"))
-        nxt = cur.join(above, cur["tree"].eqNullSafe(F.col("_t")) & (cur["up"] == F.col("_n")), "left") \
-            .select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-                    (F.col("total") + F.coalesce("_s", F.lit(0.0))).alias("total"))
-        jumps.append(written(nxt))
-        if len(jumps) > 2 and jumps[-1].filter("up is null").count() == cur.filter("up is null").count():
-            break  # what is left points around a cycle
-    done = jumps[-1].filter("up is null")
-    parents = jumps[0].select(F.col("tree").alias("_t"), F.col("up").alias("_u")).filter("_u is not null").distinct()
-    leaves = done.join(parents, done["tree"].eqNullSafe(F.col("_t")) & (done["node"] == F.col("_u")), "left_anti")
+        # only messages that have not met their root go on
+        further = open_.join(above, open_["tree"].eqNullSafe(F.col("_t")) & (open_["up"] == F.col("_n"))) \
+            .select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"),
+                    (F.col("total") + F.col("_s")).alias("total"))
+        cur = written(cur.filter("up is null").select("tree", "node", "up", "depth", "total").unionByName(further))
+    done = cur.filter("up is null")
+    leaves = done
+    if jumps:
+        parents = jumps[0].select(F.col("tree").alias("_t"), F.col("up").alias("_u")).distinct()
+        leaves = done.join(parents, done["tree"].eqNullSafe(F.col("_t")) & (done["node"] == F.col("_u")), "left_anti")
     best = leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("total"), "node"))) \
         .filter(F.col("rank") <= branches)
     walk = best.select("tree", F.col("node").alias("leaf"), "rank", "depth", "node")
     for hop, jump in reversed(list(enumerate(jumps))):
-        up = jump.filter("up is not null").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"))
+        walk = written(walk)  # used twice below
+        up = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"))
         higher = walk.join(up, walk["tree"].eqNullSafe(F.col("_t")) & (walk["node"] == F.col("_n"))) \
             .select("tree", "leaf", "rank", (F.col("depth") - (1 << hop)).alias("depth"), F.col("_up").alias("node"))
         walk = walk.unionByName(higher)
