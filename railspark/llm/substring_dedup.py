@@ -35,6 +35,9 @@ GRAM = 32
 SHARD = 2_000_000
 #: Bytes of text that pass through the anchor search at once; longer texts go in overlapping parts.
 PART = 8_000_000
+#: Strings of split anchors in one merging task, about, and what is known of each.
+MERGE = 1_000_000
+STRING = np.dtype([("string", "<u8"), ("g", "<i8"), ("r", "<i8"), ("at", "<i4"), ("unsettled", "?")])
 _RNG = np.random.default_rng(20240607)  # fixed, so every task and every run hashes alike
 TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -229,37 +232,47 @@ def repeated_spans(docs: DataFrame, text: str = "_text", key: str = "_key", leng
     pieces = source.join(wanted, (F.col("k") == F.col("_k")) & (F.col("id") == F.col("_id"))).select("raw", "parts") \
         .mapInArrow(extract, "shard string, g long, r long, m long, split int, bytes binary")
 
+    open_starts = judged.agg(F.sum(F.when(F.col("split") >= 0, F.col("n")))).first()[0] or 0
+    ranges = max(1, -(-open_starts // MERGE))
+
     def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Runs of repeated starts of the regions seen once; of split anchors also the strings to merge."""
+        """Runs of repeated starts of the regions seen once; of split anchors also the shard's
+        different strings, as one sorted run for each range of string hashes."""
         pdf = pdf.drop_duplicates(["g", "r"]).reset_index(drop=True)
-        out = []
+        out, strings = [], []
         for (g, r, m, split, raw), hit in zip(zip(pdf["g"], pdf["r"], pdf["m"], pdf["split"], pdf["bytes"]), repeated_starts(list(pdf["bytes"]), length)):
             if m < 2:
                 out += [(g, r, a, z, None, None) for a, z in runs_of(hit).tolist()]
             if split >= 0:
-                digest = gram_hashes(np.frombuffer(raw, np.uint8), length).view(np.int64)
-                open_ = ~hit if m < 2 else np.zeros(len(hit), bool)
-                out += [(g, r, o, o, d, u) for o, d, u in zip(range(len(hit)), digest.tolist(), open_.tolist())]
-        got = pd.DataFrame(out, columns=["g", "r", "a", "z", "digest", "unsettled"])
-        got["digest"] = got["digest"].astype("Int64")
-        # strings of this shard: settled ones once, as runs sorted by digest
-        return pd.concat([got[got["digest"].isna()], got[got["digest"].notna()].sort_values(["digest", "unsettled"]).drop_duplicates("digest")])
-
-    results = written(pieces.groupBy("shard").applyInPandas(judge, "g long, r long, a long, z long, digest long, unsettled boolean"))
-    strings = results.filter("digest is not null")
-    n_strings = strings.count()
+                one = np.zeros(len(hit), STRING)
+                one["string"], one["g"], one["r"], one["at"] = gram_hashes(np.frombuffer(raw, np.uint8), length), g, r, np.arange(len(hit))
+                one["unsettled"] = ~hit & (m < 2)
+                strings.append(one)
+        if strings:
+            run = np.concatenate(strings)
+            run = run[np.unique(run["string"], return_index=True)[1]]  # sorted; a string found twice here is settled
+            cuts = run["string"].searchsorted(np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64))
+            out += [(0, 0, 0, 0, k, x.tobytes()) for k, x in enumerate(np.split(run, cuts)) if len(x)]
+        got = pd.DataFrame(out, columns=["g", "r", "a", "z", "range", "run"])
+        got["range"] = got["range"].astype("Int64")
+        return got
+
+    results = written(pieces.groupBy("shard").applyInPandas(judge, "g long, r long, a long, z long, range long, run binary"))
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Strings that another shard of the same anchor holds too, by binary search in the sorted runs."""
-        g, d = pdf["g"].to_numpy(), pdf["digest"].to_numpy()
-        both = np.sort(gram_key := (g.astype(np.uint64) * STEP) ^ d.astype(np.uint64))
-        more = both.searchsorted(gram_key, "right") - both.searchsorted(gram_key, "left") > 1
-        return pdf.loc[more & pdf["unsettled"].to_numpy(bool), ["g", "r", "a", "z"]]
-
-    runs = results.filter("digest is null").select("g", "r", "a", "z")
-    if n_strings:
-        runs = runs.unionByName(strings.withColumn("range", F.pmod(F.xxhash64("g", "digest"), F.lit(-(-n_strings // 500_000))))
-                                .groupBy("range").applyInPandas(merge, "g long, r long, a long, z long"))
+        """Unsettled strings that another shard holds too, by binary search in the shards' sorted runs."""
+        runs = [np.frombuffer(x, STRING) for x in pdf["run"]]
+        both = np.sort(np.concatenate([x["string"] for x in runs]), kind="stable")  # of sorted runs: a merge
+        found = []
+        for x in runs:
+            x = x[x["unsettled"]]
+            x = x[both.searchsorted(x["string"], "right") - both.searchsorted(x["string"], "left") > 1]
+            found.append(pd.DataFrame({"g": x["g"], "r": x["r"], "a": x["at"], "z": x["at"]}))
+        return pd.concat(found).astype("int64")
+
+    runs = results.filter("range is null").select("g", "r", "a", "z")
+    if open_starts:
+        runs = runs.unionByName(results.filter("range is not null").groupBy("range").applyInPandas(merge, "g long, r long, a long, z long"))
     whole = variants.filter("m > 1").select("g", "r", F.lit(0).cast("long").alias("a"), (F.col("at.n") - 1).cast("long").alias("z"))
     runs = runs.unionByName(whole).select(F.col("g").alias("_g"), F.col("r").alias("_r"), "a", "z")
     return hits.join(runs, (F.col("g") == F.col("_g")) & (F.col("r") == F.col("_r"))) \
