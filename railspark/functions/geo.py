@@ -42,10 +42,10 @@ def make_point(lat, lon, z=None) -> Column:
 def flip_point(p, n: int | None = 6) -> Column:
     """``[a, b(, z)]`` -> ``[b, a(, z)]``, optionally rounded to ``n`` decimals."""
     p = col_of(p)
-    a, b = F.get(p, 0), F.get(p, 1)
+    a, b, z = F.get(p, 0), F.get(p, 1), F.get(p, 2)
     if n is not None:
-        a, b = F.round(a, n), F.round(b, n)
-    return F.when(F.size(p) > 2, F.array(b, a, F.get(p, 2))).otherwise(F.array(b, a))
+        a, b, z = F.round(a, n), F.round(b, n), F.round(z, n)
+    return F.when(F.size(p) > 2, F.array(b, a, z)).otherwise(F.array(b, a))
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:

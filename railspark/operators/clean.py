@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from railspark.functions.scalar import col_of
-from railspark.operators.relational import small_or_none
 
 
 def cast_columns(df: DataFrame, types: dict) -> DataFrame:
@@ -51,8 +50,7 @@ def _member_flag(df: DataFrame, col: str, members, tag: str) -> tuple[DataFrame,
     if isinstance(members, (list, tuple, set)):
         return df, F.col(col).isin(list(members))
     m = members.select(F.col(members.columns[0]).alias(f"_m{tag}")).distinct().withColumn(f"_f{tag}", F.lit(True))
-    s = small_or_none(m, 2_000_000)
-    j = df.join(F.broadcast(s) if s is not None else m, F.col(col) == F.col(f"_m{tag}"), "left")
+    j = df.join(m, F.col(col) == F.col(f"_m{tag}"), "left")
     return j, F.col(f"_f{tag}").isNotNull()
 
 
@@ -113,7 +111,6 @@ def apply_corrections(df: DataFrame, corrections: DataFrame, key, cols) -> DataF
     """Many conditional updates at once: left join a corrections table, ``coalesce`` new over old."""
     keys = [key] if isinstance(key, str) else list(key)
     c = corrections.select(*keys, *[F.col(x).alias("_new_" + x) for x in cols])
-    s = small_or_none(c, 2_000_000)
-    j = df.join(F.broadcast(s) if s is not None else c, keys, "left")
+    j = df.join(c, keys, "left")
     return j.withColumns({x: F.coalesce(F.col("_new_" + x), F.col(x)) for x in cols}) \
         .drop(*["_new_" + x for x in cols])

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from railspark.functions.geo import flip_point, lat_of, lon_of, point_distance_m, path_length_m, turning_angle, z_of
 from railspark.functions.scalar import col_of
-from railspark.operators.relational import small_or_none
 from railspark.operators.windows import number_rows
 
 
@@ -109,9 +108,7 @@ def polyline_replace_end(df: DataFrame, corrections: DataFrame, dep: str = "Depa
     cl = c.filter(~F.col("_first")).select("_cd", "_ca", F.col("_p").alias("_pl"))
     out = df
     for t in (cf, cl):
-        s = small_or_none(t, 1_000_000)
-        out = out.join(F.broadcast(s) if s is not None else t,
-                       (F.col(dep) == F.col("_cd")) & (F.col(arr) == F.col("_ca")), "left").drop("_cd", "_ca")
+        out = out.join(t, (F.col(dep) == F.col("_cd")) & (F.col(arr) == F.col("_ca")), "left").drop("_cd", "_ca")
     a = F.col(path)
     n = F.size(a)
     with_first = F.when(F.col("_pf").isNotNull() & (n >= 1),
@@ -132,8 +129,6 @@ def polyline_orient(links: DataFrame, stations: DataFrame, raw: str = "Shape", o
     only when its last point is closer (squared degrees) to the departure station than its first (FIX).
     """
     st = stations.select(F.col(station_id).alias("_sid"), F.col(lat).alias("_slat"), F.col(lon).alias("_slon"))
-    s = small_or_none(st, 2_000_000)
-    st = F.broadcast(s) if s is not None else st
 
     def orient(df, shape_col):
         j = df.join(st, F.col(dep) == F.col("_sid"), "left")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from railspark.functions.geo import lat_of, lon_of
 from railspark.functions.scalar import isclose
-from railspark.operators.relational import join_both_endpoints, union_distinct_endpoints, found_ratio, small_or_none
+from railspark.operators.relational import join_both_endpoints, union_distinct_endpoints, found_ratio
 
 
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -95,8 +95,7 @@ def station_directory(links: DataFrame, stations: DataFrame, dep: str = "Departu
     """Distinct stations used by links, with their attributes (NULL when unknown)."""
     ends = union_distinct_endpoints(links, dep, arr, station_id).filter(F.col(station_id).isNotNull())
     s = stations.select(station_id, *cols)
-    small = small_or_none(s, 2_000_000)
-    return ends.join(F.broadcast(small) if small is not None else s, station_id, "left").distinct()
+    return ends.join(s, station_id, "left").distinct()
 
 
 def duplicate_keys(df: DataFrame, key: str = "ID") -> DataFrame:

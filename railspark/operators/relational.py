@@ -1,9 +1,7 @@
 """Joins, aggregations, sorts and set operations.
 
-Broadcasts are only requested behind ``small_or_none``: a bounded
-``limit(n + 1).count()`` that proves the side has at most ``n`` rows; above the
-bound the plain (shuffle) join runs and AQE may still pick a broadcast at run
-time from real sizes.
+No join asks for a broadcast: the engine picks one from real byte sizes, at planning or
+(AQE) at run time, and no job runs while a plan is built.
 """
 
 from __future__ import annotations
@@ -13,20 +11,6 @@ from pyspark.sql import functions as F
 
 from railspark.functions.scalar import col_of
 
-# ---------------------------------------------------------------- helpers
-
-
-def small_or_none(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """``df`` when it provably has at most ``max_rows`` rows, else ``None``."""
-    return df if df.limit(max_rows + 1).count() <= max_rows else None
-
-
-def join_small(big: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int = 2_000_000) -> DataFrame:
-    """Join with a dimension; broadcast it only when its row count is proven small."""
-    s = small_or_none(dim, max_rows)
-    return big.join(F.broadcast(s) if s is not None else dim, on, how)
-
-
 # ---------------------------------------------------------------- joins (§2.3)
 
 
@@ -37,13 +21,13 @@ def join_both_endpoints(links: DataFrame, stations: DataFrame, dep: str = "Depar
     out = links
     for key, pre in zip((dep, arr), prefixes):
         d = stations.select(F.col(station_id).alias(f"{pre}{station_id}"), *[F.col(c).alias(pre + c) for c in cols])
-        out = join_small(out, d, F.col(key) == F.col(f"{pre}{station_id}"), "left").drop(f"{pre}{station_id}")
+        out = out.join(d, F.col(key) == F.col(f"{pre}{station_id}"), "left").drop(f"{pre}{station_id}")
     return out
 
 
 def join_next_dim(df: DataFrame, dim: DataFrame, next_col: str, dim_id: str, cols, prefix: str = "next_") -> DataFrame:
     d = dim.select(F.col(dim_id).alias("_nid"), *[F.col(c).alias(prefix + c) for c in cols])
-    return join_small(df, d, F.col(next_col) == F.col("_nid"), "left").drop("_nid")
+    return df.join(d, F.col(next_col) == F.col("_nid"), "left").drop("_nid")
 
 
 def last_wins(df: DataFrame, key, order) -> DataFrame:

@@ -24,7 +24,7 @@ def trip_times(tripinfo: DataFrame, order: str = "_pos") -> DataFrame:
         to_finite_double("_departDelay").alias("depart_delay"),
         pick_first("_line", "_trainNumber", "_number", "_name", "_id").alias("train_number"),
         pick_first("_from", "_fromEdge", "_fromTaz").alias("_f"), pick_first("_to", "_toEdge", "_toTaz").alias("_t"),
-        lane_to_edge("_departLane").alias("_fl"), lane_to_edge("_arrivalLane").alias("_tl"))
+        *[F.nullif(lane_to_edge(c), F.lit("")).alias(n) for c, n in (("_departLane", "_fl"), ("_arrivalLane", "_tl"))])
     t = t.filter(F.col("trip_id").isNotNull())
     rel = F.when(F.col("_f").isNotNull() & F.col("_t").isNotNull(), F.concat_ws("->", "_f", "_t")) \
         .when(F.col("_fl").isNotNull() & F.col("_tl").isNotNull(), F.concat_ws("->", "_fl", "_tl"))
@@ -41,6 +41,7 @@ def stop_events(stopinfo: DataFrame, trips: DataFrame) -> DataFrame:
     s = stopinfo.select(pick_first("_id", "_tripId", "_name").alias("trip_id"),
                         split_head(pick_first("_stopID", "_busStop", "_trainStop", "_station", "_stop"), "_").alias("station"),
                         to_finite_double("_started").alias("started"), to_finite_double("_ended").alias("ended"))
+    s = s.filter(F.col("trip_id").isNotNull())  # stops of no trip are skipped
     j = s.join(trips.select("trip_id", "depart_delay"), "trip_id", "left")
     d = F.coalesce(F.col("depart_delay"), F.lit(0.0))
     dd = F.abs(F.col("started") + 30 - F.col("ended") + d)

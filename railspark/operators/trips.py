@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railspark.functions.scalar import col_of, seconds_since
-from railspark.operators.relational import neighbour_expand, small_or_none
+from railspark.operators.relational import neighbour_expand
 from railspark.operators.windows import number_rows, _cols
 from railspark.session import ensure_checkpoint_dir
 
@@ -78,9 +78,6 @@ def clean_legs(trips: DataFrame, allowed: DataFrame | None = None, station: str
     src = trips
     if allowed is not None:
         ids = allowed.select(F.col(station).cast("long").alias("_sid")).distinct()
-        bounded = small_or_none(ids, 1_000_000)
-        if bounded is not None:
-            ids = F.broadcast(bounded)
         ex = src.select("*", F.posexplode(legs_col).alias("_pos", "_leg")).drop(legs_col)
         rest = [c for c in trips.columns if c != legs_col]
         ex = (ex.join(ids.withColumnRenamed("_sid", "_d"), F.col("_leg.dep") == F.col("_d"), "left_semi")
@@ -264,8 +261,6 @@ def chain_delay_series(df: DataFrame, stations: DataFrame, chain: DataFrame, sta
     lab = (links.join(nm.withColumnRenamed("_id", "_a").withColumnRenamed("_nm", "_na"), "_a", "left")
            .join(nm.withColumnRenamed("_id", "_b").withColumnRenamed("_nm", "_nb"), "_b", "left")
            .select("pos", "_a", "_b", F.concat_ws(" - ", "_na", "_nb").alias("link")))
-    small = small_or_none(lab, 100_000)
-    lab = F.broadcast(small) if small is not None else lab
     j = df.join(lab, (F.col(station) == F.col("_a")) & (F.col(next_col) == F.col("_b")))
     return j.select(F.col("pos").alias("link_pos"), "link", F.col(time), F.col(value)).drop("_a", "_b")
 
@@ -305,11 +300,10 @@ def clean_legs_long(legs: DataFrame, allowed: DataFrame | None = None, station:
     lg = legs.filter(F.col("dep").isNotNull() & F.col("arr").isNotNull())
     if allowed is not None:
         ids = allowed.select(F.col(station).cast("long").alias("_sid")).distinct()
-        small = small_or_none(ids, 1_000_000)
-        ids = F.broadcast(small) if small is not None else ids
         lg = (lg.join(ids.withColumnRenamed("_sid", "dep"), "dep", "left_semi")
               .join(ids.withColumnRenamed("_sid", "arr"), "arr", "left_semi"))
-    lg = _ckpt(lg)
+    # equal legs share one ``ord``; the fold keeps the first of them and never the next
+    lg = _ckpt(lg.dropDuplicates([trip, "ord"]))
     # as-of successor: queries at y.arr, candidates at x.dep (non-self-loop x), per (trip, station)
     qy = lg.filter(F.col("dep") != F.col("arr")).select(trip, F.col("arr").alias("_st"), "ord",
                                                       F.lit(0).alias("_kind"))

@@ -65,11 +65,20 @@ def lead_lag(df: DataFrame, key, order, value, out: str, offset: int = 1,
     wb = Window.partitionBy(*key_names).orderBy("_b")
     nb = (per_bucket.withColumn("_fix", F.lead("_first").over(wb) if offset > 0 else F.lag("_last").over(wb))
           .select(*key_names, "_b", "_fix"))
-    res = (base.join(nb, on=[*key_names, "_b"], how="left")
+    res = (_null_safe_left(base, nb, [*key_names, "_b"])
            .withColumn(out, F.when(F.col("_edge"), F.col("_fix")).otherwise(F.col("_inner"))))
     return res.drop(*key_names, *ord_names, "_b", "_v", "_inner", "_edge", "_fix")
 
 
+def _null_safe_left(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Left join on ``names`` where NULL equals NULL, as in ``partitionBy`` and ``groupBy``."""
+    r = right.withColumnsRenamed({n: f"{n}_r" for n in names})
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & F.col(n).eqNullSafe(F.col(f"{n}_r"))
+    return left.join(r, cond, "left").drop(*[f"{n}_r" for n in names])
+
+
 def next_stop(df: DataFrame, key, order, stop, out: str = "next_stop", bucket=None) -> DataFrame:
     """Next stop of the same train-day (card W1): computed before any filter."""
     return lead_lag(df, key, order, stop, out, 1, bucket)
@@ -149,6 +158,7 @@ def running_sum(df: DataFrame, key, order, value, out: str, bucket=None) -> Data
     tot = base.groupBy(*key_names, "_b").agg(F.sum("_v").alias("_t"))
     wb = Window.partitionBy(*key_names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("_off", F.sum("_t").over(wb)).select(*key_names, "_b", "_off")
-    res = base.join(off, [*key_names, "_b"], "left")
-    return res.withColumn(out, F.coalesce(F.col("_off") + F.col("_in"), F.col("_in"))) \
+    res = _null_safe_left(base, off, [*key_names, "_b"])
+    # a sum without any value so far is NULL, as in the plain window
+    return res.withColumn(out, F.coalesce(F.col("_off") + F.col("_in"), F.col("_in"), F.col("_off"))) \
         .drop(*key_names, "_b", "_v", "_in", "_off")

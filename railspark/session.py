@@ -44,12 +44,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
+    elif not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="railspark-ckpt-"))
     return sc.getCheckpointDir()
 
 
 def tune(spark: SparkSession, **conf) -> None:
-    """Apply runtime SQL settings the operators rely on (time zone, ANSI)."""
+    """Apply runtime SQL settings the operators rely on (time zone)."""
     for k, v in {"spark.sql.session.timeZone": "UTC", **conf}.items():
         spark.conf.set(k, v)

@@ -16,6 +16,19 @@ def test_bucketed_lead_lag_equals_plain(spark):
         assert sorted(plain, key=key) == sorted(bucket, key=key)
 
 
+def test_bucketed_windows_treat_null_keys_and_buckets_as_values(spark):
+    data = [(1, None, 0, 10), (1, 5, 1, 20), (1, 45, 2, 30), (None, 3, 3, 1), (None, 50, 4, 2), (2, 9, 5, None), (2, 99, 6, 7)]
+    df = spark.createDataFrame(data, "k int, t int, tie int, stop int")
+    bucket = F.floor(F.col("t") / 37)
+    for off in (1, -1):
+        a = W.lead_lag(df, "k", ["t", "tie"], "stop", "o", off).collect()
+        b = W.lead_lag(df, "k", ["t", "tie"], "stop", "o", off, bucket=bucket).collect()
+        assert {r.tie: r.o for r in a} == {r.tie: r.o for r in b}
+    a = W.running_sum(df, "k", ["t", "tie"], "stop", "o").collect()
+    b = W.running_sum(df, "k", ["t", "tie"], "stop", "o", bucket=bucket).collect()
+    assert {r.tie: r.o for r in a} == {r.tie: r.o for r in b}
+
+
 def test_number_rows_consecutive(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("x"))
     rows = W.number_rows(df, ["x"], "n", start=5, partitions=7).collect()
