@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +29,35 @@ LEAST_COUNT = 3
 
 
 class Model:
-    """Log-likelihood ratio per word from bounded count tables."""
+    """Log-likelihood ratio per word from bounded count tables, held in arrays.
 
-    def __init__(self, uni: dict[str, float], ctx: dict[str, float], pair: dict[tuple[str, str], float], unseen: float):
-        self.uni, self.ctx, self.pair, self.unseen = uni, ctx, pair, unseen
+    ``uni``, ``ctx``: by word, of the word itself and of the backoff after it; ``pair``: by
+    (word before, word).  The word before the first is "".
+    """
+
+    def __init__(self, uni: dict[str, float], ctx: dict[str, float], pair: Iterable[tuple[str, str, float]], unseen: float):
+        self.index = {w: k for k, w in enumerate(dict.fromkeys(["", *uni, *ctx]))}
+        self.size = len(self.index) + 1  # words of neither table share the last place
+        self.uni, self.ctx = np.full(self.size, unseen), np.zeros(self.size)
+        for table, values in ((self.uni, uni), (self.ctx, ctx)):
+            table[[self.index[w] for w in values]] = list(values.values())
+        at = [(self.index[u] * self.size + self.index[w], x) for u, w, x in pair]
+        keys, values = np.array([k for k, _ in at], np.int64), np.array([x for _, x in at])
+        order = keys.argsort()
+        self.keys, self.pair = keys[order], values[order]
         self.weights: np.ndarray | None = None
         self.prior = 0.0
 
     def ratios(self, text: str) -> np.ndarray:
-        words = WORDS(text.lower())
-        uni, ctx, pair, unseen = self.uni.get, self.ctx.get, self.pair.get, self.unseen
-        out, before = [], ""
-        for w in words:
-            x = pair((before, w))
-            out.append(ctx(before, 0.0) + uni(w, unseen) if x is None else x)
-            before = w
-        return np.array(out)
+        get, unseen = self.index.get, self.size - 1
+        word = np.array([get(w, unseen) for w in WORDS(text.lower())], np.int64)
+        before = np.concatenate([[0], word[:-1]])[:len(word)]
+        out = self.ctx[before] + self.uni[word]
+        if len(self.keys):
+            key = before * self.size + word
+            at = self.keys.searchsorted(key).clip(max=len(self.keys) - 1)
+            out = np.where(self.keys[at] == key, self.pair[at], out)
+        return out
 
     def features(self, text: str) -> list[float]:
         x = self.ratios(text)
@@ -102,7 +115,7 @@ def estimate(pairs: DataFrame) -> Model:
     both = pairs.groupBy("u", "w").agg(*[side(c, F.col("n")).alias(f"n{c}") for c in (0, 1)]).filter(f"n0 + n1 >= {LEAST_COUNT}")
     k = [totals["k0"] or 0, totals["k1"] or 0]
     if not min(k):
-        return Model({}, {}, {}, 0.0)
+        return Model({}, {}, (), 0.0)
     d = [totals[f"n1{c}"] / max(1, totals[f"n1{c}"] + 2 * totals[f"n2{c}"]) or 0.5 for c in (0, 1)]
     v = [vocab["v0"], vocab["v1"]]
     back = [d[c] * v[c] / k[c] for c in (0, 1)]
@@ -120,12 +133,14 @@ def estimate(pairs: DataFrame) -> Model:
         g = [d[c] * r[f"t{c}"] / r[f"n{c}"] if r[f"n{c}"] else 1.0 for c in (0, 1)]
         gamma[r["u"]], size[r["u"]] = g, (r["n0"], r["n1"])
         ctx[r["u"]] = math.log(g[1] / g[0])
-    pair = {}
-    for r in both.toLocalIterator():
-        g, n, x = gamma[r["u"]], size[r["u"]], p.get(r["w"], rare)
-        q = [(max(r[f"n{c}"] - d[c], 0) / n[c] if n[c] else 0.0) + g[c] * x[c] for c in (0, 1)]
-        pair[r["u"], r["w"]] = math.log(q[1] / q[0])
-    return Model(uni, ctx, pair, math.log(rare[1] / rare[0]))
+
+    def ratios() -> Iterator[tuple[str, str, float]]:
+        for r in both.toLocalIterator():
+            g, n, x = gamma[r["u"]], size[r["u"]], p.get(r["w"], rare)
+            q = [(max(r[f"n{c}"] - d[c], 0) / n[c] if n[c] else 0.0) + g[c] * x[c] for c in (0, 1)]
+            yield r["u"], r["w"], math.log(q[1] / q[0])
+
+    return Model(uni, ctx, ratios(), math.log(rare[1] / rare[0]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
