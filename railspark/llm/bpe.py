@@ -44,7 +44,7 @@ class Bpe:
     """Encoder and decoder of one byte-level vocabulary file; built once per Python worker."""
 
     def __init__(self, path: str, ranks: str | None = None, cache_size: int = 500_000):
-        """``ranks``: a rank file of the same vocabulary; new words are then encoded by tiktoken."""
+        """``ranks``: a rank file of the same vocabulary; whole texts are then encoded by tiktoken."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbol = byte_symbols()
@@ -237,11 +237,6 @@ class Bpe:
     def _learn(self, keys: list[str]) -> None:
         """Puts the ids of new keys into the cache."""
         chunks = list(map(self._chunk, keys))
-        if self.ranks:
-            for k, c in zip(keys, chunks):
-                ids = self.ranks.encode_ordinary(c)
-                self.cache[k] = pack(f"<{len(ids)}I", *ids)
-            return
         parts = [[c.encode()] if c.isalpha() or c[:1] == " " and c[1:].isalpha() else [p.encode() for p in self.split.findall(c)]
                  for c in chunks]
         known = dict.fromkeys(p for ps in parts for p in ps)
@@ -256,9 +251,12 @@ class Bpe:
 
     def encode_batch(self, texts: list[str], specials: bool = True) -> list[np.ndarray]:
         """Ids of whole texts; special tokens in them become their own ids (or are plain text)."""
+        parts = [self.specials.split(t) if specials and any(s in t for s in self.special) else [t] for t in texts]
+        if self.ranks:
+            return [np.concatenate([np.array([self.special[p]], "<u4") if specials and p in self.special else
+                                    self.ranks.encode_to_numpy(p, disallowed_special=()) for p in ps]) for ps in parts]
         if len(self.cache) > self.cache_size:  # two generations: what is still in use moves over
             self.cache, self.older = {}, self.cache
-        parts = [self.specials.split(t) if specials and any(s in t for s in self.special) else [t] for t in texts]
         keys = [[None if specials and p in self.special else self._keys(p) for p in ps] for ps in parts]
         got = [[k and list(map(self.cache.get, k)) for k in ks] for ks in keys]
         new = {w for ks, gs in zip(keys, got) for k, g in zip(ks, gs) if k and None in g for w, x in zip(k, g) if x is None}
