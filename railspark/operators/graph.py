@@ -287,11 +287,10 @@ def missing_graph(triples: DataFrame, base: DataFrame, prev: str = "prev", stop:
     for c in ("p", "s", "n"):
         t = t.join(known.withColumnRenamed("_k", c).withColumnRenamed("_known", f"_k{c}"), c, "left")
     t = t.filter(F.col("_kp").isNull() | F.col("_ks").isNull() | F.col("_kn").isNull())
-    edges = t.select(F.col("p").alias("src"), F.col("s").alias("dst")).unionByName(
-        t.select(F.col("s").alias("src"), F.col("n").alias("dst"))).distinct()
-    unknown = t.select(F.when(F.col("_kp").isNull(), F.col("p")).alias("node")).unionByName(
-        t.select(F.when(F.col("_ks").isNull(), F.col("s")).alias("node"))).unionByName(
-        t.select(F.when(F.col("_kn").isNull(), F.col("n")).alias("node"))).filter(F.col("node").isNotNull()).distinct()
+    pair = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    edges = t.select(F.explode(F.array(pair("p", "s"), pair("s", "n"))).alias("e")).select("e.*").distinct()
+    unknown = t.select(F.explode(F.array(*[F.when(F.col(f"_k{c}").isNull(), F.col(c)) for c in ("p", "s", "n")])).alias("node")) \
+        .filter(F.col("node").isNotNull()).distinct()
     return edges, unknown
 
 

@@ -11,9 +11,13 @@ from railspark.functions.scalar import isclose
 from railspark.operators.relational import join_both_endpoints, union_distinct_endpoints, found_ratio
 
 
-def profile(df: DataFrame, approx: bool = False) -> DataFrame:
+METRICS = ("distinct_count", "null_count", "blank_count")
+
+
+def profile(df: DataFrame, approx: bool = False, metrics=METRICS) -> DataFrame:
     """One row per column: distinct (NULL not counted), null and blank counts, from a single scan.
 
+    Only the asked ``metrics`` are computed: null and blank counts alone need no row expansion.
     ``approx=True`` uses HyperLogLog sketches, avoiding the row expansion of many exact distincts.
     """
     aggs, names = [], []
@@ -21,12 +25,12 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         c = F.col(f"`{f.name}`")
         dist = F.approx_count_distinct(c) if approx else F.count_distinct(c)
         blank = F.count_if(c == "") if isinstance(f.dataType, T.StringType) else F.lit(None).cast("long")
-        aggs += [dist.alias(f"d{len(names)}"), F.count_if(c.isNull()).alias(f"n{len(names)}"),
-                 blank.alias(f"b{len(names)}")]
+        made = {"distinct_count": dist, "null_count": F.count_if(c.isNull()), "blank_count": blank}
+        aggs += [made[m].alias(f"{m}_{len(names)}") for m in metrics]
         names.append(f.name)
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{n}', d{i}, n{i}, b{i}" for i, n in enumerate(names))
-    return wide.selectExpr(f"stack({len(names)}, {stack}) AS (column_name, distinct_count, null_count, blank_count)")
+    stack = ", ".join(", ".join([f"'{n}'", *(f"{m}_{i}" for m in metrics)]) for i, n in enumerate(names))
+    return wide.selectExpr(f"stack({len(names)}, {stack}) AS ({', '.join(['column_name', *metrics])})")
 
 
 def duplicate_rows(df: DataFrame, cols=None) -> DataFrame:

@@ -214,10 +214,11 @@ def station_pair_requests(links: DataFrame, seq: DataFrame | None = None, dep: s
 
 
 def periodic_trips(pairs: DataFrame, end: int, headway: int = 1000, tail: int = 5000,
-                   src: str = "src", dst: str = "dst", offset: str = "offset", pair_order=None) -> DataFrame:
+                   src: str = "src", dst: str = "dst", offset: str = "offset", pair_order=None,
+                   first_id: int = 1) -> DataFrame:
     """Card T6: departures offset, offset+headway, ... <= end-tail for every OD pair.
 
-    ids ``0..`` in generation order (pair order, time); sorted output is by ``depart``.
+    ids ``first_id..`` in generation order (pair order, time); sorted output is by ``depart``.
     """
     stop = F.lit(end - tail)
     po = _cols(pair_order) if pair_order else [F.col(src), F.col(dst), F.col(offset)]
@@ -225,7 +226,7 @@ def periodic_trips(pairs: DataFrame, end: int, headway: int = 1000, tail: int =
         *po, F.col(src).alias("from_station"), F.col(dst).alias("to_station"),
         F.explode(F.sequence(F.col(offset).cast("long"), stop.cast("long"), F.lit(headway).cast("long"))).alias("depart"))
     g = g.select(F.struct(*po).alias("_po"), "from_station", "to_station", "depart")
-    return number_rows(g, ["_po", "depart"], "trip_id").drop("_po")
+    return number_rows(g, ["_po", "depart"], "trip_id").drop("_po").withColumn("trip_id", F.col("trip_id") + F.lit(first_id))
 
 
 def schedule_propagate(routes: DataFrame, edges: DataFrame, vmax: float, dwell: int = 60,

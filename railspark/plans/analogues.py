@@ -84,9 +84,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One polyline per embedding: 32 points ``[50 + e[2i]/50, 4 + e[2i+1]/50]``."""
+    """One polyline per embedding: a point ``[50 + e[2i]/50, 4 + e[2i+1]/50]`` per pair of its values."""
     e = table(spark, sf_dir, "embeddings")
-    pts = F.transform(F.sequence(F.lit(0), F.lit(31)),
+    last = F.floor(F.size("embedding") / 2).cast("int") - 1
+    pts = F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
                       lambda i: F.array(F.round(F.lit(50.0) + F.get("embedding", 2 * i).cast("double") / 50, 6),
                                         F.round(F.lit(4.0) + F.get("embedding", 2 * i + 1).cast("double") / 50, 6)))
     return e.select(F.col("vec_id").alias("ID"), F.col("label").alias("Label"), pts.alias("Path"))

@@ -585,7 +585,7 @@ def _profile_sql(metric: str) -> str:
 
 def _profile(metric):
     def run(spark, sf):
-        return Q.profile(A.table(spark, sf, "documents")).select("column_name", metric)
+        return Q.profile(A.table(spark, sf, "documents"), metrics=(metric,))
     return run
 
 
@@ -595,9 +595,9 @@ for _m, _k in (("distinct_count", "profile_distinct"), ("null_count", "profile_n
 
 
 @q("duplicate_rows", """
-SELECT l_orderkey, l_linenumber, count(*) AS count FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
+SELECT *, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
 def q_duplicate_rows(spark, sf):
-    return Q.duplicate_rows(A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
+    return Q.duplicate_rows(A.table(spark, sf, "lineitem"))
 
 
 @q("adjacency_sets", S.with_(S.LINKS) + """
@@ -920,11 +920,10 @@ def q_replace_end(spark, sf):
 
 
 def _assigned(spark, sf):
-    li = A.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
-    return li.select(F.col("l_suppkey").alias("Station_ID"), F.col("l_partkey").alias("track_id"))
+    return A.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("Station_ID"), F.col("l_partkey").alias("track_id"))
 
 
-ASSIGNED_SQL = "assigned AS (SELECT l_suppkey AS Station_ID, l_partkey AS track_id FROM lineitem WHERE l_returnflag = 'R')"
+ASSIGNED_SQL = "assigned AS (SELECT l_suppkey AS Station_ID, l_partkey AS track_id FROM lineitem)"
 
 
 @q("group_nunique_tracks", S.with_(ASSIGNED_SQL) + """
@@ -1214,7 +1213,7 @@ def q_pair_requests(spark, sf):
 WITH pairs AS (SELECT n_nationkey AS src, n_regionkey AS dst, n_nationkey * 250 AS "offset" FROM nation),
 g AS (SELECT src, dst, "offset", unnest(generate_series(CAST("offset" AS BIGINT), CAST(5000 AS BIGINT), CAST(1000 AS BIGINT))) AS depart
       FROM pairs WHERE "offset" <= 5000)
-SELECT src AS from_station, dst AS to_station, depart, row_number() OVER (ORDER BY src, dst, "offset", depart) - 1 AS trip_id
+SELECT src AS from_station, dst AS to_station, depart, row_number() OVER (ORDER BY src, dst, "offset", depart) AS trip_id
 FROM g""")
 def q_periodic(spark, sf):
     n = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"),
@@ -1558,21 +1557,21 @@ SELECT CAST(ID AS VARCHAR) AS id, Geo_y AS x, Geo_x AS y, 'priority' AS type FRO
 
 @q("sink_xml_edges", S.with_(S.LINKS) + """
 SELECT Departure_station_id || '_' || Arrival_station_id AS id, CAST(Departure_station_id AS VARCHAR) AS "from",
-       CAST(Arrival_station_id AS VARCHAR) AS "to", Distance * 1000 AS length, 2 AS n_shape_points FROM links""")
+       CAST(Arrival_station_id AS VARCHAR) AS "to", Distance * 1000 AS length, 2 AS n_shape_points, '2' AS priority FROM links""")
 def q_xml_edges(spark, sf):
     out = IO.scratch_path(spark, "edges-xml")
-    IO.sink_xml(IO.xml_edges(A.links(spark, sf)), out, "edges", "edge")
-    back = IO.scan_xml(spark, out, "edge", ["id", "from", "to", "length", "shape"])
+    IO.sink_xml(IO.xml_edges(A.links(spark, sf), A.stations(spark, sf)), out, "edges", "edge")
+    back = IO.scan_xml(spark, out, "edge", ["id", "from", "to", "length", "shape", "priority"])
     return back.select(F.col("_id").alias("id"), F.col("_from").alias("from"), F.col("_to").alias("to"),
                        F.col("_length").try_cast("double").alias("length"),
-                       F.size(F.split("_shape", " ")).alias("n_shape_points"))
+                       F.size(F.split("_shape", " ")).alias("n_shape_points"), F.col("_priority").alias("priority"))
 
 
 @q("sink_xml_platforms", S.with_(S.LINKS, S.STATIONS) + """
 SELECT l.Departure_station_id || '->' || l.Arrival_station_id AS id,
-       l.Departure_station_id || '_' || l.Arrival_station_id || '_0' AS lane, s.Name AS name,
+       l.Departure_station_id || '_' || l.Arrival_station_id || '_0' AS lane, d.Name || ' to ' || s.Name || ' platform' AS name,
        '80' AS startPos, '300' AS endPos
-FROM links l LEFT JOIN stations s ON l.Arrival_station_id = s.ID""")
+FROM links l JOIN stations d ON l.Departure_station_id = d.ID JOIN stations s ON l.Arrival_station_id = s.ID""")
 def q_xml_platforms(spark, sf):
     out = IO.scratch_path(spark, "platforms-xml")
     IO.sink_xml(IO.xml_platforms(A.links(spark, sf), A.stations(spark, sf)), out, "additional", "trainStop")
@@ -1594,16 +1593,17 @@ def q_xml_trips(spark, sf):
 
 
 @q("sink_xml_routes", CLEAN_SQL + """
-SELECT 'train_' || trip_id AS id, string_agg(dep || '_' || arr, ' ' ORDER BY p) AS edges, CAST(count(*) - 1 AS INTEGER) AS n_stops
+SELECT 'train_' || trip_id AS id, string_agg(dep || '_' || arr, ' ' ORDER BY p) AS edges, CAST(count(*) - 1 AS INTEGER) AS n_stops,
+       'myTrain' AS type
 FROM (SELECT trip_id, dep, arr, row_number() OVER (PARTITION BY trip_id ORDER BY p) AS p FROM cleaned) GROUP BY trip_id""")
 def q_xml_routes(spark, sf):
     out = IO.scratch_path(spark, "routes-xml")
     IO.sink_xml(IO.xml_routes(T.route_edges(cleaned_trips(spark, sf))), out, "routes", "vehicle")
-    schema = ("_id string, _depart string, route struct<_edges:string>, "
+    schema = ("_id string, _type string, _depart string, route struct<_edges:string>, "
               "stop array<struct<_trainStop:string,_until:string,_duration:string>>")
     back = IO.scan_xml(spark, out, "vehicle", schema=schema)
     return back.select(F.col("_id").alias("id"), F.col("route._edges").alias("edges"),
-                       F.coalesce(F.size("stop"), F.lit(0)).alias("n_stops"))
+                       F.coalesce(F.size("stop"), F.lit(0)).alias("n_stops"), F.col("_type").alias("type"))
 
 
 @q("sink_geojson", S.with_(S.POLYLINES) + """

@@ -34,7 +34,7 @@ links AS (
 
 POLYLINES = """polylines AS (
   SELECT vec_id AS ID, label AS Label,
-         list_transform(range(0, 32), lambda i: [round(50.0 + CAST(embedding[2 * i + 1] AS DOUBLE) / 50, 6),
+         list_transform(range(0, len(embedding) // 2), lambda i: [round(50.0 + CAST(embedding[2 * i + 1] AS DOUBLE) / 50, 6),
                                             round(4.0 + CAST(embedding[2 * i + 2] AS DOUBLE) / 50, 6)]) AS Path
   FROM embeddings)"""
 

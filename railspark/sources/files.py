@@ -79,12 +79,26 @@ def xml_nodes(stations: DataFrame, station_id: str = "ID", lat: str = "Geo_x", l
                            F.col(lat).alias("_y"), F.lit(node_type).alias("_type"))
 
 
-def xml_edges(links: DataFrame, dep: str = "Departure_station_id", arr: str = "Arrival_station_id",
-              distance_km: str = "Distance", shape: str = "Coordinates", speed: float = 27.0) -> DataFrame:
-    """``<edge id="a_b" from to priority numLanes length(m) speed allow shape="x,y ...">``."""
+def both_ends_in(links: DataFrame, stations: DataFrame, dep: str = "Departure_station_id",
+                 arr: str = "Arrival_station_id", station_id: str = "ID") -> DataFrame:
+    """Links of which both ends are among the selected ``stations``."""
+    chosen = stations.select(F.col(station_id).alias("_sid")).distinct()
+    for end in (dep, arr):
+        links = links.join(chosen, F.col(end) == F.col("_sid"), "left_semi")
+    return links
+
+
+def xml_edges(links: DataFrame, stations: DataFrame | None = None, dep: str = "Departure_station_id",
+              arr: str = "Arrival_station_id", distance_km: str = "Distance", shape: str = "Coordinates",
+              speed: float = 27.0, station_id: str = "ID") -> DataFrame:
+    """``<edge id="a_b" from to priority numLanes length(m) speed allow shape="x,y ...">``.
+
+    With ``stations`` only links of which both ends are selected."""
+    if stations is not None:
+        links = both_ends_in(links, stations, dep, arr, station_id)
     pts = F.transform(F.col(shape), lambda p: F.concat_ws(",", p[1].cast("string"), p[0].cast("string")))
     return links.select(F.concat_ws("_", dep, arr).alias("_id"), F.col(dep).cast("string").alias("_from"),
-                        F.col(arr).cast("string").alias("_to"), F.lit(1).alias("_priority"),
+                        F.col(arr).cast("string").alias("_to"), F.lit(2).alias("_priority"),
                         F.lit(1).alias("_numLanes"), (F.col(distance_km) * 1000).alias("_length"),
                         F.lit(speed).alias("_speed"), F.lit("rail").alias("_allow"),
                         F.array_join(pts, " ").alias("_shape"))
@@ -92,9 +106,13 @@ def xml_edges(links: DataFrame, dep: str = "Departure_station_id", arr: str = "A
 
 def xml_platforms(links: DataFrame, stations: DataFrame, dep: str = "Departure_station_id",
                   arr: str = "Arrival_station_id", station_id: str = "ID", name: str = "Name") -> DataFrame:
-    """``<trainStop id="a->b" lane="a_b_0" name startPos endPos>`` per link (name of the arrival station)."""
-    nm = stations.select(F.col(station_id).alias("_sid"), F.col(name).alias("_name"))
-    j = links.join(nm, F.col(arr) == F.col("_sid"), "left")
+    """``<trainStop id="a->b" lane="a_b_0" name="A to B platform" startPos endPos>`` per link of which
+    both ends are among ``stations``."""
+    j = links
+    for end, n in ((dep, "_dn"), (arr, "_an")):
+        nm = stations.select(F.col(station_id).alias(n + "_id"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias(n))
+        j = j.join(nm, F.col(end) == F.col(n + "_id"))
+    j = j.withColumn("_name", F.concat("_dn", F.lit(" to "), "_an", F.lit(" platform")))
     return j.select(F.concat_ws("->", dep, arr).alias("_id"), F.concat(F.concat_ws("_", dep, arr), F.lit("_0")).alias("_lane"),
                     "_name", F.lit(80).alias("_startPos"), F.lit(300).alias("_endPos"))
 
@@ -105,10 +123,10 @@ def xml_trips(od: DataFrame, vtype: str = "myTrain") -> DataFrame:
                      F.col("to_edge").alias("_to"), F.lit(vtype).alias("_type"))
 
 
-def xml_routes(routes: DataFrame) -> DataFrame:
-    """``<vehicle id depart><route edges/><stop trainStop until duration/>...`` from ``route_edges``."""
+def xml_routes(routes: DataFrame, vtype: str = "myTrain") -> DataFrame:
+    """``<vehicle id type depart><route edges/><stop trainStop until duration/>...`` from ``route_edges``."""
     return routes.select(F.concat(F.lit("train_"), F.col("trip_id").cast("string")).alias("_id"),
-                         F.col("depart").alias("_depart"),
+                         F.lit(vtype).alias("_type"), F.col("depart").alias("_depart"),
                          F.struct(F.col("edges").alias("_edges")).alias("route"),
                          F.transform("stops", lambda s: F.struct(s["trainStop"].alias("_trainStop"),
                                                                  s["until"].alias("_until"),
@@ -116,13 +134,14 @@ def xml_routes(routes: DataFrame) -> DataFrame:
 
 
 def base_date_from_xml(spark: SparkSession, path: str) -> DataFrame:
-    """First ``YYYY-MM-DD`` in the root element's attributes, else in the last ``<step`` line; one row."""
+    """First ``YYYY-MM-DD`` in the root element's start tag (the first element; its tag is one line), else
+    in the last ``<step`` line; one row."""
     pat = r"\b(\d{4}-\d{2}-\d{2})\b"
     t = spark.read.text(path).withColumn("_pos", F.monotonically_increasing_id())
     t = t.withColumns({"_d": F.nullif(F.regexp_extract("value", pat, 1), F.lit("")),
-                       "_root": F.col("value").rlike(r"^\s*<(summary|[A-Za-z]+)\b[^?!]") & ~F.col("value").rlike(r"^\s*<step\b"),
+                       "_element": F.col("value").rlike(r"^\s*<[A-Za-z]"),
                        "_step": F.col("value").rlike(r"^\s*<step\b")})
-    agg = t.agg(F.min_by("_d", F.when(F.col("_root") & F.col("_d").isNotNull(), F.col("_pos"))).alias("_r"),
+    agg = t.agg(F.min_by("_d", F.when(F.col("_element"), F.col("_pos"))).alias("_r"),
                 F.max_by("_d", F.when(F.col("_step"), F.col("_pos"))).alias("_s"))
     return agg.select(F.try_to_date(F.coalesce("_r", "_s"), "yyyy-MM-dd").alias("base_date"))
 

@@ -72,3 +72,29 @@ def test_profile_is_one_scan_and_filters_reach_the_scan(spark):
     scan = [l for l in tr.split("\n") if "FileScan" in l][0]
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in scan
     assert "l_tax" not in scan and "l_returnflag" not in scan
+
+
+def test_edges_and_platforms_need_both_ends(spark):
+    links = spark.createDataFrame([(1, 2, 1.5, [[50.0, 4.0], [51.0, 5.0]]), (1, 9, 2.0, [[50.0, 4.0]]), (9, 2, 2.0, [[50.0, 4.0]])],
+                                  "Departure_station_id long, Arrival_station_id long, Distance double, Coordinates array<array<double>>")
+    chosen = spark.createDataFrame([(1, "A"), (2, "B")], "ID long, Name string")
+    e = IO.xml_edges(links, chosen).collect()
+    assert [(r._id, r._priority, r._length) for r in e] == [("1_2", 2, 1500.0)]
+    assert IO.xml_edges(links).count() == 3
+    p = IO.xml_platforms(links, chosen).collect()
+    assert [(r._id, r._name) for r in p] == [("1->2", "A to B platform")]
+
+
+def test_base_date_reads_the_root_alone_then_the_last_step(spark):
+    for lines, want in ((['<?xml version="1.0"?>', '<a begin="2024-01-05">', '<step d="2024-02-01"/>'], "2024-01-05"),
+                        (['<a>', '<b d="2024-01-01"/>', '<step d="2024-02-01"/>', '<step d="2024-03-01"/>', '</a>'], "2024-03-01"),
+                        (['<a>', '<b d="2024-01-01"/>', '</a>'], "None")):
+        out = IO.scratch_path(spark, "t-base")
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(out)
+        assert str(IO.base_date_from_xml(spark, out).first()[0]) == want
+
+
+def test_null_and_blank_profiles_have_no_row_expansion(spark):
+    for name in ("profile_nulls", "profile_blanks"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and plan.count("FileScan") == 1

@@ -57,6 +57,7 @@ def test_periodic_trips_and_schedule(spark):
     pairs = spark.createDataFrame([(1, 2, 0), (3, 4, 5000), (5, 6, 6000), (7, 8, 0)], "src int, dst int, offset int")
     t = T.periodic_trips(pairs, end=10000, headway=2500, tail=5000).orderBy("trip_id").collect()
     assert [(r.from_station, r.depart) for r in t] == [(1, 0), (1, 2500), (1, 5000), (3, 5000), (7, 0), (7, 2500), (7, 5000)]
+    assert [r.trip_id for r in t] == [1, 2, 3, 4, 5, 6, 7]
     routes = spark.createDataFrame([("v", 100.0, "e0 e1 eX e2")], "vehicle string, depart double, edges string")
     edges = spark.createDataFrame([("e0", 1000.0, 10.0), ("e1", 1000.0, 10.0), ("e2", 1000.0, 50.0)],
                                   "id string, length double, speed double")
