@@ -209,6 +209,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     """The rows of ``docs`` that the score does not reject, each judged by its own text.
 
     One pass over the table: only the texts go to Python and nothing is shuffled.
+    Null text counts as empty, and an empty text has the score of no evidence; ids, also null or
+    repeated ones, play no part in the filter.
     """
     model = fit(docs, labels)
 

@@ -338,6 +338,21 @@ def test_a_token_is_scored_once_however_windows_fall():
     assert per == n
 
 
+def test_drop_toxic_judges_each_row_by_its_text(spark):
+    bad, good = "you are a stupid rotten liar and we hate you " * 3, "the river runs past the quiet old mill today " * 3
+    rows = [(i, f"{bad if i % 3 == 0 else good} {i % 5}") for i in range(400)]
+    more = [(None, bad), (None, good), (900, None), (901, ""), (902, bad), (902, good), (902, good)]
+    d = spark.createDataFrame([(i, t, 0.5, 7) for i, t in rows + more], "doc_id long, text string, score double, toxicity int")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(d, lab)
+    assert kept.columns == d.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert not [t for _, t in left if t and "stupid" in t]
+    assert sum(i is not None and i < 400 for i, _ in left) == sum(i % 3 != 0 for i in range(400))
+    assert (None, good) in left and left.count((902, good)) == 2
+    assert toxicity.drop_toxic(d.limit(0), lab).count() == 0
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as cp
     data = docs.filter("doc_id is not null").select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"), "kept")
