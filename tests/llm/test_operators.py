@@ -338,6 +338,15 @@ def test_a_token_is_scored_once_however_windows_fall():
     assert per == n
 
 
+def test_the_rounds_train_on_every_window_once(spark):
+    rnd = np.random.default_rng(2)
+    ids = [rnd.integers(0, 50, n).astype("<u2") for n in (1, 32, 33, 500, 1601)]
+    tokens = spark.createDataFrame([(k << 30, t.tobytes()) for k, t in enumerate(ids)], "row long, ids binary")
+    model = lm.Lm(np.bincount(np.concatenate(ids), minlength=lm.END + 1), lm.END + 1)
+    rounds = [lm.train_round(tokens, model, turn, 0.01) for turn in range(lm.ROUNDS)]
+    assert sum(windows for _, windows in rounds) == sum(-(-len(t) // lm.NEW) for t in ids)
+
+
 def test_drop_toxic_judges_each_row_by_its_text(spark):
     bad, good = "you are a stupid rotten liar and we hate you " * 3, "the river runs past the quiet old mill today " * 3
     rows = [(i, f"{bad if i % 3 == 0 else good} {i % 5}") for i in range(400)]
