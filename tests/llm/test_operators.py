@@ -347,6 +347,39 @@ def test_the_rounds_train_on_every_window_once(spark):
     assert sum(windows for _, windows in rounds) == sum(-(-len(t) // lm.NEW) for t in ids)
 
 
+def test_lm_tells_rare_subwords_apart(spark):
+    rnd = np.random.default_rng(4)
+    ids = [np.concatenate([rnd.integers(0, lm.TOP, 6000), rnd.integers(3000, 9000, 60).repeat(2), [40000, 41000] * 9]) for _ in range(5)]
+    ids = [np.append(t, lm.END).astype("<u2") for t in ids + [np.arange(lm.TOP).repeat(3)]]
+    data = [(k, k // 2, k == 4, t.tobytes()) for k, t in enumerate(ids)]
+    tokens = spark.createDataFrame(data, "row long, chunk long, _held boolean, ids binary")
+    model, known = lm.fit(tokens)
+    assert len(model.par["E"]) == lm.END + 1
+    size, rare = len(model.slot), lambda t: model.slot[t] >= lm.TOP
+    pairs = [[(int(b) * size + int(t), b, t) for b, t in zip([lm.END, *x[:-1]], x)] for x in ids]
+    count = collections.Counter(p for k, x in enumerate(pairs) if k != 4 for p, b, t in x if rare(b) or rare(t))
+    want = {(k // 2, p): count[p] for k, x in enumerate(pairs) for p, _, _ in x if count[p]}
+    assert {(r.chunk, r.pair): r.n for r in known.collect()} == want
+    own = np.zeros((size, lm.CLASSES))
+    for p, n in count.items():
+        if rare(p // size):
+            own[p // size, model.cls[model.slot[p % size]]] += n
+    assert (own == model.own).all() and abs(np.exp(model.cls_log[[40000, 41000, 50000]]).sum(1) - 1).max() < 1e-3
+    everything = np.arange(size)
+    for b in (40000, int(model.top[5]), 50000):  # p(token | class, previous) sums to one over each class
+        n = np.array([count[b * size + t] for t in range(size)])
+        slots = model.slot[everything]
+        log = model.slot_log[model.slot[b], slots] + model.within
+        at = np.full(size, rare(b)) | rare(everything)
+        log[at] += model.exact(np.full(at.sum(), b), everything[at], n[at])
+        assert abs(np.bincount(model.cls[slots], np.exp(log.astype(float)), lm.CLASSES)[np.unique(model.cls[slots])] - 1).max() < 1e-3
+    more = {r.row: r.more for r in lm.exact_scores(tokens, known, model).collect()}
+    for k, x in enumerate(pairs):
+        x = np.array([(b, t, count[p]) for p, b, t in x if rare(b) or rare(t)], np.int64).reshape(-1, 3)
+        assert abs(more[k] - model.exact(*x.T).sum() / math.log(10)) < 1e-6
+    assert model.exact(np.array([40000, 40000]), np.array([41000, 40000]), np.array([count[40000 * size + 41000], 0])).argmax() == 0
+
+
 def test_drop_toxic_judges_each_row_by_its_text(spark):
     bad, good = "you are a stupid rotten liar and we hate you " * 3, "the river runs past the quiet old mill today " * 3
     rows = [(i, f"{bad if i % 3 == 0 else good} {i % 5}") for i in range(400)]
