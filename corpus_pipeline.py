@@ -21,13 +21,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (A-Z lower-cased) the smallest id stays."""
+    """Of rows with equal texts (A-Z lower-cased) one stays, with the smallest id."""
     ship(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the smallest id stays."""
+    """Of each group of near duplicates (five words, similarity 0.8) one row stays, with the smallest id."""
     ship(spark)
     return near_dedup.drop_near_copies(docs)
 

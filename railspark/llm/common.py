@@ -49,6 +49,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, doc_id: str = "doc_id", keep: str = "min") -> tuple[DataFrame, str]:
+    """``docs`` written with a number of its own for each row, and that column's name.
+
+    Numbers ascend with the id ("max": descend), then with the row's place; null ids come last.
+    """
+    name = max(docs.columns, key=len) + "_row"
+    by = docs[doc_id].cast("long")
+    ordered = docs.withColumn(name, F.monotonically_increasing_id()) \
+        .orderBy(by.asc_nulls_last() if keep == "min" else by.desc_nulls_last(), name)
+    return written(ordered.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def fold_ascii(text: str) -> Column:
     """The text with A-Z lower-cased and every other character as it was; null is empty."""
     return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fold_ascii, written
+from .common import fold_ascii, numbered, written
 
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min",
@@ -39,10 +39,12 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` whose document stays; all columns as they were.
+    """One row of each group of equal texts; all columns as they were.
 
-    Only the ids that go are joined back, so rows that stay keep their order of columns and
-    rows with a null id stay.
+    Each row is judged by its own text: of a group the row with the kept id stays ("min", "max";
+    a null id only where the group has no other), and of rows that repeat it the first written.
     """
-    gone = duplicate_groups(docs, doc_id, text, keep).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs[doc_id] == F.col("_gone"), "left_anti")
+    rows, row = numbered(docs, doc_id, keep)
+    stays = rows.select(row, fold_ascii(text).alias("_text")).groupBy(F.md5("_text").alias("_hash"), "_text").agg(F.min(row).alias("_stays"))
+    gone = written(rows.select(F.col(row).alias("_gone")).join(stays.select("_stays"), F.col("_gone") == F.col("_stays"), "left_anti"))
+    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").drop(row)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts_of, written
+from .common import numbered, texts_of, written
 from .components import components
 
 WORDS_PER_SHINGLE = 5
@@ -228,6 +228,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component."""
-    gone = near_duplicates(docs, num=num, den=den).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each component of linked rows, that with the smallest id (null last), then the first written.
+
+    Each row is judged by its own text, so rows that share an id, or have none, are compared as well.
+    """
+    rows, row = numbered(docs)
+    gone = written(near_duplicates(rows, doc_id=row, num=num, den=den).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")))
+    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").drop(row)

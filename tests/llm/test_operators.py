@@ -395,6 +395,25 @@ def test_drop_toxic_judges_each_row_by_its_text(spark):
     assert toxicity.drop_toxic(d.limit(0), lab).count() == 0
 
 
+def test_dedup_stages_judge_rows_not_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(5, a), (3, a), (5, b), (7, c), (7, c), (None, c.upper()), (None, d), (None, d), (8, None), (9, "")]
+    cols = "doc_id long, text string, n int"
+    copies = spark.createDataFrame([(i, t, 1) for i, t in rows], cols)
+    for keep, want in (("min", [(3, a), (5, b), (7, c), (None, d), (8, None)]), ("max", [(5, a), (5, b), (7, c), (None, d), (9, "")])):
+        got = exact_dedup.drop_copies(copies, keep=keep)
+        assert got.columns == copies.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    near = spark.createDataFrame([(i, t and t + f" end{k}", 1) for k, (i, t) in enumerate(rows)], cols)
+    got = near_dedup.drop_near_copies(near)
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == near.columns
+    assert sorted((str(i), t[:1] if t else t) for i, t in kept if t) == [("3", "a"), ("5", "b"), ("7", "c"), ("None", "d")]
+    assert {i for i, t in kept if not t} == {8, 9}
+    # the suffix stage then finds no repeats: every text is still there once
+    cut = substring_dedup.without_repeats(exact_dedup.drop_copies(copies))
+    assert sorted(r.text or "" for r in cut.collect()) == sorted(["", a, b, c, d])
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as cp
     data = docs.filter("doc_id is not null").select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"), "kept")
