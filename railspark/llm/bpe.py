@@ -1,8 +1,8 @@
 """BPE encoding by per-prefix dynamic programming, and decoding (operator 1).
 
 A BPE vocabulary has one encoding per string, and the encoding of a prefix ends in exactly
-one token.  That token is found left to right: an automaton with suffix links over the
-vocabulary yields every token that ends at a position, and a token is the right one when the
+one token.  That token is found left to right: an Aho-Corasick automaton of the
+vocabulary, in place of a suffix automaton, yields every token that ends at a position, and a token is the right one when the
 prefix before it ends in a token it is *compatible* with (the two would not have been merged
 across their seam).  Back-pointers then give the ids.  A piece of n bytes costs O(n) matches,
 so text without any space stays linear.
