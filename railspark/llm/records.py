@@ -2,8 +2,8 @@
 
 A file is a run of frames: u64 length of the payload, u32 masked CRC-32C of those eight bytes,
 the payload, u32 masked CRC-32C of the payload (all little-endian): the widespread record
-format of training-data loaders.  A payload is u32 flags (1: the document has no id), u32 number
-of ids, i64 document id, then the ids as u32.  The index is a Parquet table beside the files,
+format of training-data loaders.  A payload is u32 flags (1: the document has no id; 2: an id
+passes 16 bits), u32 number of ids, i64 document id, then the ids as u16, or u32 under flag 2.  The index is a Parquet table beside the files,
 (file, offset, size, doc_id, n_tokens) per record, so that readers may take records in any order.
 """
 
@@ -102,20 +102,43 @@ def unframed(records: list[bytes]) -> list[bytes]:
     return payloads
 
 
+class Words(dict):
+    """Little-endian u32 ids of each distinct word, found when it is first asked for.
+
+    Two generations of at most ``REMEMBERED`` words: a full one turns old, and what is asked for
+    again moves to the new one, so common words stay.
+    """
+
+    REMEMBERED = 1 << 19
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.old = find, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.find(word)
+        if len(self) >= self.REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts, as the tokenizer file's library gives them without special tokens added.
 
     Words repeat, so each distinct word (between blanks that end a token in any case) is encoded
-    once.  A word of ASCII and Latin letters goes through the file's own normalisation and
-    pattern here and through the library's model piece by piece; any other word, and any file
-    with other steps than these, goes through the whole library.
+    once.  A word of ASCII and Latin letters goes through the file's own lower case and pattern
+    here and through the library's model piece by piece; any other word, and any file with other
+    steps than these, goes through the whole library.
     """
 
-    #: Characters whose lower case, composition and class do not depend on their neighbours.
-    PLAIN = regex.compile(r"[!-~¡-ſ]*")
-    #: Distinct words and pieces that a worker remembers.
-    REMEMBERED = 1 << 19
-
+    #: Characters that are composed already and whose lower case and class do not depend on their neighbours.
+    PLAIN = regex.compile(r"[!-~\u00a1-\u017f]*")
+    #: Python splits words at these, the file's pattern does not.
+    ODD = "\x1c\x1d\x1e\x1f"
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
@@ -130,37 +153,27 @@ class WordEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         if self.by_word:
             self.pattern = regex.compile(cuts[0]["pattern"]["Regex"])
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
-        rest = iter(range(256, 512))
-        self.shown = {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            seen = piece if piece.isascii() else "".join(self.shown[b] for b in piece.encode())
-            ids = self.pieces[piece] = [t.id for t in self.whole.model.tokenize(seen)]
-        return ids
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            if self.PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-                low = word.lower() if word.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-                ids = tuple(i for p in self.pattern.findall(low) for i in self.piece(p))
-            else:
-                ids = tuple(self.whole.encode(word, add_special_tokens=False).ids)
-            self.words[word] = ids
-        return ids
+        rest = iter(range(256, 512))  # bytes without a shape of their own are shown by these
+        self.shown = {b: b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else next(rest) for b in range(256)}
+        self.words, self.pieces = Words(self.word), Words(self.piece)
+
+    def piece(self, piece: str) -> bytes:
+        seen = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown)
+        return np.array([t.id for t in self.whole.model.tokenize(seen)], "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable() or self.PLAIN.fullmatch(word)) or "<" in word and any(s in word for s in self.special):
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low = word.lower()
+        if low.isalpha():
+            return self.pieces[low]
+        return b"".join([self.pieces[p] for p in self.pattern.findall(low)])
 
     def encode(self, text: str) -> np.ndarray:
         if not self.by_word:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        for seen in (self.words, self.pieces):
-            if len(seen) > self.REMEMBERED:
-                seen.clear()
-        return np.array([i for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w for i in self.word(w)], "<u4")
+        words = [w for w in regex.split("[ \t\n]", text) if w] if any(c in text for c in self.ODD) else text.split()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
 
 
 @functools.lru_cache(maxsize=2)
@@ -186,12 +199,14 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1,
         system, base = files.FileSystem.from_uri(store)
         for b in batches:
             keys = b.column(0).to_pylist()
-            payloads = []
+            payloads, counts = [], []
             for key, t in zip(keys, texts_of(b)):
                 ids = np.concatenate([model.encode(t), end])
-                payloads.append(struct.pack(BODY, key is None, len(ids), key or 0) + ids.tobytes())
+                wide = int(ids.max()) >> 16 > 0
+                counts.append(len(ids))
+                payloads.append(struct.pack(BODY, (key is None) + 2 * wide, len(ids), key or 0) + ids.astype("<u4" if wide else "<u2").tobytes())
             rows = []
-            for key, payload, frame in zip(keys, payloads, frames(payloads)):
+            for key, n, frame in zip(keys, counts, frames(payloads)):
                 if out is None or at and at + len(frame) > file_bytes:
                     if out is not None:
                         out.close()
@@ -199,7 +214,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1,
                     system.create_dir(base, recursive=True)
                     out = system.open_output_stream(f"{base}/{name}")
                 out.write(frame)
-                rows.append((name, at, len(frame), key, (len(payload) - BODY_BYTES) // 4))
+                rows.append((name, at, len(frame), key, n))
                 at += len(frame)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, (pa.string(), *[pa.int64()] * 4))],
                                              ["file", "offset", "size", "doc_id", "n_tokens"])
@@ -252,10 +267,10 @@ def read_records(index: DataFrame, path: str, ids: bool = False) -> DataFrame:
                 out = []
                 for (file, offset, _, key, n), payload in zip(rows[at:end], unframed(taken(rows[at:end]))):
                     flags, count, ident = struct.unpack_from(BODY, payload)
-                    body = payload[BODY_BYTES:]
-                    if (None if flags & 1 else ident, count, len(body)) != (key, n, 4 * count):
+                    body = np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=BODY_BYTES)
+                    if (None if flags & 1 else ident, count, len(body)) != (key, n, count):
                         raise ValueError(f"the record at {offset} of {file} is not the one that the index names")
-                    out.append((file, offset, key, count, zlib.crc32(body), np.frombuffer(body, "<u4").astype(np.int64) if ids else None))
+                    out.append((file, offset, key, count, zlib.crc32(body.astype("<u4").tobytes()), body.astype(np.int64) if ids else None))
                 cols = list(zip(*out))[:5 + ids]
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["file", "offset", "doc_id", "n_tokens", "ids_crc32", "ids"][:5 + ids])
