@@ -30,7 +30,8 @@ CHUNK, ROW = 1 << 21, 4096
 #: Stripes with more elements than this over all tasks are merged as rows, others whole.
 WHOLE = 1 << 20
 
-STRIPE = "lang string, prefix string, next array<string>, after array<string>, n array<long>"
+#: A stripe's elements: ``follow`` holds "next after" lines (words have neither blanks nor line ends), ``n`` their counts.
+STRIPE = "lang string, prefix string, follow string, n array<long>"
 DIGEST = "lang string, w1 string, w2 string, w3 string, words int, f long, best long"
 
 
@@ -86,14 +87,15 @@ def stripes_of(lang: str, ids: np.ndarray, words: pa.Array) -> Iterator[pa.Recor
         end = cut[k + ROW] if k + ROW < len(cut) else len(w1)
         offsets = pa.array(np.r_[some, end] - some[0], pa.int32())
         part = slice(some[0], end)
+        follow = pc.binary_join_element_wise(words.take(pa.array(w2[part])), words.take(pa.array(w3[part])), " ")
         yield pa.RecordBatch.from_arrays([
             pa.array([lang] * len(some), pa.string()), words.take(pa.array(w1[some])),
-            *(pa.ListArray.from_arrays(offsets, v) for v in (words.take(pa.array(w2[part])), words.take(pa.array(w3[part])), pa.array(n[part])))],
-            ["lang", "prefix", "next", "after", "n"])
+            pc.binary_join(pa.ListArray.from_arrays(offsets, follow), "\n"), pa.ListArray.from_arrays(offsets, pa.array(n[part]))],
+            ["lang", "prefix", "follow", "n"])
 
 
 def stripes(docs: DataFrame, lang: str = "lang", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Stripes of every task's chunks of ``chunk`` words or a little more: (lang, prefix, next, after, n)."""
+    """Stripes of every task's chunks of ``chunk`` words or a little more: (lang, prefix, follow, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = defaultdict(list)
         vocabulary, size = Vocabulary(), 0
@@ -126,11 +128,9 @@ def digest(rows: pa.Table, least: int) -> pa.RecordBatch:
     key[new[1:]] = 1
     lists = rows["n"].combine_chunks()
     key = np.repeat(np.cumsum(key), np.diff(lists.offsets.to_numpy()))
-    follow = [rows[c].combine_chunks().flatten() for c in ("next", "after")]
-    words = pa.concat_arrays(follow).dictionary_encode()
+    words = pc.split_pattern(pc.split_pattern(rows["follow"].combine_chunks(), "\n").flatten(), " ").flatten().dictionary_encode()
     number, words = words.indices.to_numpy(), words.dictionary
-    m = len(follow[0])
-    k, w2, w3, n = summed(key, number[:m], number[m:], lists.flatten().to_numpy())
+    k, w2, w3, n = summed(key, number[::2], number[1::2], lists.flatten().to_numpy())
     blank = pc.index(words, "").as_py()
     prefixes = pa.Table.from_arrays([rows["lang"], rows["prefix"]], ["lang", "w1"]).take(pa.array(new))
 
@@ -168,7 +168,7 @@ def merged(rows: DataFrame, least: int, whole: int = WHOLE) -> DataFrame:
         size = 0
         for b in batches:
             held.append(b)
-            size += len(b.column(4).flatten())
+            size += len(b.column(3).flatten())
             if size < whole // 2:
                 continue
             rows = pa.Table.from_batches(held)
@@ -178,14 +178,15 @@ def merged(rows: DataFrame, least: int, whole: int = WHOLE) -> DataFrame:
             if cut:
                 yield digest(rows.slice(0, cut), least)
                 held = rows.slice(cut).combine_chunks().to_batches()
-                size = sum(len(x.column(4).flatten()) for x in held)
+                size = sum(len(x.column(3).flatten()) for x in held)
         if held and sum(map(len, held)):
             yield digest(pa.Table.from_batches(held), least)
 
     small = tagged.filter("_large is null").drop("_large").repartition("lang", "prefix") \
         .sortWithinPartitions("lang", "prefix").mapInArrow(run, DIGEST)
-    cells = written(tagged.filter("_large").select("lang", F.col("prefix").alias("w1"), F.inline(F.arrays_zip("next", "after", "n")))
-                    .groupBy("lang", "w1", F.col("next").alias("w2"), F.col("after").alias("w3")).agg(F.sum("n").alias("f")))
+    cells = tagged.filter("_large").select("lang", F.col("prefix").alias("w1"), F.inline(F.arrays_zip(F.split("follow", "\n").alias("pair"), "n")))
+    cells = written(cells.groupBy("lang", "w1", F.substring_index("pair", " ", 1).alias("w2"), F.substring_index("pair", " ", -1).alias("w3"))
+                    .agg(F.sum("n").alias("f")))
     none = F.lit(None)
     words = cells.groupBy("lang", "w1").agg(F.sum("f").alias("f")) \
         .select("lang", "w1", none.cast("string").alias("w2"), none.cast("string").alias("w3"), F.lit(1).alias("words"), "f", none.cast("long").alias("best"))
