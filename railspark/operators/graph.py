@@ -1,47 +1,23 @@
 """Graph operators as iterated DataFrame joins.
 
 Nodes of point graphs are integer point keys (coordinates scaled to longs), never raw doubles.
-Iterative operators (pointer doubling, frontier relaxation, level-synchronous BFS) run a
-bounded number of join rounds, stop when a round changes nothing, and cut lineage with
-``checkpoint()`` into the session's checkpoint directory (a shared folder on a cluster).
+Iterative operators (list contraction, level-synchronous BFS) run join rounds until a round
+changes nothing, and cut lineage with ``checkpoint()`` into the session's checkpoint directory
+(a shared folder on a cluster).
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railspark.functions.geo import point_key, turning_angle
+from railspark.operators.loops import materialise as _materialise, materialise_input
+from railspark.operators.paths import line_graph, path_of, path_rows, platform_paths, shortest_path_pairs, shortest_paths  # noqa: F401
 from railspark.operators.polyline import point_normalise
 from railspark.operators.windows import number_rows
-from railspark.session import ensure_checkpoint_dir
-
-CHECKPOINT_EVERY = 1
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """Keep the partition count of loop tables bounded.
-
-    A union of a table with a broadcast-joined copy of itself has twice its partitions; repeated
-    every round this doubles the task count per round.  ``coalesce`` merges partitions without
-    a shuffle and is a no-op when there are few enough already."""
-    target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(target)
-
-
-def _materialise(df: DataFrame) -> DataFrame:
-    """Write an input of an iterative loop once, so rounds do not recompute its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return _bounded(df).checkpoint(eager=True)
-
-
-def _cut_lineage(df: DataFrame, round_no: int) -> DataFrame:
-    if round_no % CHECKPOINT_EVERY == 0:
-        return _materialise(df)
-    return _bounded(df)
-
 
 # ------------------------------------------------------------------ building graphs
 
@@ -80,41 +56,12 @@ def node_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.count_distinct("v").alias("degree"))
 
 
-# ------------------------------------------------------------------ pointer doubling
-
-
-def _rank_to_head(half: DataFrame, max_rounds: int) -> DataFrame:
-    """List ranking.  ``half(h, pred, is_head)``: every half-edge points to its predecessor (NULL
-    for heads).  Returns ``(h, head, dist)`` for half-edges whose pointer chain reaches a head;
-    the others (cycles without a head) are dropped after ``max_rounds`` doubling rounds."""
-    half = _materialise(half)
-    cur = half.select("h", F.when(F.col("is_head"), F.col("h")).otherwise(F.col("pred")).alias("anc"),
-                      F.when(F.col("is_head"), F.lit(0)).otherwise(F.lit(1)).alias("dist"),
-                      F.col("is_head").alias("done"))
-    heads = half.filter("is_head").select(F.col("h").alias("anc"))
-    for r in range(1, max_rounds + 1):
-        # a pointer that lands on a head is final
-        cur = cur.join(heads.withColumn("_hd", F.lit(True)), "anc", "left") \
-            .withColumn("done", F.col("done") | F.col("_hd").isNotNull()).drop("_hd")
-        cur = _cut_lineage(cur, r)
-        if cur.filter(~F.col("done")).limit(1).count() == 0:
-            break
-        look = cur.select(F.col("h").alias("anc"), F.col("anc").alias("_anc2"), F.col("dist").alias("_d2"))
-        nd = cur.filter(~F.col("done")).join(look, "anc", "left")
-        nd = nd.select("h", F.col("_anc2").alias("anc"), (F.col("dist") + F.col("_d2")).alias("dist"), "done")
-        cur = cur.filter("done").unionByName(nd.filter(F.col("anc").isNotNull()))
-    cur = cur.join(heads.withColumn("_hd", F.lit(True)), "anc", "left").filter(F.col("_hd").isNotNull())
-    return cur.select("h", F.col("anc").alias("head"), "dist")
-
-
-def _rounds(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(n, 2)))) + 2
+# ------------------------------------------------------------------ list contraction
 
 
 def _with_angles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Degree and (for degree-2 nodes) the turn angle through the node: ``(node, degree, n1, n2, angle)``."""
-    nb = edges.groupBy(F.col("u").alias("node")).agg(F.count_distinct("v").alias("degree"),
-                                                     F.min("v").alias("n1"), F.max("v").alias("n2"))
+    nb = _neighbours(edges)
     xy = nodes.select("node", F.array("lat", "lon").alias("p"))
     j = (nb.join(xy, "node", "left")
          .join(xy.select(F.col("node").alias("n1"), F.col("p").alias("p1")), "n1", "left")
@@ -123,82 +70,141 @@ def _with_angles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                     F.when(F.col("degree") == 2, turning_angle("p1", "p", "p2")).alias("angle"))
 
 
-def _half_edges(edges: DataFrame, info: DataFrame, cut_col: str) -> DataFrame:
-    """Half-edges (u -> v) with predecessor (other neighbour of u -> u) unless u is cut."""
-    i = info.select(F.col("node").alias("u"), F.col(cut_col).alias("_cut"), "n1", "n2")
-    h = edges.join(i, "u", "left")
-    other = F.when(F.col("v") == F.col("n1"), F.col("n2")).otherwise(F.col("n1"))
-    return h.select(F.struct("u", "v").alias("h"),
-                    F.when(~F.col("_cut"), F.struct(other.alias("u"), F.col("u").alias("v"))).alias("pred"),
-                    F.col("_cut").alias("is_head"))
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """``(node, degree, n1, n2)`` of a symmetric edge list: distinct neighbours, the smallest and the largest."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.count_distinct("v").alias("degree"),
+                                                       F.min("v").alias("n1"), F.max("v").alias("n2"))
+
+
+def contract_lists(edges: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Randomised list contraction of every run of uncut nodes.
 
+    ``info(node, n1, n2, cut)``: an uncut node has exactly the neighbours n1 and n2 (edges from a
+    node to itself are left out).  A *port* (node, neighbour) is one side of a node; a chain runs
+    from a port of a cut node to another.  Each round takes out the uncut nodes whose random
+    number of that round is smaller than those of their uncut neighbours (about a third of a long
+    run) and links their neighbours directly, so tables shrink geometrically.  On the way back
+    each node finds its place from one of the two ports that it was taken out between.
 
-def contract_chains(edges: DataFrame, nodes: DataFrame, max_angle: float = 45.0, compat: bool = False) -> DataFrame:
+    Returns ``chains(start, first, end, last, n_edges)`` oriented so that (start, first) <= (end,
+    last), ``rings(ring, n_edges)`` of runs without a cut node, named by the node that was left,
+    and ``places(start, first, pos, node)`` of all nodes but the chains' ends (a ring's: start =
+    ring, first NULL).
+    """
+    i = info.select("node", "n1", "n2", "cut")
+    ends = edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct() \
+        .join(i.select(F.col("node").alias("v"), F.col("cut").alias("_cut")), "v") \
+        .join(i.select(F.col("node").alias("u"), F.col("cut").alias("_own"), "n1"), "u")
+    ends = materialise_input(ends)
+    key = ends.schema["u"].dataType
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def link(port, to, back, w, cut):
+        """A way out of a port: to the node ``to`` and its port ``back``, ``w`` edges away."""
+        return F.struct(port.alias("port"), to.alias("to"), back.alias("back"), w.alias("w"), cut.alias("cut"))
+
+    u, v = F.col("u"), F.col("v")
+    first = link(v, v, u, one, F.col("_cut"))
+    live = _materialise(ends.filter(~F.col("_own")).groupBy(u.alias("x")).agg(
+        F.max(F.when(v == F.col("n1"), first)).alias("a"), F.max(F.when(v != F.col("n1"), first)).alias("b")))
+    finished = [ends.filter(F.col("_own") & F.col("_cut") & (u < v)).select(u.alias("s"), v.alias("f"), v.alias("e"), u.alias("l"), one.alias("n"))]
+    none = F.lit(None).cast(live.schema["a"].dataType)
+    rings, rounds = [], []
+    alone, w = F.col("a.to") == F.col("x"), F.col("a.w") + F.col("b.w")  # alone: a ring of one node, its two ports linked
+    while not live.isEmpty():
+        number = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))), c)
+        free = lambda side: F.col(f"{side}.cut") | (number(F.col("x")) < number(F.col(f"{side}.to")))
+        go = ~alone & free("a") & free("b")
+        out = live.filter(go)
+        rings.append(live.filter(alone).select(F.col("x").alias("ring"), F.col("a.port").alias("p1"), F.col("b.port").alias("p2"), F.col("a.w").alias("n")))
+        finished.append(out.filter(F.col("a.cut") & F.col("b.cut")).select(
+            F.col("a.to").alias("s"), F.col("a.back").alias("f"), F.col("b.to").alias("e"), F.col("b.back").alias("l"), w.alias("n")))
+        # both neighbours get a link past the node; those that are cut have no row to change
+        new = [F.struct(F.col(f"{p}.to").alias("x"), link(F.col(f"{p}.back"), F.col(f"{o}.to"), F.col(f"{o}.back"), w, F.col(f"{o}.cut")).alias("_new"),
+                        F.col(f"{p}.cut").alias("_end")) for p, o in ("ab", "ba")]
+        new = out.select(F.inline(F.array(*new))).filter(~F.col("_end")).select("x", none.alias("a"), none.alias("b"), "_new")
+        both = live.filter(~go & ~alone).select("x", "a", "b", none.alias("_new")).unionByName(new).groupBy("x") \
+            .agg(F.max("a").alias("a"), F.max("b").alias("b"), F.min("_new").alias("_lo"), F.max("_new").alias("_hi"))
+        pick = lambda side: F.when(F.col("_lo.port") == F.col(f"{side}.port"), F.col("_lo")) \
+            .when(F.col("_hi.port") == F.col(f"{side}.port"), F.col("_hi")).otherwise(F.col(side)).alias(side)
+        rounds.append(out)
+        live = _materialise(both.select("x", pick("a"), pick("b")))
+
+    chains = _materialise(reduce(DataFrame.unionByName, finished))
+    near, far = F.struct("s", "f"), F.struct("e", "l")
+    turned = [F.when(near <= far, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in
+              (("s", "e", "start"), ("f", "l", "first"), ("e", "s", "end"), ("l", "f", "last"))]
+    chains = chains.select(*turned, F.col("n").alias("n_edges"))
+    ring = chains.select(F.col("start").alias("ring"), F.col("first").alias("p1"), F.col("last").alias("p2"), F.col("n_edges").alias("n")).limit(0)
+    ring = _materialise(reduce(DataFrame.unionByName, rings, ring))
+    # the place of a port: its chain, the position there, and whether its way out goes up or down
+    port = lambda df, to, back, start, first, pos, dir: df.select(
+        F.col(to).alias("to"), F.col(back).alias("back"), F.col(start).alias("start"), first.alias("first"), pos.alias("pos"), F.lit(dir).alias("dir"))
+    nil = F.lit(None).cast(key)
+    at = _materialise(port(chains, "start", "first", "start", F.col("first"), zero, 1)
+                      .unionByName(port(chains, "end", "last", "start", F.col("first"), F.col("n_edges"), -1))
+                      .unionByName(port(ring, "ring", "p1", "ring", nil, zero, 1)).unionByName(port(ring, "ring", "p2", "ring", nil, F.col("n"), -1)))
+    for out in reversed(rounds):
+        pos, way = F.col("pos") + F.col("dir") * F.col("a.w"), F.col("dir")
+        side = lambda name, d: F.struct(F.col("x").alias("to"), F.col(f"{name}.port").alias("back"), "start", "first", pos.alias("pos"), d.alias("dir"))  # noqa: E731, B023
+        found = out.select("x", "a", "b", F.col("a.to").alias("to"), F.col("a.back").alias("back")).join(at, ["to", "back"]) \
+            .select(F.inline(F.array(side("a", -way), side("b", way))))
+        at = _materialise(at.unionByName(found))
+    # every node but a chain's end has one port whose way goes up
+    return chains, ring.select("ring", F.col("n").alias("n_edges")), at.filter("dir = 1").select("start", "first", "pos", F.col("to").alias("node"))
+
+
+def contract_chains(edges: DataFrame, nodes: DataFrame, max_angle: float = 45.0, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """Card G12: maximal chains between cut nodes (degree != 2, or degree 2 with a turn above
     ``max_angle`` or undefined).  Each chain once, oriented so that its first node key is the
-    smaller end.  ``compat=True`` keeps only chains with an end of degree != 2.
+    smaller end (a loop: its second node the smaller neighbour).  ``compat=True`` keeps only
+    chains with an end of degree != 2.
 
-    Output: ``start, end, path (array of node keys), n_edges``; node coordinates are in ``nodes``.
+    Returns ``chains(start, first, end, last, n_edges)`` and their nodes in rows, ``points(start,
+    first, pos, node)``: a chain is named by its first two nodes, its end nodes included.  No
+    chain is ever gathered, whatever its length.
     """
     info = _with_angles(edges, nodes)
-    info = info.withColumn("cut", (F.col("degree") != 2) | F.col("angle").isNull() | (F.col("angle") > max_angle))
-    half = _materialise(_half_edges(edges, info, "cut"))
-    n = half.count()
-    ranked = _rank_to_head(half, _rounds(n))
-    g = ranked.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("dist", F.col("h.v").alias("v")))).alias("_s"))
-    g = g.select(F.concat(F.array(F.col("head.u")), F.transform("_s", lambda x: x["v"])).alias("path"))
-    p = F.col("path")
-    first, last = p[0], F.element_at(p, -1)
-    keep = (first < last) | ((first == last) & (p[1] <= F.element_at(p, -2)))
-    g = g.filter(keep).select(first.alias("start"), last.alias("end"), "path", (F.size(p) - 1).alias("n_edges"))
+    info = materialise_input(info.withColumn("cut", (F.col("degree") != 2) | F.col("angle").isNull() | (F.col("angle") > max_angle)))
+    chains, _, places = contract_lists(edges, info)
     if compat:
-        d = info.select("node", "degree")
-        g = (g.join(d.select(F.col("node").alias("start"), F.col("degree").alias("_ds")), "start", "left")
-             .join(d.select(F.col("node").alias("end"), F.col("degree").alias("_de")), "end", "left")
-             .filter((F.col("_ds") != 2) | (F.col("_de") != 2)).drop("_ds", "_de"))
-    return g
+        d = info.filter("degree <> 2").select("node")
+        chains = chains.join(d.withColumn("_s", F.lit(True)), F.col("start") == F.col("node"), "left").drop("node") \
+            .join(d.withColumn("_e", F.lit(True)), F.col("end") == F.col("node"), "left").drop("node").filter("_s or _e").drop("_s", "_e")
+    points = places.join(chains.select("start", "first"), ["start", "first"], "left_semi") \
+        .unionByName(chains.select("start", "first", F.col("n_edges").alias("pos"), F.col("end").alias("node")))
+    return chains, points
 
 
 def pure_cycles(edges: DataFrame) -> DataFrame:
     """Card G13: components whose nodes all have degree 2 (no angle test).
 
     Output ``cycle (smallest node), pos (0..), node``: the cycle starts at its smallest node and
-    walks first towards the smaller of its two neighbours.
+    walks first towards the smaller of its two neighbours.  Rings contract to one node each
+    (``contract_lists``), whichever that is; the positions are then turned and mirrored.
     """
-    info = edges.groupBy(F.col("u").alias("node")).agg(F.count_distinct("v").alias("degree"),
-                                                       F.min("v").alias("n1"), F.max("v").alias("n2")) \
-        .withColumn("cut", F.col("degree") != 2)
-    half = _materialise(_half_edges(edges, info, "cut"))
-    n = half.count()
-    # half-edges that reach a node of degree != 2 belong to chains, not to cycles
-    on_chain = _rank_to_head(half, _rounds(n)).select("h")
-    cyc = half.join(on_chain, "h", "left_anti").filter(~F.col("is_head"))
-    # smallest half-edge of each directed cycle by doubling a min along predecessor pointers;
-    # the two orientations of a cycle never mix, and the one holding (m -> smaller neighbour of
-    # m), m the smallest node, has the smaller minimum
-    cur = cyc.select("h", "pred", F.col("h").alias("mh"))
-    for r in range(1, _rounds(n) + 1):
-        look = cur.select(F.col("h").alias("pred"), F.col("pred").alias("_p2"), F.col("mh").alias("_m2"))
-        cur = cur.join(look, "pred", "left").select("h", F.col("_p2").alias("pred"),
-                                                   F.least("mh", F.coalesce("_m2", "mh")).alias("mh"))
-        cur = _cut_lineage(cur, r)
-    mins = cur.groupBy("h").agg(F.min("mh").alias("mh"))
-    c = cyc.join(mins, "h")
-    best = c.groupBy(F.col("mh.u").alias("_m")).agg(F.min("mh").alias("_keep"))
-    c = c.join(best, F.col("mh") == F.col("_keep"), "left_semi")
-    c = _materialise(c.select("h", F.when(F.col("h") != F.col("mh"), F.col("pred")).alias("pred"),
-                              (F.col("h") == F.col("mh")).alias("is_head")))
-    ranked = _rank_to_head(c, _rounds(n))
-    return ranked.select(F.col("head.u").alias("cycle"), F.col("dist").alias("pos"), F.col("h.u").alias("node"))
-
-
-def simplified_graph(chains: DataFrame, nodes: DataFrame, length_col=None) -> tuple[DataFrame, DataFrame]:
-    """Chains with distinct ends -> ``(switches(ID, X, Y), tracks(ID, Departure_switch, Arrival_switch, n_edges))``.
+    info = materialise_input(_neighbours(edges).withColumn("cut", F.col("degree") != 2))
+    _, rings, places = contract_lists(edges, info)
+    ring = places.filter("first is null").select(F.col("start").alias("ring"), "pos", "node")
+    small = ring.join(info.select("node", "n1"), "node").groupBy("ring") \
+        .agg(F.min(F.struct("node", F.col("pos").alias("p0"), "n1")).alias("_m")).select("ring", "_m.node", "_m.p0", "_m.n1") \
+        .withColumnRenamed("node", "cycle").join(rings, "ring")
+    # which way the smaller neighbour lies of the smallest node
+    side = ring.join(small.select("ring", F.col("n1").alias("node"), "p0", "n_edges"), ["ring", "node"]) \
+        .select("ring", (F.pmod(F.col("pos") - F.col("p0"), F.col("n_edges")) == 1).alias("_up"))
+    return ring.join(small, "ring").join(side, "ring").select(
+        "cycle", F.pmod(F.when(F.col("_up"), F.col("pos") - F.col("p0")).otherwise(F.col("p0") - F.col("pos")), F.col("n_edges")).alias("pos"), "node")
+
+
+def simplified_graph(chains: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains with distinct ends -> ``(switches(ID, X, Y, node), tracks(ID, Departure_switch, Arrival_switch, n_edges,
+    start, first))``.
 
     Switches are the chain end nodes numbered by first appearance (chain order = (start, end,
-    path)); several chains between one node pair are all kept."""
+    first)); several chains between one node pair are all kept.  A track's points are the rows of
+    its (start, first) in ``contract_chains``."""
     c = chains.filter(F.col("start") != F.col("end"))
-    c = number_rows(c, ["start", "end", "path"], "ID")
+    c = number_rows(c, ["start", "end", "first"], "ID")
     ends = c.select(F.col("start").alias("node"), F.col("ID").alias("_o"), F.lit(0).alias("_s")).unionByName(
         c.select(F.col("end").alias("node"), F.col("ID").alias("_o"), F.lit(1).alias("_s")))
     fs = ends.groupBy("node").agg(F.min(F.struct("_o", "_s")).alias("_fs"))
@@ -208,73 +214,13 @@ def simplified_graph(chains: DataFrame, nodes: DataFrame, length_col=None) -> tu
     s = sw.select("node", "SID")
     tracks = (c.join(s.withColumnRenamed("node", "start").withColumnRenamed("SID", "Departure_switch"), "start")
               .join(s.withColumnRenamed("node", "end").withColumnRenamed("SID", "Arrival_switch"), "end")
-              .select("ID", "Departure_switch", "Arrival_switch", "n_edges", "path"))
+              .select("ID", "Departure_switch", "Arrival_switch", "n_edges", "start", "first"))
     return switches, tracks
 
 
 # ------------------------------------------------------------------ line graph, paths, anchors
 
 
-def line_graph(edges: DataFrame, edge_id: str = "id", a: str = "a", b: str = "b", length: str = "length") -> DataFrame:
-    """Card G16 in incidence form ``(edge, node, weight)``: two edges are adjacent iff they share a
-    node; entering an edge costs its own length (FIX: the reference's weight is set-order dependent).
-    Adjacency pairs are never materialised (they grow with the square of node degree)."""
-    e = edges.select(F.col(edge_id).alias("edge"), F.col(a).alias("_a"), F.col(b).alias("_b"),
-                     F.col(length).alias("weight"))
-    return e.select("edge", F.col("_a").alias("node"), "weight").unionByName(
-        e.select("edge", F.col("_b").alias("node"), "weight")).distinct()
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None,
-                   src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
-    """Card G17: single-source shortest paths from every source (Bellman-Ford frontier relaxation).
-
-    Output ``source, node, cost, hops, pred``; ties -> fewer hops, then smaller predecessor.
-    Only rows improved in a round are expanded; stops when nothing improves (or at ``max_hops``).
-    """
-    e = _materialise(edges.select(F.col(src).alias("node"), F.col(dst).alias("_to"),
-                                  F.col(weight).cast("double").alias("_w")))
-    s = _materialise(sources.select(F.col(sources.columns[0]).alias("source")).distinct())
-    best = s.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"),
-                    F.lit(None).cast(e.schema["node"].dataType).alias("pred"))
-    frontier = best
-    r = 0
-    while True:
-        r += 1
-        if max_hops is not None and r > max_hops:
-            break
-        cand = frontier.join(e, "node").select(
-            "source", F.col("_to").alias("node"),
-            F.struct((F.col("cost") + F.col("_w")).alias("cost"), (F.col("hops") + 1).alias("hops"),
-                     F.col("node").alias("pred")).alias("c"))
-        cand = cand.groupBy("source", "node").agg(F.min("c").alias("c"))
-        j = cand.join(best.select("source", "node", F.struct("cost", "hops", "pred").alias("b")),
-                      ["source", "node"], "left")
-        imp = j.filter(F.col("b").isNull() | (F.col("c") < F.col("b"))).select(
-            "source", "node", F.col("c.cost").alias("cost"), F.col("c.hops").alias("hops"), F.col("c.pred").alias("pred"))
-        imp = _materialise(imp)
-        if imp.limit(1).count() == 0:
-            break
-        best = best.join(imp.select("source", "node"), ["source", "node"], "left_anti").unionByName(imp)
-        best = _materialise(best) if r % 3 == 0 else _bounded(best)
-        frontier = imp
-    return best
-
-
-def path_of(best: DataFrame, max_len: int) -> DataFrame:
-    """Reconstruct node paths from a predecessor table (``shortest_paths`` output), one hop per round."""
-    cur = best.select("source", "node", F.array("node").alias("path"), F.col("pred").alias("_at"))
-    look = best.select("source", F.col("node").alias("_at"), F.col("pred").alias("_p"))
-    for r in range(max_len):
-        if cur.filter(F.col("_at").isNotNull()).limit(1).count() == 0:
-            break
-        cur = cur.join(look, ["source", "_at"], "left").select(
-            "source", "node", F.when(F.col("_at").isNotNull(), F.concat(F.array("_at"), "path")).otherwise(F.col("path"))
-            .alias("path"), F.col("_p").alias("_at"))
-        cur = _cut_lineage(cur, r + 1)
-    return cur.drop("_at")
-
-
 def missing_graph(triples: DataFrame, base: DataFrame, prev: str = "prev", stop: str = "stop", nxt: str = "next",
                   src: str = "src") -> tuple[DataFrame, DataFrame]:
     """Card G18 (FIX: triples read as (prev, stop, next)).  A node is known when it has an outgoing
@@ -311,23 +257,9 @@ def closest_anchors(base: DataFrame, graph: DataFrame, nodes: DataFrame, max_hop
         if nxt.limit(1).count() == 0:
             break
         reached = reached.unionByName(nxt)
-        reached = _materialise(reached) if level % 3 == 0 else _bounded(reached)
+        reached = _materialise(reached)
         frontier = nxt
     per = reached.groupBy("node").agg(F.min("dist").alias("distance"),
                                       F.array_sort(F.collect_set("anchor")).alias("anchors"))
     n = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     return n.join(per, "node", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<bigint>")))
-
-
-def shortest_path_pairs(edges: DataFrame, requests: DataFrame, max_hops: int | None = None,
-                        src: str = "src", dst: str = "dst", weight: str = "w") -> DataFrame:
-    """Card G17 for requested pairs ``requests(a, b)``: cost, hops and node path of the best path.
-
-    Sources are the distinct ``a``; a = b gives ``([a], 0)``; unreachable pairs are absent."""
-    req = requests.select(F.col(requests.columns[0]).alias("source"), F.col(requests.columns[1]).alias("node")).distinct()
-    best = shortest_paths(edges, req.select("source"), max_hops, src, dst, weight)
-    best = _materialise(best)
-    longest = best.agg(F.max("hops")).first()[0] or 0
-    paths = path_of(best, longest + 1)
-    return (req.join(best, ["source", "node"]).join(paths, ["source", "node"])
-            .select(F.col("source").alias("a"), F.col("node").alias("b"), "cost", "hops", "path"))

@@ -822,7 +822,7 @@ def _angle_sql():
 
 
 @q("turning_angle", S.with_(S.POLYLINES) + f"""
-SELECT ID, CAST(i AS INTEGER) AS pos, {_angle_sql()} AS angle FROM polylines, range(2, 32) t(i)""")
+SELECT ID, CAST(i AS INTEGER) AS pos, {_angle_sql()} AS angle FROM polylines, unnest(range(2, len(Path))) t(i)""")
 def q_turning_angle(spark, sf):
     a = P.vertex_angles(A.polylines(spark, sf))
     return a.select("ID", "pos", F.round("angle", 4).alias("angle"))
@@ -837,7 +837,7 @@ def q_polyline_flip(spark, sf):
 
 
 @q("polyline_endpoints", S.with_(S.POLYLINES) + """
-SELECT ID, Path[1][1] AS first_lat, Path[32][2] AS last_lon FROM polylines""")
+SELECT ID, Path[1][1] AS first_lat, Path[len(Path)][2] AS last_lon FROM polylines""")
 def q_polyline_endpoints(spark, sf):
     e = P.polyline_endpoints(A.polylines(spark, sf), "Path")
     return e.select("ID", F.col("first_point")[0].alias("first_lat"), F.col("last_point")[1].alias("last_lon"))
@@ -1274,7 +1274,7 @@ def _qgraph(spark, sf):
 
 
 QEDGES_SQL = QUANT_SQL + """,
-qp AS (SELECT ID, i, Path[i] AS a, Path[i + 1] AS b FROM quant, range(1, 32) t(i)),
+qp AS (SELECT ID, i, Path[i] AS a, Path[i + 1] AS b FROM quant, unnest(range(1, len(Path))) t(i)),
 qe AS (SELECT DISTINCT CAST(round(a[1] * 1000000) AS BIGINT) AS ulat, CAST(round(a[2] * 1000000) AS BIGINT) AS ulon,
                        CAST(round(b[1] * 1000000) AS BIGINT) AS vlat, CAST(round(b[2] * 1000000) AS BIGINT) AS vlon
        FROM qp WHERE a <> b),
@@ -1294,8 +1294,8 @@ def q_polyline_graph(spark, sf):
 @q("endpoint_graph", S.with_(S.POLYLINES) + """,
 ee AS (SELECT CAST(round(round(Path[1][1], 6) * 1000000) AS BIGINT) AS ulat,
               CAST(round(round(Path[1][2], 6) * 1000000) AS BIGINT) AS ulon,
-              CAST(round(round(Path[32][1], 6) * 1000000) AS BIGINT) AS vlat,
-              CAST(round(round(Path[32][2], 6) * 1000000) AS BIGINT) AS vlon FROM polylines)
+              CAST(round(round(Path[len(Path)][1], 6) * 1000000) AS BIGINT) AS vlat,
+              CAST(round(round(Path[len(Path)][2], 6) * 1000000) AS BIGINT) AS vlon FROM polylines)
 SELECT DISTINCT * FROM (SELECT * FROM ee UNION ALL SELECT vlat, vlon, ulat, ulon FROM ee)""")
 def q_endpoint_graph(spark, sf):
     return _edge_cols(GR.endpoint_graph(A.polylines(spark, sf), "Path"))
@@ -1338,7 +1338,7 @@ def _turn_sql(p0: str, p1: str, p2: str) -> str:
 
 
 CHAINS_SQL = "WITH RECURSIVE " + QUANT_SQL + """,
-qp AS (SELECT Path[i] AS a, Path[i + 1] AS b FROM quant, range(1, 32) t(i)),
+qp AS (SELECT Path[i] AS a, Path[i + 1] AS b FROM quant, unnest(range(1, len(Path))) t(i)),
 pts AS (SELECT [round(a[1], 6), round(a[2], 6)] AS pa, [round(b[1], 6), round(b[2], 6)] AS pb FROM qp),
 ke AS (SELECT CAST(round(pa[1] * 1000000) AS BIGINT) AS ulat, CAST(round(pa[2] * 1000000) AS BIGINT) AS ulon, pa,
               CAST(round(pb[1] * 1000000) AS BIGINT) AS vlat, CAST(round(pb[2] * 1000000) AS BIGINT) AS vlon, pb
@@ -1362,39 +1362,78 @@ walk AS (
          CASE WHEN i.n1 = (w.plat, w.plon) THEN i.n2[2] ELSE i.n1[2] END, w.n + 1,
          list_append(w.path, CASE WHEN i.n1 = (w.plat, w.plon) THEN i.n2 ELSE i.n1 END)
   FROM walk w JOIN info i ON i.ulat = w.clat AND i.ulon = w.clon WHERE NOT i.cut),
-chains AS (SELECT w.* FROM walk w JOIN info i ON i.ulat = w.clat AND i.ulon = w.clon WHERE i.cut)
-SELECT slat || ':' || slon AS start, clat || ':' || clon AS "end", n AS n_edges FROM chains
-WHERE (slat, slon) < (clat, clon) OR ((slat, slon) = (clat, clon) AND path[2] <= path[len(path) - 1])"""
+chains AS (SELECT w.* FROM walk w JOIN info i ON i.ulat = w.clat AND i.ulon = w.clon WHERE i.cut),
+canon AS (SELECT (slat, slon) AS s, (clat, clon) AS e, n, path FROM chains
+          WHERE (slat, slon) < (clat, clon) OR ((slat, slon) = (clat, clon) AND path[2] <= path[len(path) - 1]))
+"""
+
+
+def _pt(x: str) -> str:
+    """A point key as text in DuckDB."""
+    return f"{x}[1] || ':' || {x}[2]"
 
 
-@q("contract_chains", CHAINS_SQL)
+@q("contract_chains", CHAINS_SQL + f"""SELECT {_pt('path[1]')} AS start, {_pt('path[2]')} AS first, CAST(i - 1 AS BIGINT) AS pos, {_pt('path[i]')} AS node
+FROM canon, unnest(range(1, len(path) + 1)) t(i)""")
 def q_contract_chains(spark, sf):
     e, n = _qgraph(spark, sf)
-    c = GR.contract_chains(e, n, 45.0)
-    return c.select(_node_txt("start").alias("start"), _node_txt("end").alias("end"), "n_edges")
+    return GR.contract_chains(e, n, 45.0)[1].select(_node_txt("start").alias("start"), _node_txt("first").alias("first"), "pos",
+                                                    _node_txt("node").alias("node"))
+
+
+@q("contract_chains_ends", CHAINS_SQL + f"""SELECT {_pt('s')} AS start, {_pt('path[2]')} AS first, {_pt('e')} AS "end", {_pt('path[len(path) - 1]')} AS last,
+       CAST(n AS BIGINT) AS n_edges FROM canon""")
+def q_contract_chains_ends(spark, sf):
+    e, n = _qgraph(spark, sf)
+    return GR.contract_chains(e, n, 45.0)[0].select(*[_node_txt(c).alias(c) for c in ("start", "first", "end", "last")], "n_edges")
+
 
+CIRCULAR_SQL = S.with_(S.POLYLINES) + """,
+r AS (SELECT ID, i, ID * 1000 + (i * 13) % 997 AS node, len(Path) AS n FROM polylines, unnest(range(0, len(Path))) t(i) WHERE Label <> 0),
+m AS (SELECT ID, min(node) AS cycle, arg_min(i, node) AS k FROM r GROUP BY ID),
+d AS (SELECT m.*, a.node < b.node AS up FROM m JOIN r a ON a.ID = m.ID AND a.i = (m.k + 1) % a.n
+                                                 JOIN r b ON b.ID = m.ID AND b.i = (m.k + b.n - 1) % b.n)
+SELECT cycle, CASE WHEN up THEN (i - k + n) % n ELSE (k - i + n) % n END AS pos, node FROM r JOIN d USING (ID)"""
 
-@q("pure_cycles")
+
+@q("pure_cycles", CIRCULAR_SQL)
 def q_pure_cycles(spark, sf):
+    """Every polyline as a line of stops; those with a label other than 0 run in a circle."""
+    p = A.polylines(spark, sf).select("ID", "Label", F.size("Path").alias("n"))
+    node = lambda i: F.col("ID") * 1000 + (i * 13) % 997
+    e = p.select("ID", "Label", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")) \
+        .filter((F.col("i") < F.col("n") - 1) | (F.col("Label") != 0)) \
+        .select(node(F.col("i")).alias("u"), node((F.col("i") + 1) % F.col("n")).alias("v"))
+    return GR.pure_cycles(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+
+
+@q("pure_cycles_snapped")
+def q_pure_cycles_snapped(spark, sf):
     e, _ = _qgraph(spark, sf)
     return GR.pure_cycles(e).select(_node_txt("cycle").alias("cycle"), "pos", _node_txt("node").alias("node"))
 
 
-SIMPLIFIED_SQL = CHAINS_SQL.rsplit("SELECT slat || ':' || slon AS start", 1)[0] + """,
-canon AS (SELECT (slat, slon) AS s, (clat, clon) AS e, n, path FROM chains
-          WHERE (slat, slon) < (clat, clon) OR ((slat, slon) = (clat, clon) AND path[2] <= path[len(path) - 1])),
-tr AS (SELECT *, row_number() OVER (ORDER BY s, e, path) - 1 AS ID FROM canon WHERE s <> e),
+SIMPLIFIED_SQL = CHAINS_SQL + """,
+tr AS (SELECT *, row_number() OVER (ORDER BY s, e, path[2]) - 1 AS ID FROM canon WHERE s <> e),
 ends AS (SELECT s AS node, ID, 0 AS side FROM tr UNION ALL SELECT e, ID, 1 FROM tr),
 sw AS (SELECT node, row_number() OVER (ORDER BY min((ID, side))) - 1 AS SID FROM ends GROUP BY node)
-SELECT tr.ID, a.SID AS Departure_switch, b.SID AS Arrival_switch, tr.n AS n_edges
-FROM tr JOIN sw a ON a.node = tr.s JOIN sw b ON b.node = tr.e"""
+"""
 
 
-@q("simplified_graph", SIMPLIFIED_SQL)
+@q("simplified_graph", SIMPLIFIED_SQL + f"""SELECT tr.ID, a.SID AS Departure_switch, b.SID AS Arrival_switch, CAST(tr.n AS BIGINT) AS n_edges,
+       {_pt('s')} AS start, {_pt('path[2]')} AS first
+FROM tr JOIN sw a ON a.node = tr.s JOIN sw b ON b.node = tr.e""")
 def q_simplified_graph(spark, sf):
     e, n = _qgraph(spark, sf)
-    sw, tr = GR.simplified_graph(GR.contract_chains(e, n, 45.0), n)
-    return tr.select("ID", "Departure_switch", "Arrival_switch", "n_edges")
+    tracks = GR.simplified_graph(GR.contract_chains(e, n, 45.0)[0], n)[1]
+    return tracks.withColumns({c: _node_txt(c) for c in ("start", "first")})
+
+
+@q("simplified_switches", SIMPLIFIED_SQL + f"""SELECT SID AS ID, p[1] AS X, p[2] AS Y, {_pt('node')} AS node
+FROM sw JOIN nodes ON klat = node[1] AND klon = node[2]""")
+def q_simplified_switches(spark, sf):
+    e, n = _qgraph(spark, sf)
+    return GR.simplified_graph(GR.contract_chains(e, n, 45.0)[0], n)[0].withColumn("node", _node_txt("node"))
 
 
 @q("line_graph", S.with_(S.LINKS) + """,
@@ -1416,7 +1455,7 @@ e AS (SELECT Departure_station_id AS src, Arrival_station_id AS dst, Distance AS
 srcs AS (SELECT s_suppkey AS station FROM supplier WHERE s_nationkey = 3)"""
 
 
-@q("shortest_paths", "WITH RECURSIVE " + SP_SQL + """,
+SP_SEARCH_SQL = "WITH RECURSIVE " + SP_SQL + """,
 sp(source, node, cost, hops, pred) USING KEY (source, node) AS (
   SELECT station, station, CAST(0.0 AS DOUBLE), 0, CAST(NULL AS BIGINT) FROM srcs
   UNION
@@ -1426,15 +1465,93 @@ sp(source, node, cost, hops, pred) USING KEY (source, node) AS (
             arg_min(sp.node, (sp.cost + e.w, sp.hops + 1, sp.node)) AS pred
      FROM sp JOIN e ON e.src = sp.node GROUP BY 1, 2) c
    LEFT JOIN recurring.sp cur ON cur.source = c.source AND cur.node = c.node
-   WHERE cur.node IS NULL OR (c.cost, c.hops, c.pred) < (cur.cost, cur.hops, cur.pred)))
+   WHERE cur.node IS NULL OR (c.cost, c.hops, c.pred) < (cur.cost, cur.hops, cur.pred)))"""
+
+
+#: Stations of one country where a train starts, with the stations of another where it ends.
+OD_SQL = """od AS (SELECT DISTINCT o.ID AS a, d.ID AS b FROM (
+         SELECT arg_min(STOPPING_PLACE_ID, (PLANNED_DATETIME_DEP, SEQ, STOPPING_PLACE_ID, PART)) AS f,
+                arg_max(STOPPING_PLACE_ID, (PLANNED_DATETIME_DEP, SEQ, STOPPING_PLACE_ID, PART)) AS t
+         FROM stop_log GROUP BY TRAIN_NO, REAL_DATE_DEP) x
+       JOIN stations o ON o.ID = f AND o.Nation = 3 JOIN stations d ON d.ID = t AND d.Nation = 8)"""
+
+
+def _od_requests(spark, sf):
+    order = F.struct(*A.STOP_ORDER)
+    od = A.stop_log(spark, sf).groupBy(*A.STOP_KEY).agg(F.min_by("STOPPING_PLACE_ID", order).alias("a"), F.max_by("STOPPING_PLACE_ID", order).alias("b"))
+    st = A.stations(spark, sf).select("ID", "Nation")
+    return od.join(st.filter("Nation = 3").select(F.col("ID").alias("a")), "a", "left_semi") \
+        .join(st.filter("Nation = 8").select(F.col("ID").alias("b")), "b", "left_semi").select("a", "b").distinct()
+
+
+def _network(spark, sf):
+    return A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"),
+                                     F.col("Distance").alias("w"))
+
+
+@q("shortest_paths", SP_SEARCH_SQL + """
 SELECT source, node, round(cost, 6) AS cost, CAST(hops AS INTEGER) AS hops, pred FROM sp""")
 def q_shortest_paths(spark, sf):
-    lk = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"),
-                                   F.col("Distance").alias("w"))
-    b = GR.shortest_paths(lk, seeds(spark, sf))
+    b = GR.shortest_paths(_network(spark, sf), seeds(spark, sf))
     return b.select("source", "node", F.round("cost", 6).alias("cost"), "hops", "pred")
 
 
+@q("shortest_path_pairs", SP_SEARCH_SQL + """,
+""" + S.STATIONS + """,
+""" + OD_SQL + """,
+req AS (SELECT a AS source, b AS node FROM od),
+walk AS (SELECT r.source, r.node, r.node AS pos, [r.node] AS path FROM req r
+         UNION ALL SELECT w.source, w.node, sp.pred, list_prepend(sp.pred, w.path)
+         FROM walk w JOIN sp ON sp.source = w.source AND sp.node = w.pos WHERE sp.pred IS NOT NULL)
+SELECT sp.source AS a, sp.node AS b, round(sp.cost, 6) AS cost, CAST(sp.hops AS INTEGER) AS hops, array_to_string(w.path, ',') AS path
+FROM sp JOIN walk w ON w.source = sp.source AND w.node = sp.node AND w.pos = sp.source""")
+def q_shortest_path_pairs(spark, sf):
+    r = GR.shortest_path_pairs(_network(spark, sf), _od_requests(spark, sf))
+    return r.select("a", "b", F.round("cost", 6).alias("cost"), "hops", F.array_join("path", ",").alias("path"))
+
+
+@q("platform_paths", "WITH RECURSIVE " + S.LINKS + ",\n" + S.STATIONS + """,
+u AS (SELECT least(d.ID, r.ID) AS a, greatest(d.ID, r.ID) AS b, CAST(round(min(Distance) * 1000) AS BIGINT) AS length
+      FROM links l JOIN stations d ON d.ID = l.Departure_station_id JOIN stations r ON r.ID = l.Arrival_station_id
+      WHERE abs(d.Nation - r.Nation) <= 1 AND d.ID <> r.ID GROUP BY 1, 2),
+inc AS (SELECT a || '-' || b AS edge, a AS node, length AS weight FROM u UNION ALL SELECT a || '-' || b, b, length FROM u),
+adj AS (SELECT x.edge, y.edge AS nxt, min(y.weight) AS weight FROM inc x JOIN inc y ON x.node = y.node AND x.edge <> y.edge GROUP BY 1, 2),
+plat AS (SELECT node AS station, edge AS track FROM (SELECT node, edge, row_number() OVER (PARTITION BY node ORDER BY edge) AS k FROM inc)
+         WHERE k <= 2 AND edge IN (SELECT edge FROM adj)),
+""" + OD_SQL + """,
+pairs AS (SELECT p.a, p.b, x.track AS source, y.track AS target
+          FROM od p JOIN plat x ON x.station = p.a JOIN plat y ON y.station = p.b),
+sp(source, edge, cost, hops, pred) USING KEY (source, edge) AS (
+  SELECT DISTINCT source, source, CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR) FROM pairs
+  UNION
+  (SELECT c.source, c.edge, c.cost, c.hops, c.pred FROM (
+     SELECT sp.source, e.nxt AS edge, arg_min(sp.cost + e.weight, (sp.cost + e.weight, sp.hops + 1, sp.edge)) AS cost,
+            arg_min(sp.hops + 1, (sp.cost + e.weight, sp.hops + 1, sp.edge)) AS hops,
+            arg_min(sp.edge, (sp.cost + e.weight, sp.hops + 1, sp.edge)) AS pred
+     FROM sp JOIN adj e ON e.edge = sp.edge GROUP BY 1, 2) c
+   LEFT JOIN recurring.sp cur ON cur.source = c.source AND cur.edge = c.edge
+   WHERE cur.edge IS NULL OR (c.cost, c.hops, c.pred) < (cur.cost, cur.hops, cur.pred))),
+walk AS (SELECT DISTINCT source, target, target AS pos, target AS path FROM pairs
+         UNION ALL SELECT w.source, w.target, sp.pred, sp.pred || ',' || w.path
+         FROM walk w JOIN sp ON sp.source = w.source AND sp.edge = w.pos WHERE sp.pred IS NOT NULL)
+SELECT p.a, p.b, p.source AS track_a, p.target AS track_b, sp.cost, CAST(sp.hops AS INTEGER) AS hops, w.path
+FROM pairs p JOIN sp ON sp.source = p.source AND sp.edge = p.target
+JOIN walk w ON w.source = p.source AND w.target = p.target AND w.pos = p.source""")
+def q_platform_paths(spark, sf):
+    """Tracks run within a country and to its neighbours; a station's platforms are its first two tracks."""
+    st = A.stations(spark, sf).select("ID", "Nation")
+    ends = A.links(spark, sf).join(st.toDF("Departure_station_id", "_d"), "Departure_station_id") \
+        .join(st.toDF("Arrival_station_id", "_a"), "Arrival_station_id") \
+        .filter((F.abs(F.col("_d") - F.col("_a")) <= 1) & (F.col("Departure_station_id") != F.col("Arrival_station_id")))
+    tracks = ends.groupBy(F.least("Departure_station_id", "Arrival_station_id").alias("a"),
+                          F.greatest("Departure_station_id", "Arrival_station_id").alias("b")) \
+        .agg(F.round(F.min("Distance") * 1000).cast("long").alias("length")).withColumn("id", F.concat_ws("-", "a", "b"))
+    inc = GR.line_graph(tracks)
+    platforms = W.head_per_group(inc, ["node"], ["edge"], 2).select("node", "edge")
+    r = GR.platform_paths(tracks, platforms, _od_requests(spark, sf), delta=250000)
+    return r.withColumn("path", F.array_join("path", ","))
+
+
 MISSING_SQL = S.STOP_NEXT + ",\n" + S.LINKS.split(",\nlinks AS", 1)[0].split(S.STOP_NEXT, 1)[1].lstrip(",\n") + """,
 links AS (SELECT departure_station AS Departure_station_id, arrival_station AS Arrival_station_id
           FROM legs WHERE arrival_station IS NOT NULL GROUP BY 1, 2),
@@ -1607,7 +1724,7 @@ def q_xml_routes(spark, sf):
 
 
 @q("sink_geojson", S.with_(S.POLYLINES) + """
-SELECT ID AS id, Path[1][1] AS start_lat, Path[32][2] AS end_lon, Path[1][2] AS first_x, len(Path) AS n FROM polylines""")
+SELECT ID AS id, Path[1][1] AS start_lat, Path[len(Path)][2] AS end_lon, Path[1][2] AS first_x, len(Path) AS n FROM polylines""")
 def q_geojson(spark, sf):
     out = IO.scratch_path(spark, "tracks-geojson")
     IO.sink_geojson(A.polylines(spark, sf), out, "Path", "ID")

@@ -119,8 +119,87 @@ def test_contract_chains_matches_walk(spark):
         adj.setdefault(a, set()).add(b)
         adj.setdefault(b, set()).add(a)
     ee, nodes = _grid_edges(spark, edges, coords)
-    got = {tuple(p["klat"] for p in r.path) for r in GR.contract_chains(ee, nodes, 45.0).collect()}
-    assert got == chains_model(adj, coords, 45.0)
+    chains, points = GR.contract_chains(ee, nodes, 45.0)
+    rows = {}
+    for r in points.collect():
+        rows.setdefault((r["start"], r["first"]), []).append((r["pos"], r["node"]["klat"]))
+    assert {tuple(n for _, n in sorted(p)) for p in rows.values()} == chains_model(adj, coords, 45.0)
+    assert all([k for k, _ in sorted(p)] == list(range(len(p))) for p in rows.values())
+    ends = {(r["start"], r["first"]): (r["end"]["klat"], r["last"]["klat"], r["n_edges"]) for r in chains.collect()}
+    assert ends == {k: (max(p)[1], sorted(p)[-2][1], len(p) - 1) for k, p in rows.items()}
+
+
+def test_contract_lists_on_random_rings_and_runs(spark):
+    """Long runs, rings of every size from 3, loops at a junction and single edges, against walks."""
+    rnd = random.Random(4)
+    edges, ids = [], iter(rnd.sample(range(10000), 3000))
+    ring_sizes, junction = [3, 4, 5, 40, 90], next(ids)
+    rings = [[next(ids) for _ in range(n)] for n in ring_sizes]
+    for ring in rings:
+        edges += list(zip(ring, ring[1:] + ring[:1]))
+    runs = [[junction] + [next(ids) for _ in range(n)] for n in (1, 2, 3, 57, 120)]
+    runs.append([junction] + [next(ids) for _ in range(20)] + [junction])  # a loop
+    for run in runs:
+        edges += list(zip(run, run[1:]))
+    df = spark.createDataFrame([e for a, b in edges for e in ((a, b), (b, a))] + [(junction, junction)], "u long, v long")
+    got = {}
+    for r in GR.pure_cycles(df).collect():
+        got.setdefault(r["cycle"], {})[r["pos"]] = r["node"]
+    want = {}
+    for ring in rings:
+        k = ring.index(min(ring))
+        turn = ring[k:] + ring[:k]
+        turn = turn if turn[1] < turn[-1] else turn[:1] + turn[:0:-1]
+        want[turn[0]] = dict(enumerate(turn))
+    assert got == want
+    info = GR._neighbours(df.filter("u <> v")).withColumn("cut", F.col("degree") != 2)
+    chains, left, places = GR.contract_lists(df, info)
+    assert sorted(r["n_edges"] for r in left.collect()) == ring_sizes
+    found = sorted((r["n_edges"], r["start"], r["end"]) for r in chains.collect())
+    assert found == sorted((len(r) - 1, min(r[0], r[-1]), max(r[0], r[-1])) for r in runs)
+    assert places.filter("first is not null").groupBy("start", "first").count().agg(F.sum("count")).first()[0] == sum(len(r) - 1 for r in runs)
+
+
+def test_path_rows_and_platform_paths(spark):
+    """Long chains by doubling; tracks against Dijkstra on the line graph, any bucket width."""
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(11)], "src long, dst long, w double")
+    best = GR.shortest_paths(edges, spark.createDataFrame([(0,)], "s long"))
+    assert [r["path"] for r in GR.path_of(best, spark.createDataFrame([(0, 11), (0, 7)], "source long, node long")).orderBy("node").collect()] \
+        == [list(range(8)), list(range(12))]
+    rnd = random.Random(8)
+    tracks = [(f"t{k:02d}", rnd.randint(0, 11), rnd.randint(0, 11), rnd.randint(0, 6)) for k in range(30)] + [("lone", 90, 91, 1), ("u1", 70, 71, 1), ("u2", 71, 72, 1)]
+    stations = [("A", "t00"), ("A", "t01"), ("A", "lone"), ("B", "t02"), ("B", "t00"), ("C", "u1"), ("C", "t05"), ("D", None)]
+    requests = [("A", "B"), ("B", "A"), ("A", "C"), ("A", "A"), ("A", "D"), ("A", "nowhere")]
+    adj = {}
+    for a in tracks:
+        for b in tracks:
+            if a[0] != b[0] and {a[1], a[2]} & {b[1], b[2]}:
+                adj.setdefault(a[0], []).append((b[0], b[3]))
+
+    def dijkstra(s):
+        done, heap = {}, [(0, 0, None, s)]
+        while heap:
+            cost, hops, pred, t = heapq.heappop(heap)
+            if t not in done:
+                done[t] = (cost, hops, pred)
+                for o, w in adj[t]:
+                    heapq.heappush(heap, (cost + w, hops + 1, t, o))
+        return done
+
+    want = {}
+    for a, b in requests:
+        for sa, ta in stations:
+            for sb, tb in stations:
+                if sa == a and sb == b and ta in adj and tb in (found := dijkstra(ta)):
+                    path = [tb]
+                    while found[path[0]][2]:
+                        path.insert(0, found[path[0]][2])
+                    want[a, b, ta, tb] = (*found[tb][:2], path)
+    e = spark.createDataFrame(tracks, "id string, a long, b long, length long")
+    p, q = spark.createDataFrame(stations, "station string, track string"), spark.createDataFrame(requests, "a string, b string")
+    for delta in (None, 4.0):
+        rows = GR.platform_paths(e, p, q, delta).collect()
+        assert {(r["a"], r["b"], r["track_a"], r["track_b"]): (r["cost"], r["hops"], r["path"]) for r in rows} == want and len(rows) == len(want)
 
 
 def test_pure_cycles_square_and_tail(spark):
