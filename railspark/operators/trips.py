@@ -9,13 +9,15 @@ long format and use partial aggregation instead of per-group arrays.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railspark.functions.scalar import col_of, seconds_since
 from railspark.operators.relational import neighbour_expand
-from railspark.operators.windows import number_rows, _cols
+from railspark.operators.loops import materialise, materialise_input
+from railspark.operators.windows import number_rows, running_sum, _cols
 from railspark.session import ensure_checkpoint_dir
 
 LEG = "struct<t:bigint,dep:bigint,arr:bigint>"
@@ -332,3 +334,57 @@ def clean_legs_long(legs: DataFrame, allowed: DataFrame | None = None, station:
 def _ckpt(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def merge_legs_long(legs: DataFrame, trip: str = "trip_id", bucket_rows: int = 1 << 16) -> DataFrame:
+    """Averaging fold (``clean_legs(merge="mean")``) in rows, for trips of any length.
+
+    A kept leg takes in the following legs that share an end with it, each time halving the sum of
+    both times; the next kept leg is the first that differs in both ends.  Legs get consecutive
+    numbers by (trip, ord); a leg looks for its successor by skipping the run of equal departures
+    or of equal arrivals that it stands before, all legs at once, until no search is open.  The
+    kept legs are the chain of successors from each trip's first leg (doubling).  A running count
+    of kept legs names the group of every leg, and the halvings compose to powers of two, so a
+    group's time is one sum.  Output: ``trip, ord, t (double), dep, arr`` of the kept legs.
+    """
+    lg = legs.filter(F.col("dep").isNotNull() & F.col("arr").isNotNull()) \
+        .select(F.col(trip).alias("_trip"), "ord", F.col("t").cast("double").alias("t"), "dep", "arr")
+    lg = materialise_input(number_rows(lg, ["_trip", "ord"], "_g"))
+    bucket, every = F.floor(F.col("_g") / bucket_rows), F.lit(0)
+    before = lg.select((F.col("_g") + 1).alias("_g"), F.col("_trip").alias("_pt"), F.col("dep").alias("_pd"), F.col("arr").alias("_pa"))
+    rows = lg.join(before, "_g", "left")
+    other = F.col("_pt").isNull() | (F.col("_pt") != F.col("_trip"))
+    for end, prev in (("dep", "_pd"), ("arr", "_pa")):
+        rows = rows.withColumn(f"_new_{end}", (other | (F.col(end) != F.col(prev))).cast("long"))
+        rows = running_sum(rows, [every], ["_g"], f"_new_{end}", f"_run_{end}", bucket)
+    rows = materialise_input(rows.drop("_pt", "_pd", "_pa"))
+    for end in ("dep", "arr"):  # where the next run of another departure (arrival) starts
+        nxt = rows.filter(f"_new_{end} = 1").select((F.col(f"_run_{end}") - 1).alias(f"_run_{end}"), F.col("_g").alias(f"_next_{end}"))
+        rows = rows.join(nxt, f"_run_{end}", "left")
+    rows = materialise_input(rows.select("_g", "_trip", "ord", "t", "dep", "arr", "_next_dep", "_next_arr"))
+    at = rows.select(F.col("_g").alias("_p"), F.col("_trip").alias("_at"), F.col("dep").alias("_d"), F.col("arr").alias("_a"), "_next_dep", "_next_arr")
+    search = rows.select("_g", "_trip", "dep", "arr", (F.col("_g") + 1).alias("_p"))
+    found = []
+    while True:
+        step = materialise(search.join(at, "_p").filter(F.col("_at") == F.col("_trip")))
+        found.append(step.filter((F.col("_d") != F.col("dep")) & (F.col("_a") != F.col("arr"))).select("_g", F.col("_p").alias("_to")))
+        search = step.filter((F.col("_d") == F.col("dep")) | (F.col("_a") == F.col("arr"))).select(
+            "_g", "_trip", "dep", "arr", F.when(F.col("_d") == F.col("dep"), F.col("_next_dep")).otherwise(F.col("_next_arr")).alias("_p"))
+        if search.isEmpty():
+            break
+    jumps, jump = [], materialise(reduce(DataFrame.unionByName, found))
+    while not jump.isEmpty():
+        jumps.append(jump)
+        jump = materialise(jump.join(jump.select(F.col("_g").alias("_to"), F.col("_to").alias("_far")), "_to").select("_g", F.col("_far").alias("_to")))
+    kept = materialise(rows.groupBy("_trip").agg(F.min("_g").alias("_g")).select("_g"))
+    for jump in reversed(jumps):
+        kept = materialise(kept.unionByName(kept.join(jump, "_g").select(F.col("_to").alias("_g"))))
+    marked = rows.join(kept.withColumn("_kept", F.lit(1).cast("long")), "_g", "left").withColumn("_kept", F.coalesce("_kept", F.lit(0).cast("long")))
+    grouped = materialise_input(running_sum(marked, [every], ["_g"], "_kept", "_group", bucket))
+    size = grouped.groupBy("_group").agg(F.min("_g").alias("_head"), (F.count(F.lit(1)) - 1).alias("_k"))
+    step = F.col("_g") - F.col("_head")
+    half = F.col("_k") - step + F.when(step > 0, F.lit(1)).otherwise(F.lit(0))
+    head = F.struct(F.col("_trip").alias(trip), "ord", "dep", "arr")
+    return grouped.join(size, "_group").groupBy("_group").agg(
+        F.sum(F.col("t") * F.pow(F.lit(2.0), -half)).alias("t"), F.max(F.when(step == 0, head)).alias("_head")) \
+        .select("_head.*", "t").select(trip, "ord", "t", "dep", "arr")

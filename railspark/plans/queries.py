@@ -1110,7 +1110,26 @@ def q_clean_legs(spark, sf):
     return cleaned_trips(spark, sf).select("trip_id", legs_str().alias("legs"))
 
 
-@q("clean_legs_mean")
+MEAN_SQL = "WITH RECURSIVE " + TRIPS_SQL + """,
+ml AS (SELECT trip_id, CAST(t AS DOUBLE) AS t, dep, arr, row_number() OVER (PARTITION BY trip_id ORDER BY p) AS p
+       FROM tlegs WHERE dep IS NOT NULL AND arr IS NOT NULL),
+rec AS (SELECT trip_id, p, t, dep, arr, 1 AS grp FROM ml WHERE p = 1
+        UNION ALL
+        SELECT r.trip_id, f.p, CASE WHEN r.dep = f.dep OR r.arr = f.arr THEN (r.t + f.t) / 2 ELSE f.t END,
+               CASE WHEN r.dep = f.dep OR r.arr = f.arr THEN r.dep ELSE f.dep END,
+               CASE WHEN r.dep = f.dep OR r.arr = f.arr THEN r.arr ELSE f.arr END,
+               r.grp + CASE WHEN r.dep = f.dep OR r.arr = f.arr THEN 0 ELSE 1 END
+        FROM rec r JOIN ml f ON f.trip_id = r.trip_id AND f.p = r.p + 1),
+merged AS (SELECT trip_id, grp, dep, arr, arg_max(t, p) AS t FROM rec GROUP BY 1, 2, 3, 4)
+"""
+
+
+@q("merge_legs_long", MEAN_SQL + "SELECT trip_id, round(t, 6) AS t, dep, arr FROM merged")
+def q_merge_legs_long(spark, sf):
+    return T.merge_legs_long(trip_legs_df(spark, sf)).select("trip_id", F.round("t", 6).alias("t"), "dep", "arr")
+
+
+@q("clean_legs_mean", MEAN_SQL + """SELECT trip_id, CAST(count(*) AS INTEGER) AS n_legs, arg_min(t, grp) AS t0 FROM merged GROUP BY 1""")
 def q_clean_legs_mean(spark, sf):
     c = T.clean_legs(trips_df(spark, sf), None, merge="mean")
     return c.select("trip_id", F.size("legs").alias("n_legs"), F.col("legs")[0]["t"].alias("t0"))
@@ -1546,6 +1565,7 @@ def q_platform_paths(spark, sf):
     tracks = ends.groupBy(F.least("Departure_station_id", "Arrival_station_id").alias("a"),
                           F.greatest("Departure_station_id", "Arrival_station_id").alias("b")) \
         .agg(F.round(F.min("Distance") * 1000).cast("long").alias("length")).withColumn("id", F.concat_ws("-", "a", "b"))
+    tracks = GR.materialise_input(tracks)
     inc = GR.line_graph(tracks)
     platforms = W.head_per_group(inc, ["node"], ["edge"], 2).select("node", "edge")
     r = GR.platform_paths(tracks, platforms, _od_requests(spark, sf), delta=250000)
@@ -1900,7 +1920,7 @@ def _tripinfo(spark, sf):
                  F.col("o_orderkey").alias("_pos"))
     out = IO.scratch_path(spark, "tripinfo-xml")
     IO.sink_xml(x, out, "tripinfos", "tripinfo")
-    back = IO.scan_xml(spark, out, "tripinfo", TRIPINFO_ATTRS + ["pos"])
+    back = IO.scan_xml_records(spark, out, "tripinfo", TRIPINFO_ATTRS + ["pos"])
     return back.withColumn("_pos", F.col("_pos").try_cast("long"))
 
 
@@ -1912,7 +1932,7 @@ def _stopinfo(spark, sf):
                   (F.col("l_partkey") * 7 + 60 + F.col("l_linenumber")).cast("string").alias("_ended"))
     out = IO.scratch_path(spark, "stopinfo-xml")
     IO.sink_xml(x, out, "stops", "stopinfo")
-    return IO.scan_xml(spark, out, "stopinfo", STOPINFO_ATTRS)
+    return IO.scan_xml_records(spark, out, "stopinfo", STOPINFO_ATTRS)
 
 
 TRIPS_T8_SQL = """trips AS (

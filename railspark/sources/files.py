@@ -66,6 +66,27 @@ def scan_xml(spark: SparkSession, path: str, row_tag: str, attrs=None, schema=No
     return r.load(path)
 
 
+def scan_xml_records(spark: SparkSession, path: str, row_tag: str, attrs=None, schema=None) -> DataFrame:
+    """``scan_xml`` for large documents: one file is read by as many tasks as it has splits.
+
+    The text source splits at every ``<row_tag``, which no task has to look for from the file's
+    start; what follows is one element, self-closing or up to its end tag, and is parsed by
+    ``from_xml`` with the declared schema.  Quoted attribute values may hold ``>`` and ``/>``.
+    Elements inside one of the same name are not found, nor are comments told apart from elements.
+    Text before the first and after the last element is left out; malformed elements give NULLs.
+    """
+    if schema is None:
+        schema = T.StructType([T.StructField(f"_{a}", T.StringType()) for a in attrs])
+    rest = spark.read.option("lineSep", f"<{row_tag}").text(path)
+    # the start tag's remainder: blanks and quoted values, so neither a longer name nor the prolog fits
+    start = F.regexp_extract("value", r"""^((?:\s(?:[^"'<>]|"[^"]*"|'[^']*')*)?>)""", 1)
+    rest = rest.withColumn("_start", start).filter(F.col("_start") != "")
+    body = F.when(F.col("_start").endswith("/>"), F.col("_start")) \
+        .otherwise(F.concat(F.regexp_extract("value", rf"(?s)^(.*?)</{row_tag}\s*>", 1), F.lit(f"</{row_tag}>")))
+    parsed = F.from_xml(F.concat(F.lit(f"<{row_tag}"), body), schema, {"rowTag": row_tag, "attributePrefix": "_"})
+    return rest.select(parsed.alias("_e")).select("_e.*")
+
+
 def sink_xml(df: DataFrame, path: str, root_tag: str, row_tag: str, mode: str = "overwrite") -> None:
     """Columns named ``_attr`` become attributes; struct / array-of-struct columns nested elements."""
     df.write.mode(mode).format("xml").option("rootTag", root_tag).option("rowTag", row_tag) \
@@ -134,15 +155,17 @@ def xml_routes(routes: DataFrame, vtype: str = "myTrain") -> DataFrame:
 
 
 def base_date_from_xml(spark: SparkSession, path: str) -> DataFrame:
-    """First ``YYYY-MM-DD`` in the root element's start tag (the first element; its tag is one line), else
-    in the last ``<step`` line; one row."""
-    pat = r"\b(\d{4}-\d{2}-\d{2})\b"
-    t = spark.read.text(path).withColumn("_pos", F.monotonically_increasing_id())
-    t = t.withColumns({"_d": F.nullif(F.regexp_extract("value", pat, 1), F.lit("")),
-                       "_element": F.col("value").rlike(r"^\s*<[A-Za-z]"),
-                       "_step": F.col("value").rlike(r"^\s*<step\b")})
-    agg = t.agg(F.min_by("_d", F.when(F.col("_element"), F.col("_pos"))).alias("_r"),
-                F.max_by("_d", F.when(F.col("_step"), F.col("_pos"))).alias("_s"))
+    """First ``YYYY-MM-DD`` in the root element's start tag, else in the last ``<step`` tag; one row.
+
+    The text is cut at every ``<``, so a start tag may run over any number of lines; tags are told
+    by their place in the file.  A comment or declaration is no element.
+    """
+    t = spark.read.option("lineSep", "<").text(path).withColumn("_pos", F.monotonically_increasing_id())
+    tag = F.regexp_extract("value", r"""^([A-Za-z_](?:[^"'<>]|"[^"]*"|'[^']*')*)""", 1)
+    t = t.select("_pos", tag.alias("_tag")).filter(F.col("_tag") != "") \
+        .withColumns({"_d": F.nullif(F.regexp_extract("_tag", r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")),
+                      "_step": F.col("_tag").rlike(r"^step(\s|/|$)")})
+    agg = t.agg(F.min_by("_d", "_pos").alias("_r"), F.max_by("_d", F.when(F.col("_step"), F.col("_pos"))).alias("_s"))
     return agg.select(F.try_to_date(F.coalesce("_r", "_s"), "yyyy-MM-dd").alias("base_date"))
 
 

@@ -62,7 +62,7 @@ def test_no_python_udfs_in_plans(spark):
 
 def test_every_query_has_oracle_or_is_listed():
     no_oracle = set(entry.QUERIES) - set(entry.ORACLE)
-    assert no_oracle == {"random_sample", "clean_legs_mean", "split_multi_station_tracks", "pure_cycles_snapped"}
+    assert no_oracle == {"random_sample", "split_multi_station_tracks", "pure_cycles_snapped"}
 
 
 def test_profile_is_one_scan_and_filters_reach_the_scan(spark):
@@ -98,3 +98,32 @@ def test_null_and_blank_profiles_have_no_row_expansion(spark):
     for name in ("profile_nulls", "profile_blanks"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Expand" not in plan and plan.count("FileScan") == 1
+
+
+def test_large_xml_is_read_in_splits(spark, tmp_path):
+    """One file, many partitions, every element once; odd but legal attribute values and nested elements."""
+    odd = ['a="1/>2"', "a='x > \"y\"'", 'a="&lt;trip"', 'a="é ü"', 'b="only b"', ""]
+    rows = [f'<trip id="{k}"\n   {odd[k % 6]}' + ("/>" if k % 3 else f'><leg n="{k}"/><leg n="{-k}"/></trip >') + "\n  " for k in range(3000)]
+    path = tmp_path / "one.xml"
+    path.write_text('<?xml version="1.0"?>\n<trips made="2024-05-06">\n <tripinfo id="no"/>' + "".join(rows) + "</trips>\n", encoding="utf-8")
+    schema = "_id string, _a string, _b string, leg array<struct<_n: string>>"
+    from pyspark.sql.types import StructType
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = IO.scan_xml_records(spark, str(path), "trip", schema=StructType.fromDDL(schema))
+        assert df.rdd.getNumPartitions() > 4
+        got = sorted(((int(r["_id"]), r["_a"], r["_b"], [x["_n"] for x in r["leg"] or []]) for r in df.collect()), key=lambda r: r[0])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    a = ["1/>2", 'x > "y"', "<trip", "é ü", None, None]
+    assert got == [(k, a[k % 6], "only b" if k % 6 == 4 else None, [] if k % 3 else [str(k), str(-k)]) for k in range(3000)]
+
+
+def test_base_date_of_a_tag_over_several_lines(spark, tmp_path):
+    cases = {'<?xml version="1.0"?>\n<!-- 1999-01-01 -->\n<summary\n   note="a > b"\n   made="x 2025-02-03 y">\n<step t="2020-01-01"/></summary>': "2025-02-03",
+             '<summary>\n<step\n time="2021-01-01"/>\n<step time="2022-03-04"\n/><other d="2023-01-01"/></summary>': "2022-03-04",
+             "<summary><other/></summary>": "None"}
+    for k, (text, want) in enumerate(cases.items()):
+        path = tmp_path / f"{k}.xml"
+        path.write_text(text)
+        assert str(IO.base_date_from_xml(spark, str(path)).first()["base_date"]) == want

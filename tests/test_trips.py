@@ -83,6 +83,29 @@ def test_clean_legs_long_matches_fold(spark):
     assert {k: sorted(v) for k, v in long.items()} == {k: sorted(v) for k, v in arrays.items()}
 
 
+def test_merge_legs_long_matches_fold(spark):
+    """Random trips with many shared ends, equal legs and one long trip that alternates between runs."""
+    import random
+    rnd = random.Random(21)
+    rows = []
+    for train in range(40):
+        for i in range(rnd.randint(1, 14)):
+            rows.append((train, "d", rnd.choice([1, 2, 3, None]) if rnd.random() < 0.9 else 4, rnd.choice([1, 2, 3]), rnd.randint(0, 9) * 60))
+    for i in range(120):
+        rows.append((99, "d", 1 if i // 3 % 2 else 10 + i // 3, 20 + i if i // 3 % 2 else 2, i * 30))
+    legs = spark.createDataFrame(rows, LEG_SCHEMA)
+    fold = {r.TRAIN_NO: [(x.t, x.dep, x.arr) for x in r.legs] for r in T.clean_legs(T.build_trips(legs, min_legs=2), merge="mean").collect()}
+    long = {}
+    trips = T.trip_legs(legs, min_legs=2)
+    names = {r["trip_id"]: r["TRAIN_NO"] for r in trips.select("trip_id", "TRAIN_NO").distinct().collect()}
+    for r in T.merge_legs_long(trips, bucket_rows=16).orderBy("trip_id", "ord").collect():
+        long.setdefault(names[r["trip_id"]], []).append((r["t"], r["dep"], r["arr"]))
+    assert long.keys() == fold.keys()
+    for k, kept in fold.items():
+        assert [x[1:] for x in long[k]] == [x[1:] for x in kept]
+        assert all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(long[k], kept))
+
+
 def test_simulator_output_cases(spark):
     from railspark.operators import simout as SO
     trips = spark.createDataFrame([
