@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from railspark.session import ensure_checkpoint_dir
 
-from .common import written
+from .common import ship, written
 
 SEGMENT = 16_384  # bytes of a record's block in one segment
 CHUNK = 4_096  # bytes of one chunk of the HTTP body
@@ -76,14 +76,21 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def page_records(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of a page: a revisit, a response, or a response with its continuations."""
-    ident = record_id(f"page:{page_id}")
-    uri = "".join(c if 32 < ord(c) < 127 else "%%%02X" % (ord(c) & 255) for c in url) or "urn:none"
-    about = [("WARC-Target-URI", uri), ("WARC-Date", "1970-01-01T00:00:00Z"), ("X-Page-ID", str(page_id)),
-             ("WARC-Payload-Digest", f"sha1:{digest}")]
+def page_records(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None = None, refers_url: str | None = None,
+                 key: str | None = None, segment: int = SEGMENT) -> list[bytes]:
+    """The records of a page: a revisit, a response, or a response with its continuations.
+
+    ``key`` names the row in the record identifiers, so pages that share an id keep apart; a
+    revisit names the page, address and digest of what it refers to."""
+    key = f"page:{page_id}" if key is None else key
+    ident = record_id(key)
+    uri = lambda u: "".join(c if 32 < ord(c) < 127 else "%%%02X" % (ord(c) & 255) for c in u) or "urn:none"
+    about = [("WARC-Target-URI", uri(url)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if page_id is not None:
+        about.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
-        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(f"page:{refers_to}")), ("X-Refers-To-Page", str(refers_to))]
+        about += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", uri(refers_url or "")),
+                  ("WARC-Refers-To-Date", "1970-01-01T00:00:00Z"), ("X-Refers-To-Page", str(refers_to))]
         return [record("revisit", ident, about, HTTP)]
     block = HTTP + chunked(payload)
     if len(block) <= segment:
@@ -92,29 +99,33 @@ def page_records(page_id: int, url: str, payload: bytes, digest: str, refers_to:
     out = [record("response", ident, [*about, ("WARC-Segment-Number", "1")], parts[0])]
     for k, part in enumerate(parts[1:], 2):
         total = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
-        out.append(record("continuation", record_id(f"page:{page_id}:{k}"),
+        out.append(record("continuation", record_id(f"{key}:{k}"),
                           [("WARC-Segment-Origin-ID", ident), ("WARC-Segment-Number", str(k)), *total], part))
     return out
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html",
                    least_bytes: int = 1000, segment: int = SEGMENT) -> None:
-    """Writes ``pages`` as WARC files under ``path``.
+    """Writes ``pages`` as WARC files under ``path``, a record for every row.
 
     Payload: the html in UTF-8, null as empty.  Of equal payloads of at least ``least_bytes``
     the one with the largest page id is the response, the others revisit it (groups by SHA-1
-    and length, aggregated map-side; only groups of two or more are joined back).  Rows that
-    repeat a page id repeat its records.  A null page id is written as -1.
+    and length, aggregated map-side; only groups of two or more are joined back).  Each row has
+    an identifier of its own; rows that repeat the response's page id and payload are responses
+    too, and so are payloads none of whose rows has a page id.  A null page id has no header.
     """
-    rows = pages.select(F.coalesce(pages[page_id].cast("long"), F.lit(-1)).alias("_id"),
+    ship(pages.sparkSession)
+    rows = pages.select(pages[page_id].cast("long").alias("_id"),
                         F.coalesce(pages[url].cast("string"), F.lit("")).alias("_url"),
                         F.encode(F.coalesce(pages[html].cast("string"), F.lit("")), "UTF-8").alias("_payload")) \
         .withColumn("_sha", F.sha1("_payload"))
     groups = rows.filter(F.octet_length("_payload") >= least_bytes).groupBy("_sha", F.octet_length("_payload").alias("_len")) \
-        .agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n") \
+        .agg(F.max(F.struct("_id", "_url")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n") \
         .withColumnRenamed("_sha", "_g")
+    other = F.col("_first._id").isNotNull() & ~F.col("_first._id").eqNullSafe(F.col("_id"))
     rows = rows.join(groups, (F.col("_sha") == F.col("_g")) & (F.octet_length("_payload") == F.col("_len")), "left") \
-        .select("_id", "_url", "_payload", "_sha", F.when(F.col("_first") != F.col("_id"), F.col("_first")).alias("_refers"))
+        .select("_id", "_url", "_payload", "_sha", F.when(other, F.col("_first._id")).alias("_refers"),
+                F.when(other, F.col("_first._url")).alias("_there"), F.expr("uuid()").alias("_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,6 +165,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     says, or whose framing is broken stays in the result with ``complete`` false and null
     payload columns.  One record's segments are bounded by that record's size.
     """
+    ship(spark)
     names = [x.split(" ")[0] for x in ROW.split(", ")]
 
     def decoded(block: bytes) -> tuple:
@@ -184,7 +196,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     def join_segments(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["segment", "record_id"]).drop_duplicates("record_id")
+        pdf = pdf.sort_values(["segment", "record_id"])
         first, block = pdf.iloc[:1].copy(), b"".join(pdf["block"])
         whole = list(pdf["segment"]) == list(range(1, len(pdf) + 1)) and first["kind"].iloc[0] != "continuation" \
             and len(block) == pdf["total"].iloc[-1]
@@ -205,7 +217,10 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) read back from archives.
 
     A revisit takes length and digest from the response that it names, as found in the
-    archives; the digest in its own header must agree, else both are null.
+    archives by page and digest; without it both are null.  Every row comes back, rows that
+    repeat a page id (with equal or different payloads) and null page ids (as null) too; null
+    and empty texts have payloads of no bytes, long ones go out in segments, an empty table
+    gives an empty table, and other columns are not read.
     """
     spark = pages.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
@@ -215,8 +230,7 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     rows = written(read_archives(spark, path))
     responses = rows.filter("kind = 'response'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
                                                         F.lit(None).cast("long").alias("refers_to"))
-    found = rows.filter("kind = 'response'").groupBy(F.col("page_id").alias("_page")) \
-        .agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    found = rows.filter("kind = 'response'").groupBy(F.col("page_id").alias("_page"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
     revisits = rows.filter("kind = 'revisit'").select("page_id", F.col("kind").alias("record_type"), "refers_to", "declared") \
         .join(found, (F.col("refers_to") == F.col("_page")) & (F.col("declared") == F.col("payload_digest")), "left")
     return responses.unionByName(revisits.select(responses.columns))

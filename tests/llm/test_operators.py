@@ -255,8 +255,26 @@ def test_warc_round_trip_with_segments(spark):
     assert warc.round_trip(none_of(df)).count() == 0
 
 
+def test_warc_keeps_rows_that_share_a_page_id(spark):
+    """Repeated ids with equal and different payloads, long and short, and null ids: rows out equal rows in."""
+    a, b = "A" * 30000, "B" * 30000
+    pages = [(1, a), (1, a), (2, b), (2, a + b), (3, "s"), (3, "s"), (3, "t"), (4, "m" * 1200), (5, "m" * 1200), (None, "n" * 40000), (None, "n" * 40000),
+             (None, "o" * 50000), (None, "x"), (None, a), (None, "m" * 1200), (None, None)]
+    first = {}
+    for i, t in pages:
+        if i is not None:
+            first[t] = max(first.get(t, i), i)
+    want = []
+    for i, t in pages:
+        raw, ref = (t or "").encode(), first.get(t) if len(t or "") >= 1000 else i
+        ref = i if ref is None else ref
+        want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "response" if ref == i else "revisit", None if ref == i else ref))
+    df = spark.createDataFrame([(i, "u", t, 0) for i, t in pages], "page_id long, url string, html string, record_id int").repartition(3)
+    assert sorted(map(tuple, warc.round_trip(df, segment=2000).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_warc_reports_missing_segments(spark, tmp_path):
-    records = warc.page_records(7, "u", b"x" * 9000, hashlib.sha1(b"x" * 9000).hexdigest(), None, 2000)
+    records = warc.page_records(7, "u", b"x" * 9000, hashlib.sha1(b"x" * 9000).hexdigest(), segment=2000)
     for name, some in (("whole", records), ("gap", records[:2] + records[3:])):
         where = str(tmp_path / name)
         spark.createDataFrame([(r,) for r in some], "record binary").select(F.col("record").cast("string")) \
