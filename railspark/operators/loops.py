@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from railspark.session import ensure_checkpoint_dir
 
@@ -30,3 +31,19 @@ def materialise_input(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def chain_from(heads: DataFrame, jump: DataFrame) -> DataFrame:
+    """``(_g)`` of every row on a chain of successors ``jump(_g, _to)`` from ``heads(_g)``, each once.
+
+    Tables of 1, 2, 4, ... steps, without the rows whose chain has ended; from the longest down,
+    what is marked marks what lies that many steps on, so L steps take about 2 log2 L joins.
+    """
+    jumps, jump = [], materialise(jump.select("_g", "_to"))
+    while not jump.isEmpty():
+        jumps.append(jump)
+        jump = materialise(jump.join(jump.select(F.col("_g").alias("_to"), F.col("_to").alias("_far")), "_to").select("_g", F.col("_far").alias("_to")))
+    kept = materialise(heads.select("_g"))
+    for jump in reversed(jumps):
+        kept = materialise(kept.unionByName(kept.join(jump, "_g").select(F.col("_to").alias("_g"))))
+    return kept

@@ -7,12 +7,13 @@ so a polyline is processed inside one row without Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railspark.functions.geo import flip_point, lat_of, lon_of, point_distance_m, path_length_m, turning_angle, z_of
 from railspark.functions.scalar import col_of
-from railspark.operators.windows import number_rows
+from railspark.operators.loops import chain_from, materialise_input
+from railspark.operators.windows import number_rows, running_sum
 
 
 def polyline_flip(path, n: int | None = 6) -> Column:
@@ -87,6 +88,57 @@ def oversized_steps(df: DataFrame, path: str = "Path", max_m: float = 800.0, id_
     return df.filter(F.size(path) >= 2).select(id_col, F.inline(F.filter(steps, lambda s: s["length_m"] > max_m)))
 
 
+def vertices(df: DataFrame, path: str = "Path", id_col: str = "ID") -> DataFrame:
+    """Polylines as rows: ``id, pos (from 1), point``."""
+    return df.select(id_col, F.posexplode(path).alias("pos", "point")).withColumn("pos", F.col("pos") + 1)
+
+
+def split_rows(points: DataFrame, max_m: float = 800.0, id_col: str = "ID", pos: str = "pos", point: str = "point",
+               bucket_rows: int = 1 << 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Card G5 on vertex rows, for lines of any length.
+
+    A piece from vertex k reaches the furthest vertex within ``max_m`` along the line, and one
+    step at least; the next starts where it ends.  Lengths are prefix sums, in buckets of
+    ``bucket_rows`` vertices; the furthest vertex is looked up among those of the same ``max_m``
+    cell of the line and, as of the limit, of the next cell; the pieces' starts are the chain of
+    these pointers from every line's first vertex.  Vertices keep the order of ``pos``.
+
+    Returns ``pieces(id, piece, start_idx, end_idx, Length_m)`` (1-based indices), their
+    vertices ``members(id, piece, pos, point)`` with the shared ends in both pieces, and
+    ``oversized(id, from_idx, to_idx, length_m)`` (0-based), the single steps above ``max_m``.
+    Lines with fewer than two vertices have no pieces.
+    """
+    v = materialise_input(number_rows(points.select(F.col(id_col).alias("_id"), F.col(pos).alias("_pos"), F.col(point).alias("_p")), ["_id", "_pos"], "_g"))
+    before = v.select((F.col("_g") + 1).alias("_g"), F.col("_id").alias("_bid"), F.col("_p").alias("_bp"))
+    v = v.join(before, "_g", "left").withColumn("_step", F.when(F.col("_bid") == F.col("_id"), point_distance_m("_bp", "_p")))
+    first = v.groupBy("_id").agg(F.min("_g").alias("_first"), F.max("_g").alias("_last"))
+    v = running_sum(v.drop("_bid", "_bp"), ["_id"], ["_g"], F.coalesce("_step", F.lit(0.0)), "_at", F.floor(F.col("_g") / bucket_rows))
+    v = materialise_input(v.join(first, "_id").withColumn("_cell", F.floor(F.col("_at") / max_m)))
+    ask = v.select("_id", (F.col("_cell") + 1).alias("_cell"), (F.col("_at") + max_m).alias("_x"), F.col("_g").alias("_q"), F.lit(None).cast("long").alias("_c"))
+    have = v.select("_id", "_cell", F.col("_at").alias("_x"), F.lit(None).cast("long").alias("_q"), F.col("_g").alias("_c"))
+    upto = Window.partitionBy("_id", "_cell").orderBy("_x", F.col("_c").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = ask.unionByName(have).withColumn("_to", F.max("_c").over(upto)).filter("_q is not null").select(F.col("_q").alias("_g"), "_to")
+    near = v.groupBy("_id", "_cell").agg(F.max("_g").alias("_near"))
+    reach = v.join(ahead, "_g").join(near, ["_id", "_cell"]).filter(F.col("_g") < F.col("_last")) \
+        .select("_g", F.greatest(F.coalesce("_to", "_near"), F.col("_g") + 1).alias("_to"))
+    reach = materialise_input(reach)
+    starts = chain_from(first.select(F.col("_first").alias("_g")), reach).withColumn("_start", F.lit(1).cast("long"))
+    numbered = running_sum(v.join(starts, "_g", "left"), ["_id"], ["_g"], F.coalesce("_start", F.lit(0).cast("long")), "_piece", F.floor(F.col("_g") / bucket_rows))
+    numbered = materialise_input(numbered.withColumn("_piece", (F.col("_piece") - 1).cast("int")))
+    ends = numbered.select(F.col("_g").alias("_to"), F.col("_pos").alias("_epos"), F.col("_at").alias("_eat"))
+    pieces = numbered.filter("_start = 1").join(reach, "_g").join(ends, "_to") \
+        .select(F.col("_id").alias(id_col), F.col("_piece").alias("piece"), F.col("_pos").alias("start_idx"), F.col("_epos").alias("end_idx"),
+                (F.col("_eat") - F.col("_at")).alias("Length_m"))
+    several = F.col("_last") > F.col("_first")
+    # a line's last vertex starts nothing: the chain ends there, and it belongs to the piece before
+    own = numbered.filter(several & (F.col("_start").isNull() | (F.col("_g") < F.col("_last")))).select("_id", "_piece", "_pos", "_p")
+    shared = numbered.filter(several & (F.col("_start") == 1) & (F.col("_g") > F.col("_first"))).select("_id", (F.col("_piece") - 1).alias("_piece"), "_pos", "_p")
+    members = own.unionByName(shared).toDF(id_col, "piece", pos, point)
+    oversized = v.filter(F.col("_step") > max_m).select(F.col("_id").alias(id_col), (F.col("_pos") - 2).alias("from_idx"), (F.col("_pos") - 1).alias("to_idx"),
+                                                       F.col("_step").alias("length_m"))
+    return pieces, members, oversized
+
+
 def vertex_angles(df: DataFrame, path: str = "Path", id_col: str = "ID") -> DataFrame:
     """Card G6: deviation angle at every interior vertex (``pos`` 1-based), NULL for zero-length sides."""
     p = F.col(path)

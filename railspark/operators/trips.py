@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from railspark.functions.scalar import col_of, seconds_since
 from railspark.operators.relational import neighbour_expand
-from railspark.operators.loops import materialise, materialise_input
+from railspark.operators.loops import chain_from, materialise, materialise_input
 from railspark.operators.windows import number_rows, running_sum, _cols
 from railspark.session import ensure_checkpoint_dir
 
@@ -372,13 +372,7 @@ def merge_legs_long(legs: DataFrame, trip: str = "trip_id", bucket_rows: int = 1
             "_g", "_trip", "dep", "arr", F.when(F.col("_d") == F.col("dep"), F.col("_next_dep")).otherwise(F.col("_next_arr")).alias("_p"))
         if search.isEmpty():
             break
-    jumps, jump = [], materialise(reduce(DataFrame.unionByName, found))
-    while not jump.isEmpty():
-        jumps.append(jump)
-        jump = materialise(jump.join(jump.select(F.col("_g").alias("_to"), F.col("_to").alias("_far")), "_to").select("_g", F.col("_far").alias("_to")))
-    kept = materialise(rows.groupBy("_trip").agg(F.min("_g").alias("_g")).select("_g"))
-    for jump in reversed(jumps):
-        kept = materialise(kept.unionByName(kept.join(jump, "_g").select(F.col("_to").alias("_g"))))
+    kept = chain_from(rows.groupBy("_trip").agg(F.min("_g").alias("_g")), reduce(DataFrame.unionByName, found))
     marked = rows.join(kept.withColumn("_kept", F.lit(1).cast("long")), "_g", "left").withColumn("_kept", F.coalesce("_kept", F.lit(0).cast("long")))
     grouped = materialise_input(running_sum(marked, [every], ["_g"], "_kept", "_group", bucket))
     size = grouped.groupBy("_group").agg(F.min("_g").alias("_head"), (F.count(F.lit(1)) - 1).alias("_k"))

@@ -778,30 +778,52 @@ def hav_sql(p: str, q: str) -> str:
 
 
 SPLIT_SQL = "WITH RECURSIVE " + S.POLYLINES + f""",
-steps AS (SELECT ID, i, {hav_sql('Path[i - 1]', 'Path[i]')} AS s FROM polylines, range(2, 33) t(i)),
+steps AS (SELECT ID, i, len(Path) AS n, {hav_sql('Path[i - 1]', 'Path[i]')} AS s FROM polylines, unnest(range(2, len(Path) + 1)) t(i)),
 rec AS (
-  SELECT ID, 2 AS i, 1 AS start, CAST(0.0 AS DOUBLE) AS len, CAST(NULL AS INTEGER) AS cs, CAST(NULL AS INTEGER) AS ce
+  SELECT ID, 2 AS i, 1 AS start, CAST(0.0 AS DOUBLE) AS len, CAST(NULL AS INTEGER) AS cs, CAST(NULL AS INTEGER) AS ce, len(Path) AS n
   FROM polylines
   UNION ALL
   SELECT r.ID, r.i + 1,
          CASE WHEN r.len + s.s <= 800.0 THEN r.start ELSE r.i - 1 END,
          CASE WHEN r.len + s.s <= 800.0 THEN r.len + s.s ELSE s.s END,
          CASE WHEN r.len + s.s > 800.0 AND r.i - 1 - r.start >= 1 THEN r.start END,
-         CASE WHEN r.len + s.s > 800.0 AND r.i - 1 - r.start >= 1 THEN r.i - 1 END
+         CASE WHEN r.len + s.s > 800.0 AND r.i - 1 - r.start >= 1 THEN r.i - 1 END, r.n
   FROM rec r JOIN steps s ON s.ID = r.ID AND s.i = r.i),
 pieces AS (SELECT ID, cs AS s, ce AS e FROM rec WHERE cs IS NOT NULL
-           UNION ALL SELECT ID, start, 32 FROM rec WHERE i = 33 AND 32 - start >= 1)
-SELECT ID, CAST(row_number() OVER (PARTITION BY ID ORDER BY s) - 1 AS INTEGER) AS piece,
-       CAST(s AS INTEGER) AS start_idx, CAST(e AS INTEGER) AS end_idx FROM pieces"""
+           UNION ALL SELECT ID, start, n FROM rec WHERE i = n + 1 AND n - start >= 1),
+cut AS (SELECT ID, CAST(row_number() OVER (PARTITION BY ID ORDER BY s) - 1 AS INTEGER) AS piece,
+               CAST(s AS INTEGER) AS start_idx, CAST(e AS INTEGER) AS end_idx FROM pieces)
+"""
+SPLIT_LENGTH_SQL = SPLIT_SQL + """SELECT c.ID, c.piece, c.start_idx, c.end_idx, round(sum(s.s), 3) AS length_m
+FROM cut c JOIN steps s ON s.ID = c.ID AND s.i > c.start_idx AND s.i <= c.end_idx GROUP BY ALL"""
 
 
-@q("polyline_split", SPLIT_SQL)
+@q("polyline_split", SPLIT_LENGTH_SQL)
 def q_polyline_split(spark, sf):
-    return P.polyline_split(A.polylines(spark, sf), "Path", 800.0).select("ID", "piece", "start_idx", "end_idx")
+    return P.polyline_split(A.polylines(spark, sf), "Path", 800.0).select("ID", "piece", "start_idx", "end_idx", F.round("Length_m", 3).alias("length_m"))
+
+
+@q("polyline_split_rows", SPLIT_LENGTH_SQL)
+def q_polyline_split_rows(spark, sf):
+    pieces = P.split_rows(P.vertices(A.polylines(spark, sf)), 800.0)[0]
+    return pieces.select("ID", "piece", "start_idx", "end_idx", F.round("Length_m", 3).alias("length_m"))
+
+
+@q("polyline_split_members", SPLIT_SQL + """SELECT c.ID, c.piece, CAST(i AS INTEGER) AS pos, Path[i][1] AS lat, Path[i][2] AS lon
+FROM cut c JOIN polylines p ON p.ID = c.ID, unnest(range(c.start_idx, c.end_idx + 1)) t(i)""")
+def q_polyline_split_members(spark, sf):
+    members = P.split_rows(P.vertices(A.polylines(spark, sf)), 800.0)[1]
+    return members.select("ID", "piece", "pos", F.col("point")[0].alias("lat"), F.col("point")[1].alias("lon"))
+
+
+@q("oversized_steps", SPLIT_SQL + """SELECT ID, CAST(i - 2 AS INTEGER) AS from_idx, CAST(i - 1 AS INTEGER) AS to_idx, round(s, 3) AS length_m
+FROM steps WHERE s > 800.0""")
+def q_oversized_steps(spark, sf):
+    return P.oversized_steps(A.polylines(spark, sf), "Path", 800.0).withColumn("length_m", F.round("length_m", 3))
 
 
 @q("segment_length", S.with_(S.POLYLINES) + f"""
-SELECT ID, round(sum({hav_sql('Path[i - 1]', 'Path[i]')}), 3) AS length_m FROM polylines, range(2, 33) t(i) GROUP BY ID""")
+SELECT ID, round(sum({hav_sql('Path[i - 1]', 'Path[i]')}), 3) AS length_m FROM polylines, unnest(range(2, len(Path) + 1)) t(i) GROUP BY ID""")
 def q_segment_length(spark, sf):
     return A.polylines(spark, sf).select("ID", F.round(P.segment_length("Path"), 3).alias("length_m"))
 

@@ -44,6 +44,32 @@ def test_polyline_split_matches_model(spark):
     assert len(paths) - 1 not in got
 
 
+def test_split_rows_match_the_fold(spark):
+    """Short and long lines, repeated points, steps above the limit at every place, small buckets."""
+    rnd = random.Random(6)
+    paths = [[[50 + rnd.uniform(0, 0.008), 4 + rnd.uniform(0, 0.008)] for _ in range(rnd.randint(2, 9))] for _ in range(20)]
+    paths += [[[50.0, 4.0]], [[50.0, 4.0]] * 5, [[50.0, 4.0], [50.0, 4.0], [51.0, 4.0], [51.0, 4.0]], []]
+    walk = [[50.0, 4.0]]
+    for _ in range(400):
+        walk.append([walk[-1][0] + rnd.choice([0, 0.0005, 0.001, 0.0071, 0.009]), 4 + rnd.uniform(0, 0.001)])
+    paths.append(walk)
+    df = spark.createDataFrame(list(enumerate(paths)), "ID int, Path array<array<double>>")
+    pieces, members, oversized = P.split_rows(P.vertices(df), 800.0, bucket_rows=50)
+    got, points = {}, {}
+    for r in pieces.collect():
+        got.setdefault(r["ID"], []).append((r["piece"], r["start_idx"], r["end_idx"]))
+    for r in members.collect():
+        points.setdefault((r["ID"], r["piece"]), []).append((r["pos"], r["point"]))
+    for i, p in enumerate(paths):
+        want = split_model(p, 800.0) if len(p) > 1 else []
+        assert [x[1:] for x in sorted(got.get(i, []))] == want and [x[0] for x in sorted(got.get(i, []))] == list(range(len(want)))
+        for k, (s, e) in enumerate(want):
+            assert sorted(points.pop((i, k))) == [(j, p[j - 1]) for j in range(s, e + 1)]
+    assert not points
+    steps = {(r["ID"], r["from_idx"], r["to_idx"]) for r in oversized.collect()}
+    assert steps == {(r["ID"], r["from_idx"], r["to_idx"]) for r in P.oversized_steps(df).collect()} and len(steps) > 50
+
+
 def test_polyline_orient(spark):
     st = spark.createDataFrame([(1, 50.0, 4.0), (2, 51.0, 5.0)], "ID long, Geo_x double, Geo_y double")
     links = spark.createDataFrame([(1, 2, [[4.0, 50.0], [5.0, 51.0]], 1), (2, 1, [[4.0, 50.0], [5.0, 51.0]], 2),
