@@ -241,25 +241,47 @@ def missing_graph(triples: DataFrame, base: DataFrame, prev: str = "prev", stop:
 
 
 def closest_anchors(base: DataFrame, graph: DataFrame, nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Card G18: anchors = nodes with outgoing edges in both ``base`` and ``graph``; a multi-source
-    BFS over ``graph``'s outgoing edges gives each node of ``nodes`` the sorted set of all anchors
-    at minimal hop distance (empty when unreachable).  Output ``node, distance, anchors``."""
-    e = _materialise(graph.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
-    anchors = base.select(F.col("src").alias("node")).distinct().intersect(e.select("node"))
-    reached = anchors.select("node", F.col("node").alias("anchor"), F.lit(0).alias("dist"))
-    frontier = reached
-    level = 0
+    """Card G18: ``closest_anchor_rows`` with each node's sorted anchors as one array (empty when
+    unreachable).  Output ``node, distance, anchors``."""
+    rows = closest_anchor_rows(base, graph, nodes, max_hops)
+    kind = rows.schema["anchor"].dataType.simpleString()
+    return rows.groupBy("node").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_list("anchor")).alias("anchors")) \
+        .withColumn("anchors", F.coalesce("anchors", F.array().cast(f"array<{kind}>")))
+
+
+def closest_anchor_rows(base: DataFrame, graph: DataFrame, nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Card G18 in rows: ``node, distance, anchor`` for all anchors at minimal hop distance of each
+    node of ``nodes`` (NULL, NULL when unreachable).
+
+    Anchors are the nodes with outgoing edges in both ``base`` and ``graph``; a search from all of
+    them at once follows ``graph``'s outgoing edges level by level.  Anchors are numbered, and a
+    node's set is a few bitmap pages of 32768 anchors each, merged bitwise in the aggregation of
+    a level (partially before the shuffle), so a node that many anchors reach costs its pages and
+    not a row per anchor.  Only the pages of the asked nodes are opened again.
+    """
+    e = materialise_input(graph.select(F.col("src").alias("node"), F.col("dst").alias("_to")).distinct())
+    starts = base.select(F.col("src").alias("node")).distinct().join(e.select("node").distinct(), "node", "left_semi")
+    anchors = materialise_input(number_rows(starts, ["node"], "_k", start=1))
+    page, bit = F.call_function("bitmap_bucket_number", F.col("_k")), F.call_function("bitmap_bit_position", F.col("_k"))
+    reached = _materialise(anchors.groupBy("node", page.alias("_page")).agg(F.call_function("bitmap_construct_agg", bit).alias("_bits"))
+                           .withColumn("distance", F.lit(0)))
+    frontier, level = reached, 0
     while max_hops is None or level < max_hops:
         level += 1
-        nxt = frontier.join(e, "node").select(F.col("_to").alias("node"), "anchor").distinct()
-        nxt = nxt.join(reached.select("node").distinct(), "node", "left_anti").withColumn("dist", F.lit(level))
-        nxt = _materialise(nxt)
-        if nxt.limit(1).count() == 0:
+        new = frontier.join(e, "node").select(F.col("_to").alias("node"), "_page", "_bits") \
+            .join(reached.select("node").distinct(), "node", "left_anti") \
+            .groupBy("node", "_page").agg(F.call_function("bitmap_or_agg", F.col("_bits")).alias("_bits"))
+        frontier = _materialise(new.withColumn("distance", F.lit(level)))
+        if frontier.isEmpty():
             break
-        reached = reached.unionByName(nxt)
-        reached = _materialise(reached)
-        frontier = nxt
-    per = reached.groupBy("node").agg(F.min("dist").alias("distance"),
-                                      F.array_sort(F.collect_set("anchor")).alias("anchors"))
-    n = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
-    return n.join(per, "node", "left").withColumn("anchors", F.coalesce("anchors", F.array().cast("array<bigint>")))
+        reached = _materialise(reached.unionByName(frontier))
+    asked = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    # set bits: bytes that are not nil, then the bits of each
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(4095)), lambda i: F.expr("_bits").substr(i + 1, F.lit(1)) != F.lit(b"\x00")))
+    found = asked.join(reached, "node").select("node", "distance", "_page", "_bits", at.alias("_byte"))
+    value = F.conv(F.hex(F.col("_bits").substr(F.col("_byte") + 1, F.lit(1))), 16, 10).cast("int")
+    bits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.getbit(F.col("_value"), i) == 1))
+    found = found.select("node", "distance", "_page", "_byte", value.alias("_value")).select("node", "distance", "_page", "_byte", bits.alias("_bit"))
+    k = (F.col("_page") - 1) * 32768 + F.col("_byte") * 8 + F.col("_bit") + 1
+    found = found.select("node", "distance", k.alias("_k")).join(anchors.select("_k", F.col("node").alias("anchor")), "_k").drop("_k")
+    return asked.join(found, "node", "left").select("node", "distance", "anchor")

@@ -1623,7 +1623,7 @@ def _missing(spark, sf):
     base = lk.join(ok.withColumnRenamed("ID", "Departure_station_id"), "Departure_station_id", "left_semi") \
         .join(ok.withColumnRenamed("ID", "Arrival_station_id"), "Arrival_station_id", "left_semi") \
         .select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"))
-    edges, unknown = GR.missing_graph(tri, base)
+    edges, unknown = GR.missing_graph(GR.materialise_input(tri.distinct()), GR.materialise_input(base))
     return base, edges, unknown
 
 
@@ -1659,11 +1659,11 @@ def q_closest_anchors(spark, sf):
 
 @q("anchors_valid", ANCHOR_SQL + """
 SELECT DISTINCT a AS anchor FROM (SELECT unnest(anchors) AS a FROM bfs)
-WHERE a NOT IN (SELECT Departure_station_id FROM base)""")
+WHERE a NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 10)""")
 def q_anchors_valid(spark, sf):
     base, edges, unknown = _missing(spark, sf)
     r = GR.closest_anchors(base, edges, unknown)
-    return Q.anchors_valid(r, base.select(F.col("src").alias("node")))
+    return Q.anchors_valid(r, A.stations(spark, sf).filter("Nation < 10").select(F.col("ID").alias("node")))
 
 
 # ------------------------------------------------------------------ §2.1 sources and sinks (write -> read back)

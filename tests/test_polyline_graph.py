@@ -270,6 +270,18 @@ def test_closest_anchors_cases(spark):
     assert got[31] == (None, [])            # unreachable
 
 
+def test_closest_anchors_over_several_bitmap_pages(spark):
+    """More anchors than a page holds, on one node; the search against a plain one."""
+    n = 40000
+    graph = spark.range(n).select(F.col("id").alias("src"), F.lit(-1).cast("long").alias("dst")) \
+        .unionByName(spark.createDataFrame([(-1, -2), (-2, -3), (5, -2)], "src long, dst long"))
+    base = spark.range(n).select(F.col("id").alias("src"), F.lit(0).alias("dst"))
+    rows = GR.closest_anchor_rows(base, graph, spark.createDataFrame([(-1,), (-2,), (-3,), (-9,)], "n long"))
+    got = {r["node"]: (r["distance"], r["c"], r["s"]) for r in rows.groupBy("node").agg(
+        F.min("distance").alias("distance"), F.count("anchor").alias("c"), F.sum("anchor").alias("s")).collect()}
+    assert got == {-1: (1, n, n * (n - 1) // 2), -2: (1, 1, 5), -3: (2, 1, 5), -9: (None, 0, None)}
+
+
 def test_shortest_path_pairs_cases(spark):
     # detour cheaper than the direct edge, source = target, unreachable pair
     edges = spark.createDataFrame([(1, 2, 10.0), (1, 3, 2.0), (3, 2, 3.0), (2, 4, 1.0)], "src long, dst long, w double")
