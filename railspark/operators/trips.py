@@ -382,3 +382,30 @@ def merge_legs_long(legs: DataFrame, trip: str = "trip_id", bucket_rows: int = 1
     return grouped.join(size, "_group").groupBy("_group").agg(
         F.sum(F.col("t") * F.pow(F.lit(2.0), -half)).alias("t"), F.max(F.when(step == 0, head)).alias("_head")) \
         .select("_head.*", "t").select(trip, "ord", "t", "dep", "arr")
+
+
+def od_rows(legs: DataFrame, trip: str = "trip_id") -> DataFrame:
+    """``od_per_trip`` from leg rows (``clean_legs_long``): only a minimum and a maximum per trip meet."""
+    leg = F.struct("ord", F.col("t").alias("t"), F.col("dep").alias("dep"), F.col("arr").alias("arr"))
+    ends = legs.groupBy(trip).agg(F.min(leg).alias("_a"), F.max(leg).alias("_b"))
+    base = ends.select(trip, F.col("_a.t").alias("depart"), F.concat_ws("_", "_a.dep", "_a.arr").alias("from_edge"),
+                       F.concat_ws("_", "_b.dep", "_b.arr").alias("to_edge"))
+    n = number_rows(base, ["depart", trip], "_n")
+    return n.select(F.concat(F.lit("trip_"), F.col("_n").cast("string")).alias("id"), "depart", "from_edge", "to_edge", trip)
+
+
+def route_rows(legs: DataFrame, dwell: int = 30, trip: str = "trip_id") -> DataFrame:
+    """``trip, ord, depart, edge, stop`` per leg: the edge travelled and, from a trip's second leg on, its stop."""
+    first = legs.groupBy(trip).agg(F.min(F.struct("ord", "t")).alias("_f")) \
+        .select(trip, F.col("_f.ord").alias("_first"), F.col("_f.t").cast("double").alias("depart"))
+    stop = F.struct(F.concat_ws("->", "dep", "arr").alias("trainStop"), F.col("t").cast("double").alias("until"), F.lit(dwell).alias("duration"))
+    return legs.join(first, trip).select(trip, "ord", "depart", F.concat_ws("_", "dep", "arr").alias("edge"),
+                                         F.when(F.col("ord") != F.col("_first"), stop).alias("stop"))
+
+
+def gather_routes(rows: DataFrame, trip: str = "trip_id") -> DataFrame:
+    """``route_rows`` put together for the route file, whose format has one element per trip."""
+    leg = F.struct("ord", "edge", "stop")
+    g = rows.groupBy(trip).agg(F.min("depart").alias("depart"), F.array_sort(F.collect_list(leg)).alias("_l"))
+    return g.select(trip, "depart", F.array_join(F.transform("_l", lambda x: x["edge"]), " ").alias("edges"),
+                    F.filter(F.transform("_l", lambda x: x["stop"]), lambda x: x.isNotNull()).alias("stops"))

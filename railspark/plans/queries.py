@@ -954,7 +954,26 @@ def q_group_nunique_tracks(spark, sf):
     return R.group_nunique_having(_assigned(spark, sf), "track_id", "Station_ID", 1)
 
 
-@q("split_multi_station_tracks")
+MULTI_SQL = SPLIT_SQL + """,
+""" + ASSIGNED_SQL + """,
+multi AS (SELECT track_id FROM assigned GROUP BY 1 HAVING count(DISTINCT Station_ID) > 1),
+part AS (SELECT c.ID, c.piece, c.start_idx AS s, c.end_idx AS e, Path FROM cut c JOIN polylines p ON p.ID = c.ID WHERE c.ID IN (SELECT track_id FROM multi)
+         UNION ALL SELECT ID, 0, 1, len(Path), Path FROM polylines WHERE len(Path) >= 2 AND ID NOT IN (SELECT track_id FROM multi)),
+num AS (SELECT *, row_number() OVER (ORDER BY ID, piece) - 1 AS k, [round(Path[s][1], 6), round(Path[s][2], 6)] AS f,
+               [round(Path[e][1], 6), round(Path[e][2], 6)] AS t FROM part),
+seen AS (SELECT pt, min(o) AS o FROM (SELECT f AS pt, 2 * k AS o FROM num UNION ALL SELECT t, 2 * k + 1 FROM num) GROUP BY pt),
+swi AS (SELECT pt, row_number() OVER (ORDER BY o) - 1 AS SID FROM seen)
+"""
+
+
+@q("split_multi_station_switches", MULTI_SQL + "SELECT SID AS ID, pt[1] AS X, pt[2] AS Y FROM swi")
+def q_split_multi_switches(spark, sf):
+    return P.split_multi_station_tracks(A.polylines(spark, sf), _assigned(spark, sf), 800.0)[0]
+
+
+@q("split_multi_station_tracks", MULTI_SQL + f"""SELECT k AS ID, a.SID AS Departure_switch, b.SID AS Arrival_switch, CAST(e - s + 1 AS INTEGER) AS n_points,
+       round(list_sum(list_transform(range(s + 1, e + 1), lambda i: {hav_sql('Path[i - 1]', 'Path[i]')})), 3) AS Length_m
+FROM num JOIN swi a ON a.pt = f JOIN swi b ON b.pt = t""")
 def q_split_multi(spark, sf):
     sw, tr = P.split_multi_station_tracks(A.polylines(spark, sf), _assigned(spark, sf), 800.0)
     return tr.select("ID", "Departure_switch", "Arrival_switch", F.size("Path").alias("n_points"),
@@ -1126,6 +1145,12 @@ def cleaned_trips(spark, sf):
     return T.clean_legs(trips_df(spark, sf), allowed, "ID")
 
 
+def cleaned_rows(spark, sf):
+    """The cleaned legs in rows, written once."""
+    allowed = A.table(spark, sf, "supplier").filter(F.col("s_nationkey") < 12).select(F.col("s_suppkey").alias("ID"))
+    return GR.materialise_input(T.clean_legs_long(trip_legs_df(spark, sf), allowed))
+
+
 @q("clean_legs", CLEAN_SQL + f"""
 SELECT trip_id, string_agg({leg_str_sql()}, ' ' ORDER BY p) AS legs FROM cleaned GROUP BY 1""")
 def q_clean_legs(spark, sf):
@@ -1163,7 +1188,7 @@ ends AS (SELECT trip_id, arg_min(t, p) AS depart, arg_min(dep || '_' || arr, p)
 SELECT 'trip_' || (row_number() OVER (ORDER BY depart, trip_id) - 1) AS id, depart, from_edge, to_edge, trip_id
 FROM ends""")
 def q_od(spark, sf):
-    return T.od_per_trip(cleaned_trips(spark, sf))
+    return T.od_rows(cleaned_rows(spark, sf))
 
 
 @q("route_edges", CLEAN_SQL + """
@@ -1171,7 +1196,7 @@ SELECT trip_id, CAST(arg_min(t, p) AS DOUBLE) AS depart, string_agg(dep || '_' |
        coalesce(string_agg(CASE WHEN p > 1 THEN dep || '->' || arr END, ' ' ORDER BY p), '') AS stops
 FROM (SELECT trip_id, dep, arr, t, row_number() OVER (PARTITION BY trip_id ORDER BY p) AS p FROM cleaned) GROUP BY 1""")
 def q_route_edges(spark, sf):
-    r = T.route_edges(cleaned_trips(spark, sf))
+    r = T.gather_routes(T.route_rows(cleaned_rows(spark, sf)))
     return r.select("trip_id", "depart", "edges",
                     F.array_join(F.transform("stops", lambda s: s["trainStop"]), " ").alias("stops"))
 
@@ -1742,27 +1767,31 @@ def q_xml_platforms(spark, sf):
 ends AS (SELECT trip_id, arg_min(t, p) AS depart, arg_min(dep || '_' || arr, p) AS from_edge,
                 arg_max(dep || '_' || arr, p) AS to_edge FROM cleaned GROUP BY 1)
 SELECT 'trip_' || (row_number() OVER (ORDER BY depart, trip_id) - 1) AS id, CAST(depart AS VARCHAR) AS depart,
-       from_edge AS "from", to_edge AS "to" FROM ends""")
+       from_edge AS "from", to_edge AS "to", 'myTrain' AS type FROM ends""")
 def q_xml_trips(spark, sf):
     out = IO.scratch_path(spark, "trips-xml")
-    IO.sink_xml(IO.xml_trips(T.od_per_trip(cleaned_trips(spark, sf))), out, "routes", "trip")
+    IO.sink_xml(IO.xml_trips(T.od_rows(cleaned_rows(spark, sf))), out, "routes", "trip")
     back = IO.scan_xml(spark, out, "trip", ["id", "depart", "from", "to", "type"])
     return back.select(F.col("_id").alias("id"), F.col("_depart").alias("depart"), F.col("_from").alias("from"),
-                       F.col("_to").alias("to"))
+                       F.col("_to").alias("to"), F.col("_type").alias("type"))
 
 
 @q("sink_xml_routes", CLEAN_SQL + """
 SELECT 'train_' || trip_id AS id, string_agg(dep || '_' || arr, ' ' ORDER BY p) AS edges, CAST(count(*) - 1 AS INTEGER) AS n_stops,
+       coalesce(string_agg(dep || '->' || arr || '@' || CAST(t AS BIGINT) || '+30', ' ' ORDER BY p) FILTER (WHERE p > 1), '') AS stops,
        'myTrain' AS type
-FROM (SELECT trip_id, dep, arr, row_number() OVER (PARTITION BY trip_id ORDER BY p) AS p FROM cleaned) GROUP BY trip_id""")
+FROM (SELECT trip_id, dep, arr, t, row_number() OVER (PARTITION BY trip_id ORDER BY p) AS p FROM cleaned) GROUP BY trip_id""")
 def q_xml_routes(spark, sf):
     out = IO.scratch_path(spark, "routes-xml")
-    IO.sink_xml(IO.xml_routes(T.route_edges(cleaned_trips(spark, sf))), out, "routes", "vehicle")
+    IO.sink_xml(IO.xml_routes(T.gather_routes(T.route_rows(cleaned_rows(spark, sf)))), out, "routes", "vehicle")
     schema = ("_id string, _type string, _depart string, route struct<_edges:string>, "
               "stop array<struct<_trainStop:string,_until:string,_duration:string>>")
     back = IO.scan_xml(spark, out, "vehicle", schema=schema)
+    stops = F.transform("stop", lambda x: F.concat(x["_trainStop"], F.lit("@"), x["_until"].cast("double").cast("long").cast("string"),
+                                                   F.lit("+"), x["_duration"]))
     return back.select(F.col("_id").alias("id"), F.col("route._edges").alias("edges"),
-                       F.coalesce(F.size("stop"), F.lit(0)).alias("n_stops"), F.col("_type").alias("type"))
+                       F.coalesce(F.size("stop"), F.lit(0)).alias("n_stops"), F.coalesce(F.array_join(stops, " "), F.lit("")).alias("stops"),
+                       F.col("_type").alias("type"))
 
 
 @q("sink_geojson", S.with_(S.POLYLINES) + """
@@ -1903,6 +1932,93 @@ def q_run_job(spark, sf):
     return spark.read.parquet(out)
 
 
+# ------------------------------------------------------------------ commands with several inputs and outputs
+
+def _file(spark, df, name):
+    path = IO.scratch_path(spark, name)
+    IO.sink_csv(df, path, sep=";")
+    return path
+
+
+def _command(spark, command, inputs, **params):
+    from railspark.plans.jobs import run_command
+    out = IO.scratch_path(spark, command)
+    run_command(spark, command, inputs, out, **params)
+    return out
+
+
+@q("job_correct_coordinates", S.with_(S.LINKS, S.STATIONS) + """,
+st AS (SELECT ID, Nation, CASE WHEN Name = 'Supplier#000000001' THEN 'FIXED' ELSE Name END AS Name FROM stations UNION ALL SELECT 0, 99, 'Depot'),
+k AS (SELECT l.*, s.Name AS name, s.Nation AS n FROM links l JOIN st s ON s.ID = l.Departure_station_id
+      WHERE l.Arrival_station_id IN (SELECT ID FROM st))
+SELECT k.Departure_station_id AS dep, k.Arrival_station_id AS arr, k.Distance AS distance, k.name,
+       CASE WHEN k.n = 3 THEN 50.5 ELSE d.Geo_x END AS first_lat, CASE WHEN k.n = 3 THEN 4.25 ELSE d.Geo_y END AS first_lon, a.Geo_x AS last_lat
+FROM k JOIN stations d ON d.ID = k.Departure_station_id JOIN stations a ON a.ID = k.Arrival_station_id""")
+def q_job_correct(spark, sf):
+    from railspark.plans.jobs import published
+    st, links = A.stations(spark, sf), A.links(spark, sf)
+    st = st.withColumnRenamed("Name", "Code").withColumn("Name", F.col("Code"))
+    new = spark.createDataFrame([(0, "Depot", 99, 50.0, 4.0, "Depot")], "ID long, Code string, Nation int, Geo_x double, Geo_y double, Name string")
+    fixes = spark.createDataFrame([("Supplier#000000001", "FIXED")], "Name string, Code string")
+    ends = links.join(st.filter("Nation = 3").select(F.col("ID").alias("Departure_station_id")), "Departure_station_id", "left_semi") \
+        .select("Departure_station_id", "Arrival_station_id", F.lit(True).alias("first"), F.lit(50.5).alias("lat"), F.lit(4.25).alias("lon"))
+    out = _command(spark, "correct_coordinates", {k: _file(spark, d, k) for k, d in (
+        ("stations", st), ("links", links), ("new_stations", new), ("fixes", fixes), ("ends", ends))})
+    k, s = published(spark, out, "links"), published(spark, out, "stations")
+    c = F.from_json("Coordinates", "array<array<double>>")
+    k = k.select(F.col("Departure_station_id").cast("long").alias("dep"), F.col("Arrival_station_id").cast("long").alias("arr"),
+                 F.col("Distance").cast("double").alias("distance"), c[0][0].alias("first_lat"), c[0][1].alias("first_lon"), c[1][0].alias("last_lat"))
+    return k.join(s.select(F.col("ID").cast("long").alias("dep"), F.col("Code").alias("name")), "dep") \
+        .join(s.select(F.col("ID").cast("long").alias("arr")), "arr", "left_semi")
+
+
+@q("job_simplify_tracks", SIMPLIFIED_SQL + """SELECT tr.ID, a.SID AS Departure_switch, b.SID AS Arrival_switch, nd.p[1] AS X, nd.p[2] AS Y,
+       array_to_string(list_transform(path, lambda x: x[1] || ':' || x[2]), ' ') AS path
+FROM tr JOIN sw a ON a.node = tr.s JOIN sw b ON b.node = tr.e JOIN nodes nd ON nd.klat = tr.s[1] AND nd.klon = tr.s[2]""")
+def q_job_simplify(spark, sf):
+    from railspark.plans.jobs import published
+    lines = _quantised(spark, sf).select("ID", F.col("Path").alias("Coordinates"))
+    out = _command(spark, "simplify_tracks", {"lines": _file(spark, lines, "lines")})
+    t, s = published(spark, out, "tracks"), published(spark, out, "switches")
+    key = lambda x: F.round(x * 1000000).cast("long").cast("string")
+    path = F.transform(F.from_json("Path", "array<array<double>>"), lambda p: F.concat(key(p[0]), F.lit(":"), key(p[1])))
+    s = s.select(F.col("ID").alias("Departure_switch"), F.col("X").cast("double").alias("X"), F.col("Y").cast("double").alias("Y"))
+    t = t.select("ID", "Departure_switch", "Arrival_switch", F.array_join(path, " ").alias("path")).join(s, "Departure_switch")
+    return t.withColumns({c: F.col(c).cast("long") for c in ("ID", "Departure_switch", "Arrival_switch")})
+
+
+@q("job_split_tracks", MULTI_SQL + """SELECT k AS ID, f[1] AS X1, f[2] AS Y1, t[1] AS X2, t[2] AS Y2, CAST(e - s + 1 AS INTEGER) AS n_points FROM num""")
+def q_job_split(spark, sf):
+    from railspark.plans.jobs import published
+    tracks = A.polylines(spark, sf).select("ID", F.col("Path").alias("Coordinates"))
+    out = _command(spark, "split_tracks", {"tracks": _file(spark, tracks, "tracks"), "assigned": _file(spark, _assigned(spark, sf), "assigned")})
+    s = published(spark, out, "switches")
+    t = published(spark, out, "tracks")
+    for k, end in (("1", "Departure_switch"), ("2", "Arrival_switch")):
+        t = t.join(s.select(F.col("ID").alias(end), F.col("X").cast("double").alias("X" + k), F.col("Y").cast("double").alias("Y" + k)), end)
+    return t.select(F.col("ID").cast("long").alias("ID"), "X1", "Y1", "X2", "Y2", F.size(F.from_json("Path", "array<array<double>>")).alias("n_points"))
+
+
+GENERATED_SQL = S.with_(S.LINKS, S.STATIONS) + """,
+seeds AS (SELECT unnest([1, 5]) AS station),
+sel AS (SELECT station FROM seeds UNION SELECT Arrival_station_id FROM links WHERE Departure_station_id IN (SELECT station FROM seeds))
+SELECT Departure_station_id || '_' || Arrival_station_id AS id, CAST(Departure_station_id AS VARCHAR) AS "from", CAST(Arrival_station_id AS VARCHAR) AS "to",
+       round(Distance * 1000, 3) AS length FROM links
+WHERE (Departure_station_id IN (SELECT station FROM seeds) OR Arrival_station_id IN (SELECT station FROM seeds))
+  AND Departure_station_id IN (SELECT station FROM sel) AND Arrival_station_id IN (SELECT station FROM sel)"""
+
+
+@q("job_generate_simulation", GENERATED_SQL)
+def q_job_generate(spark, sf):
+    """The network and timetable files of two stations and their neighbours; the edges, read back."""
+    from railspark.plans.jobs import published
+    stops = A.stop_log(spark, sf).select("TRAIN_NO", "REAL_DATE_DEP", "STOPPING_PLACE_ID", "PLANNED_DATETIME_DEP")
+    out = _command(spark, "generate_simulation", {"stations": _file(spark, A.stations(spark, sf), "stations"), "links": _file(spark, A.links(spark, sf), "links"),
+                                                  "stops": _file(spark, stops, "stops")}, sim_stations="1,5", start="1995-01-01 00:00:00", days=30)
+    e = published(spark, out, "edges", ["id", "from", "to", "length"])
+    return e.select(F.col("_id").alias("id"), F.col("_from").alias("from"), F.col("_to").alias("to"), F.round(F.col("_length").cast("double"), 3).alias("length"))
+
+
 @q("stream_punctuality", """
 SELECT CAST(l_orderkey AS INTEGER) AS TRAIN_NO, CAST(l_suppkey AS INTEGER) AS STOPPING_PLACE_ID,
        CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_linenumber END AS DELAY_DEP,
@@ -1923,14 +2039,12 @@ def q_stream_punctuality(spark, sf):
 
 from railspark.operators import simout as SO  # noqa: E402
 
-TRIPINFO_ATTRS = ["id", "tripId", "name", "depart", "arrival", "departDelay", "line", "trainNumber", "number", "from",
-                  "fromEdge", "fromTaz", "to", "toEdge", "toTaz", "departLane", "arrivalLane"]
-STOPINFO_ATTRS = ["id", "tripId", "name", "stopID", "busStop", "trainStop", "station", "stop", "started", "ended"]
+from railspark.plans.jobs import STOPINFO_ATTRS, TRIPINFO_ATTRS  # noqa: E402
 
 
-def _tripinfo(spark, sf):
+def _tripinfo_rows(spark, sf):
     o = A.table(spark, sf, "orders")
-    x = o.select(F.concat(F.lit("trip_"), F.col("o_orderkey").cast("string")).alias("_id"),
+    return o.select(F.concat(F.lit("trip_"), F.col("o_orderkey").cast("string")).alias("_id"),
                  (F.col("o_custkey") * 10).cast("string").alias("_depart"),
                  (F.col("o_custkey") * 10 + 3600).cast("string").alias("_arrival"),
                  F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise((F.col("o_orderkey") % 120).cast("string"))
@@ -1940,20 +2054,26 @@ def _tripinfo(spark, sf):
                  F.concat(F.lit("E"), F.col("o_custkey").cast("string"), F.lit("_1")).alias("_departLane"),
                  F.concat(F.lit("E"), F.col("o_orderkey").cast("string"), F.lit("_0")).alias("_arrivalLane"),
                  F.col("o_orderkey").alias("_pos"))
+
+
+def _tripinfo(spark, sf):
     out = IO.scratch_path(spark, "tripinfo-xml")
-    IO.sink_xml(x, out, "tripinfos", "tripinfo")
+    IO.sink_xml(_tripinfo_rows(spark, sf), out, "tripinfos", "tripinfo")
     back = IO.scan_xml_records(spark, out, "tripinfo", TRIPINFO_ATTRS + ["pos"])
     return back.withColumn("_pos", F.col("_pos").try_cast("long"))
 
 
-def _stopinfo(spark, sf):
+def _stopinfo_rows(spark, sf):
     li = A.table(spark, sf, "lineitem")
-    x = li.select(F.concat(F.lit("trip_"), F.col("l_orderkey").cast("string")).alias("_id"),
+    return li.select(F.concat(F.lit("trip_"), F.col("l_orderkey").cast("string")).alias("_id"),
                   F.concat(F.col("l_suppkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("_stopID"),
                   (F.col("l_partkey") * 7).cast("string").alias("_started"),
                   (F.col("l_partkey") * 7 + 60 + F.col("l_linenumber")).cast("string").alias("_ended"))
+
+
+def _stopinfo(spark, sf):
     out = IO.scratch_path(spark, "stopinfo-xml")
-    IO.sink_xml(x, out, "stops", "stopinfo")
+    IO.sink_xml(_stopinfo_rows(spark, sf), out, "stops", "stopinfo")
     return IO.scan_xml_records(spark, out, "stopinfo", STOPINFO_ATTRS)
 
 
@@ -2008,6 +2128,16 @@ def q_punctuality_table(spark, sf):
     return SO.punctuality_table(ev, tt, F.lit("2025-01-01 00:00:00").cast("timestamp"))
 
 
+@q("job_simulation_punctuality", S.with_(EVENTS_T8_SQL) + f"SELECT {_t8_sql_cols()} FROM events e LEFT JOIN trips t USING (trip_id)")
+def q_job_simulation(spark, sf):
+    from railspark.plans.jobs import published
+    trips, stops = IO.scratch_path(spark, "tripinfo-in"), IO.scratch_path(spark, "stopinfo-in")
+    IO.sink_xml(_tripinfo_rows(spark, sf).drop("_pos"), trips, "tripinfos", "tripinfo")
+    IO.sink_xml(_stopinfo_rows(spark, sf), stops, "stops", "stopinfo")
+    out = _command(spark, "simulation_punctuality", {"tripinfo": trips, "stopinfo": stops}, start_date="2025-01-01")
+    return published(spark, out, "punctuality").withColumns({c: F.col(c).cast("double") for c in ("delay_departure", "delay_arrival")})
+
+
 # ------------------------------------------------------------------ long-format trips (hot train-days split over tasks)
 
 def trip_legs_df(spark, sf):

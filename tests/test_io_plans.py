@@ -62,7 +62,7 @@ def test_no_python_udfs_in_plans(spark):
 
 def test_every_query_has_oracle_or_is_listed():
     no_oracle = set(entry.QUERIES) - set(entry.ORACLE)
-    assert no_oracle == {"random_sample", "split_multi_station_tracks", "pure_cycles_snapped"}
+    assert no_oracle == {"random_sample", "pure_cycles_snapped"}
 
 
 def test_profile_is_one_scan_and_filters_reach_the_scan(spark):
@@ -127,3 +127,42 @@ def test_base_date_of_a_tag_over_several_lines(spark, tmp_path):
         path = tmp_path / f"{k}.xml"
         path.write_text(text)
         assert str(IO.base_date_from_xml(spark, str(path)).first()["base_date"]) == want
+
+
+def test_commands_publish_all_outputs_at_once(spark, tmp_path):
+    """A run that fails leaves the last published one in place; generated files hold the timetable."""
+    from railspark.plans import jobs
+    src, out = str(tmp_path), str(tmp_path / "out")
+    stations = spark.createDataFrame([(1, "A", 50.0, 4.0), (2, "B", 50.1, 4.1), (3, "C", 50.2, 4.2), (9, "far", 51.0, 5.0)], "ID int, Name string, Geo_x double, Geo_y double")
+    links = spark.createDataFrame([(1, 2, 10.0, "[[50.0,4.0],[50.1,4.1]]"), (2, 3, 12.0, "[[50.1,4.1],[50.2,4.2]]"), (9, 3, 99.0, "broken")],
+                                  "Departure_station_id int, Arrival_station_id int, Distance double, Coordinates string")
+    stops = spark.createDataFrame([("T1", "d", 1, "2025-01-01 06:10:00"), ("T1", "d", 2, "2025-01-01 06:20:00"), ("T1", "d", 3, "2025-01-01 06:30:00"),
+                                   ("T2", "d", 1, "2025-01-01 07:00:00"), ("T2", "d", 2, "2025-02-01 07:30:00")],
+                                  "TRAIN_NO string, REAL_DATE_DEP string, STOPPING_PLACE_ID int, PLANNED_DATETIME_DEP string")
+    inputs = {}
+    for name, df in (("stations", stations), ("links", links), ("stops", stops)):
+        inputs[name] = f"{src}/{name}"
+        IO.sink_csv(df, inputs[name], sep=";")
+    arguments = [x for k, v in inputs.items() for x in ("--in", f"{k}={v}")]
+    jobs.main(["generate_simulation", *arguments, "--set", "sim_stations=1,2", "--out", out])
+    assert sorted(tuple(r) for r in jobs.published(spark, out, "trips", ["id", "depart", "from", "to"]).collect()) == [("trip_0", "600", "1_2", "2_3")]
+    assert {r["_id"] for r in jobs.published(spark, out, "edges", ["id"]).collect()} == {"1_2", "2_3"}
+    assert jobs.published(spark, out, "routes", ["id", "depart"]).count() == 1 and jobs.published(spark, out, "platforms", ["id"]).count() == 2
+    before = jobs.published(spark, out, "nodes", ["id"]).inputFiles()
+    with pytest.raises(Exception):
+        jobs.run_command(spark, "generate_simulation", {**inputs, "stops": f"{src}/none"}, out, sim_stations="1,2")
+    broken = dict(jobs.COMMANDS)
+    jobs.COMMANDS["generate_simulation"] = lambda spark, inputs, **kw: {
+        "nodes": (IO.xml_nodes(stations), "nodes", "node"), "edges": stations.select(F.raise_error(F.lit("lost")).cast("string").alias("x"))}
+    try:
+        with pytest.raises(Exception, match="lost"):
+            jobs.run_command(spark, "generate_simulation", inputs, out)
+    finally:
+        jobs.COMMANDS.update(broken)
+    assert jobs.published(spark, out, "nodes", ["id"]).inputFiles() == before
+    with pytest.raises(FileNotFoundError):
+        jobs.published(spark, out, "nothing")
+    jobs.run_command(spark, "correct_coordinates", {k: inputs[k] for k in ("stations", "links")}, out)
+    report = {r["state"]: r for r in jobs.published(spark, out, "report").collect()}
+    assert report["before"]["links"] == report["after"]["links"] == "3" and report["after"]["both_ok"] == "2"
+    assert jobs.published(spark, out, "nodes", ["id"]).inputFiles() == before
