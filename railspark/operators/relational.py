@@ -210,9 +210,10 @@ def top_n(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def random_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """k distinct keys chosen by a seeded hash: deterministic, and planned as a top-k."""
+    """k distinct keys chosen by a seeded hash (MD5 of seed and key, the same in any engine):
+    deterministic, and planned as a top-k."""
     keys = df.select(key).distinct()
-    return keys.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(k)
+    return keys.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.col(key)).limit(k)
 
 
 def union_distinct_endpoints(links: DataFrame, dep: str = "Departure_station_id",

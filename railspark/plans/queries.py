@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from railspark.plans import analogues as A
 from railspark.plans import sql_snippets as S
+from railspark.operators import loops as LO
 from railspark.operators import relational as R
 from railspark.operators import trips as T
 from railspark.operators import windows as W
@@ -146,12 +147,11 @@ top AS (SELECT STOPPING_PLACE_ID AS a, NEXT_STOP AS b FROM stop_next WHERE NEXT_
 SELECT TRAIN_NO, SEQ, PART, STOPPING_PLACE_ID, NEXT_STOP, DELAY_ARR FROM stop_next, top
 WHERE STOPPING_PLACE_ID = top.a AND NEXT_STOP = top.b""")
 def q_link_filter(spark, sf):
-    sn = A.stop_log_next(spark, sf)
+    sn = LO.materialise_input(A.stop_log_next(spark, sf).select("TRAIN_NO", "SEQ", "PART", "STOPPING_PLACE_ID", "NEXT_STOP", "DELAY_ARR"))
     # the busiest link (a top-1 report), then the filter on it
     top = (sn.filter(F.col("NEXT_STOP").isNotNull()).groupBy("STOPPING_PLACE_ID", "NEXT_STOP")
-           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "STOPPING_PLACE_ID", "NEXT_STOP").limit(1))
-    return sn.join(F.broadcast(top.select("STOPPING_PLACE_ID", "NEXT_STOP")), ["STOPPING_PLACE_ID", "NEXT_STOP"]) \
-        .select("TRAIN_NO", "SEQ", "PART", "STOPPING_PLACE_ID", "NEXT_STOP", "DELAY_ARR")
+           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "STOPPING_PLACE_ID", "NEXT_STOP").first())
+    return C.link_filter(sn, "STOPPING_PLACE_ID", "NEXT_STOP", top and top["STOPPING_PLACE_ID"], top and top["NEXT_STOP"])
 
 
 @q("dropna_any", S.with_(S.STOP_NEXT) + """
@@ -406,9 +406,8 @@ SELECT o.o_orderkey, last.l_suppkey AS last_supplier, last.l_linenumber AS last_
 FROM orders o LEFT JOIN last ON o.o_orderkey = last.l_orderkey""")
 def q_lookup_last(spark, sf):
     li = A.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_shipdate")
-    lk = R.last_wins(li, "l_orderkey", ["l_linenumber", "l_suppkey", "l_partkey", "l_shipdate"])
     o = A.table(spark, sf, "orders").select("o_orderkey")
-    return o.join(lk, o.o_orderkey == lk.l_orderkey, "left").select(
+    return R.join_lookup_last_wins(o, li, "o_orderkey", "l_orderkey", ["l_linenumber", "l_suppkey", "l_partkey", "l_shipdate"]).select(
         "o_orderkey", F.col("l_suppkey").alias("last_supplier"), F.col("l_linenumber").alias("last_line"))
 
 
@@ -421,9 +420,12 @@ def q_semi(spark, sf):
 
 
 @q("anti_missing", """
-SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority LIKE '1%'
+                                                  AND o.o_orderstatus = 'F')""")
 def q_anti(spark, sf):
-    return R.anti_missing(A.table(spark, sf, "customer").select("c_custkey"), A.table(spark, sf, "orders"),
+    """Customers without a finished urgent order."""
+    urgent = A.table(spark, sf, "orders").filter(F.col("o_orderpriority").startswith("1") & (F.col("o_orderstatus") == "F"))
+    return R.anti_missing(A.table(spark, sf, "customer").select("c_custkey"), urgent,
                           "c_custkey", "o_custkey")
 
 
@@ -595,9 +597,12 @@ for _m, _k in (("distinct_count", "profile_distinct"), ("null_count", "profile_n
 
 
 @q("duplicate_rows", """
-SELECT *, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
+SELECT *, count(*) AS count FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 50 = 0)
+GROUP BY ALL HAVING count(*) > 1""")
 def q_duplicate_rows(spark, sf):
-    return Q.duplicate_rows(A.table(spark, sf, "lineitem"))
+    """The order lines, those of some orders delivered a second time."""
+    li = A.table(spark, sf, "lineitem")
+    return Q.duplicate_rows(li.unionByName(li.filter("l_orderkey % 50 = 0")))
 
 
 @q("adjacency_sets", S.with_(S.LINKS) + """
@@ -711,7 +716,7 @@ def q_top_n(spark, sf):
                    F.desc("PRICE"), "TRAIN_NO", "SEQ", "PART", "STOPPING_PLACE_ID")
 
 
-@q("random_sample")
+@q("random_sample", "SELECT l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY md5('7:' || l_orderkey), l_orderkey LIMIT 5")
 def q_random_sample(spark, sf):
     return R.random_sample(A.table(spark, sf, "lineitem"), "l_orderkey", 5, seed=7)
 
@@ -1057,10 +1062,10 @@ def q_missing_ids(spark, sf):
 
 @q("correct_stations", S.with_(S.STATIONS) + """
 SELECT CAST(ID AS INTEGER) AS ID, Name, CASE WHEN Name = 'Supplier#000000001' THEN 'FIXED' ELSE 'C' || ID END AS Code
-FROM stations""")
+FROM stations UNION ALL SELECT -2, 'Yard', 'CY'""")
 def q_correct_stations(spark, sf):
     st = A.stations(spark, sf).select("ID", "Name", F.concat(F.lit("C"), F.col("ID").cast("string")).alias("Code"))
-    new = spark.createDataFrame([(-1, "Depot", None)], "ID long, Name string, Code string")
+    new = spark.createDataFrame([(-1, "Depot", None), (-2, "Yard", "CY")], "ID long, Name string, Code string")
     fixes = spark.createDataFrame([("Supplier#000000001", "FIXED")], "Name string, Code string")
     return Q.correct_stations(st, new, fixes, "Name", "Code", "ID")
 
@@ -1739,26 +1744,33 @@ q("scan_xml", S.with_(S.STATIONS) + """
 SELECT CAST(ID AS VARCHAR) AS id, Geo_y AS x, Geo_x AS y, 'priority' AS type FROM stations""")(q_xml_nodes)
 
 
-@q("sink_xml_edges", S.with_(S.LINKS) + """
-SELECT Departure_station_id || '_' || Arrival_station_id AS id, CAST(Departure_station_id AS VARCHAR) AS "from",
-       CAST(Arrival_station_id AS VARCHAR) AS "to", Distance * 1000 AS length, 2 AS n_shape_points, '2' AS priority FROM links""")
+@q("sink_xml_edges", S.with_(S.LINKS, S.STATIONS) + """,
+part AS (SELECT * FROM stations WHERE Nation < 12)
+SELECT l.Departure_station_id || '_' || l.Arrival_station_id AS id, CAST(l.Departure_station_id AS VARCHAR) AS "from",
+       CAST(l.Arrival_station_id AS VARCHAR) AS "to", l.Distance * 1000 AS length, d.Geo_y AS x1, d.Geo_x AS y1, a.Geo_y AS x2, a.Geo_x AS y2,
+       '2' AS priority, '1' AS lanes, CAST(27.0 AS DOUBLE) AS speed, 'rail' AS allow
+FROM links l JOIN part d ON d.ID = l.Departure_station_id JOIN part a ON a.ID = l.Arrival_station_id""")
 def q_xml_edges(spark, sf):
+    """The links between the stations of some countries, with every attribute of the file."""
     out = IO.scratch_path(spark, "edges-xml")
-    IO.sink_xml(IO.xml_edges(A.links(spark, sf), A.stations(spark, sf)), out, "edges", "edge")
-    back = IO.scan_xml(spark, out, "edge", ["id", "from", "to", "length", "shape", "priority"])
+    IO.sink_xml(IO.xml_edges(A.links(spark, sf), A.stations(spark, sf).filter("Nation < 12")), out, "edges", "edge")
+    back = IO.scan_xml(spark, out, "edge", ["id", "from", "to", "length", "shape", "priority", "numLanes", "speed", "allow"])
+    number = lambda k, j: F.split(F.split("_shape", " ")[k], ",")[j].cast("double")
     return back.select(F.col("_id").alias("id"), F.col("_from").alias("from"), F.col("_to").alias("to"),
-                       F.col("_length").try_cast("double").alias("length"),
-                       F.size(F.split("_shape", " ")).alias("n_shape_points"), F.col("_priority").alias("priority"))
+                       F.col("_length").try_cast("double").alias("length"), number(0, 0).alias("x1"), number(0, 1).alias("y1"),
+                       number(1, 0).alias("x2"), number(1, 1).alias("y2"), F.col("_priority").alias("priority"), F.col("_numLanes").alias("lanes"),
+                       F.col("_speed").cast("double").alias("speed"), F.col("_allow").alias("allow"))
 
 
 @q("sink_xml_platforms", S.with_(S.LINKS, S.STATIONS) + """
 SELECT l.Departure_station_id || '->' || l.Arrival_station_id AS id,
        l.Departure_station_id || '_' || l.Arrival_station_id || '_0' AS lane, d.Name || ' to ' || s.Name || ' platform' AS name,
        '80' AS startPos, '300' AS endPos
-FROM links l JOIN stations d ON l.Departure_station_id = d.ID JOIN stations s ON l.Arrival_station_id = s.ID""")
+FROM links l JOIN stations d ON l.Departure_station_id = d.ID JOIN stations s ON l.Arrival_station_id = s.ID
+WHERE d.Nation < 12 AND s.Nation < 12""")
 def q_xml_platforms(spark, sf):
     out = IO.scratch_path(spark, "platforms-xml")
-    IO.sink_xml(IO.xml_platforms(A.links(spark, sf), A.stations(spark, sf)), out, "additional", "trainStop")
+    IO.sink_xml(IO.xml_platforms(A.links(spark, sf), A.stations(spark, sf).filter("Nation < 12")), out, "additional", "trainStop")
     back = IO.scan_xml(spark, out, "trainStop", ["id", "lane", "name", "startPos", "endPos"])
     return back.select(*[F.col("_" + c).alias(c) for c in ("id", "lane", "name", "startPos", "endPos")])
 

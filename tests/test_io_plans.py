@@ -62,7 +62,7 @@ def test_no_python_udfs_in_plans(spark):
 
 def test_every_query_has_oracle_or_is_listed():
     no_oracle = set(entry.QUERIES) - set(entry.ORACLE)
-    assert no_oracle == {"random_sample", "pure_cycles_snapped"}
+    assert no_oracle == {"pure_cycles_snapped"}
 
 
 def test_profile_is_one_scan_and_filters_reach_the_scan(spark):

@@ -59,3 +59,35 @@ def test_next_stop_edge_cases(spark):
     assert got[100] == 101 and got[101] == 102 and got[102] is None
     assert got[200] is None and got[300] is None
     assert got[301] == 302 and got[302] is None   # NULL time sorts first (Spark ascending)
+
+
+def test_duplicate_rows_by_fingerprint(spark):
+    """Against a plain count: NULLs, signed zeros, arrays, and a filter far too small for its suspects."""
+    import random
+    from collections import Counter
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, "a", "b", ""]), rnd.choice([0.0, -0.0, 1.5, None]), [rnd.choice([0.0, -0.0])], k % 400) for k in range(3000)]
+    df = spark.createDataFrame(rows, "s string, d double, v array<double>, k long")
+    want = Counter((s, None if d is None else d + 0.0, (v[0] + 0.0,), k) for s, d, v, k in rows)
+    got = {(r["s"], r["d"], tuple(r["v"]), r["k"]): r["count"] for r in Q.duplicate_rows(df).collect()}
+    assert got == {k: n for k, n in want.items() if n > 1} and len(got) > 100
+    least, most = Q.LEAST_BITS, Q.MOST_BITS
+    try:
+        Q.LEAST_BITS = Q.MOST_BITS = 64
+        assert {(r["s"], r["d"], tuple(r["v"]), r["k"]): r["count"] for r in Q.duplicate_rows(df).collect()} == got
+    finally:
+        Q.LEAST_BITS, Q.MOST_BITS = least, most
+    assert Q.duplicate_rows(df.select("k").distinct()).count() == 0
+
+
+def test_profile_counts_digests_and_merges_sketches(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 AS seven", "if(id % 2 = 0, cast(0 as double), -cast(0 as double)) AS zero",
+                                      "if(id % 3 = 0, null, if(id % 3 = 1, '', 'x')) AS t", "cast(null as string) AS none")
+    got = {r["column_name"]: tuple(r)[1:] for r in Q.profile(df).collect()}
+    assert got == {"id": (5000, 0, None), "seven": (7, 0, None), "zero": (1, 0, None), "t": (2, 1667, 1667), "none": (0, 5000, 0)}
+    assert "Expand" not in Q.profile(df)._jdf.queryExecution().executedPlan().toString()
+    merged = Q.merge_sketches(Q.profile_sketches(df.filter("id < 3000")).unionByName(Q.profile_sketches(df.filter("id >= 2000"))))
+    est = {r["column_name"]: r["distinct_count"] for r in merged.collect()}
+    assert abs(est["id"] - 5000) < 250 and est["seven"] == 7 and est["t"] == 2
+    approx = {r["column_name"]: r["distinct_count"] for r in Q.profile(df, approx=True, metrics=("distinct_count",)).collect()}
+    assert abs(approx["id"] - 5000) < 250 and approx["none"] == 0
