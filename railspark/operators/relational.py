@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railspark.operators.loops import materialise_input
 from railspark.functions.scalar import col_of
 
 # ---------------------------------------------------------------- joins (§2.3)
@@ -153,6 +154,50 @@ def group_collect(df: DataFrame, key: str, name: str, value: str, order: str) ->
                                F.array_sort(F.collect_list(value)).alias(value + "s"))
 
 
+def paged_lists(df: DataFrame, key: str, value: str, page_rows: int = 1024) -> DataFrame:
+    """``key, page, values``: each key's distinct values in order, ``page_rows`` to a page (from 0).
+
+    Values get consecutive numbers over ranges of (key, value), so a hub's values are dealt to
+    many tasks; a page is all that ever meets.  NULL values are left out, a key with none has
+    one empty page.
+    """
+    from railspark.operators.windows import number_rows
+    rows = df.select(F.col(key).alias("_k"), F.col(value).alias("_v")).distinct()
+    n = number_rows(rows.filter(F.col("_v").isNotNull()), ["_k", "_v"], "_g")
+    n = materialise_input(n)
+    first = n.groupBy(F.col("_k").alias("_of")).agg(F.min("_g").alias("_first"))
+    pages = n.join(first, F.col("_k").eqNullSafe(F.col("_of"))).select("_k", "_v", F.floor((F.col("_g") - F.col("_first")) / page_rows).alias("page")) \
+        .groupBy("_k", "page").agg(F.array_sort(F.collect_list("_v")).alias("values"))
+    kind = rows.schema["_v"].dataType.simpleString()
+    none = rows.groupBy("_k").agg(F.count("_v").alias("_n")).filter("_n = 0") \
+        .select("_k", F.lit(0).cast("long").alias("page"), F.array().cast(f"array<{kind}>").alias("values"))
+    return pages.unionByName(none).withColumnRenamed("_k", key)
+
+
+def adjacency_pages(edges: DataFrame, src: str = "src", dst: str = "dst", undirected: bool = False, page_rows: int = 1024) -> DataFrame:
+    """``adjacency_sets`` in pages: ``node, page, neighbours``."""
+    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("nb"))
+    if undirected:
+        e = e.unionByName(e.select(F.col("nb").alias("node"), F.col("node").alias("nb")))
+    return paged_lists(e.filter(F.col("nb").isNotNull()), "node", "nb", page_rows).withColumnRenamed("values", "neighbours")
+
+
+def group_pages(df: DataFrame, key: str, name: str, value: str, order: str, page_rows: int = 1024) -> DataFrame:
+    """``group_collect`` in pages of distinct values: ``key, name, page, values``."""
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(name, F.struct(order, name)).alias(name))
+    pages = paged_lists(df, key, value, page_rows)
+    return pages.join(first, F.col(key).eqNullSafe(F.col("_key"))).select(key, name, "page", F.col("values").alias(value + "s"))
+
+
+def membership_pages(station_tracks: DataFrame, edges: DataFrame, station: str = "Station_ID", track: str = "track", edge_id: str = "edge_id",
+                     edge_track: str = "track", page_rows: int = 1024) -> DataFrame:
+    """``array_membership_join`` on rows ``station_tracks(station, track)``, in pages: ``station, page, edges``;
+    a station without a match has one empty page."""
+    e = edges.select(F.col(edge_track).alias("_t"), F.col(edge_id).alias("_e"))
+    j = station_tracks.select(station, F.col(track).alias("_t")).join(e, "_t", "left")
+    return paged_lists(j, station, "_e", page_rows).withColumnRenamed("values", "edges")
+
+
 def node_degree(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct neighbours per node of an undirected edge list."""
     e = edges.select(F.col(src).alias("node"), F.col(dst).alias("nb"))

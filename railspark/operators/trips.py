@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from railspark.functions.scalar import col_of, seconds_since
 from railspark.operators.relational import neighbour_expand
 from railspark.operators.loops import chain_from, materialise, materialise_input
-from railspark.operators.windows import number_rows, running_sum, _cols
+from railspark.operators.windows import number_rows, rank_neighbours, running_sum, _cols
 from railspark.session import ensure_checkpoint_dir
 
 LEG = "struct<t:bigint,dep:bigint,arr:bigint>"
@@ -409,3 +409,24 @@ def gather_routes(rows: DataFrame, trip: str = "trip_id") -> DataFrame:
     g = rows.groupBy(trip).agg(F.min("depart").alias("depart"), F.array_sort(F.collect_list(leg)).alias("_l"))
     return g.select(trip, "depart", F.array_join(F.transform("_l", lambda x: x["edge"]), " ").alias("edges"),
                     F.filter(F.transform("_l", lambda x: x["stop"]), lambda x: x.isNotNull()).alias("stops"))
+
+
+def schedule_rows(legs: DataFrame, edges: DataFrame, vmax: float, dwell: int = 60, trip: str = "trip_id", bucket_rows: int = 1 << 16) -> DataFrame:
+    """``schedule_propagate`` on leg rows ``trip, ord, t, dep, arr`` with the platform of every stop.
+
+    Output: ``trip, pos (from 0), edge, platform, departure``.  dep_0 = t_0 + dwell; dep_i = dep_{i-1}
+    + floor(len_i / min(speed_i, vmax)) + dwell; the first edge's travel is not counted, an edge
+    missing from ``edges(src, dst, length, speed)`` adds 0.  A stop's platform is
+    ``src_platform_rank``, the rank of the next station among the station's neighbours sorted as
+    text.  The running sums are bucketed, so a long trip is spread over tasks.
+    """
+    e = rank_neighbours(edges, "src", "dst", "_rank", as_text=True).select(
+        F.col("src").alias("dep"), F.col("dst").alias("arr"), "_rank", F.floor(F.col("length") / F.least(F.col("speed"), F.lit(float(vmax)))).alias("_travel"))
+    lg = materialise_input(number_rows(legs.select(F.col(trip).alias("_trip"), "ord", "t", "dep", "arr"), ["_trip", "ord"], "_g"))
+    first = lg.groupBy("_trip").agg(F.min(F.struct("_g", "t")).alias("_f")).select("_trip", F.col("_f._g").alias("_first"), F.col("_f.t").alias("_t0"))
+    rows = lg.join(first, "_trip").join(e, ["dep", "arr"], "left").withColumn("pos", F.col("_g") - F.col("_first"))
+    travel = F.when(F.col("pos") > 0, F.coalesce("_travel", F.lit(0))).otherwise(F.lit(0)).cast("double")
+    rows = running_sum(rows, ["_trip"], ["_g"], travel, "_sum", F.floor(F.col("_g") / bucket_rows))
+    return rows.select(F.col("_trip").alias(trip), "pos", F.concat_ws("_", "dep", "arr").alias("edge"),
+                       F.concat(F.col("dep").cast("string"), F.lit("_platform_"), F.col("_rank").cast("string")).alias("platform"),
+                       (F.col("_t0") + F.lit(dwell) * (F.col("pos") + 1) + F.col("_sum")).alias("departure"))

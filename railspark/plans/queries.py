@@ -476,6 +476,25 @@ def q_array_membership(spark, sf):
     return r.select("Station_ID", F.array_join("edges", ",").alias("edges"))
 
 
+def _paged_sql(source: str, key: str, value: str, name: str, n: int = 16) -> str:
+    """Pages of ``n`` distinct values per key; ``source`` defines d(key, value)."""
+    return source + f""",
+r AS (SELECT {key}, {value}, (row_number() OVER (PARTITION BY {key} ORDER BY {value}) - 1) // {n} AS page
+      FROM (SELECT DISTINCT {key}, {value} FROM d WHERE {value} IS NOT NULL))
+SELECT {key}, CAST(page AS BIGINT) AS page, string_agg(CAST({value} AS VARCHAR), ',' ORDER BY {value}) AS {name} FROM r GROUP BY 1, 2"""
+
+
+@q("membership_pages", _paged_sql(S.with_(S.LINKS) + """,
+d AS (SELECT s_nationkey AS Station_ID, l.Departure_station_id || '_' || l.Arrival_station_id AS e
+      FROM supplier JOIN links l ON l.Departure_station_id = s_suppkey)""", "Station_ID", "e", "edges") + """
+UNION ALL SELECT 99, 0, ''""")
+def q_membership_pages(spark, sf):
+    st = A.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("Station_ID"), F.col("s_suppkey").alias("track"))
+    st = st.unionByName(spark.createDataFrame([(99, -1)], "Station_ID int, track bigint"))
+    edges = A.links(spark, sf).select(F.concat_ws("_", "Departure_station_id", "Arrival_station_id").alias("edge_id"), F.col("Departure_station_id").alias("track"))
+    return R.membership_pages(st, edges, page_rows=16).withColumn("edges", F.array_join("edges", ","))
+
+
 @q("self_join_shared_node", S.with_(S.LINKS) + """,
 u AS (SELECT DISTINCT least(Departure_station_id, Arrival_station_id) AS a,
                       greatest(Departure_station_id, Arrival_station_id) AS b FROM links
@@ -616,6 +635,21 @@ def q_adjacency(spark, sf):
                     .alias("neighbours"))
 
 
+@q("adjacency_pages", _paged_sql(S.with_(S.LINKS) + """,
+d AS (SELECT Departure_station_id AS node, Arrival_station_id AS nb FROM links)""", "node", "nb", "neighbours"))
+def q_adjacency_pages(spark, sf):
+    e = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"))
+    return R.adjacency_pages(e, page_rows=16).withColumn("neighbours", F.array_join("neighbours", ","))
+
+
+@q("group_pages", S.with_(S.STATIONS) + """,
+r AS (SELECT Nation, ID, (row_number() OVER (PARTITION BY Nation ORDER BY ID) - 1) // 3 AS page, first_value(Name) OVER (PARTITION BY Nation ORDER BY ID) AS Name
+      FROM stations)
+SELECT Nation, Name, CAST(page AS BIGINT) AS page, string_agg(CAST(ID AS VARCHAR), ',' ORDER BY ID) AS IDs FROM r GROUP BY 1, 2, 3""")
+def q_group_pages(spark, sf):
+    return R.group_pages(A.stations(spark, sf), "Nation", "Name", "ID", "ID", page_rows=3).withColumn("IDs", F.array_join("IDs", ","))
+
+
 @q("group_collect", S.with_(S.STATIONS) + """
 SELECT Nation, arg_min(Name, ID) AS Name, string_agg(CAST(ID AS VARCHAR), ',' ORDER BY ID) AS IDs
 FROM stations GROUP BY 1""")
@@ -1272,12 +1306,16 @@ def q_restrict_seq(spark, sf):
 
 
 @q("station_pair_requests", S.with_(RELSEQ_SQL) + """,
-lk AS (SELECT s.stop AS a, n.stop AS b FROM seq s JOIN seq n ON s.relation = n.relation AND n.pos = s.pos + 1),
+net AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey, make_date(year(l_shipdate), 1, 1)
+                                                     ORDER BY l_shipdate, l_linenumber, l_suppkey, l_partkey) AS b FROM lineitem),
+lk AS (SELECT s.stop AS a, n.stop AS b FROM seq s JOIN seq n ON s.relation = n.relation AND n.pos = s.pos + 1
+       UNION ALL SELECT a, b FROM net WHERE b IS NOT NULL AND a IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)),
 p AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk)
 SELECT DISTINCT a, b FROM p""")
 def q_pair_requests(spark, sf):
-    empty = spark.createDataFrame([], "Departure_station_id long, Arrival_station_id long")
-    return T.station_pair_requests(empty, relation_seq(spark, sf))
+    """Neighbours by the links from one country's stations and by the relations' stop sequences."""
+    links = A.links(spark, sf).join(seeds(spark, sf).withColumnRenamed("station", "Departure_station_id"), "Departure_station_id", "left_semi")
+    return T.station_pair_requests(links, relation_seq(spark, sf))
 
 
 @q("periodic_trips", """
@@ -1305,11 +1343,25 @@ SELECT vehicle, CAST(pos AS INTEGER) AS pos, edge,
                                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS departure FROM j"""
 
 
+def _sched_sql(columns: str, join: str = "") -> str:
+    sql = SCHED_SQL.replace("WITH RECURSIVE " + S.LEGS, "WITH RECURSIVE " + S.LINKS, 1)
+    head, tail = sql.rsplit("SELECT vehicle,", 1)
+    return head.rstrip() + ",\nsched AS (SELECT vehicle," + tail + f")\nSELECT {columns} FROM sched{join}"
+
+
+@q("schedule_rows", _sched_sql("vehicle, pos, sched.edge, split_part(sched.edge, '_', 1) || '_platform_' || k AS platform, departure", """
+JOIN (SELECT Departure_station_id || '_' || Arrival_station_id AS edge, row_number() OVER (PARTITION BY Departure_station_id
+             ORDER BY CAST(Arrival_station_id AS VARCHAR), Arrival_station_id) AS k FROM links) USING (edge)"""))
+def q_schedule_rows(spark, sf):
+    edges = A.links(spark, sf).select(F.col("Departure_station_id").alias("src"), F.col("Arrival_station_id").alias("dst"), (F.col("Distance") * 1000).alias("length"),
+                                      (F.lit(10) + F.col("Departure_station_id") % 20).cast("double").alias("speed"))
+    r = T.schedule_rows(cleaned_rows(spark, sf), edges, vmax=25.0)
+    return r.withColumnRenamed("trip_id", "vehicle").withColumn("pos", F.col("pos").cast("int"))
+
+
 @q("schedule_propagate", SCHED_SQL.replace("WITH RECURSIVE " + S.LEGS, "WITH RECURSIVE " + S.LINKS, 1))
 def q_schedule(spark, sf):
-    c = cleaned_trips(spark, sf)
-    routes = c.select(F.col("trip_id").alias("vehicle"), F.col("legs")[0]["t"].alias("depart"),
-                      F.array_join(F.transform("legs", lambda x: F.concat_ws("_", x["dep"], x["arr"])), " ").alias("edges"))
+    routes = T.gather_routes(T.route_rows(cleaned_rows(spark, sf))).withColumnRenamed("trip_id", "vehicle")
     lk = A.links(spark, sf)
     edges = lk.select(F.concat_ws("_", "Departure_station_id", "Arrival_station_id").alias("id"),
                       (F.col("Distance") * 1000).alias("length"),

@@ -91,3 +91,15 @@ def test_profile_counts_digests_and_merges_sketches(spark):
     assert abs(est["id"] - 5000) < 250 and est["seven"] == 7 and est["t"] == 2
     approx = {r["column_name"]: r["distinct_count"] for r in Q.profile(df, approx=True, metrics=("distinct_count",)).collect()}
     assert abs(approx["id"] - 5000) < 250 and approx["none"] == 0
+
+
+def test_paged_lists_of_hubs_and_empty_keys(spark):
+    df = spark.range(5000).selectExpr("if(id < 4000, 1, if(id < 4990, 2, null)) AS k", "4999 - id AS v").unionByName(
+        spark.createDataFrame([(1, 7), (1, 7), (3, None), (4, None), (4, 1)], "k int, v long"))
+    pages = R.paged_lists(df, "k", "v", page_rows=300).collect()
+    want = {1: [7] + list(range(1000, 5000)), 2: list(range(10, 1000)), None: list(range(10)), 3: [], 4: [1]}
+    got = {}
+    for r in sorted(pages, key=lambda r: r["page"]):
+        assert len(r["values"]) <= 300 and r["page"] == len(got.get(r["k"], [])) // 300
+        got.setdefault(r["k"], []).extend(r["values"])
+    assert got == want
