@@ -555,8 +555,8 @@ def logical_legs(spark, sf):
     lg = A.legs(spark, sf)
     d = st.select(F.col("ID").alias("_did"), F.col("Nation").alias("_dn"))
     a = st.select(F.col("ID").alias("_aid"), F.col("Nation").alias("_an"))
-    j = lg.join(F.broadcast(d), F.col("departure_station") == F.col("_did"), "left") \
-        .join(F.broadcast(a), F.col("arrival_station") == F.col("_aid"), "left")
+    j = lg.join(d, F.col("departure_station") == F.col("_did"), "left") \
+        .join(a, F.col("arrival_station") == F.col("_aid"), "left")
     return j.select("TRAIN_NO", "SEQ", "PART",
                     F.when(F.col("_dn") < 12, F.col("_dn") + 1000).otherwise(F.col("departure_station"))
                     .cast("long").alias("departure_station"),

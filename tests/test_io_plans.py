@@ -166,3 +166,16 @@ def test_commands_publish_all_outputs_at_once(spark, tmp_path):
     report = {r["state"]: r for r in jobs.published(spark, out, "report").collect()}
     assert report["before"]["links"] == report["after"]["links"] == "3" and report["after"]["both_ok"] == "2"
     assert jobs.published(spark, out, "nodes", ["id"]).inputFiles() == before
+
+
+def test_stream_takes_columns_by_name(spark, tmp_path):
+    from railspark.streaming.punctuality import stream_punctuality
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.csv").write_text("EXTRA,PTCAR_NO,TRAIN_NO,DELAY_DEP,REAL_DATE_DEP,PLANNED_DATE_DEP,PLANNED_TIME_DEP\nzzzzzzzzzzzzzzzzzzzz,88,17,,03JAN2025,03JAN2025,06:10:00\n")
+    stream_punctuality(spark, str(src), out, str(tmp_path / "ck")).awaitTermination()
+    (r,) = spark.read.parquet(out).collect()
+    assert (r["TRAIN_NO"], r["STOPPING_PLACE_ID"], r["DELAY_DEP"], str(r["REAL_DATE_DEP"]), r["RELATION"]) == (17, 88, None, "2025-01-03", None)
+    (src / "b.csv").write_text("PTCAR_NO,TRAIN_NO,EXTRA,DELAY_DEP,REAL_DATE_DEP,PLANNED_DATE_DEP,PLANNED_TIME_DEP\n88,17,zz,,03JAN2025,03JAN2025,06:10:00\n")
+    with pytest.raises(Exception):  # its header differs
+        stream_punctuality(spark, str(src), out, str(tmp_path / "ck")).awaitTermination()
