@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .bpe import bpe
 from .common import texts_of, written
 
-#: Rank shards per length: a length with a third of all pieces is ranked in this many tasks.
-SHARDS = 64
+#: Pieces of one length that one task ranks, about; a more frequent length is ranked in more shards.
+SHARD = 1 << 16
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -96,36 +96,36 @@ def plan(histogram: dict[int, int], capacity: int = 1024) -> list[tuple[int, int
     return [r for r in runs if r[2]]
 
 
-def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 1024, shard: int = SHARD) -> DataFrame:
     """``pieces`` with sequence_id and offset: gapless sequences of at most ``capacity`` tokens.
 
-    The driver sees only the histogram (one row per length and shard, at most
-    ``capacity`` * SHARDS of a few bytes); the plan goes back as one row per run.
+    The driver sees only the histogram (one row per length, at most ``capacity``); the plan goes
+    back as one row per run.  A length of n pieces is ranked in ceil(n / ``shard``) shards, whose
+    first ranks come from a running sum over their counts; both meet in the ranks' own partitions.
     """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)))
-    counts = pieces.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_n"))
-    counts = [(r["length"], r["_shard"], r["_n"]) for r in counts.collect()]
-    histogram: dict[int, int] = defaultdict(int)
-    offsets = []
-    for length, shard, n in sorted(counts):
-        offsets.append((length, shard, histogram[length]))
-        histogram[length] += n
+    histogram = {r["length"]: r["_n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    shards = spark.createDataFrame([(length, -(-n // shard)) for length, n in histogram.items()], "_length long, _shards long")
+    pieces = pieces.join(shards, F.col("length") == F.col("_length")) \
+        .withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_shards"))).drop("_length", "_shards")
+    before = W.partitionBy("length").orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
+    offsets = pieces.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_n")) \
+        .select(F.col("length").alias("_l"), F.col("_shard").alias("_sh"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     runs: dict[int, list[tuple]] = defaultdict(list)
     for run in plan(histogram, capacity):
         runs[run[0]].append(run[1:])
     slots = spark.createDataFrame([(n, sorted(r)) for n, r in runs.items()],
                                   "length long, _runs array<struct<r:long,n:long,s:long,each:long,at:long>>")
-    offsets = spark.createDataFrame(offsets, "length long, _shard long, _before long")
     order = W.partitionBy("length", "_shard").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.join(F.broadcast(offsets), ["length", "_shard"]) \
-        .withColumn("_rank", F.col("_before") + F.row_number().over(order) - 1)
+    ranked = pieces.withColumn("_place", F.row_number().over(order)) \
+        .join(offsets, (F.col("length") == F.col("_l")) & (F.col("_shard") == F.col("_sh"))) \
+        .withColumn("_rank", F.col("_before") + F.col("_place") - 1)
     # few runs of a length hold its ranks: the run is the last that starts at or before the rank
     runs_flat = slots.select("length", F.explode("_runs").alias("_run")) \
         .select("length", F.col("_run.r").alias("_r"), F.col("_run.n").alias("_cnt"), F.col("_run.s").alias("_s"),
                 F.col("_run.each").alias("_each"), F.col("_run.at").alias("_at"))
     step = F.col("_rank") - F.col("_r")
-    return ranked.join(F.broadcast(runs_flat), (ranked["length"] == runs_flat["length"])
+    return ranked.join(runs_flat, (ranked["length"] == runs_flat["length"])
                        & (F.col("_rank") >= F.col("_r")) & (F.col("_rank") < F.col("_r") + F.col("_cnt"))) \
         .select(*[pieces[c] for c in ("doc_id", "piece", "start")], pieces["length"], pieces["ids_crc32"],
                 (F.col("_s") + F.floor(step / F.col("_each"))).cast("long").alias("sequence_id"),
@@ -134,7 +134,8 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id",
          text: str = "text", ranks: str | None = None) -> DataFrame:
-    """Packs all rows; one output row per piece.  An empty table gives an empty table.
+    """Packs all rows; one output row per piece.  An empty table gives an empty table; very long
+    texts become many pieces; further columns are not read.
 
     Pieces are written once, so the histogram and the ranks see the same rows.  Rows that tie
     in id, piece and content may swap slots among themselves, which changes no sequence.
