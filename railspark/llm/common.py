@@ -49,16 +49,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, doc_id: str = "doc_id", keep: str = "min") -> tuple[DataFrame, str]:
-    """``docs`` written with a number of its own for each row, and that column's name.
+def placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number of its own for each row, in their present order, and that column's name.
 
-    Numbers ascend with the id ("max": descend), then with the row's place; null ids come last.
+    The name is longer than every column's, so names that start with it clash with none.
     """
-    name = max(docs.columns, key=len) + "_row"
-    by = docs[doc_id].cast("long")
-    ordered = docs.withColumn(name, F.monotonically_increasing_id()) \
-        .orderBy(by.asc_nulls_last() if keep == "min" else by.desc_nulls_last(), name)
-    return written(ordered.withColumn(name, F.monotonically_increasing_id())), name
+    name = max([*docs.columns, ""], key=len) + "_row"
+    return written(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def first_by_id(doc_id: Column, row: str, keep: str = "min") -> Column:
+    """Aggregate: the row number with the smallest id ("max": largest), null last, then the smallest number."""
+    by = doc_id.cast("long")
+    return F.min(F.struct(by.isNull(), by if keep == "min" else F.bitwise_not(by), F.col(row).alias("row")))["row"]
 
 
 def fold_ascii(text: str) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fold_ascii, numbered, written
+from .common import first_by_id, fold_ascii, placed, written
 
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "min",
@@ -42,9 +42,11 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     """One row of each group of equal texts; all columns as they were.
 
     Each row is judged by its own text: of a group the row with the kept id stays ("min", "max";
-    a null id only where the group has no other), and of rows that repeat it the first written.
+    a null id only where the group has no other), and of rows that repeat it the first.  Further
+    columns may have any name.  Only (id, number) pairs are compared; texts are not sorted.
     """
-    rows, row = numbered(docs, doc_id, keep)
-    stays = rows.select(row, fold_ascii(text).alias("_text")).groupBy(F.md5("_text").alias("_hash"), "_text").agg(F.min(row).alias("_stays"))
-    gone = written(rows.select(F.col(row).alias("_gone")).join(stays.select("_stays"), F.col("_gone") == F.col("_stays"), "left_anti"))
-    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").drop(row)
+    rows, row = placed(docs)
+    texts = rows.select(row, rows[doc_id].alias("_id"), fold_ascii(text).alias("_text"))
+    stays = texts.groupBy(F.md5("_text").alias("_hash"), "_text").agg(first_by_id(F.col("_id"), row, keep).alias("_stays"))
+    gone = written(rows.select(F.col(row).alias(row + "_gone")).join(stays.select("_stays"), F.col(row + "_gone") == F.col("_stays"), "left_anti"))
+    return rows.join(gone, F.col(row) == F.col(row + "_gone"), "left_anti").drop(row)

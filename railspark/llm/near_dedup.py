@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import numbered, texts_of, written
+from .common import first_by_id, placed, texts_of, written
 from .components import components
 
 WORDS_PER_SHINGLE = 5
@@ -149,9 +149,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     den * |A and B| >= num * |A or B| over their k-word shingle sets.
 
     component_id is the smallest doc_id reachable over links; kept marks it.  Documents
-    without words (null, empty) link with nothing.  Rows that repeat an id repeat its result;
-    rows with a null id are their own component, null, and stay.  Sets are compared by their
-    64-bit shingle hashes.
+    without words (null, empty) link with nothing.  Every row is linked by its own text, so rows
+    that repeat an id may carry different texts and still get a component each; ``kept`` marks all
+    rows whose id is their component's.  Rows with a null id are their own component, null, and
+    stay.  Very long texts count whole; an empty table gives an empty table; further columns are
+    not read.  Sets are compared by their 64-bit shingle hashes.
     """
     t = bands * rows
 
@@ -168,15 +170,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     source = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].cast("string").alias("_text"))
     all_rows = written(source.mapInArrow(sketched, "_id long, _n long, _set binary, _keys array<long>"))
-    # classes of equal sets: one representative each
+    # classes of equal sets: a number and one representative each; all links are between the numbers
     classes = written(all_rows.filter("_set is not null and _id is not null").groupBy("_set")
-                      .agg(F.min("_id").alias("_rep"), F.min("_n").alias("_n")))
-    reps = all_rows.join(classes.select(F.col("_rep"), F.col("_set").alias("_s")), (F.col("_id") == F.col("_rep")) & (F.col("_set") == F.col("_s")), "left_semi")
-    band_rows = written(reps.select("_id", F.explode("_keys").alias("_key")).distinct())
+                      .agg(F.min("_id").alias("_rep"), F.min("_n").alias("_n")).withColumn("_class_id", F.monotonically_increasing_id()))
+    reps = all_rows.join(classes.select("_rep", "_class_id", F.col("_set").alias("_s")), (F.col("_id") == F.col("_rep")) & (F.col("_set") == F.col("_s")))
+    band_rows = written(reps.select(F.col("_class_id").alias("_id"), F.explode("_keys").alias("_key")).distinct())
     hubs = band_rows.groupBy("_key").agg(F.min("_id").alias("_hub"), F.max("_id").alias("_last")).filter("_hub <> _last").select("_key", "_hub")
     groups = written(components(band_rows.join(hubs, "_key").select(F.col("_hub").alias("u"), F.col("_id").alias("v"))))
     # sets sizes in classes of ratio num/den: linked sets are in the same or in neighbouring classes
-    members = groups.join(classes, F.col("node") == F.col("_rep")) \
+    members = groups.join(classes, F.col("node") == F.col("_class_id")) \
         .select("node", "component", "_n", F.floor(F.log(F.col("_n")) / F.log(F.lit(den / num)) + F.lit(1e-9)).cast("int").alias("_class"))
     totals = members.groupBy("component").agg(F.sum("_n").alias("_all"))
     by_class = members.groupBy("component", "_class").agg(F.sum("_n").alias("_in")) \
@@ -207,10 +209,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, k).tobytes() for x in texts_of(b)], pa.binary())], ["_id", "_bytes"])
+            sets = [shingles(x, k).tobytes() for x in texts_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary()),
+                                              pa.array(sets, pa.binary())], ["_id", "_set", "_bytes"])
 
-    wanted = tasks.select(F.col("node").alias("_w")).distinct()
-    full = source.join(wanted, F.col("_id") == F.col("_w"), "left_semi").mapInArrow(sets_of, "_id long, _bytes binary")
+    wanted = classes.join(tasks.select(F.col("node").alias("_w")).distinct(), F.col("_class_id") == F.col("_w")) \
+        .select(F.col("_rep").alias("_r"), F.col("_set").alias("_s"), "_class_id")
+    full = source.join(wanted, F.col("_id") == F.col("_r"), "left_semi").mapInArrow(sets_of, "_id long, _set binary, _bytes binary") \
+        .join(wanted, (F.col("_id") == F.col("_r")) & (F.col("_set") == F.col("_s"))).select("_class_id", "_bytes")
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
@@ -218,9 +224,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = forest(pdf["node"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["_bytes"]], side if side.any() else None, num, den)
         return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
 
-    links = tasks.join(full, F.col("node") == F.col("_id")).groupBy("component", "_task").applyInPandas(verify, "u long, v long")
+    links = tasks.join(full, F.col("node") == F.col("_class_id")).groupBy("component", "_task").applyInPandas(verify, "u long, v long")
     found = components(links)
-    parts = classes.join(found, F.col("_rep") == F.col("node"), "left").select(F.col("_set").alias("_s"), F.coalesce("component", "_rep").alias("_comp"))
+    joined = classes.join(found, F.col("_class_id") == F.col("node"), "left") \
+        .select(F.col("_set").alias("_s"), "_rep", F.coalesce("component", "_class_id").alias("_part"))
+    least = joined.groupBy(F.col("_part").alias("_p")).agg(F.min("_rep").alias("_comp"))
+    parts = joined.join(least, F.col("_part") == F.col("_p")).select("_s", "_comp")
     return all_rows.join(parts, F.col("_set") == F.col("_s"), "left") \
         .select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"),
                 F.when(F.col("_id").isNotNull(), F.coalesce("_comp", "_id")).alias("component_id")) \
@@ -228,10 +237,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of each component of linked rows, that with the smallest id (null last), then the first written.
+    """One row of each component of linked rows, that with the smallest id (null last), then the first.
 
-    Each row is judged by its own text, so rows that share an id, or have none, are compared as well.
+    Each row is judged by its own text, so rows that share an id, or have none, are compared as
+    well.  Rows without words stay.  Further columns may have any name.
     """
-    rows, row = numbered(docs)
-    gone = written(near_duplicates(rows, doc_id=row, num=num, den=den).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")))
-    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").drop(row)
+    rows, row = placed(docs)
+    found = near_duplicates(rows, doc_id=row, num=num, den=den).select(F.col("doc_id").alias(row + "_of"), F.col("component_id").alias("_part"))
+    parts = written(rows.select(row, rows["doc_id"].alias("_id")).join(found, F.col(row) == F.col(row + "_of")).select(row, "_id", "_part"))
+    several = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), first_by_id(F.col("_id"), row).alias("_stays")) \
+        .filter("_n > 1").select(F.col("_part").alias("_p"), "_stays")
+    gone = written(parts.join(several, (F.col("_part") == F.col("_p")) & (F.col(row) != F.col("_stays"))).select(F.col(row).alias(row + "_gone")))
+    return rows.join(gone, F.col(row) == F.col(row + "_gone"), "left_anti").drop(row)

@@ -329,12 +329,15 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     """``docs`` with the repeated bytes cut out of ``text`` and n_chars, if there, counted anew.
 
     Runs shrink inwards to whole characters, so the text stays valid; rows and all other
-    columns stay, also where nothing of the text is left.
+    columns, of any name, stay as they are, also where nothing of the text is left.  An empty
+    table gives an empty table.
     """
-    source = docs.withColumn("_id", F.monotonically_increasing_id() if "doc_id" not in docs.columns else
-                             F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))) \
-        .withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_key", F.unhex(F.md5("_text")))
-    spans = repeated_spans(source.select("_id", "_text", "_key"), length=length).withColumnRenamed("_key", "_k")
+    own = max([*docs.columns, ""], key=len)  # names that start with it are longer than every column's
+    key, content, runs = own + "_key", own + "_content", own + "_spans"
+    ids = F.monotonically_increasing_id() if "doc_id" not in docs.columns else F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    source = docs.withColumn(content, F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(key, F.unhex(F.md5(content)))
+    spans = repeated_spans(source.select(ids.alias("_id"), F.col(content).alias("_text"), F.col(key).alias("_key")), length=length) \
+        .select(F.col("_key").alias(own + "_of"), F.col("spans").alias(runs))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
@@ -353,8 +356,8 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
             out.append(kept_bytes(raw, whole).decode())
         return pd.Series(out)
 
-    joined = source.join(spans, F.col("_key") == F.col("_k"), "left")
-    clean = F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut("_text", "spans"))
+    joined = source.join(spans, F.col(key) == F.col(own + "_of"), "left")
+    clean = F.when(F.col(runs).isNull(), F.col(text)).otherwise(cut(content, runs))
     cols = [clean.alias(c) if c == text else F.col(c) for c in docs.columns]
     out = joined.select(*cols)
     return out.withColumn("n_chars", F.char_length(F.coalesce(text, F.lit(""))).cast("long")) if "n_chars" in docs.columns else out

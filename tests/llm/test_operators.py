@@ -449,3 +449,81 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert 21 not in left["exact_dedup"] and {1, 2, 22, 23} <= set(left["exact_dedup"])
     assert not {22, 23} & set(left["near_dedup"]) and left["suffix_dedup"] == left["near_dedup"]
     assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == set(left["suffix_dedup"])
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(70)) for x in "abc")
+    data = [(1, a), (1, b), (3, b + " more"), (3, c), (2, c + " more"), (1, a), (9, a.upper())]
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), num=85).collect()
+    by_row = near_brute(list(enumerate(t for _, t in data)), 85, 100)
+    least = {}
+    for k, (i, _) in enumerate(data):
+        least[by_row[k][1]] = min(i, least.get(by_row[k][1], i))
+    want = sorted((i, by_row[k][0], least[by_row[k][1]]) for k, (i, _) in enumerate(data))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_a_frequent_length_is_ranked_in_many_shards(spark):
+    data = [(k % 50, k, 0, 7 if k % 3 else 5, k % 4) for k in range(400)] + [(1, 900, 0, 64, 1)]
+    pieces = spark.createDataFrame(data, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    for shard in (3, 1 << 16):
+        got = packing.place(pieces, 64, shard).collect()
+        assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(data)
+        rooms = collections.defaultdict(list)
+        for r in got:
+            rooms[r.sequence_id].append((r.offset, r.length))
+        for places in rooms.values():
+            ends = [0, *(o + n for o, n in sorted(places))]
+            assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 64
+        assert len(rooms) == len({s for n, f, many, first, each, _ in packing.plan(collections.Counter(x[3] for x in data), 64)
+                                  for s in range(first, first - (-many // each))})
+
+
+def test_stages_keep_columns_that_look_like_their_own(spark):
+    passage = " ".join(f"p{k}" for k in range(70))
+    rows = [(1, passage + " one", 1), (2, passage + " two and some more words", 2), (2, "other", 3), (4, "other", 4)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    names = ["_id", "_text", "_key", "_k", "_gone", "spans", "_part", "_p", "_n", "_stays", "_hash", "text_row", "n_chars_row", "_content"]
+    own = base.select("*", *[F.concat(F.lit(c), F.col("n")).alias(c) for c in names])
+    for stage, left in ((exact_dedup.drop_copies, {1, 2, 3}), (near_dedup.drop_near_copies, {1, 3}), (substring_dedup.without_repeats, {1, 2, 3, 4})):
+        got = stage(own)
+        assert got.columns == own.columns
+        out = got.collect()
+        assert {r.n for r in out} == left
+        assert all(r[c] == f"{c}{r.n}" for r in out for c in names)
+        assert stage(none_of(own)).count() == 0
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as cp
+    rnd = random.Random(8)
+    say = lambda n: " ".join(f"{rnd.choice(['river', 'mill', 'stone', 'field'])}{rnd.randint(0, 9999)}" for _ in range(n))
+    passage, calm = say(60), "the quiet old mill runs past today".split()  # both kinds have one length
+    data = [(i, say(40) + (" you stupid rotten liar we hate you" * 6 if i % 3 == 0 else "".join(" " + rnd.choice(calm) for _ in range(42)))) for i in range(240)]
+    clean = [t for i, t in data if i % 3]
+    data += [(1000 + k, clean[k].upper() if k % 2 else clean[k]) for k in range(12)]
+    data += [(1100 + k, clean[k] + " tail") for k in range(6, 18)]
+    data += [(1200 + k, say(30 + k) + " " + passage + " " + say(20)) for k in range(8)] + [(1300, ""), (1301, None), (1302, say(1500))]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = sorted((i, t or "") for i, t in data if "stupid" not in (t or ""))
+    first = {}
+    for i, t in left:
+        first.setdefault(t.lower(), (i, t))
+    left = sorted(first.values())
+    part = near_brute(left, 80, 100)
+    left = [(i, t) for i, t in left if part[i][1] == i]
+    counts = collections.Counter(t[k:k + 200] for _, t in left for k in range(len(t) - 199))
+    library, want = tokenizers.Tokenizer.from_file(entry.VOCABULARY), []
+    removed = 0
+    for i, t in left:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 199):
+            if counts[t[k:k + 200]] > 1:
+                gone[k:k + 200] = True
+        removed += int(gone.sum())
+        ids = library.encode("".join(c for c, g in zip(t, gone) if not g), add_special_tokens=False).ids + [2]
+        want += [(i, k, s, n, zlib.crc32(np.array(ids[s:s + n], "<u4").tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 1024))]
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert removed > 8 * 200 and sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
