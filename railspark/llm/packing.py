@@ -20,6 +20,8 @@ from .common import texts_of, written
 
 #: Pieces of one length that one task ranks, about; a more frequent length is ranked in more shards.
 SHARD = 1 << 16
+#: Runs of the plan that are sent to every executor, at most (40 bytes each); a longer plan is joined by length.
+RUNS_SENT = 200_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -106,7 +108,8 @@ def place(pieces: DataFrame, capacity: int = 1024, shard: int = SHARD) -> DataFr
     spark = pieces.sparkSession
     histogram = {r["length"]: r["_n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).collect()}
     shards = spark.createDataFrame([(length, -(-n // shard)) for length, n in histogram.items()], "_length long, _shards long")
-    pieces = pieces.join(shards, F.col("length") == F.col("_length")) \
+    # at most ``capacity`` pairs of numbers; an unhinted join would deal the pieces by length alone
+    pieces = pieces.join(F.broadcast(shards), F.col("length") == F.col("_length")) \
         .withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_shards"))).drop("_length", "_shards")
     before = W.partitionBy("length").orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
     offsets = pieces.groupBy("length", "_shard").agg(F.count(F.lit(1)).alias("_n")) \
@@ -124,6 +127,8 @@ def place(pieces: DataFrame, capacity: int = 1024, shard: int = SHARD) -> DataFr
     runs_flat = slots.select("length", F.explode("_runs").alias("_run")) \
         .select("length", F.col("_run.r").alias("_r"), F.col("_run.n").alias("_cnt"), F.col("_run.s").alias("_s"),
                 F.col("_run.each").alias("_each"), F.col("_run.at").alias("_at"))
+    if sum(map(len, runs.values())) <= RUNS_SENT:
+        runs_flat = F.broadcast(runs_flat)
     step = F.col("_rank") - F.col("_r")
     return ranked.join(runs_flat, (ranked["length"] == runs_flat["length"])
                        & (F.col("_rank") >= F.col("_r")) & (F.col("_rank") < F.col("_r") + F.col("_cnt"))) \
