@@ -103,3 +103,11 @@ def test_paged_lists_of_hubs_and_empty_keys(spark):
         assert len(r["values"]) <= 300 and r["page"] == len(got.get(r["k"], [])) // 300
         got.setdefault(r["k"], []).extend(r["values"])
     assert got == want
+
+
+def test_anti_missing_reads_every_order(spark, tmp_path):
+    from railspark.plans.queries import QUERIES
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(2, "5-LOW", "O"), (3, "1-URGENT", "F")], "o_custkey long, o_orderpriority string, o_orderstatus string") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r.c_custkey for r in QUERIES["anti_missing"](spark, str(tmp_path)).collect()] == [1]
