@@ -179,3 +179,16 @@ def test_stream_takes_columns_by_name(spark, tmp_path):
     (src / "b.csv").write_text("PTCAR_NO,TRAIN_NO,EXTRA,DELAY_DEP,REAL_DATE_DEP,PLANNED_DATE_DEP,PLANNED_TIME_DEP\n88,17,zz,,03JAN2025,03JAN2025,06:10:00\n")
     with pytest.raises(Exception):  # its header differs
         stream_punctuality(spark, str(src), out, str(tmp_path / "ck")).awaitTermination()
+
+
+def test_platform_file_has_the_links_of_every_country(spark, tmp_path):
+    import datetime
+    from railspark.plans.queries import QUERIES
+    spark.createDataFrame([(1, "a", 3, 0.0), (2, "b", 14, 0.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double") \
+        .write.parquet(f"{tmp_path}/supplier.parquet")
+    day = datetime.datetime(1995, 3, 1)
+    spark.createDataFrame([(7, 1, 1, 5, day, 1.0, 0.0, 900.0), (7, 2, 2, 5, day, 1.0, 0.0, 900.0)],
+                          "l_orderkey long, l_suppkey long, l_linenumber int, l_partkey long, l_shipdate timestamp_ntz, "
+                          "l_quantity double, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = QUERIES["sink_xml_platforms"](spark, str(tmp_path)).collect()
+    assert [(r.id, r.lane, r.name) for r in rows] == [("1->2", "1_2_0", "a to b platform")]
