@@ -131,3 +131,29 @@ def test_simulator_output_cases(spark):
                                  F.lit("2025-01-01 23:59:00").cast("timestamp")).collect()
     r = [x for x in table if x.train_id == "t1"][0]
     assert (r.date, r.realtime_arrival_time, r.realtime_departure_date) == ("2025-01-02", "00:02:20", "2025-01-02")
+
+
+def test_alias_resolve_matches_a_pair_search(spark):
+    import random
+    rnd = random.Random(11)
+    legs = [(i, rnd.choice([None, 1, 2, 3, 4, 5, 100, 101]), rnd.choice([None, 1, 2, 3, 4, 5, 100, 101, 102])) for i in range(150)]
+    aliases = [(100, 1, 3), (100, 2, 1), (100, 2, 5), (101, None, 2), (101, 4, None), (102, 1, 4), (3, 1, 2)]
+    edges = [(a, b) for a in range(1, 6) for b in range(1, 6) if rnd.random() < 0.3] + [(101, 4), (2, 101)]
+    got = {r.id: (r.departure_station, r.arrival_station) for r in T.alias_resolve(
+        spark.createDataFrame(legs, "id int, departure_station long, arrival_station long"),
+        spark.createDataFrame(aliases, "alias long, rank int, station long"), spark.createDataFrame(edges, "src long, dst long")).collect()}
+
+    def options(x):
+        return [(r or 0, s or a) for a, r, s in aliases if a == x] or [(0, x)]
+
+    for i, d, a in legs:
+        hits = [(r1, r2, s1, s2) for r1, s1 in options(d) for r2, s2 in options(a) if (s1, s2) in edges]
+        assert got[i] == (min(hits)[2:] if hits else (d, a))
+
+
+def test_alias_resolve_of_long_lists_makes_no_product(spark):
+    # 30,000 x 30,000 members of two aliases: 900 million pairs, one edge
+    al = spark.range(60000).selectExpr("CAST(1000000 + id % 2 AS BIGINT) AS alias", "CAST(id AS INT) AS rank", "id AS station")
+    legs = spark.createDataFrame([(1000000, 1000001)], "departure_station long, arrival_station long")
+    r = T.alias_resolve(legs, al, spark.createDataFrame([(58, 77)], "src long, dst long"))
+    assert [tuple(x) for x in r.collect()] == [(58, 77)]
