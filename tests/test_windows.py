@@ -55,3 +55,22 @@ def test_bucketed_running_sum_equals_plain(spark):
     plain = {(r.k, r.o): r.s for r in W.running_sum(df, "k", "o", "v", "s").collect()}
     buck = {(r.k, r.o): r.s for r in W.running_sum(df, "k", "o", "v", "s", bucket=F.floor(F.col("o") / 23)).collect()}
     assert plain == buck
+
+
+def test_lead_lag_splits_hot_keys_only(spark):
+    rnd = random.Random(5)
+    data = [(rnd.choice([None, 1, 1, 1, 1, 2, 3]), rnd.choice([None, *range(300)]), i, rnd.randint(1, 9)) for i in range(500)]
+    df = spark.createDataFrame(data, "k int, t int, tie int, stop int")
+    bucket = F.floor(F.col("t") / 37)
+    for off in (1, -1):
+        plain = {r.tie: r.o for r in W.lead_lag(df, "k", ["t", "tie"], "stop", "o", off).collect()}
+        for hot in (0, 120, 10 ** 6):
+            assert plain == {r.tie: r.o for r in W.lead_lag(df, "k", ["t", "tie"], "stop", "o", off, bucket=bucket, hot_rows=hot).collect()}
+
+
+def test_lead_lag_shuffles_keys_that_are_not_hot_once(spark):
+    # the window of the many keys reads one exchange of the rows; the per-bucket table belongs to hot slots only
+    df = spark.range(1000).select(F.col("id").alias("k"), F.col("id").alias("t"), F.col("id").alias("stop"))
+    plan = W.lead_lag(df, "k", ["t"], "stop", "o", bucket=F.floor(F.col("t") / 37))._jdf.queryExecution().optimizedPlan().toString()
+    cold = plan[plan.index("LeftAnti") - 2000 if plan.index("LeftAnti") > 2000 else 0:plan.index("LeftAnti")]
+    assert "LeftOuter" not in cold and "min_by" not in cold
