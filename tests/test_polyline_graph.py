@@ -288,3 +288,24 @@ def test_shortest_path_pairs_cases(spark):
     req = spark.createDataFrame([(1, 2), (1, 1), (4, 1), (1, 4)], "a long, b long")
     got = {(r.a, r.b): (r.cost, r.hops, list(r.path)) for r in GR.shortest_path_pairs(edges, req).collect()}
     assert got == {(1, 2): (5.0, 2, [1, 3, 2]), (1, 1): (0.0, 0, [1]), (1, 4): (6.0, 3, [1, 3, 2, 4])}
+
+
+def test_search_settles_by_limits_and_leaves_out_edges_without_weight(spark):
+    import heapq
+    import random
+    rnd = random.Random(6)
+    edges = [(a, b, round(rnd.uniform(1, 100), 3)) for a in range(12) for b in range(12) if a != b and rnd.random() < 0.6]
+    edges += [(20, 21, 500.0), (21, 22, 1.0), (22, 20, 1.0), (30, 0, 2.0)]
+    df = spark.createDataFrame([*edges, (0, 40, None)], "src long, dst long, w double")
+    got = {(r.source, r.node): (r.cost, r.hops) for r in GR.shortest_paths(df, spark.createDataFrame([(0,), (20,), (30,)], "s long")).collect()}
+    want = {}
+    for s in (0, 20, 30):
+        heap = [(0.0, 0, s)]
+        while heap:
+            c, h, n = heapq.heappop(heap)
+            if (s, n) not in want:
+                want[(s, n)] = (c, h)
+                for a, b, w in edges:
+                    if a == n:
+                        heapq.heappush(heap, (c + w, h + 1, b))
+    assert got == want
