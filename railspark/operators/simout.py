@@ -55,13 +55,18 @@ def punctuality_table(events: DataFrame, trips: DataFrame, base) -> DataFrame:
     j = events.join(trips.select("trip_id", "train_number", "relation", "relation_direction"), "trip_id", "left")
     ts = {k: seconds_to_ts(base, F.col(k)) for k in ("realtime_arrival", "realtime_departure", "scheduled_arrival",
                                                      "scheduled_departure")}
-    out = {"date": F.date_format(F.coalesce(ts["realtime_arrival"], ts["realtime_departure"], ts["scheduled_arrival"],
-                                            ts["scheduled_departure"]), "yyyy-MM-dd"),
+    # one text per timestamp, cut into date and time; a plain cast writes the same text for these years and takes less time
+    first, last = (F.lit(x).cast("timestamp") for x in ("0001-01-03", "9999-12-29"))
+    text = {k: F.when(v.between(first, last), v.cast("string")).otherwise(F.date_format(v, "yyyy-MM-dd HH:mm:ss")) for k, v in ts.items()}
+    j = j.select("trip_id", "train_number", "relation", "relation_direction", "delay_departure", "delay_arrival", "station",
+                 *[v.alias(f"_{k}") for k, v in text.items()])
+    dates = {k: F.substring_index(f"_{k}", " ", 1) for k in ts}
+    out = {"date": F.coalesce(*dates.values()),
            "train_number": F.col("train_number"), "train_id": F.col("trip_id"), "relation": F.col("relation")}
-    for k, v in ts.items():
+    for k in ts:
         kind, what = k.split("_")
-        out[f"{kind}_{what}_time"] = F.date_format(v, "HH:mm:ss")
-        out[f"{kind}_{what}_date"] = F.date_format(v, "yyyy-MM-dd")
+        out[f"{kind}_{what}_time"] = F.substring(F.substring_index(f"_{k}", " ", -1), 1, 8)
+        out[f"{kind}_{what}_date"] = dates[k]
     out.update({"relation_direction": F.col("relation_direction"), "delay_departure": F.col("delay_departure"),
                 "delay_arrival": F.col("delay_arrival"), "station": F.col("station")})
     return j.select(*[c.alias(n) for n, c in out.items()])

@@ -192,3 +192,32 @@ def test_platform_file_has_the_links_of_every_country(spark, tmp_path):
                           "l_quantity double, l_discount double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     rows = QUERIES["sink_xml_platforms"](spark, str(tmp_path)).collect()
     assert [(r.id, r.lane, r.name) for r in rows] == [("1->2", "1_2_0", "a to b platform")]
+
+
+def test_xml_records_of_plain_attributes_are_cut_as_text(spark, tmp_path):
+    """Plain and odd elements read alike, and no filter on an element's fields parses it once more."""
+    from railspark.operators import simout as SO
+    from railspark.plans.jobs import STOPINFO_ATTRS
+    els = ['id="1" a="x"/>', 'id="" a=""/>', 'id="2" id="3"/>', 'id="4" z="1" z="2"/>', "id='5' a='b'/>", 'id="6 " a=" x"/>', 'id="7" a="x &amp; y"/>',
+           'a="w id=" id="9"/>', 'id="10" a="1/>2"/>', 'id="11"></stopinfo>', 'id="12" a="x">text</stopinfo>', 'id="14" a="é"/>', 'x-id="k" id="25" a="="/>', '/>', 'id="13"a="x"/>']
+    path = tmp_path / "t.xml"
+    path.write_text('<stops id="root">\n' + "".join(f"<stopinfo {e}\n" for e in els) + "</stops>")
+    got = [tuple(r) for r in IO.scan_xml_records(spark, str(path), "stopinfo", ["id", "a", "absent"]).collect()]
+    bad = (None, None, None)
+    assert got == [("1", "x", None), ("", "", None), bad, bad, ("5", "b", None), ("6", "x", None), ("7", "x & y", None), ("9", "w id=", None), ("10", "1/>2", None),
+                   ("11", None, None), ("12", "x", None), ("14", "é", None), ("25", "=", None), bad, bad]
+    trips = spark.createDataFrame([("1", 2.0)], "trip_id string, depart_delay double")
+    events = SO.stop_events(IO.scan_xml_records(spark, str(path), "stopinfo", STOPINFO_ATTRS), trips)
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+    assert sorted(r["trip_id"] for r in events.collect()) == sorted(["1", "5", "6", "7", "9", "10", "11", "12", "14", "25"])
+
+
+def test_punctuality_dates_far_away(spark):
+    from railspark.operators import simout as SO
+    events = spark.createDataFrame([("a", "s", 59.5, None, -62135683201.0 - 1735689600.0, 253402300800.0 - 1735689600.0, 0.0, 0.0)],
+                                   "trip_id string, station string, realtime_arrival double, realtime_departure double, scheduled_arrival double, "
+                                   "scheduled_departure double, delay_arrival double, delay_departure double")
+    trips = spark.createDataFrame([("a", "7", "x->y", "y")], "trip_id string, train_number string, relation string, relation_direction string")
+    r = SO.punctuality_table(events, trips, F.lit("2025-01-01 00:00:00").cast("timestamp")).first()
+    assert (r["date"], r["realtime_arrival_date"], r["realtime_arrival_time"], r["realtime_departure_date"]) == ("2025-01-01", "2025-01-01", "00:00:59", None)
+    assert (r["scheduled_arrival_date"], r["scheduled_departure_date"]) == ("0000-12-30", "+10000-01-01")
