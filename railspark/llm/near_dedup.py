@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import first_by_id, placed, texts_of, written
+from .common import first_by_id, likely_in, placed, texts_of, written
 from .components import components
 
 WORDS_PER_SHINGLE = 5
@@ -213,9 +213,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary()),
                                               pa.array(sets, pa.binary())], ["_id", "_set", "_bytes"])
 
-    wanted = classes.join(tasks.select(F.col("node").alias("_w")).distinct(), F.col("_class_id") == F.col("_w")) \
-        .select(F.col("_rep").alias("_r"), F.col("_set").alias("_s"), "_class_id")
-    full = source.join(wanted, F.col("_id") == F.col("_r"), "left_semi").mapInArrow(sets_of, "_id long, _set binary, _bytes binary") \
+    wanted = written(classes.join(tasks.select(F.col("node").alias("_w")).distinct(), F.col("_class_id") == F.col("_w"))
+                     .select(F.col("_rep").alias("_r"), F.col("_set").alias("_s"), "_class_id"))
+    # texts of no candidate stay where they are; only the others are shuffled
+    likely = likely_in(source, "_id", wanted.select("_r"))
+    full = likely.join(wanted, F.col("_id") == F.col("_r"), "left_semi").mapInArrow(sets_of, "_id long, _set binary, _bytes binary") \
         .join(wanted, (F.col("_id") == F.col("_r")) & (F.col("_set") == F.col("_s"))).select("_class_id", "_bytes")
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

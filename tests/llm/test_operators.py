@@ -527,3 +527,15 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         want += [(i, k, s, n, zlib.crc32(np.array(ids[s:s + n], "<u4").tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 1024))]
     got = cp.run(spark, str(tmp_path)).collect()
     assert removed > 8 * 200 and sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+
+
+def test_key_filter_keeps_every_key_and_few_others(spark):
+    """op7 sends only texts of candidates through its shuffle: the filter loses none and passes few others."""
+    from railspark.llm.common import likely_in
+    rows = spark.range(20000).withColumnRenamed("id", "_id")
+    for keys in (rows.filter("_id % 50 = 0"), rows.filter("_id < 0"), rows.filter("_id % 50 = 0").unionByName(rows.filter("_id = 7"))):
+        want = {r[0] for r in keys.collect()}
+        got = {r[0] for r in likely_in(rows, "_id", keys.withColumnRenamed("_id", "k")).collect()}
+        assert want <= got and len(got - want) <= 4000 * bool(want)
+    odd = spark.createDataFrame([(None,), (5,), (-3,)], "_id long")
+    assert {r[0] for r in likely_in(odd, "_id", odd).collect()} >= {5, -3}
