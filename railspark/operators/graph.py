@@ -27,9 +27,10 @@ def polyline_graph(df: DataFrame, path: str = "Coordinates") -> tuple[DataFrame,
 
     Returns ``(edges(u, v) in both directions, nodes(node, lat, lon))``.
     """
+    # the points are named a fixed number of times: inside a lambda over places they would all be made anew at every place
     pts = F.transform(F.col(path), lambda p: point_normalise(p))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pts) - 1, F.lit(1))),
-                        lambda i: F.struct(F.get(pts, i - 1).alias("a"), F.get(pts, i).alias("b")))
+    n = F.greatest(F.size(path) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(pts, F.lit(1), n), F.slice(pts, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     ex = df.filter(F.size(path) >= 2).select(F.inline(pairs)).filter(F.col("a") != F.col("b"))
     ex = ex.select(point_key("a").alias("u"), point_key("b").alias("v"), "a", "b")
     edges = ex.select("u", "v").unionByName(ex.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()

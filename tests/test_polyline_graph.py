@@ -309,3 +309,16 @@ def test_search_settles_by_limits_and_leaves_out_edges_without_weight(spark):
                     if a == n:
                         heapq.heappush(heap, (c + w, h + 1, b))
     assert got == want
+
+
+def test_polyline_graph_makes_points_once_a_line(spark):
+    """The points of a line are not made anew for every pair of them: lambdas over points do not nest."""
+    from railspark.operators import graph as GR
+    rows = [(1, [[50.0, 4.0], [50.1, 4.1], [50.1, 4.1], [50.2, 4.0]]), (2, [[50.0, 4.0]]), (3, []), (4, None), (5, [[50.2, 4.0], [50.0, 4.0]])]
+    edges, nodes = GR.polyline_graph(spark.createDataFrame(rows, "ID int, Coordinates array<array<double>>"))
+    got = {tuple(r) for r in edges.selectExpr("u.klat", "u.klon", "v.klat", "v.klon").collect()}
+    a, b, c = (50000000, 4000000), (50100000, 4100000), (50200000, 4000000)
+    assert got == {x + y for p, q in ((a, b), (b, c), (c, a)) for x, y in ((p, q), (q, p))}
+    assert sorted((r["lat"], r["lon"]) for r in nodes.collect()) == [(50.0, 4.0), (50.1, 4.1), (50.2, 4.0)]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "zip_with(" in plan
