@@ -74,3 +74,29 @@ def test_lead_lag_shuffles_keys_that_are_not_hot_once(spark):
     plan = W.lead_lag(df, "k", ["t"], "stop", "o", bucket=F.floor(F.col("t") / 37))._jdf.queryExecution().optimizedPlan().toString()
     cold = plan[plan.index("LeftAnti") - 2000 if plan.index("LeftAnti") > 2000 else 0:plan.index("LeftAnti")]
     assert "LeftOuter" not in cold and "min_by" not in cold
+
+
+def test_next_and_prev_stop_equal_plain_windows(spark):
+    rnd = random.Random(6)
+    data = [(rnd.choice([None, 1, 1, 1, 1, 2, 3]), rnd.choice([None, *range(300)]), i, rnd.choice([None, *range(9)])) for i in range(500)]
+    df = spark.createDataFrame(data, "k int, t int, tie int, stop int")
+    plain = W.lead_lag(W.lead_lag(df, "k", ["t", "tie"], "stop", "n", 1), "k", ["t", "tie"], "stop", "p", -1)
+    want = sorted(plain.collect(), key=lambda r: r.tie)
+    assert want == sorted(W.next_and_prev_stop(df, "k", ["t", "tie"], "stop", "n", "p").collect(), key=lambda r: r.tie)
+    for hot in (0, 120, 10 ** 6):
+        got = W.next_and_prev_stop(df, "k", ["t", "tie"], "stop", "n", "p", bucket=F.floor(F.col("t") / 37), hot_rows=hot)
+        assert got.columns == plain.columns
+        assert want == sorted(got.collect(), key=lambda r: r.tie)
+
+
+def test_distinct_rows_shuffles_a_stop_once_for_both_neighbours(spark, tmp_path):
+    from datetime import datetime
+
+    from railspark.plans.queries import QUERIES
+    data = [(1, p, s, n, datetime(2020, 1, n)) for n, (p, s) in enumerate([(5, 1), (6, 2), (7, 3), (8, 2)], 1)]
+    li = spark.createDataFrame(data, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz")
+    li.selectExpr("*", "1D AS l_quantity", "0.1D AS l_discount", "2D AS l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["distinct_rows"](spark, str(tmp_path))
+    assert sorted((r[0] or 0, r[1], r[2] or 0) for r in got.collect()) == [(0, 1, 2), (1, 2, 3), (2, 3, 2), (3, 2, 0)]
+    # keys that are not hot: one window; hot keys: one in the buckets and one over the per-bucket table
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 3
