@@ -162,7 +162,8 @@ def paged_lists(df: DataFrame, key: str, value: str, page_rows: int = 1024) -> D
     one empty page.
     """
     from railspark.operators.windows import number_rows
-    rows = df.select(F.col(key).alias("_k"), F.col(value).alias("_v")).distinct()
+    # read twice below: written once, so that what they come from is not computed again
+    rows = materialise_input(df.select(F.col(key).alias("_k"), F.col(value).alias("_v")).distinct())
     n = number_rows(rows.filter(F.col("_v").isNotNull()), ["_k", "_v"], "_g")
     n = materialise_input(n)
     first = n.groupBy(F.col("_k").alias("_of")).agg(F.min("_g").alias("_first"))

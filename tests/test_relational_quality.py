@@ -105,6 +105,11 @@ def test_paged_lists_of_hubs_and_empty_keys(spark):
     assert got == want
 
 
+def test_paged_lists_compute_their_rows_once(spark):
+    df = spark.range(50).selectExpr("id % 3 AS k", "id AS v")
+    assert "Range (" not in R.paged_lists(df, "k", "v", page_rows=4)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_anti_missing_reads_every_order(spark, tmp_path):
     from railspark.plans.queries import QUERIES
     spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
