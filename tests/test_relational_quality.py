@@ -110,6 +110,27 @@ def test_paged_lists_compute_their_rows_once(spark):
     assert "Range (" not in R.paged_lists(df, "k", "v", page_rows=4)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_correct_coordinates_query_computes_its_links_once(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from railspark.plans import queries
+    stops = [(1, p, s, n, datetime(2020, 1, n)) for n, (p, s) in enumerate([(5, 1), (6, 2), (7, 1), (8, 3)], 1)]
+    li = spark.createDataFrame(stops, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz")
+    li.selectExpr("*", "1D AS l_quantity", "0.1D AS l_discount", "2000D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "Supplier#000000001", 3, 10.0), (2, "Two", 4, 20.0), (3, "Three", 5, 30.0)],
+                          "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    plans, file = {}, queries._file
+
+    def noted(spark, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return file(spark, df, name)
+
+    monkeypatch.setattr(queries, "_file", noted)
+    got = {(r.dep, r.arr): (r.name, r.distance, r.first_lat, r.first_lon) for r in queries.QUERIES["job_correct_coordinates"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2): ("FIXED", 2.0, 50.5, 4.25), (2, 1): ("Two", 2.0, 49.9, 3.004), (1, 3): ("FIXED", 2.0, 50.5, 4.25)}
+    assert not any("Window" in plans[name] for name in ("links", "ends"))
+
+
 def test_anti_missing_reads_every_order(spark, tmp_path):
     from railspark.plans.queries import QUERIES
     spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
