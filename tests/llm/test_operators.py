@@ -347,6 +347,68 @@ def test_lm_probabilities_sum_to_one_and_gradient_is_right():
         assert abs((loss[0] - loss[1]) / 2e-2 - grad[name][at]) < 2e-3 + 0.1 * abs(grad[name][at]), name
 
 
+def lm_by_loops(model, x, y):
+    """log p(class of y), token by token in double precision, by the formulas of the model."""
+    p = {k: v.astype(float) for k, v in model.par.items()}
+    out = []
+    for row, goals in zip(x, y):
+        for j, goal in enumerate(goals):
+            last = lm.BEFORE - 1 + j
+            seen = [i for i in range(last + 1) if row[i] >= 0]
+            if goal < 0:
+                out.append(0.0)
+                continue
+            query = p["E"][row[last]]
+            a = np.array([query @ p["Q"] @ (p["E"][row[i]] @ p["K"]) / math.sqrt(lm.WIDTH) + p["dist"][last - i] for i in seen])
+            a = np.exp(a - a.max())
+            o = sum(w * (p["E"][row[i]] @ p["V"]) for w, i in zip(a / a.sum(), seen))
+            z = np.maximum(query @ p["X"] + o @ p["O"] + p["b"], 0) @ p["out"] + model.cls_log[row[last]]
+            out.append(z[model.cls[goal]] - np.log(np.exp(z).sum()))
+    return np.array(out)
+
+
+def test_a_batch_is_computed_in_parts_with_the_same_probabilities_and_gradients(monkeypatch):
+    rnd = np.random.default_rng(9)
+    ids = np.append(rnd.integers(0, 3000, 32 * 5 + 7), lm.END)
+    model = lm.Lm(np.bincount(np.concatenate([np.arange(3000), ids]), minlength=lm.END + 1), lm.END + 1)
+    pair = rnd.integers(0, 5, (model.slots, model.slots)).astype(float)
+    model.cluster(pair)
+    model.tables(pair)
+    model.par["out"] = (rnd.standard_normal(model.par["out"].shape) * 0.1).astype(np.float32)
+    x, y, _ = model.windows(ids)
+    assert (x < 0).any() and (y < 0).any()  # the first window has masked inputs, the last one targets that do not exist
+    got = np.where((y >= 0).ravel(), model.classes(x, y)[0], 0)
+    assert abs(got - lm_by_loops(model, x, y)).max() < 1e-4
+    whole, at, rows = model.gradients(model.classes(x, y)[2])
+    sizes, classes = [], model.classes
+    monkeypatch.setattr(lm, "SCORED", 2)
+    monkeypatch.setattr(model, "classes", lambda x, y: sizes.append(len(x)) or classes(x, y))
+    parts, ids_of, rows_of = model.step(x, y)
+    assert sizes == [2, 2, 2] and (ids_of == at).all() and abs(rows_of - rows).max() < 1e-6
+    assert all(abs(parts[k] - whole[k]).max() < 1e-6 for k in whole)
+    for b in (0, 1):  # a batch without targets, and one without inputs, moves nothing
+        none, at, _ = model.step(np.full_like(x, -1) if b else x, np.full_like(y, -1))
+        assert all(not v.any() for v in none.values()) and (len(at) == 0) == bool(b)
+
+
+def test_the_output_layer_still_ends_at_80():
+    model = lm.Lm(np.ones(lm.END + 1), lm.END + 1)
+    model.par["b"][:] = 100
+    model.par["out"][:, 3] = 1
+    x, y, _ = model.windows(np.array([5, 6, 7, lm.END]))
+    got = model.classes(x, np.where(y >= 0, np.flatnonzero(model.cls == 3)[0], -1))[0][(y >= 0).ravel()]
+    assert np.isfinite(got).all() and abs(got).max() < 1e-3
+
+
+def test_short_texts_share_one_array_of_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 10)
+    texts = [[np.array(t, "<u2").tobytes() for t in b] for b in ([[1, 2], [3]], [[4] * 6], [], [[5] * 4, [6]], [[7]])]
+    assert [x.tolist() for x in lm.joined(iter(texts))] == [[1, 2, 3, 4, 4, 4, 4, 4, 4, 5, 5, 5, 5, 6], [7]]
+    assert list(lm.joined(iter([[], []]))) == []
+    tokens = spark.createDataFrame([(x,) for b in texts for x in b], "ids binary")
+    assert lm.summed(tokens, lambda ids: np.bincount(ids, minlength=9), 9, 4).tolist() == [0, 1, 1, 1, 6, 4, 1, 1, 0]
+
+
 def test_a_token_is_scored_once_however_windows_fall():
     rnd = np.random.default_rng(5)
     model = lm.Lm(np.ones(lm.END + 1), lm.END + 1)
