@@ -1,5 +1,6 @@
 import heapq
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -322,3 +323,51 @@ def test_polyline_graph_makes_points_once_a_line(spark):
     assert sorted((r["lat"], r["lon"]) for r in nodes.collect()) == [(50.0, 4.0), (50.1, 4.1), (50.2, 4.0)]
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "zip_with(" in plan
+
+
+def test_search_by_source_shuffles_no_rows_of_the_search(spark, monkeypatch):
+    """Many sources: edges come to the rows, in pieces, narrow rounds, and nodes that are open; long ways; against Dijkstra."""
+    from railspark.operators import paths
+    rnd = random.Random(12)
+    edges = {(a, b): float(rnd.randint(0, 40)) for a in range(50) for b in rnd.sample(range(50), 6) if a != b}
+    edges |= {(100 + k, 101 + k): 5.0 for k in range(8)} | {(100, 30): 90.0, (108, 100): 2.0}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, w double")
+    sources = [*range(40), 100, 104, 999]
+    targets = [(s, t) for s in sources for t in rnd.sample(range(50), 2)] + [(100, 108), (104, 103), (100, 5), (999, 999), (5, 100)]
+    out = {}
+    for (a, b), w in edges.items():
+        out.setdefault(a, []).append((b, w))
+
+    def dijkstra(s):
+        done, heap = {}, [(0.0, 0, -1, s)]
+        while heap:
+            c, h, p, v = heapq.heappop(heap)
+            if v not in done:
+                done[v] = (c, h, None if p < 0 else p)
+                for o, w in out.get(v, []):
+                    heapq.heappush(heap, (c + w, h + 1, v, o))
+        return done
+
+    want = {s: dijkstra(s) for s in sources}
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 8)
+    appended = []
+    plain = paths.Buckets.append
+    monkeypatch.setattr(paths.Buckets, "append", lambda self, x, which: (appended.append((self, x)), plain(self, x, which))[1])
+    starts = spark.createDataFrame([(s,) for s in sources], "s long")
+
+    got = {(r.source, r.node): (r.cost, r.hops, r.pred) for r in GR.shortest_paths(df, starts, delta=12.0).collect()}
+    assert got == {(s, v): x for s in sources for v, x in want[s].items()}
+    keyed = [x for t, x in appended if t.key == "source"]
+    assert len(keyed) == len(appended) > 5  # the first rows are dealt out by source, later ones are where they belong
+    assert not any("Exchange hashpartitioning" in x._jdf.queryExecution().executedPlan().toString() for x in keyed[1:-1])
+    folders = {t.path for t, _ in appended}
+    assert sum(os.path.exists(p.removeprefix("file:")) for p in folders) == 1 and not [t for t in spark.catalog.listTables() if t.name.startswith("loop_")]
+    for k, v in {"MANY_ROWS": 1, "FEW_ROWS": 60, "PIECE_ROWS": 60, "MOST": 0.2, "WALK_STEPS": 3}.items():
+        monkeypatch.setattr(paths, k, v)
+    pairs = {(r.a, r.b): (r.cost, r.hops, r.path) for r in GR.shortest_path_pairs(df, spark.createDataFrame(targets, "a long, b long")).collect()}
+    assert set(pairs) == {(s, t) for s, t in targets if t in want[s]}
+    for (s, t), (c, h, path) in pairs.items():
+        back = [t]
+        while back[0] != s:
+            back.insert(0, want[s][back[0]][2])
+        assert (c, h) == want[s][t][:2] and path == back
