@@ -26,7 +26,7 @@ from railspark.operators import simout as SO
 from railspark.operators import trips as T
 from railspark.operators.windows import next_stop
 from railspark.plans import etl as ETL
-from railspark.session import ensure_checkpoint_dir, tune
+from railspark.session import ensure_checkpoint_dir, shuffles_dropped, tune
 from railspark.sources import files as IO
 from railspark.sources.files import scan_csv, sink_csv
 
@@ -146,19 +146,22 @@ COMMANDS = {f.__name__: f for f in (correct_coordinates, simplify_tracks, split_
 MANIFEST = "run string, name string, format string, row_tag string, published timestamp"
 
 
-def run_command(spark: SparkSession, command: str, inputs: dict, out: str, sep: str = ";", **params) -> str:
-    """Runs a command and publishes all its outputs under ``out`` at once; returns the run's name."""
+def run_command(spark: SparkSession, command: str, inputs: dict, out: str, sep: str = ";", compression: str | None = None, **params) -> str:
+    """Runs a command and publishes all its outputs under ``out`` at once; returns the run's name.
+
+    ``compression``: of the published files (``gzip`` ...), None: plain; ``published`` reads either."""
     if command != "simulation_punctuality":
         params["sep"] = sep
     outputs, run, rows = COMMANDS[command](spark, inputs, **params), uuid.uuid4().hex, []
     for name, made in outputs.items():
         where = f"{out.rstrip('/')}/runs/{run}/{name}"
-        if isinstance(made, tuple):
-            IO.sink_xml(made[0], where, made[1], made[2])
-            rows.append((run, name, "xml", made[2]))
-        else:
-            sink_csv(made, where, sep=sep)
-            rows.append((run, name, "csv", sep))
+        with shuffles_dropped(spark):
+            if isinstance(made, tuple):
+                IO.sink_xml(made[0], where, made[1], made[2], compression=compression)
+                rows.append((run, name, "xml", made[2]))
+            else:
+                sink_csv(made, where, sep=sep, compression=compression)
+                rows.append((run, name, "csv", sep))
     manifest = spark.createDataFrame(rows, "run string, name string, format string, row_tag string").withColumn("published", F.current_timestamp())
     manifest.coalesce(1).write.mode("append").parquet(f"{out.rstrip('/')}/manifest")
     return run

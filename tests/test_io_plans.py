@@ -221,3 +221,29 @@ def test_punctuality_dates_far_away(spark):
     r = SO.punctuality_table(events, trips, F.lit("2025-01-01 00:00:00").cast("timestamp")).first()
     assert (r["date"], r["realtime_arrival_date"], r["realtime_arrival_time"], r["realtime_departure_date"]) == ("2025-01-01", "2025-01-01", "00:00:59", None)
     assert (r["scheduled_arrival_date"], r["scheduled_departure_date"]) == ("0000-12-30", "+10000-01-01")
+
+
+def test_punctuality_job_keeps_its_files_small(spark, tmp_path):
+    """The documents that the query makes are gone once the table is published, and what is published is compressed."""
+    from datetime import datetime
+    from pathlib import Path
+
+    from railspark.plans.queries import QUERIES
+    from railspark.session import ensure_checkpoint_dir
+    orders = [(k, 7 * k, "FOP"[k % 3], f"{k % 5 + 1}-HIGH") for k in range(40)] + [(None, 1, "F", "x")]
+    lines = [(k % 45, 11 * k, 5 + k % 9, k % 4) for k in range(200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string") \
+        .withColumn("o_orderdate", F.lit(datetime(2025, 1, 1))).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    io = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "io"
+    before = {*io.iterdir()} if io.exists() else set()
+    got = QUERIES["job_simulation_punctuality"](spark, str(tmp_path))
+    plain = QUERIES["punctuality_table"](spark, str(tmp_path))
+    made = {*io.iterdir()} - before
+    assert sorted(x.name.split("-")[0] for x in made) == ["simulation_punctuality", "stopinfo", "tripinfo"]  # the last two are punctuality_table's
+    assert not [x for x in made if x.name.startswith(("tripinfo-in", "stopinfo-in"))]
+    job = next(x for x in made if x.name.startswith("simulation"))
+    assert {x.suffix for x in job.glob("runs/*/punctuality/part-*")} == {".gz"}
+    cols = sorted(got.columns)
+    assert cols == sorted(plain.columns) and got.count() == 200
+    assert sorted(map(repr, got.select(*cols).collect())) == sorted(map(repr, plain.select(*cols).collect()))
